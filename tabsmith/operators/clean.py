@@ -329,6 +329,7 @@ class FrequencyEncoder:
     joined on the value; the join strategy is left to AQE, with no broadcast hint.
     """
     cols: Sequence[str] = ()
+    inline_limit: int = INLINE_LEVELS
     inline: dict = field(default_factory=dict)
     tables: dict = field(default_factory=dict)
 
@@ -342,7 +343,7 @@ class FrequencyEncoder:
         for i, n in enumerate(cols):
             freq = (df.where(c(n).isNotNull()).groupBy(c(n).alias("_k"))
                     .agg((F.count(F.lit(1)) / F.lit(float(total))).alias("_f")))
-            if row[f"_d{i}"] <= INLINE_LEVELS:
+            if row[f"_d{i}"] <= self.inline_limit:
                 self.inline[n] = {r["_k"]: r["_f"] for r in freq.collect()}
             else:
                 self.tables[n] = freq
@@ -448,6 +449,7 @@ class LabelEncoder:
     from a distributed sort of the distinct values (``zipWithIndex``), joined back.
     """
     cols: Sequence[str] = ()
+    inline_limit: int = INLINE_LEVELS
     inline: dict = field(default_factory=dict)
     tables: dict = field(default_factory=dict)
 
@@ -458,13 +460,13 @@ class LabelEncoder:
         row = df.agg(*[F.approx_count_distinct(c(n)).alias(f"_d{i}") for i, n in enumerate(cols)]).first()
         for i, n in enumerate(cols):
             distinct = df.where(c(n).isNotNull()).select(c(n).cast("string").alias("_k")).distinct()
-            if row[f"_d{i}"] <= INLINE_LEVELS:
+            if row[f"_d{i}"] <= self.inline_limit:
                 self.inline[n] = sorted(r["_k"] for r in distinct.collect())
             else:
                 spark = df.sparkSession
                 ranked = distinct.rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex()
-                self.tables[n] = (spark.createDataFrame(ranked, "_k string, _code long"),
-                                  None)
+                table = spark.createDataFrame(ranked, "_k string, _code long")
+                self.tables[n] = (table, table.count())
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -474,10 +476,9 @@ class LabelEncoder:
                 pos = F.array_position(F.array(*[F.lit(v) for v in lv]), c(n).cast("string")).cast("int") - 1
                 new[n] = F.when(c(n).isNull(), F.lit(len(lv))).otherwise(pos)
         out = df.withColumns(new) if new else df
-        for n, (table, _) in self.tables.items():
+        for n, (table, n_levels) in self.tables.items():
             if n not in out.columns:
                 continue
-            n_levels = table.count()
             key = f"__lk_{safe_name(n)}"
             t = table.withColumnRenamed("_k", key)
             out = (out.join(t, c(n).cast("string") == F.col(key), "left").drop(key)
@@ -626,18 +627,27 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
     return df.na.drop()
 
 
-def cleaning_summary(df: DataFrame, t: str) -> DataFrame:
-    """(n_rows, n_cols, target_dtype, n_numeric, no_missing, target_values)."""
+def cleaning_summary(df: DataFrame, t: str, max_values: int = 1000) -> DataFrame:
+    """(n_rows, n_cols, target_dtype, n_numeric, no_missing, n_target_values, target_values).
+
+    ``target_values`` (sorted, comma-joined) is listed only when a distinct count proves
+    there are at most ``max_values`` of them, so the list never grows with the data.
+    """
     nums = [n for n in numeric_cols(df) if n != t]
     any_null = F.lit(False)
     for n in df.columns:
         any_null = any_null | c(n).isNull()
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        (~F.max(any_null)).alias("no_missing") if df.columns else F.lit(True).alias("no_missing"),
-        F.sort_array(F.collect_set(c(t))).alias("target_values") if t in df.columns else F.lit(None).alias("target_values"),
-    ).select(
+    stats = df.agg(F.count(F.lit(1)).alias("n_rows"), (~F.coalesce(F.max(any_null), F.lit(False))).alias("no_missing"),
+                   F.count_distinct(c(t)).alias("n_target_values"))
+    n_vals = stats.first()["n_target_values"]
+    if n_vals <= max_values:
+        vals = df.where(c(t).isNotNull()).select(c(t).cast("string").alias("v")).distinct().agg(
+            F.array_join(F.sort_array(F.collect_list("v")), ",").alias("target_values"))
+        stats = stats.withColumn("target_values", F.lit(vals.first()["target_values"]))
+    else:
+        stats = stats.withColumn("target_values", F.lit(None).cast("string"))
+    return stats.select(
         "n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_cols"),
-        F.lit(dtype_of(df, t).simpleString() if t in df.columns else None).alias("target_dtype"),
-        F.lit(len(nums)).cast("bigint").alias("n_numeric"), "no_missing", "target_values",
+        F.lit(dtype_of(df, t).simpleString()).alias("target_dtype"),
+        F.lit(len(nums)).cast("bigint").alias("n_numeric"), "no_missing", "n_target_values", "target_values",
     )

@@ -35,6 +35,8 @@ def _norm(v):
             return None
     except (TypeError, ValueError):
         pass
+    if hasattr(v, "item") and not hasattr(v, "__len__"):
+        v = v.item()
     if isinstance(v, float):
         return round(v, 6)
     if hasattr(v, "tolist"):

@@ -103,5 +103,23 @@ def exact_quantiles(
     return out
 
 
+def order_statistics(df: DataFrame, order_col: str, part_col: str, wanted: Sequence[tuple]) -> dict[tuple, object]:
+    """Values at 0-based ranks within parts: ``{(part, rank): value}`` for each requested pair.
+
+    Counts per (part, value) feed bucketed running sums, so a part holding most rows is still
+    spread over many tasks. ``wanted`` is small (parts x cut points).
+    """
+    if not wanted:
+        return {}
+    counts = df.groupBy(c(part_col).alias("_part"), c(order_col).alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    cum = running_sums(counts, "_v", ["n"], part_cols=["_part"])
+    schema = f"_part {df.schema[part_col].dataType.simpleString()}, _pos long"
+    pos = df.sparkSession.createDataFrame([(p, int(k)) for p, k in wanted], schema)
+    hits = (cum.join(F.broadcast(pos), on="_part")  # pos: one row per requested cut, bounded
+            .where((F.col("cum_n") - F.col("n") <= F.col("_pos")) & (F.col("_pos") < F.col("cum_n")))
+            .select("_part", "_pos", "_v").collect())
+    return {(r["_part"], r["_pos"]): r["_v"] for r in hits}
+
+
 def medians(df: DataFrame, cols: Sequence[str], method: str = "auto") -> dict[str, float | None]:
     return {k: v[0] for k, v in exact_quantiles(df, cols, [0.5], method).items()}

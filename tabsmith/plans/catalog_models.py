@@ -264,6 +264,72 @@ def f21(spark, d):
     return out["ranking"]
 
 
+@reg("f13_tune_small_data")
+def f13(spark, d):
+    df = _docs_model_frame(spark, d).drop("lang")
+    best, table = M.tune(df, "quality", "RandomForestClassifier", "binary_classification", key="doc_id")
+    return table
+
+
+@reg("f14_fixed_search")
+def f14(spark, d):
+    out = PR.fixed_search(_docs_model_frame(spark, d).drop("lang"), "quality", key="doc_id", draws=2, folds=2,
+                          boosted_rounds=10, forest_grid={"numTrees": [10, 20], "maxDepth": [3, 5]})
+    return out.select("model", "params", "f1_binary")
+
+
+@reg("g28_fit_seconds")
+def g28(spark, d):
+    df = _docs_model_frame(spark, d).drop("doc_id")
+    train, test = E.train_test_split(df, "quality")
+    _, table = M.train_and_select(train, test, "quality", ["LogisticRegression", "RandomForestClassifier"],
+                                  "binary_classification", params=SMALL)
+    return table.select("model", (F.col("fit_seconds") > 0).alias("timed")).distinct()
+
+
+@reg("b20_24_plan_rules")
+def b20(spark, d):
+    plan = build_plan(FR.labelled_docs(spark, d), "quality")
+    rows = [("problem_type", plan.problem_type), ("metric", plan.metric),
+            ("imbalance_strategy", plan.imbalance_strategy), ("models", ",".join(plan.models)),
+            ("id_columns", ",".join(plan.id_columns)), ("text_columns", ",".join(plan.text_columns)),
+            ("skewed_columns", ",".join(plan.skewed_columns)),
+            ("feature_flags", ",".join(k for k in ["log_transform", "missing_flags", "prune_correlated",
+                                                   "interactions", "polynomial", "bins"] if getattr(plan, k)))]
+    return spark.createDataFrame(rows, "rule string, value string")
+
+
+@reg("h03_gate_model")
+def h03(spark, d):
+    from ..operators import audit as H
+    df = _docs_model_frame(spark, d).drop("doc_id")
+    train, test = E.train_test_split(df, "quality")
+    model = M.model_pipeline(train, "quality", "LogisticRegression", "binary_classification",
+                             SMALL["LogisticRegression"]).fit(train)
+    path = shared_path(spark, "gated-model")
+    M.save_pipeline(model, path)
+    metrics = M.evaluate(model, test, "quality", "binary_classification", curves=False)
+    return H.gate_model(spark, metrics, "binary_classification", path, path)
+
+
+@reg("s01_stream_scoring")
+def s01(spark, d):
+    from ..streaming.apply import score_stream
+    docs = FR.table(spark, d, "documents")
+    feats = docs.select("doc_id", "lang", F.length("text").cast("double").alias("text_len"),
+                        F.col("n_chars").cast("double").alias("n_chars"))
+    labelled = feats.join(FR.table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    model = M.model_pipeline(labelled, "quality", "LogisticRegression", "binary_classification",
+                             SMALL["LogisticRegression"], exclude=["doc_id"]).fit(labelled)
+    path = shared_path(spark, "stream-model")
+    M.save_pipeline(model, path, threshold=0.5)
+
+    def prepare(stream):
+        return stream.select("doc_id", "lang", F.length("text").cast("double").alias("text_len"),
+                             F.col("n_chars").cast("double").alias("n_chars"))
+    return score_stream(spark, f"{d.rstrip('/')}/documents.parquet", docs.schema, path, prepare)
+
+
 @reg("z_run_all")
 def z_run_all(spark, d):
     df = FR.doc_features(spark, d).drop("doc_id", "toxic")

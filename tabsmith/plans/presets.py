@@ -74,6 +74,29 @@ def full_run(df: DataFrame, t: str, key=None, folds: int = 3, n_iter: int = K.TU
             "retry": winner, "f1_final": f1_final}
 
 
+def fixed_search(df: DataFrame, t: str, key=None, draws: int = 3, folds: int = 3,
+                 boosted_rounds: int = 50, forest_grid: dict | None = None) -> DataFrame:
+    """a fixed small forest search (``draws`` x ``folds`` over trees x depth) and a fixed boosted
+    baseline (``boosted_rounds`` rounds); rows (model, params, f1_binary, fit_seconds) on a stratified split."""
+    import json
+    import time as _time
+    data = label_encode_fill(df, t)
+    train, test = E.train_test_split(data, t, key=key)
+    grid = forest_grid or {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 30]}
+    t0 = _time.time()
+    best, _ = M.tune(train, t, "RandomForestClassifier", "binary_classification", n_iter=draws, folds=folds,
+                     metric="f1_binary", grid=grid, small_rows=-1, key=key)
+    rf = M.model_pipeline(train, t, "RandomForestClassifier", "binary_classification", best).fit(train)
+    rf_secs = _time.time() - t0
+    gbt_params = {"maxIter": boosted_rounds, "maxDepth": 3, "stepSize": 0.1}
+    gbt, gbt_secs = M.fit_timed(M.model_pipeline(train, t, "GBTClassifier", "binary_classification", gbt_params), train)
+    rows = [("RandomForestClassifier", json.dumps(best, sort_keys=True),
+             M.score_of(rf, test, t, "binary_classification", "f1_binary"), rf_secs),
+            ("GBTClassifier", json.dumps(gbt_params, sort_keys=True),
+             M.score_of(gbt, test, t, "binary_classification", "f1_binary"), gbt_secs)]
+    return df.sparkSession.createDataFrame(rows, "model string, params string, f1_binary double, fit_seconds double")
+
+
 def ablation(df: DataFrame, t: str, configs: dict[str, Callable[[DataFrame], DataFrame]], learner: str = "GBTClassifier",
              k: int = 5, params: dict | None = None, key=None) -> tuple[DataFrame, DataFrame]:
     """every named configuration (a frame transform) scored on the same stratified folds.

@@ -26,14 +26,16 @@ def test_regression_learns_net_price(spark):
     assert r2 > 0.95
 
 
-def test_classifier_beats_chance_on_return_flag(spark):
+def test_classifier_learns_signal_and_auc_matches_mllib(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
     li = FR.table(spark, SMALL, "lineitem")
-    df = li.select((F.col("l_linestatus") == "O").cast("int").alias("open"),
-                   F.year("l_shipdate").cast("double").alias("year"), "l_quantity")
-    train, test = E.train_test_split(df, "open")
-    model = M.model_pipeline(train, "open", "RandomForestClassifier", "binary_classification", SMALL_RF).fit(train)
-    m = M.evaluate(model, test, "open", "binary_classification")
-    assert M.metric_value(m, "roc_auc") > 0.8
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    df = li.select((net > 35000).cast("int").alias("big"), "l_extendedprice", "l_discount", "l_quantity")
+    train, test = E.train_test_split(df, "big")
+    model = M.model_pipeline(train, "big", "RandomForestClassifier", "binary_classification", SMALL_RF).fit(train)
+    auc = M.metric_value(M.evaluate(model, test, "big", "binary_classification"), "roc_auc")
+    assert auc > 0.9
+    assert auc == pytest.approx(BinaryClassificationEvaluator(labelCol="big").evaluate(model.transform(test)))
 
 
 def test_save_and_score_round_trip(spark):

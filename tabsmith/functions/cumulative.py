@@ -24,13 +24,6 @@ def default_buckets(df: DataFrame) -> int:
     return max(16, min(4096, 2 * shuffle))
 
 
-def _join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join a helper table whose size is bounded by construction; broadcast it only after a count check."""
-    n = small.count()
-    side = F.broadcast(small) if n <= SMALL_TABLE_ROWS else small
-    return big.join(side, on=on, how=how)
-
-
 def running_sums(
     df: DataFrame,
     order_col: str,
@@ -48,12 +41,18 @@ def running_sums(
     b = buckets or default_buckets(df)
     probs = [i / b for i in range(1, b)]
     acc = max(10_000, 20 * b)
-    bounds_agg = F.percentile_approx(c(order_col).cast("double"), probs, acc).alias("_bounds")
+    spark = df.sparkSession
+    bounds_agg = F.array_distinct(F.percentile_approx(c(order_col).cast("double"), probs, acc)).alias("_bounds")
     bounds = (df.groupBy(*[c(p) for p in parts]).agg(bounds_agg) if parts else df.agg(bounds_agg))
-    bounds = bounds.withColumn("_bounds", F.array_distinct(F.col("_bounds")))
 
+    # pass 1: bucket edges (parts x buckets values) -> literal table, broadcast
     if parts:
-        keyed = _join_small(df, bounds, parts)
+        rows = bounds.limit(SMALL_TABLE_ROWS + 1).collect()
+        if len(rows) <= SMALL_TABLE_ROWS:
+            edges = spark.createDataFrame(rows, bounds.schema)
+            keyed = df.join(F.broadcast(edges), on=parts)
+        else:  # too many parts to hold: keep the edge table distributed
+            keyed = df.join(bounds, on=parts)
     else:
         edge = bounds.first()["_bounds"] or []
         keyed = df.withColumn("_bounds", F.array(*[F.lit(float(x)) for x in edge]) if edge
@@ -62,16 +61,23 @@ def running_sums(
         "_bucket", F.size(F.filter(F.col("_bounds"), lambda x: x < c(order_col).cast("double")))
     ).drop("_bounds")
 
+    # pass 2: per-bucket totals (parts x buckets rows) -> offsets computed once, broadcast
     totals = keyed.groupBy(*[c(p) for p in parts], "_bucket").agg(
         *[F.sum(c(s)).alias(f"_t_{i}") for i, s in enumerate(sum_cols)]
     )
     w_off = Window.partitionBy(*[c(p) for p in parts]).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
+        Window.unboundedPreceding, -1)  # each window partition holds at most `buckets` rows
     offsets = totals.select(
         *[c(p) for p in parts], "_bucket",
         *[F.coalesce(F.sum(f"_t_{i}").over(w_off), F.lit(0)).alias(f"_o_{i}") for i in range(len(sum_cols))],
     )
-    joined = _join_small(keyed, offsets, parts + ["_bucket"])
+    off_rows = offsets.limit(SMALL_TABLE_ROWS + 1).collect()
+    if len(off_rows) <= SMALL_TABLE_ROWS:
+        joined = keyed.join(F.broadcast(spark.createDataFrame(off_rows, offsets.schema)), on=parts + ["_bucket"])
+    else:
+        joined = keyed.join(offsets, on=parts + ["_bucket"])
+
+    # pass 3: running sum inside each bucket plus its offset
     w_in = Window.partitionBy(*[c(p) for p in parts], "_bucket").orderBy(c(order_col)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     out = joined.withColumns(

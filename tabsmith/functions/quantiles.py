@@ -41,7 +41,7 @@ def _distributed(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) ->
         .unpivot([], [f"v{i}" for i in range(len(cols))], "column", "value")
         .where(F.col("value").isNotNull())
         .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
+    ).persist()  # counted distinct values feed several passes (bounds, offsets, sums, totals)
     cum = running_sums(long, "value", ["n"], part_cols=["column"])
     totals = {r["column"]: r["total"] for r in long.groupBy("column").agg(F.sum("n").alias("total")).collect()}
     # positions needed per column (0-based order statistics)
@@ -54,6 +54,7 @@ def _distributed(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) ->
             h = (n - 1) * p
             wanted += [(f"v{i}", math.floor(h)), (f"v{i}", math.ceil(h))]
     if not wanted:
+        long.unpersist()
         return {x: [None] * len(probs) for x in cols}
     pos = df.sparkSession.createDataFrame(sorted(set(wanted)), "column string, pos long")
     hits = (
@@ -61,6 +62,7 @@ def _distributed(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) ->
         .where((F.col("cum_n") - F.col("n") <= F.col("pos")) & (F.col("pos") < F.col("cum_n")))
         .select("column", "pos", "value").collect()
     )
+    long.unpersist()
     at = {(r["column"], r["pos"]): r["value"] for r in hits}
     out = {}
     for i, x in enumerate(cols):
@@ -111,13 +113,15 @@ def order_statistics(df: DataFrame, order_col: str, part_col: str, wanted: Seque
     """
     if not wanted:
         return {}
-    counts = df.groupBy(c(part_col).alias("_part"), c(order_col).alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(c(part_col).alias("_part"), c(order_col).alias("_v")).agg(
+        F.count(F.lit(1)).alias("n")).persist()
     cum = running_sums(counts, "_v", ["n"], part_cols=["_part"])
     schema = f"_part {df.schema[part_col].dataType.simpleString()}, _pos long"
     pos = df.sparkSession.createDataFrame([(p, int(k)) for p, k in wanted], schema)
     hits = (cum.join(F.broadcast(pos), on="_part")  # pos: one row per requested cut, bounded
             .where((F.col("cum_n") - F.col("n") <= F.col("_pos")) & (F.col("_pos") < F.col("cum_n")))
             .select("_part", "_pos", "_v").collect())
+    counts.unpersist()
     return {(r["_part"], r["_pos"]): r["_v"] for r in hits}
 
 

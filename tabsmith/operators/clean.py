@@ -107,14 +107,15 @@ def null_sentinels(df: DataFrame, exclude: Sequence[str] = (), **kw) -> DataFram
 # ----------------------------------------------------------------------------- C4, C5, C6
 
 def drop_useless(df: DataFrame, t: str, max_null: float = K.NULL_DROP, id_rule: str = "pattern",
-                 extra_id: Sequence[str] = (), extra_constant: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+                 extra_id: Sequence[str] = (), extra_constant: Sequence[str] = (),
+                 exact: bool | str = "auto") -> tuple[DataFrame, DataFrame]:
     """Drop ID-like, mostly-null (> max_null) and constant columns; never the target.
 
     ``id_rule='pattern'`` uses the B25 rule; ``'substring'`` the literal "'id' in name and >95 %
     distinct" rule as written in the reference recipe. Returns (frame, (column, reason) table).
     """
     from ..plans.rules import plan_table
-    table = plan_table(df, t).collect()
+    table = plan_table(df, t, exact).collect()  # one row per column
     drops = []
     for r in table:
         n = r["column"]
@@ -337,14 +338,14 @@ class FrequencyEncoder:
         cols = [n for n in self.cols if n in df.columns]
         if not cols:
             return self
-        row = df.agg(F.count(F.lit(1)).alias("_n"),
-                     *[F.count_distinct(c(n)).alias(f"_d{i}") for i, n in enumerate(cols)]).first()
-        total = max(row["_n"], 1)
-        for i, n in enumerate(cols):
+        total = max(df.count(), 1)
+        for n in cols:
             freq = (df.where(c(n).isNotNull()).groupBy(c(n).alias("_k"))
                     .agg((F.count(F.lit(1)) / F.lit(float(total))).alias("_f")))
-            if row[f"_d{i}"] <= self.inline_limit:
-                self.inline[n] = {r["_k"]: r["_f"] for r in freq.collect()}
+            # bounded probe: at most inline_limit + 1 rows ever reach the driver
+            head = freq.limit(self.inline_limit + 1).collect() if self.inline_limit > 0 else [None]
+            if len(head) <= self.inline_limit:
+                self.inline[n] = {r["_k"]: r["_f"] for r in head}
             else:
                 self.tables[n] = freq
         return self

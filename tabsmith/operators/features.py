@@ -92,8 +92,9 @@ class TfidfFeatures:
     def _weighted(self, df: DataFrame, keep: list) -> DataFrame:
         """Adds ``__w``: normalised weights in vocabulary order. Tokens, raw weights and the norm
         are each computed once per document (separate projections, not re-inlined)."""
-        tok = df.select(*keep, self.tokens().alias("__toks"))
         vocab = F.array(*[F.lit(w) for w in self.vocab])
+        # one interpreted pass keeps only vocabulary tokens; the per-term counts then scan that short array
+        tok = df.select(*keep, F.filter(self.tokens(), lambda x: F.array_contains(vocab, x)).alias("__toks"))
         idf = F.array(*[F.lit(float(self.idf[w])) for w in self.vocab])
         counts = F.transform(vocab, lambda w: F.size(F.filter("__toks", lambda x: x == w)).cast("double"))
         raw = tok.select(*keep, F.zip_with(counts, idf, lambda n, i: n * i).alias("__raw"))

@@ -86,9 +86,31 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     )
 
 
-def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """(column, n_unique), nulls excluded. Exact by distinct (column, value); approx by HLL."""
+DECISION_LIMITS = (1, 2, 10, 15, 20, 50)
+DECISION_SHARES = (0.3, 0.8, 0.95)
+
+
+def _near_limit(approx: int, n_rows: int, band: float) -> bool:
+    limits = list(DECISION_LIMITS) + [s * n_rows for s in DECISION_SHARES]
+    return any(abs(approx - lim) <= max(2.0, band * lim) for lim in limits)
+
+
+def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, exact: bool | str = True,
+                    band: float = 0.1) -> DataFrame:
+    """(column, n_unique), nulls excluded. Exact by distinct (column, value); approx by HLL.
+
+    ``exact="auto"``: HLL for every column, then exact counts only for columns whose estimate
+    lies within ``band`` of a planning limit (1, 2, 10, 15, 20, 50 values; 30/80/95 % of rows),
+    so a free-text column far above every limit never has its distinct values shuffled.
+    """
     cols = list(cols or df.columns)
+    if exact == "auto":
+        row = df.agg(F.count(F.lit(1)).alias("_n"),
+                     *[F.approx_count_distinct(c(n), 0.02).alias(f"_d{i}") for i, n in enumerate(cols)]).first()
+        near = [n for i, n in enumerate(cols) if _near_limit(row[f"_d{i}"], row["_n"], band)]
+        far = [(n, int(row[f"_d{i}"])) for i, n in enumerate(cols) if n not in near]
+        out = df.sparkSession.createDataFrame(far, "column string, n_unique bigint")
+        return out.unionByName(distinct_counts(df, near, exact=True)) if near else out
     if exact:
         counts = exact_distinct(df, cols)
         return (_columns_frame(df, cols).join(counts, "column", "left")
@@ -317,7 +339,8 @@ def datetime_columns(df: DataFrame, exclude: Sequence[str] = (), sample_rows: in
 
 
 def text_columns(df: DataFrame, exclude: Sequence[str] = (), min_distinct: int = K.TEXT_MIN_DISTINCT,
-                 distinct_share: float = K.TEXT_DISTINCT_SHARE, min_mean_len: float = K.TEXT_MIN_MEAN_LEN) -> DataFrame:
+                 distinct_share: float = K.TEXT_DISTINCT_SHARE, min_mean_len: float = K.TEXT_MIN_MEAN_LEN,
+                 exact: bool | str = True) -> DataFrame:
     """(column, n_unique, mean_len, is_text): distinct > max(50, 0.3 n) and mean length > 25."""
     strs = [n for n in string_cols(df) if n not in set(exclude)]
     if not strs:
@@ -325,7 +348,7 @@ def text_columns(df: DataFrame, exclude: Sequence[str] = (), min_distinct: int =
     n_rows = F.lit(df.count())
     slots = {f"_l{i}": n for i, n in enumerate(strs)}
     lens = _wide_to_long(df.agg(*[F.avg(F.length(c(n))).alias(s) for s, n in slots.items()]), slots, "mean_len")
-    nu = distinct_counts(df, strs)
+    nu = distinct_counts(df, strs, exact=exact)
     return nu.join(lens, "column").select(
         "column", "n_unique", "mean_len",
         ((F.col("n_unique") > F.greatest(F.lit(float(min_distinct)), distinct_share * n_rows))
@@ -335,7 +358,7 @@ def text_columns(df: DataFrame, exclude: Sequence[str] = (), min_distinct: int =
 
 # ----------------------------------------------------------------------------- profile, B29, B30, B32
 
-def profile(df: DataFrame, t: str | None = None, exact: bool = True) -> DataFrame:
+def profile(df: DataFrame, t: str | None = None, exact: bool | str = True) -> DataFrame:
     """Per-column profile: position, column, dtype, role, n_rows, n_missing, null_pct, n_unique, skew."""
     cols = df.columns
     roles = column_roles(df, t)

@@ -217,16 +217,26 @@ def _knn_exact(mino: DataFrame, k: int) -> DataFrame:
     mat = np.array([r["_x"] for r in ref], dtype=np.float64)
     bc = mino.sparkSession.sparkContext.broadcast((ids, np.nan_to_num(mat)))
 
+    chunk = max(1, 4_000_000 // max(len(ids), 1))  # query rows per distance block (~32 MB of doubles)
+
     def score(batches):
         rid, rmat = bc.value
         rn = (rmat * rmat).sum(axis=1)
         for pdf in batches:
-            q = np.nan_to_num(np.array(pdf["_x"].tolist(), dtype=np.float64))
-            d = (q * q).sum(axis=1)[:, None] + rn[None, :] - 2.0 * q @ rmat.T
-            d[pdf["_id"].to_numpy()[:, None] == rid[None, :]] = np.inf
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
+            q_all = np.nan_to_num(np.array(pdf["_x"].tolist(), dtype=np.float64))
+            q_ids = pdf["_id"].to_numpy()
+            nbs = []
+            for s in range(0, len(pdf), chunk):
+                q = q_all[s:s + chunk]
+                d = (q * q).sum(axis=1)[:, None] + rn[None, :] - 2.0 * q @ rmat.T
+                d[q_ids[s:s + chunk, None] == rid[None, :]] = np.inf
+                kk = min(k, d.shape[1] - 1)
+                part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk > 0 else np.zeros((len(q), 0), int)
+                rows = np.arange(len(q))[:, None]
+                order = part[rows, np.argsort(d[rows, part], axis=1, kind="stable")]
+                nbs += [rmat[o].tolist() for o in order]
             pdf = pdf.copy()
-            pdf["_nb"] = [rmat[o].tolist() for o in order]
+            pdf["_nb"] = nbs
             yield pdf[["_id", "_x", "_nb"]]
 
     out = mino.mapInPandas(score, "_id long, _x array<double>, _nb array<array<double>>")

@@ -108,7 +108,7 @@ WHERE reason IS NOT NULL AND not_target
 def c04(spark, d):
     df = FR.labelled_docs(spark, d).withColumn("const_col", F.lit("x")) \
         .withColumn("short_chars", F.when(F.col("n_chars") > 300, F.lit(None)).otherwise(F.col("n_chars")))
-    return C.drop_useless(df, "quality")[1]
+    return C.drop_useless(df, "quality", exact=True)[1]
 
 
 # ----------------------------------------------------------------------------- C7-C9, C32

@@ -74,14 +74,17 @@ class TfidfFeatures:
     def fit(self, df: DataFrame) -> "TfidfFeatures":
         stops = list(self.stop_words if self.stop_words is not None else default_stop_words())
         n_docs = df.count()
-        doc = df.select(F.monotonically_increasing_id().alias("_doc") if self.key is None else c(self.key).alias("_doc"),
-                        self.tokens().alias("_toks"))
-        terms = doc.select("_doc", F.explode_outer("_toks").alias("term")).where(F.col("term").isNotNull())
-        if stops:
-            terms = terms.where(~F.col("term").isin(stops))  # planned as a hash-set lookup
-        tf = terms.groupBy("_doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-        stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")) \
-            .where(F.col("df") >= self.min_df)
+
+        def per_term(tokens, name):
+            # grouped by term only: the map-side partial aggregate leaves one row per term and task
+            t = df.select(F.explode_outer(tokens).alias("term")).where(F.col("term").isNotNull())
+            if stops:
+                t = t.where(~F.col("term").isin(stops))  # planned as a hash-set lookup
+            return t.groupBy("term").agg(F.count(F.lit(1)).alias(name))
+
+        total = per_term(self.tokens(), "total")                # corpus count
+        dfreq = per_term(F.array_distinct(self.tokens()), "df")  # documents containing the term
+        stats = total.join(dfreq.where(F.col("df") >= self.min_df), "term")
         top = stats.orderBy(F.col("total").desc(), F.col("term")).limit(self.max_features).collect()
         self.vocab = sorted(r["term"] for r in top)
         import math
@@ -93,11 +96,15 @@ class TfidfFeatures:
         """Adds ``__w``: normalised weights in vocabulary order. Tokens, raw weights and the norm
         are each computed once per document (separate projections, not re-inlined)."""
         vocab = F.array(*[F.lit(w) for w in self.vocab])
-        # one interpreted pass keeps only vocabulary tokens; the per-term counts then scan that short array
-        tok = df.select(*keep, F.filter(self.tokens(), lambda x: F.array_contains(vocab, x)).alias("__toks"))
         idf = F.array(*[F.lit(float(self.idf[w])) for w in self.vocab])
-        counts = F.transform(vocab, lambda w: F.size(F.filter("__toks", lambda x: x == w)).cast("double"))
-        raw = tok.select(*keep, F.zip_with(counts, idf, lambda n, i: n * i).alias("__raw"))
+        # Heavy expressions appear only as higher-order-function arguments, never inside a lambda
+        # body: Catalyst may inline a projected column into a lambda, where it would be re-evaluated
+        # per element. One pass keeps vocabulary tokens, one aggregate counts them per term.
+        hits = F.filter(self.tokens(), lambda x: F.array_contains(vocab, x))
+        zero = F.array(*[F.lit(0.0) for _ in self.vocab])
+        counts = F.aggregate(hits, zero, lambda acc, x: F.transform(
+            acc, lambda n, i: n + F.when(F.get(vocab, i) == x, F.lit(1.0)).otherwise(F.lit(0.0))))
+        raw = df.select(*keep, F.zip_with(counts, idf, lambda n, w: n * w).alias("__raw"))
         normed = raw.select(*keep, "__raw",
                             F.sqrt(F.aggregate("__raw", F.lit(0.0), lambda a, x: a + x * x)).alias("__norm"))
         # divide outside any lambda: a column used inside a lambda body may be re-inlined per element

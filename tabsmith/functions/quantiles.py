@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .cumulative import running_sums
 from .exprs import c
 
-BUILTIN_DISTINCT_LIMIT = 200_000
+BUILTIN_DISTINCT_LIMIT = 1_000_000  # value->count map of at most ~1M entries (~50 MB) in the final task
 
 
 def _builtin(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list]:

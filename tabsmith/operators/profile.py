@@ -258,17 +258,15 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, digits:
         step = 2000
         for s in range(0, len(pairs), step):
             part = pairs[s:s + step]
-            slots = {f"_p{k}": f"{i}:{j}" for k, (i, j) in enumerate(part)}
             agg = df.agg(*[F.corr(c(cols[i]).cast("double"), c(cols[j]).cast("double")).alias(f"_p{k}")
                            for k, (i, j) in enumerate(part)])
-            chunks.append(_wide_to_long(agg, slots, "r"))
+            rows = F.array(*[F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col(f"_p{k}").alias("r"))
+                             for k, (i, j) in enumerate(part)])
+            chunks.append(agg.select(F.inline(rows)))
         out = chunks[0]
         for ch in chunks[1:]:
             out = out.unionByName(ch)
-        names = F.create_map(*[x for i, n in enumerate(cols) for x in (F.lit(str(i)), F.lit(n))])
-        ij = F.split("column", ":")
-        out = out.select(names[ij[0]].alias("a"), names[ij[1]].alias("b"),
-                         F.when(~F.isnan("r"), F.col("r")).alias("r"))
+        out = out.select("a", "b", F.when(~F.isnan("r"), F.col("r")).alias("r"))
     if digits is not None:
         out = out.withColumn("r", F.round("r", digits))
     return out

@@ -45,6 +45,26 @@ def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return vc.groupBy("column").agg(F.min_by("value", F.struct((-F.col("n")).alias("k"), F.col("value"))).alias("mode"))
 
 
+def level_counts(df: DataFrame, cols: Sequence[str], limit: int) -> dict[str, int]:
+    """Distinct non-null counts, exact whenever the answer to "more than ``limit``?" depends on it.
+
+    One HLL pass for all columns; columns whose estimate is near or below ``limit`` get an exact
+    count (cheap: they have few values). Far-above columns keep the estimate, so a free-text
+    column is never shuffled just to learn that it has too many levels.
+    """
+    cols = list(cols)
+    if not cols:
+        return {}
+    row = df.agg(*[F.approx_count_distinct(c(x), 0.01).alias(f"_a{i}") for i, x in enumerate(cols)]).first()
+    out = {}
+    near = [x for i, x in enumerate(cols) if row[f"_a{i}"] <= 2 * limit + 10]
+    if near:
+        exact = df.agg(*[F.count_distinct(c(x)).alias(f"_e{i}") for i, x in enumerate(near)]).first()
+        out.update({x: int(exact[f"_e{i}"]) for i, x in enumerate(near)})
+    out.update({x: int(row[f"_a{i}"]) for i, x in enumerate(cols) if x not in out})
+    return out
+
+
 def student_t_sf2(t: float, dof: int) -> float:
     """Two-sided p-value of Student's t (regularised incomplete beta, continued fraction)."""
     if dof <= 0 or t is None or math.isnan(t):

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import level_counts
 from ..functions.exprs import c, is_fractional, is_numeric, numeric_cols
 from . import profile as P
 
@@ -154,13 +155,16 @@ def audit_target_copy(df: DataFrame, t: str, cols: Sequence[str] | None = None,
     cols = [x for x in (cols or df.columns) if x != t]
     num = [x for x in cols if is_numeric(df.schema[x].dataType)]
     tr = {r["column"]: r["abs_r"] for r in P.target_correlations(df, t, num, digits=None).collect()} if num else {}
-    row = df.agg(F.count_distinct(c(t)).alias("_t"),
-                 *[F.count_distinct(c(x)).alias(f"_d{i}") for i, x in enumerate(cols)],
-                 *[F.count_distinct(c(x), c(t)).alias(f"_p{i}") for i, x in enumerate(cols)]).first()
+    levels = level_counts(df, cols + [t], max_levels)  # HLL first; exact only near or below the limit
+    low = [x for x in cols if levels[x] <= max_levels]
+    pairs = {}
+    if low and levels[t] <= max_levels:
+        row = df.agg(*[F.count_distinct(c(x), c(t)).alias(f"_p{i}") for i, x in enumerate(low)]).first()
+        pairs = {x: row[f"_p{i}"] for i, x in enumerate(low)}
     rows = []
-    for i, x in enumerate(cols):
-        d, p = row[f"_d{i}"], row[f"_p{i}"]
-        one_to_one = d <= max_levels and d == p == row["_t"]
+    for x in cols:
+        d, p = levels[x], pairs.get(x)
+        one_to_one = p is not None and d == p == levels[t]
         r = tr.get(x)
         rows.append((x, None if r is None else float(r), bool(one_to_one),
                      bool(one_to_one or (r is not None and r >= r_limit))))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..functions.aggregates import modes
+from ..functions.aggregates import level_counts, modes
 from ..functions.exprs import (
     boolean_cols, c, dtype_of, is_datetime, is_fractional, is_integral, is_numeric, numeric_cols, safe_name,
     string_cols,
@@ -386,8 +386,8 @@ class OneHot:
         cols = [n for n in self.cols if n in df.columns]
         if not cols:
             return self
-        row = df.agg(*[F.count_distinct(c(n)).alias(f"_d{i}") for i, n in enumerate(cols)]).first()
-        too_many = [n for i, n in enumerate(cols) if row[f"_d{i}"] > self.max_levels]
+        levels = level_counts(df, cols, self.max_levels)
+        too_many = [n for n in cols if levels[n] > self.max_levels]
         if too_many:
             raise ValueError(f"one-hot refused for {too_many}: more than {self.max_levels} levels")
         lv = df.agg(*[F.sort_array(F.collect_set(c(n))).alias(f"_l{i}") for i, n in enumerate(cols)]).first()
@@ -427,13 +427,13 @@ def encode_all(df: DataFrame, cols: Sequence[str], max_levels: int = K.ONEHOT_MA
     cols = [n for n in cols if n in df.columns]
     if not cols:
         return df
-    row = df.agg(*[F.count_distinct(c(n)).alias(f"_d{i}") for i, n in enumerate(cols)]).first()
+    levels = level_counts(df, cols, max_levels)
     ordinal, freq, onehot = {}, [], []
-    for i, n in enumerate(cols):
+    for n in cols:
         e = encoding.get(n, {})
         if e.get("kind") == "ordinal":
             ordinal[n] = e["order"]
-        elif e.get("kind") == "frequency" or (not e and row[f"_d{i}"] > max_levels) or row[f"_d{i}"] > max_levels:
+        elif e.get("kind") == "frequency" or levels[n] > max_levels:
             freq.append(n)
         else:
             onehot.append(n)

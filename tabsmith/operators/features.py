@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.aggregates import level_counts
 from ..functions.exprs import c, corrected_skew, dtype_of, inf_to_null, is_numeric, numeric_cols, safe_name, string_cols
 from ..functions.quantiles import exact_quantiles
 from . import profile as P
@@ -323,8 +324,8 @@ def encode_remaining(df: DataFrame, t: str | None = None, min_levels: int = 10)
     cols = [x for x in string_cols(df) if x != t]
     if not cols:
         return df, []
-    row = df.agg(*[F.count_distinct(c(x)).alias(f"_d{i}") for i, x in enumerate(cols)]).first()
-    todo = [x for i, x in enumerate(cols) if row[f"_d{i}"] > min_levels]
+    levels = level_counts(df, cols, min_levels)
+    todo = [x for x in cols if levels[x] > min_levels]
     return FrequencyEncoder(cols=todo).fit(df).transform(df), todo
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.aggregates import level_counts
 from ..functions.exprs import datetime_typed_cols, numeric_cols, string_cols
 from ..operators import audit as H
 from ..operators import clean as C
@@ -177,11 +178,8 @@ class Cleaner:
         enc = self.plan.encoding
         ordinal = {x: enc[x]["order"] for x in cats if enc.get(x, {}).get("kind") == "ordinal"}
         rest = [x for x in cats if x not in ordinal]
-        if rest:
-            row = df.agg(*[F.count_distinct(F.col(f"`{x}`")).alias(f"d{i}") for i, x in enumerate(rest)]).first()
-            freq = [x for i, x in enumerate(rest) if row[f"d{i}"] > K.ONEHOT_MAX_LEVELS]
-        else:
-            freq = []
+        levels = level_counts(df, rest, K.ONEHOT_MAX_LEVELS)
+        freq = [x for x in rest if levels[x] > K.ONEHOT_MAX_LEVELS]
         onehot = [x for x in rest if x not in freq]
         fe = C.FrequencyEncoder(cols=freq).fit(df)
         oh = C.OneHot(cols=onehot, drop_first=True).fit(df)

@@ -76,9 +76,12 @@ def main(argv):
     con = duck(sf_dir)
     qs, sql = E.queries(), E.oracle_sql()
     ok = bad = 0
+    oracle_only = os.environ.get("ORACLE_ONLY") == "1"
     for name, fn in qs.items():
         if prefixes and not any(name.startswith(p) for p in prefixes):
             continue
+        if oracle_only and name not in sql:
+            continue
         t = time.time()
         try:
             spdf = fn(spark, sf_dir).toPandas()

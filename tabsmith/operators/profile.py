@@ -220,7 +220,7 @@ def target_correlations(df: DataFrame, t: str, cols: Sequence[str] | None = None
         long = long_form(coded, cols, cast="double", ids=["_t"])
         res = long.groupBy("column").agg(F.corr("value", "_t").alias("r"))
     res = res.where(F.col("r").isNotNull() & ~F.isnan("r"))
-    r = F.round("r", digits) if digits is not None else F.col("r")
+    r = F.round("r", digits) + F.lit(0.0) if digits is not None else F.col("r")  # no signed zero after rounding
     res = res.select("column", r.alias("r")).withColumn("abs_r", F.abs("r"))
     if k is not None:
         w = Window.orderBy(F.col("abs_r").desc(), F.col("column"))  # one row per column: bounded

@@ -155,7 +155,8 @@ _CORR_COLS = ["n_chars", "text_len", "n_words", "n_lines", "n_periods", "toxic"]
 
 def _corr_sql(t: str, cols: list[str], frame: str) -> str:
     parts = " UNION ALL ".join(f"SELECT '{x}' AS \"column\", corr({x}, {t}) AS r FROM ({frame})" for x in cols)
-    return f"SELECT \"column\", ROUND(r, 3) AS r, abs(ROUND(r, 3)) AS abs_r FROM ({parts}) WHERE r IS NOT NULL AND NOT isnan(r)"
+    return (f"SELECT \"column\", ROUND(r, 3) + 0.0 AS r, abs(ROUND(r, 3)) + 0.0 AS abs_r FROM ({parts}) "
+            f"WHERE r IS NOT NULL AND NOT isnan(r)")  # + 0.0 turns a rounded -0.0 into 0.0
 
 
 @reg("b11_target_correlations", _corr_sql("quality", _CORR_COLS, DF))
@@ -173,6 +174,22 @@ def b12(spark, d):
         .withColumn("rank", F.col("rank").cast("int"))
 
 
+_WIDE_CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_orderkey", "l_partkey",
+              "l_suppkey"]
+
+
+@reg("b31_top12_correlations", f"""
+SELECT "column", r, abs_r, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (ORDER BY abs_r DESC, "column") AS rank
+  FROM ({_corr_sql('net', _WIDE_CORR, FR.PRICED_LINEITEM_SQL.replace('l_orderkey, l_linenumber,', 'l_orderkey, l_linenumber, l_partkey, l_suppkey,'))}))
+WHERE rank <= 12
+""")
+def b31(spark, d):
+    li = FR.table(spark, d, "lineitem")
+    df = li.select(*_WIDE_CORR, (F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("net"))
+    return P.target_correlations(df, "net", k=12).withColumn("rank", F.col("rank").cast("int"))
+
+
 @reg("b13_correlation_matrix", f"""
 SELECT a, b, ROUND(r, 6) AS r FROM (
   SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, corr(l_quantity, l_extendedprice) AS r FROM lineitem

@@ -507,6 +507,13 @@ def encode_target(df: DataFrame, t: str, problem_type: str, max_classes: int = 1
     return df.where(c(t).isNotNull()).withColumn(t, c(t).cast("int")), {}
 
 
+def apply_target_codes(df: DataFrame, t: str, mapping: dict) -> DataFrame:
+    """Replay a fitted C24 mapping (trimmed level -> code); unseen levels and NULL targets are dropped."""
+    levels = sorted(mapping, key=mapping.get)
+    code = F.array_position(F.array(*[F.lit(v) for v in levels]), F.trim(c(t))).cast("int") - 1
+    return df.withColumn(t, code).where(c(t) >= 0)
+
+
 # ----------------------------------------------------------------------------- C25, C26, C27
 
 def log_transform(df: DataFrame, cols: Sequence[str], t: str | None = None,

@@ -140,13 +140,14 @@ class Cleaner:
         add("encode", enc_steps)
         onehot_cols = [x for x in cur.columns if x not in before_cols]
 
-        tgt, mapping = C.encode_target(cur, t, plan.problem_type)
-        del tgt
+        _, mapping = C.encode_target(cur, t, plan.problem_type)
         log.append(("target", t, "target_encode", None, str(mapping) if mapping else plan.problem_type))
-        add("target", lambda d: C.encode_target(d, t, plan.problem_type)[0] if t in d.columns else d)
+        if mapping:  # string classes: replay the training mapping, never re-derive it on other frames
+            add("target", lambda d, m=mapping: C.apply_target_codes(d, t, m) if t in d.columns else d)
+        else:
+            add("target", lambda d: C.encode_target(d, t, plan.problem_type)[0] if t in d.columns else d)
 
-        logged, done = C.log_transform(cur, [x for x in plan.skewed_columns if x in cur.columns], t)
-        del logged
+        _, done = C.log_transform(cur, [x for x in plan.skewed_columns if x in cur.columns], t)
         for x in done:
             log.append(("log", x, "log1p", None, ""))
         add("log1p", lambda d, done=done: d.withColumns({x: F.log1p(F.col(f"`{x}`").cast("double")) for x in done})

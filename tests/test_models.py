@@ -70,6 +70,9 @@ def test_cleaner_output_passes_gate(spark):
     assert gates["no_missing_values"] and gates["target_is_numeric"]
     # the fitted cleaner replays on new rows with the same columns
     assert set(fitted.transform(df).columns) == set(cleaned.columns)
+    # and keeps the training class codes on a frame that lacks other classes (A=0, N=1, R=2)
+    only_r = fitted.transform(df.where(F.col("l_returnflag") == "R")).select("l_returnflag").distinct().collect()
+    assert [r[0] for r in only_r] == [2]
 
 
 def test_threshold_sweep_and_pr_curve_consistent(spark):

@@ -220,32 +220,51 @@ def _ranked_by_target(df: DataFrame, t: str, cols: Sequence[str]) -> list[tuple[
     return sorted(tr, key=lambda p: (-p[1], pos[p[0]]))
 
 
+def apply_products(df: DataFrame, products: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Replay fitted (name, a, b) products as one projection."""
+    new = {name: c(a) * c(b) for name, a, b in products}
+    return df.withColumns(new) if new else df
+
+
+def interaction_pairs(df: DataFrame, t: str, cols: Sequence[str] | None = None, k: int = K.INTERACTION_TOP,
+                      min_r: float = K.INTERACTION_MIN_R, pairs: str = "all") -> list[tuple[str, str, str]]:
+    """Fit step of D10/D11: (name, a, b) for products of the k features most correlated with the target."""
+    cols = [x for x in (cols or numeric_cols(df)) if x != t]
+    top = [x for x, r in _ranked_by_target(df, t, cols) if r > min_r][:k]
+    combos = list(combinations(top, 2)) if pairs == "all" else [(top[0], x) for x in top[1:]]
+    return [(f"{a}_x_{b}", a, b) for a, b in combos]
+
+
 def interactions(df: DataFrame, t: str, cols: Sequence[str] | None = None, k: int = K.INTERACTION_TOP,
                  min_r: float = K.INTERACTION_MIN_R, pairs: str = "all") -> tuple[DataFrame, list[str]]:
     """D10 (defaults) / D11 (``min_r=0``, ``pairs='all'|'star'``): products ``a_x_b`` of the k features
     most correlated with the target (|r| > min_r)."""
-    cols = [x for x in (cols or numeric_cols(df)) if x != t]
-    top = [x for x, r in _ranked_by_target(df, t, cols) if r > min_r][:k]
-    combos = list(combinations(top, 2)) if pairs == "all" else [(top[0], x) for x in top[1:]]
-    new = {f"{a}_x_{b}": c(a) * c(b) for a, b in combos}
-    return (df.withColumns(new) if new else df), list(new)
+    prods = interaction_pairs(df, t, cols, k, min_r, pairs)
+    return apply_products(df, prods), [p[0] for p in prods]
 
 
-def polynomial_features(df: DataFrame, t: str, cols: Sequence[str] | None = None, k: int = 3
-                        ) -> tuple[DataFrame, list[str]]:
-    """Degree-2 terms of the k most target-correlated columns: ``a_sq`` and ``a_x_b``; names
-    already present are skipped."""
+def polynomial_pairs(df: DataFrame, t: str, cols: Sequence[str] | None = None, k: int = 3
+                     ) -> list[tuple[str, str, str]]:
+    """Fit step of D12: squares ``a_sq`` and cross terms ``a_x_b`` of the k most target-correlated
+    columns; names already present are skipped."""
     cols = [x for x in (cols or numeric_cols(df)) if x != t]
     top = [x for x, _ in _ranked_by_target(df, t, cols)][:k]
     if len(top) < 2:
-        return df, []
-    new = {}
+        return []
+    out = []
     for i, a in enumerate(top):
         for b in top[i:]:
             name = f"{a}_sq" if a == b else f"{a}_x_{b}"
             if name not in df.columns:
-                new[name] = c(a) * c(b)
-    return (df.withColumns(new) if new else df), list(new)
+                out.append((name, a, b))
+    return out
+
+
+def polynomial_features(df: DataFrame, t: str, cols: Sequence[str] | None = None, k: int = 3
+                        ) -> tuple[DataFrame, list[str]]:
+    """Degree-2 terms of the k most target-correlated columns."""
+    prods = polynomial_pairs(df, t, cols, k)
+    return apply_products(df, prods), [p[0] for p in prods]
 
 
 # ----------------------------------------------------------------------------- D13

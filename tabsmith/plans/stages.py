@@ -209,13 +209,13 @@ class Featurizer:
             cur, done = C.log_transform(cur, [x for x in plan.skewed_columns if x in cur.columns], t, min_skew=K.LOG_SKEW)
             steps.append(lambda d, done=done: d.withColumns({x: F.log1p(F.col(f"`{x}`")) for x in done}) if done else d)
         if plan.interactions:
-            cur, made = FE.interactions(cur, t)
-            pairs = [m.split("_x_") for m in made]
-            steps.append(lambda d, made=made, pairs=pairs: d.withColumns(
-                {m: F.col(f"`{a}`") * F.col(f"`{b}`") for m, (a, b) in zip(made, pairs)}) if made else d)
+            prods = FE.interaction_pairs(cur, t)
+            steps.append(lambda d, p=prods: FE.apply_products(d, p))
+            cur = FE.apply_products(cur, prods)
         if plan.polynomial:
-            cur, made = FE.polynomial_features(cur, t)
-            steps.append(lambda d, made=made: FE.polynomial_features(d, t)[0])
+            prods = FE.polynomial_pairs(cur, t)
+            steps.append(lambda d, p=prods: FE.apply_products(d, p))
+            cur = FE.apply_products(cur, prods)
         if plan.bins:
             qb = FE.QuantileBins(cols=[x for x in plan.skewed_columns if x in cur.columns]).fit(cur)
             steps.append(qb.transform)
@@ -231,7 +231,18 @@ class Featurizer:
             {x: "unknown" for x in string_cols(d) if x != t})
         steps.append(sanitize)
         cur = cut_lineage(sanitize(cur))
-        return steps, cur, FE.feature_report(df, cur, t), H.gate_features(cur, t, n_before)
+        return FittedFeaturizer(steps), cur, FE.feature_report(df, cur, t), H.gate_features(cur, t, n_before)
+
+
+@dataclass
+class FittedFeaturizer:
+    """Fitted feature steps, replayed in order on other frames (test rows, streams)."""
+    steps: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for fn in self.steps:
+            df = fn(df)
+        return df
 
 
 def run_all(df: DataFrame, t: str, ordinals: dict | None = None, test: float = 0.2, models: Sequence[str] | None = None,
@@ -246,10 +257,10 @@ def run_all(df: DataFrame, t: str, ordinals: dict | None = None, test: float = 0
     clean_test = cleaner.transform(test_df)
     gate_c = H.gate_cleaned(clean_train, t)
     feat = Featurizer(plan)
-    _, feat_train, report, gate_f = feat.fit(clean_train)
+    featurizer, feat_train, report, gate_f = feat.fit(clean_train)
+    feat_test = featurizer.transform(clean_test)  # the same fitted steps, replayed on test rows
     names = list(models or plan.models)
-    common = [x for x in feat_train.columns if x in clean_test.columns]
-    best, table = M.train_and_select(feat_train.select(*common), clean_test.select(*common), t, names, plan.problem_type,
+    best, table = M.train_and_select(feat_train, feat_test.select(*feat_train.columns), t, names, plan.problem_type,
                                      plan.metric)
     return {"plan": plan, "cleaning_log": cleaner.log(df.sparkSession), "gate_cleaned": gate_c,
             "feature_report": report, "gate_features": gate_f, "comparison": table, "best": best.name}

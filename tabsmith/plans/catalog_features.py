@@ -113,7 +113,18 @@ def d05g(spark, d):
     return spark.createDataFrame([(x,) for x in dropped], "dropped string")
 
 
-@reg("d06_prune_upper_half")
+def _upper_half_sql(frame: str, cols: list[str], limit: float) -> str:
+    pairs = " UNION ALL ".join(f"SELECT '{b}' AS b, {j} AS pos, abs(corr({a}, {b})) AS r FROM ({frame})"
+                               for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i)
+    return f"""
+WITH p AS ({pairs}),
+     flagged AS (SELECT b, min(pos) AS pos FROM p WHERE r > {limit} GROUP BY b),
+     ranked AS (SELECT b, row_number() OVER (ORDER BY pos) AS rn, count(*) OVER () AS n FROM flagged)
+SELECT b AS dropped FROM ranked WHERE rn <= n // 2 + 1
+"""
+
+
+@reg("d06_prune_upper_half", _upper_half_sql(DF, _DF_NUM, 0.92))
 def d06(spark, d):
     df = FR.doc_features(spark, d)
     _, dropped = FE.prune_correlated(df, "quality", _DF_NUM, 0.92, mode="upper_half")

@@ -360,7 +360,34 @@ def b14(spark, d):
     return P.correlation_heatmap(FR.doc_features(spark, d).drop("doc_id"), "quality", k=20)
 
 
-@reg("b29_column_inventory")
+_INV_COLS = [(0, "doc_id", "bigint", "numeric"), (1, "text", "string", "categorical"),
+             (2, "lang", "string", "categorical"), (3, "source", "string", "categorical"),
+             (4, "n_chars", "bigint", "numeric"), (5, "quality", "int", "target"), (6, "toxic", "int", "numeric")]
+
+
+def _inventory_sql() -> str:
+    meta = ", ".join(f"({p}, '{n}', '{dt}', '{role}')" for p, n, dt, role in _INV_COLS)
+    stats = " UNION ALL ".join(
+        f"SELECT '{n}' AS col, count(*) AS n_rows, count(*) - count({n}) AS n_missing, count(DISTINCT {n}) AS n_unique, "
+        + (f"skewness({n}) AS skew, " if dt != "string" else "CAST(NULL AS DOUBLE) AS skew, ")
+        + (f"corr({n}, quality) AS r " if role == "numeric" else "CAST(NULL AS DOUBLE) AS r ")
+        + f"FROM ({DOCS})" for _, n, dt, role in _INV_COLS)
+    return f"""
+WITH meta AS (SELECT * FROM (VALUES {meta}) AS m(position, col, dtype, role)),
+     s AS ({stats}),
+     j AS (SELECT meta.*, s.n_rows, s.n_missing, s.n_unique, s.skew, s.r, s.n_missing / s.n_rows AS null_pct
+           FROM meta JOIN s ON meta.col = s.col)
+SELECT CAST(position AS INTEGER) AS position, col AS "column", dtype, role, CAST(n_rows AS BIGINT) AS n_rows,
+       CAST(n_missing AS BIGINT) AS n_missing, ROUND(null_pct, 6) AS null_pct, CAST(n_unique AS BIGINT) AS n_unique,
+       ROUND(skew, 6) AS skew, CASE WHEN r IS NULL OR isnan(r) THEN NULL ELSE ROUND(r, 3) + 0.0 END AS r,
+       CASE WHEN role = 'target' THEN 'target' WHEN n_unique <= 1 THEN 'constant'
+            WHEN null_pct > 0.6 THEN 'mostly missing' WHEN n_missing > 0 THEN 'has missing values'
+            WHEN abs(skew) > 1.0 THEN 'skewed' ELSE 'ok' END AS note
+FROM j
+"""
+
+
+@reg("b29_column_inventory", _inventory_sql())
 def b29(spark, d):
     return P.column_inventory(FR.labelled_docs(spark, d), "quality").withColumn("null_pct", F.round("null_pct", 6)) \
         .withColumn("skew", F.round("skew", 6))

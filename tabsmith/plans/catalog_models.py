@@ -133,11 +133,11 @@ def f02(spark, d):
     df = _docs_model_frame(spark, d).drop("doc_id")
     train, test = E.train_test_split(df, "quality")
     _, table = M.train_and_select(train, test, "quality", ["LogisticRegression", "RandomForestClassifier",
-                                                          "GBTClassifier"], "binary_classification", params=SMALL)
+                                                          "XGBClassifier"], "binary_classification", params=SMALL)
     reg_df = FR.priced_lineitem(spark, d).select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "net")
     rtrain, rtest = E.train_test_split(reg_df, None, stratify=False)
     _, rtable = M.train_and_select(rtrain, rtest, "net", ["LinearRegression", "Ridge", "Lasso", "RandomForestRegressor",
-                                                         "GBTRegressor"], "regression", params=SMALL)
+                                                         "LGBMRegressor"], "regression", params=SMALL)
     return table.unionByName(rtable).select("model", "metric", "value")
 
 

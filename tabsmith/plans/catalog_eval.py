@@ -568,12 +568,45 @@ def g27(spark, d):
     return wide.select("run", F.round("accuracy", 6).alias("accuracy"), F.round("positive_rate", 6).alias("positive_rate"))
 
 
-@reg("g26_impact")
+_IMPACT_SQL = f"""
+WITH d AS ({_DESC}),
+     m AS (SELECT min(rk) AS m FROM d WHERE tp >= (SELECT sum(pos) FROM ({_SC}))),
+     pts AS (SELECT CAST((SELECT m FROM m) - rk AS BIGINT) AS idx, tp / (tp + fp) AS precision,
+                    tp / (SELECT sum(pos) FROM ({_SC})) AS recall FROM d WHERE rk <= (SELECT m FROM m)
+             UNION ALL SELECT CAST((SELECT m FROM m) AS BIGINT), 1.0, 0.0),
+     thin AS (SELECT * FROM pts WHERE idx % greatest(1, ((SELECT m FROM m) + 1) // 100) = 0),
+     srt AS (SELECT recall, precision, row_number() OVER (ORDER BY recall, precision, idx) AS k FROM thin),
+     cm AS (SELECT count_if(label = 1 AND prediction = 1) AS tp, count_if(label = 1 AND prediction = 0) AS fn,
+                   count_if(label = 0 AND prediction = 1) AS fp, count_if(label = 0 AND prediction = 0) AS tn
+            FROM ({SD})),
+     par AS (SELECT (tp + fn) / (tp + fn + fp + tn) AS prev,
+                    least(0.99, greatest(0.01, tp / (tp + fn))) AS target FROM cm),
+     br AS (SELECT a.recall AS r0, a.precision AS p0, b.recall AS r1, b.precision AS p1
+            FROM srt a JOIN srt b ON b.k = a.k + 1
+            WHERE a.recall <= (SELECT target FROM par) AND (SELECT target FROM par) <= b.recall ORDER BY a.k LIMIT 1),
+     near AS (SELECT precision FROM srt ORDER BY abs(recall - (SELECT target FROM par)), k LIMIT 1),
+     pr AS (SELECT greatest(0.001, least(1.0, coalesce(
+              (SELECT CASE WHEN r1 = r0 THEN p0 ELSE p0 + (p1 - p0) * ((SELECT target FROM par) - r0) / (r1 - r0) END
+               FROM br), (SELECT precision FROM near)))) AS p),
+     v AS (SELECT target, p, 10000 * prev AS tot_pos, 10000 * (1 - prev) AS tot_neg,
+                  round_even(target * (10000 * prev), 0) AS caught FROM par, pr),
+     fa AS (SELECT *, greatest(0, least(round_even(caught * (1 - p) / p, 0), round_even(tot_neg, 0))) AS false_alarms
+            FROM v)
+SELECT CAST(10000 AS BIGINT) AS population, ROUND(target, 6) AS recall, ROUND(p, 6) AS precision,
+       CAST(caught AS BIGINT) AS caught, CAST(round_even(tot_pos, 0) - caught AS BIGINT) AS missed,
+       CAST(false_alarms AS BIGINT) AS false_alarms,
+       CAST(greatest(0, round_even(tot_neg, 0) - false_alarms) AS BIGINT) AS cleared
+FROM fa
+"""
+
+
+@reg("g26_impact", _IMPACT_SQL)
 def g26(spark, d):
     sd = FR.scored_docs(spark, d)
     cm = {(r["actual"], r["predicted"]): r["n"] for r in G.confusion_matrix(sd).collect()}
-    return G.impact(G.pr_curve(sd), tp=cm.get((1, 1), 0), fn=cm.get((1, 0), 0), fp=cm.get((0, 1), 0),
-                    tn=cm.get((0, 0), 0), population=10_000)
+    out = G.impact(G.pr_curve(sd), tp=cm.get((1, 1), 0), fn=cm.get((1, 0), 0), fp=cm.get((0, 1), 0),
+                   tn=cm.get((0, 0), 0), population=10_000)
+    return out.withColumn("recall", F.round("recall", 6)).withColumn("precision", F.round("precision", 6))
 
 
 @reg("h05_gate_stability", f"""

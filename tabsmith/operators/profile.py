@@ -356,17 +356,46 @@ def text_columns(df: DataFrame, exclude: Sequence[str] = (), min_distinct: int =
 
 # ----------------------------------------------------------------------------- profile, B29, B30, B32
 
-def profile(df: DataFrame, t: str | None = None, exact: bool | str = True) -> DataFrame:
-    """Per-column profile: position, column, dtype, role, n_rows, n_missing, null_pct, n_unique, skew."""
+def profile(df: DataFrame, t: str | None = None, exact: bool | str = True, band: float = 0.1) -> DataFrame:
+    """Per-column profile: position, column, dtype, role, n_rows, n_missing, null_pct, n_unique, skew.
+
+    One fused aggregate pass gives the row count, per-column null counts, HLL distinct estimates
+    and (for narrow tables) skewness; exact distinct counts are a second pass, for every column
+    (``exact=True``) or only for columns near a planning limit (``"auto"``). The result has one
+    row per column.
+    """
     cols = df.columns
-    roles = column_roles(df, t)
-    nulls = null_counts(df, cols)
-    nu = distinct_counts(df, cols, exact=exact)
-    num = [n for n in numeric_cols(df)]
-    sk = skewness_table(df, num).select("column", "skew") if num else None
-    out = roles.join(nulls, "column").join(nu, "column")
-    out = out.join(sk, "column", "left") if sk is not None else out.withColumn("skew", F.lit(None).cast("double"))
-    return out.select("position", "column", "dtype", "role", "n_rows", "n_missing", "null_pct", "n_unique", "skew")
+    num = set(numeric_cols(df))
+    fuse_skew = len(num) <= WIDE_LIMIT
+    exprs = [F.count(F.lit(1)).alias("_n")]
+    for i, n in enumerate(cols):
+        exprs.append(F.count_if(_is_missing(df, n)).alias(f"_m{i}"))
+        if exact is not True:
+            exprs.append(F.approx_count_distinct(c(n), 0.02).alias(f"_a{i}"))
+        if fuse_skew and n in num:
+            exprs.append(corrected_skew(c(n).cast("double")).alias(f"_s{i}"))
+    row = df.agg(*exprs).first()
+    n_rows = row["_n"]
+    if fuse_skew:
+        skew = {n: row[f"_s{i}"] for i, n in enumerate(cols) if n in num}
+    else:
+        skew = {r["column"]: r["skew"] for r in skewness_table(df, sorted(num)).collect()}
+    if exact is True:
+        uniq = {r["column"]: r["n_unique"] for r in distinct_counts(df, cols, exact=True).collect()}
+    else:
+        uniq = {n: int(row[f"_a{i}"]) for i, n in enumerate(cols)}
+        near = [n for n in cols if exact == "auto" and _near_limit(uniq[n], n_rows, band)]
+        if near:
+            uniq.update({r["column"]: r["n_unique"] for r in distinct_counts(df, near, exact=True).collect()})
+    rows = []
+    for i, f in enumerate(df.schema.fields):
+        n = f.name
+        m = row[f"_m{i}"]
+        rows.append((i, n, type_name(f.dataType), "target" if n == t else role_of(f.dataType), int(n_rows), int(m),
+                     (m / n_rows) if n_rows else 0.0, int(uniq.get(n, 0)), skew.get(n)))
+    schema = ("position int, column string, dtype string, role string, n_rows bigint, n_missing bigint, "
+              "null_pct double, n_unique bigint, skew double")
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def column_inventory(df: DataFrame, t: str) -> DataFrame:

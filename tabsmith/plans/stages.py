@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +85,10 @@ class Cleaner:
         t, plan = self.plan.target, self.plan
         fc = FittedCleaner(t, plan.problem_type)
         log = fc.log_rows
-        cur = df
+        # every step's statistics job re-reads the input through the lazy chain: keep one copy
+        # (memory, spilling to executor disk; lost blocks are recomputed from lineage)
+        base = df.persist(StorageLevel.MEMORY_AND_DISK)
+        cur = base
 
         def add(name, fn):
             nonlocal cur
@@ -172,7 +176,9 @@ class Cleaner:
         fill_cat = C.ModeImputer(exclude=[t] + text).fit(cur)
         add("final_fill", lambda d: C.bool_to_int(fill_cat.transform(fill_num.transform(d))).fillna(
             {x: 0 for x in numeric_cols(d)}))
-        return fc, cut_lineage(cur)
+        cleaned = cut_lineage(cur)  # reliable checkpoint in the shared folder
+        base.unpersist()
+        return fc, cleaned
 
     def _fit_encoders(self, df: DataFrame, cats: list[str]):
         """Fit ordinal / frequency / one-hot encoders for ``cats`` once; return the replay function."""

@@ -260,8 +260,10 @@ def _knn_projected(mino: DataFrame, k: int, window: int, projections: int, seed:
         edges = sorted(set(edges))
         bucket = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col("_p"))) \
             if edges else F.lit(0)
-        withp = withp.withColumn("_b", bucket)
-        w = Window.partitionBy("_b").orderBy("_p", "_id")
+        # a hash sub-split keeps a heap of identical points (one projection value, one range bucket)
+        # from landing in a single task; such points are equally near neighbours of each other
+        withp = withp.withColumn("_b", bucket).withColumn("_sub", F.pmod(F.xxhash64("_id"), F.lit(4)))
+        w = Window.partitionBy("_b", "_sub").orderBy("_p", "_id")
         near = [F.lag(F.struct("_id", "_x"), j).over(w) for j in range(1, window + 1)] + \
                [F.lead(F.struct("_id", "_x"), j).over(w) for j in range(1, window + 1)]
         part = withp.select("_id", "_x", F.filter(F.array(*near), lambda s: s.isNotNull()).alias("_c"))

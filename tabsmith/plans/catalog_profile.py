@@ -324,7 +324,25 @@ def b26(spark, d):
     return R.constant_columns(ev, "value")
 
 
-@reg("b27_datetime_columns")
+_DT_FRAME = "SELECT strftime(o_orderdate, '%Y-%m-%d') AS o_date_text, o_orderpriority FROM orders"
+
+
+def _dt_sql(col: str) -> str:
+    sample = f"SELECT {col} AS v FROM ({_DT_FRAME}) WHERE {col} IS NOT NULL LIMIT 50"
+    return f"""
+SELECT '{col}' AS "column", 'string' AS kind, ROUND(s.ok / s.n, 6) AS sample_share, ROUND(f.share, 6) AS full_share,
+       s.n >= 5 AND s.ok / s.n > 0.8 AND f.share > 0.7 AS is_datetime
+FROM (SELECT count(*) AS n, count(TRY_CAST(v AS TIMESTAMP)) AS ok FROM ({sample})) s,
+     (SELECT count(TRY_CAST({col} AS TIMESTAMP)) / count(*) AS share FROM ({_DT_FRAME})) f
+"""
+
+
+@reg("b27_datetime_columns", f"""
+SELECT 'o_orderdate' AS "column", 'native' AS kind, CAST(NULL AS DOUBLE) AS sample_share,
+       CAST(NULL AS DOUBLE) AS full_share, true AS is_datetime
+UNION ALL {_dt_sql('o_date_text')}
+UNION ALL {_dt_sql('o_orderpriority')}
+""")
 def b27(spark, d):
     o = FR.table(spark, d, "orders").select(
         "o_orderkey", "o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_date_text"),

@@ -68,6 +68,25 @@ def test_modes_ties_take_smallest(spark):
     assert modes(df, ["x"]).first()["mode"] == "a"
 
 
+def test_level_counts_exact_near_limit(spark):
+    from tabsmith.functions.aggregates import level_counts
+    rows = [(i % 14, i % 16, str(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b int, big string")
+    got = level_counts(df, ["a", "b", "big"], 15)
+    assert got["a"] == 14 and got["b"] == 16  # decided exactly on both sides of the limit
+    assert got["big"] > 15
+
+
+def test_distinct_auto_is_exact_near_planning_limits(spark):
+    from tabsmith.operators import profile as P
+    rows = [(i % 2, i % 15, i, str(i % 997)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "two int, fifteen int, ident long, text string")
+    auto = {r["column"]: r["n_unique"] for r in P.distinct_counts(df, exact="auto").collect()}
+    exact = {r["column"]: r["n_unique"] for r in P.distinct_counts(df, exact=True).collect()}
+    assert auto["two"] == 2 and auto["fifteen"] == 15 and auto["ident"] == exact["ident"] == 2000
+    assert abs(auto["text"] - exact["text"]) <= 0.05 * exact["text"]
+
+
 def test_student_t_matches_known_values():
     # two-sided p for t=2.0 with 10 dof is 0.0734; t=1.09, 3 dof -> about 0.355
     assert abs(student_t_sf2(2.0, 10) - 0.07339) < 1e-4

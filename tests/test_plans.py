@@ -31,6 +31,16 @@ def test_labels_join_is_broadcast(spark):
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
 
 
+def test_running_sum_window_is_partitioned_by_bucket(spark):
+    from tabsmith.functions.cumulative import running_sums, top_k_per_group
+    df = spark.range(1000).select((F.col("id") % 97).cast("double").alias("v"), F.lit(1).alias("n"))
+    counts = df.groupBy("v").agg(F.sum("n").alias("n"))
+    windows = [ln for ln in _plan(running_sums(counts, "v", ["n"], buckets=8)).splitlines() if "Window " in ln]
+    assert windows and all("_bucket" in ln for ln in windows)
+    top = top_k_per_group(df.withColumn("g", F.lit(1)), ["g"], [F.col("v").desc()], 3, spread_key=["v"])
+    assert any("_spread" in ln for ln in _plan(top).splitlines() if "Window " in ln)
+
+
 def test_tfidf_tokenises_once_per_document(spark):
     docs = FR.table(spark, SMALL, "documents").select("doc_id", "text")
     tf = FE.TfidfFeatures(col="text", key="doc_id")

@@ -106,7 +106,26 @@ def d05(spark, d):
     return out.select("a", "b", *[F.round(x, 6).alias(x) for x in ["r", "a_target_r", "b_target_r"]])
 
 
-@reg("d05_prune_greedy")
+def _greedy_sql(frame: str, cols: list[str], t: str, limit: float) -> str:
+    pairs = " UNION ALL ".join(
+        f"SELECT {i} AS apos, {j} AS bpos, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r, "
+        f"coalesce(abs(corr({a}, {t})), 0) AS ta, coalesce(abs(corr({b}, {t})), 0) AS tb FROM ({frame})"
+        for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i)
+    return f"""
+WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY apos, bpos) AS k, a, b, ta, tb
+                     FROM ({pairs}) WHERE abs(r) > {limit}),
+     walk(k, dropped) AS (
+       SELECT 0, CAST([] AS VARCHAR[])
+       UNION ALL
+       SELECT w.k + 1,
+              CASE WHEN list_contains(w.dropped, p.a) OR list_contains(w.dropped, p.b) THEN w.dropped
+                   ELSE list_append(w.dropped, CASE WHEN p.ta < p.tb THEN p.a ELSE p.b END) END
+       FROM walk w JOIN p ON p.k = w.k + 1)
+SELECT unnest(dropped) AS dropped FROM walk WHERE k = (SELECT count(*) FROM p)
+"""
+
+
+@reg("d05_prune_greedy", _greedy_sql(DF, _DF_NUM, "quality", 0.95))
 def d05g(spark, d):
     df = FR.doc_features(spark, d)
     _, dropped = FE.prune_correlated(df, "quality", _DF_NUM, 0.95)

@@ -39,10 +39,57 @@ def _classes(df: DataFrame, t: str) -> dict:
     return {r["v"]: r["n"] for r in rows}
 
 
-def _class_cuts(df: DataFrame, t: str, h: str, ranks: dict) -> dict:
-    """{(class, rank): hash value at that 0-based rank within the class}."""
+HASH_SPACE = float(16 ** 15)  # row_hash values are uniform on [0, 16^15)
+BAND_ROWS_LIMIT = 2_000_000   # most hash values the band pass may bring to the driver
+
+
+def _class_cuts(df: DataFrame, t: str, h: str, ranks: dict, counts: dict | None = None) -> dict:
+    """{(class, rank): hash value at that 0-based rank within the class}, exactly.
+
+    Fast path (no shuffle): hashes are uniform, so the rank-r value of a class with n rows lies near
+    r/n of the hash space. One aggregate pass counts, per cut, the rows below and inside a band of
+    +-8 binomial standard deviations around that point; only when the counted band rows are within
+    ``BAND_ROWS_LIMIT`` does a second pass fetch them, and the cut is picked locally. If a band misses
+    the rank or holds too many rows (e.g. a heavily duplicated key), the exact bucketed running-sum
+    path (``order_statistics``) answers instead.
+    """
     wanted = [(cls, r) for cls, rs in ranks.items() for r in rs]
-    return order_statistics(df.where(c(t).isNotNull()), h, t, wanted)
+    if not wanted:
+        return {}
+    base = df.where(c(t).isNotNull())
+    counts = counts or _classes(base, t)
+    bands = {}
+    for cls, r in wanted:
+        n = counts[cls]
+        p = (r + 0.5) / n
+        half = 8.0 * math.sqrt(n * p * (1 - p)) + 16.0  # in ranks
+        lo = max(0.0, (r - half) / n) * HASH_SPACE
+        hi = min(1.0, (r + half) / n) * HASH_SPACE
+        bands[(cls, r)] = (int(lo), int(math.ceil(hi)) + 1)
+    expected = sum(min(counts[cls], (hi - lo) / HASH_SPACE * counts[cls]) for (cls, _), (lo, hi) in bands.items())
+    if expected <= BAND_ROWS_LIMIT:
+        conds = {key: (c(t) == F.lit(key[0])) & (F.col(h) >= F.lit(lo)) & (F.col(h) < F.lit(hi))
+                 for key, (lo, hi) in bands.items()}
+        # pass 1: rows below each band and rows inside it (counts only)
+        row = base.agg(*[F.count_if((c(t) == F.lit(key[0])) & (F.col(h) < F.lit(bands[key][0]))).alias(f"_b{i}")
+                         for i, key in enumerate(bands)],
+                       *[F.count_if(cond).alias(f"_k{i}") for i, cond in enumerate(conds.values())]).first()
+        in_bands = sum(row[f"_k{i}"] for i in range(len(bands)))
+        if in_bands <= BAND_ROWS_LIMIT:  # proven bound (duplicated keys could crowd a band)
+            any_band = F.lit(False)
+            for cond in conds.values():
+                any_band = any_band | cond
+            # pass 2: the band values themselves, at most BAND_ROWS_LIMIT rows
+            got = base.where(any_band).select(c(t).alias("_c"), F.col(h).alias("_h")).collect()
+            out = {}
+            for i, (key, (lo, hi)) in enumerate(bands.items()):
+                vals = sorted(r["_h"] for r in got if r["_c"] == key[0] and lo <= r["_h"] < hi)
+                idx = key[1] - row[f"_b{i}"]
+                if 0 <= idx < len(vals):
+                    out[key] = vals[idx]
+            if len(out) == len(wanted):
+                return out
+    return order_statistics(base, h, t, wanted)
 
 
 def _below_cut(t: str, h: str, cut_by_class: dict) -> Column:
@@ -66,7 +113,7 @@ def test_flag(df: DataFrame, t: str | None = None, test: float = 0.2, seed: int
     out = df.withColumn("_h", row_hash(df, key, seed))
     counts = _classes(out, t)
     ranks = {cls: [int(math.floor(test * n))] for cls, n in counts.items() if cls is not None and int(test * n) > 0}
-    got = _class_cuts(out, t, "_h", ranks)
+    got = _class_cuts(out, t, "_h", ranks, counts)
     cuts = {cls: got[(cls, r[0])] for cls, r in ranks.items()}
     return out.withColumn("is_test", _below_cut(t, "_h", cuts)).drop("_h")
 
@@ -101,9 +148,10 @@ def stratified_sample(df: DataFrame, t: str, size: int, seed: int = K.SEED,
                       key: Sequence[str] | str | None = None) -> DataFrame:
     """Exactly ``size`` rows, per class by largest remainder, smallest hashes first."""
     out = df.where(c(t).isNotNull()).withColumn("_h", row_hash(df, key, seed))
-    alloc = allocate(size, _classes(out, t))
+    counts = _classes(out, t)
+    alloc = allocate(size, counts)
     ranks = {cls: [a - 1] for cls, a in alloc.items() if a > 0}
-    got = _class_cuts(out, t, "_h", ranks)
+    got = _class_cuts(out, t, "_h", ranks, counts)
     cuts = {cls: got[(cls, r[0])] for cls, r in ranks.items()}
     expr = F.lit(False)
     for cls, cut in cuts.items():
@@ -141,7 +189,7 @@ def add_fold(df: DataFrame, k: int = 5, t: str | None = None, seed: int = K.SEED
     counts = _classes(out, t)
     ranks = {cls: sorted({int(math.floor(j * n / k)) for j in range(1, k)} - {n}) for cls, n in counts.items()
              if cls is not None}
-    got = _class_cuts(out, t, "_h", ranks)
+    got = _class_cuts(out, t, "_h", ranks, counts)
     fold = None
     for cls, rs in ranks.items():
         cuts = [got[(cls, r)] for r in rs]

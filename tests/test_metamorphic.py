@@ -46,6 +46,14 @@ def test_split_independent_of_layout_and_disjoint(spark):
     assert train.count() + test.count() == docs.count()
 
 
+def test_stratified_cuts_band_path_equals_running_sum_path(spark, monkeypatch):
+    docs = FR.labelled_docs(spark, SMALL).select("doc_id", "quality")
+    fast = sorted(r[0] for r in E.test_flag(docs, "quality", stratify=True, key="doc_id").where("is_test").collect())
+    monkeypatch.setattr(E, "BAND_ROWS_LIMIT", 0)  # forces the bucketed running-sum path
+    exact = sorted(r[0] for r in E.test_flag(docs, "quality", stratify=True, key="doc_id").where("is_test").collect())
+    assert fast == exact and len(fast) > 0
+
+
 def test_nested_learning_subsets(spark):
     li = FR.table(spark, SMALL, "lineitem").select("l_orderkey", "l_linenumber")
     sub = E.learning_subsets(li, key=["l_orderkey", "l_linenumber"])

@@ -65,7 +65,7 @@ class TfidfFeatures:
     max_features: int = 20
     min_df: int = 2
     stop_words: Sequence[str] | None = None
-    key: str | None = None
+    key: str | None = None  # optional document key; corpus statistics are per term, so fit needs none
     vocab: list = field(default_factory=list)
     idf: dict = field(default_factory=dict)
 

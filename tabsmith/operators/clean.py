@@ -24,7 +24,7 @@ from ..functions.exprs import (
 )
 from ..functions.quantiles import exact_quantiles
 
-INLINE_LEVELS = 10_000  # lookup maps up to this many keys become literal maps in the projection
+INLINE_LEVELS = 1_000  # lookup maps up to this many keys become literal maps; larger ones are joined
 
 
 def _log(step: str, column: str | None, action: str, n: int | None, reason: str = "") -> tuple:

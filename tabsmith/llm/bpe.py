@@ -10,7 +10,10 @@ contractions and white-space look-ahead) also sees the same pieces on either sid
   only if it does not continue a run of punctuation.
 
 Strings of added tokens are cut out first, as the tokenizer does. Each distinct fragment of a chunk is
-encoded once and the ids of a text are the ids of its fragments in order. Text may be of any length;
+encoded once and the ids of a text are the ids of its fragments in order. Fragments go to a rank-based
+encoder, which merges the pair whose joined token has the lowest id; that is the tokenizer's own order of
+merges where the i-th merge makes the i-th token (checked on loading) and every token encodes to itself
+(checked in the tests). Text may be of any length;
 null counts as empty; an empty text has no ids. Rows are never dropped or merged: repeated rows repeat
 in the result, and the key is carried as it is (null included).
 """
@@ -20,6 +23,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,8 @@ from pyspark.sql import types as T
 
 from . import common as C
 
+#: Fixed value: the pre-splitter of byte-level BPE files that set use_regex.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 def byte_letters() -> dict[str, int]:
     """The byte-level alphabet: printable bytes stand for themselves, the rest for code points from 256."""
@@ -41,19 +47,21 @@ class ByteBpe:
     """A byte-level BPE tokenizer file with its table of forced boundaries."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import tiktoken
         spec = json.load(open(path, encoding="utf-8"))
         kinds = (spec["normalizer"], spec["pre_tokenizer"]["type"], spec["pre_tokenizer"]["add_prefix_space"])
         if kinds != (None, "ByteLevel", False):
             raise ValueError("forced boundaries are derived for byte-level BPE without a normaliser or prefix space")
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that take in their surroundings aren't supported")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        letters = byte_letters()
-        pieces = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()}
-        self.added = [t["content"].encode() for t in spec["added_tokens"]]
+        vocab, letters = spec["model"]["vocab"], byte_letters()
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
+        if any(vocab[a + b] != 256 + i for i, (a, b) in enumerate(pairs)):
+            raise ValueError("token ids don't follow the order of the merges")
+        pieces = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
+        self.ranked = tiktoken.Encoding("fragments", pat_str=PATTERN, special_tokens={},
+                                        mergeable_ranks={p: i for i, p in pieces.items()})
+        self.added = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         self.cut = self.boundaries(pieces.values())
         pieces |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
@@ -102,16 +110,22 @@ class ByteBpe:
         frags = pa.LargeStringArray.from_buffers(n, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data.tobytes()))
         enc = frags.dictionary_encode()
         code = enc.indices.to_numpy(zero_copy_only=False)
-        distinct = enc.dictionary.to_pylist()
-        lists = [e.ids for i in range(0, len(distinct), 20_000)
-                 for e in self.tokenizer.encode_batch(distinct[i:i + 20_000], add_special_tokens=False)]
-        size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        flat = np.fromiter((x for ids in lists for x in ids), dtype=np.int32, count=int(size.sum()))
+        size, flat = self.encode_distinct(enc.dictionary)
         first = np.cumsum(size) - size
         ids = flat[C.spread(first[code], size[code])]
         ends = np.concatenate([[0], np.cumsum(size[code])])[np.searchsorted(starts, offsets)]
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
 
+    def encode_distinct(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of every fragment, all ids)."""
+        one, added = self.ranked.encode_ordinary, {a.decode(): i for a, i in self.added.items()}
+        sizes, flats = [], []
+        for i in range(0, len(texts), 20_000):
+            lists = [one(t) if t not in added else [added[t]] for t in texts.slice(i, 20_000).to_pylist()]
+            sizes.append(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)))
+            flats.append(np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(sizes[-1].sum())))
+        return np.concatenate(sizes), np.concatenate(flats)
+
     def decode(self, lists: pa.Array) -> pa.Array:
         """Text of every id list: the bytes of its tokens, malformed UTF-8 replaced."""
         off = np.asarray(lists.offsets).astype(np.int64)
@@ -156,10 +170,24 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode() and then decode() in one pass: (id_col, ids, decoded)."""
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(path)
+        for b in C.chunks(batches, "text"):
+            ids = model.encode(C.text_array(b.column("text")))
+            yield pa.RecordBatch.from_arrays([b.column("id"), ids, model.decode(ids)], ["id", "ids", "decoded"])
+
+    schema = T.StructType([src.schema["id"], T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("decoded", T.StringType())])
+    return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256."""
-    out = decode(encode(docs, path, id_col, text_col), path, id_col)
-    return out.select(
+    return round_trip(docs, path, id_col, text_col).select(
         id_col, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

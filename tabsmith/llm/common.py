@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import shared_path
 
 #: Bytes of text that a task turns into numpy arrays at a time.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

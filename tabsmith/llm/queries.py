@@ -6,11 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import binrec, bpe, tokencount
 from . import common as C
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+FREE_ID = 50256  # the id that the rank file leaves free
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(C.table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN, FREE_ID)
+
+
+def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = C.shared_uri(spark, "records")
+    return binrec.read(binrec.write(C.table(spark, sf_dir, "documents"), WORD_BPE, uri), uri)
 
 
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +29,8 @@ def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Q = {
+    "op3_token_counts": op3_token_counts,
+    "op4_binary_records": op4_binary_records,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
 }
 SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binrec, bpe, tokencount
+from . import binrec, bpe, quality, secret_scan, tokencount
 from . import common as C
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,9 +28,19 @@ def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(C.table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(C.table(spark, sf_dir, "documents"))
+
+
 Q = {
     "op3_token_counts": op3_token_counts,
     "op4_binary_records": op4_binary_records,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op10_secret_scan": op10_secret_scan,
 }
 SQL: dict[str, str] = {}

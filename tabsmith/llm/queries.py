@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binrec, bpe, quality, secret_scan, tokencount
+from . import binrec, bpe, license_scan, mix, quality, secret_scan, tokencount
 from . import common as C
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,6 +15,10 @@ BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 FREE_ID = 50256  # the id that the rank file leaves free
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(C.table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(C.table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN, FREE_ID)
 
@@ -24,6 +28,10 @@ def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binrec.read(binrec.write(C.table(spark, sf_dir, "documents"), WORD_BPE, uri), uri)
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.taken(C.table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(C.table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -37,10 +45,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Q = {
+    "op1_license_scan": op1_license_scan,
     "op3_token_counts": op3_token_counts,
     "op4_binary_records": op4_binary_records,
+    "op5_source_mix": op5_source_mix,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_source_mix": mix.ORACLE}

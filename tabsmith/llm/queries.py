@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binrec, bpe, license_scan, mix, quality, secret_scan, tokencount
+from . import binrec, bpe, jaccard, license_scan, mix, quality, secret_scan, tokencount
 from . import common as C
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +40,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(C.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(C.table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ Q = {
     "op5_source_mix": op5_source_mix,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_secret_scan": op10_secret_scan,
 }
 SQL: dict[str, str] = {"op5_source_mix": mix.ORACLE}

@@ -14,9 +14,9 @@ read, so other columns may have any names.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,7 @@ PAYLOAD_HEAD = 12
 FRAME = HEAD + PAYLOAD_HEAD + 4
 RECORDS_PER_READ = 4096
 BLOCK = 256
+MAX_KNOWN = 600_000  # distinct parts whose ids a Python worker remembers
 
 
 def _byte_table() -> np.ndarray:
@@ -118,6 +119,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.known, self.flat, self.place = {}, array("I"), array("q", [0])
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,14 +131,9 @@ class WordIds:
         head = pc.if_else(pc.is_valid(cut), pc.ascii_lower(pc.struct_field(cut, "a")), enc.dictionary)
         tail = pc.fill_null(pc.struct_field(cut, "b"), "")
         parts = pa.chunked_array([head, tail]).combine_chunks().dictionary_encode()
-        sizes, flats = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
-        for i in range(0, len(parts.dictionary), 20_000):
-            lists = [e.ids for e in self.tokenizer.encode_batch(parts.dictionary.slice(i, 20_000).to_pylist(),
-                                                                add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)))
-            flats.append(np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes[-1].sum())))
-        size = np.concatenate([*sizes, [1]])  # the last one is the end id
-        ids = np.concatenate([*flats, np.array([end_id], dtype=np.uint32)])
+        first, size, ids = self.encode_distinct(parts.dictionary.to_pylist())
+        first, size = np.append(first, len(ids)), np.append(size, 1)  # the last one is the end id
+        ids = np.append(ids, np.uint32(end_id))
         code = parts.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         n, texts_n = len(enc.dictionary), len(texts)
         seq = np.empty(2 * len(word) + texts_n, dtype=np.int64)  # two parts a word, then an end for every text
@@ -148,12 +145,27 @@ class WordIds:
         pair[0::2] = code[:n][word]
         pair[1::2] = code[n:][word]
         seq[inner] = pair
-        first = np.cumsum(size) - size
         out = ids[C.spread(first[seq], size[seq])]
         stops = np.cumsum(size[seq])[ends] if texts_n else np.zeros(0, dtype=np.int64)
         return np.concatenate([[0], stops]), out
 
 
+    def encode_distinct(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, number of ids, all ids) of every part; parts seen before in this process are looked up."""
+        if len(self.known) + len(parts) > MAX_KNOWN:
+            self.known, self.flat, self.place = {}, array("I"), array("q", [0])
+        new = [p for p in parts if p not in self.known]
+        for i in range(0, len(new), 20_000):
+            some = new[i:i + 20_000]
+            for part, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
+                self.known[part] = len(self.place) - 1
+                self.flat.extend(e.ids)
+                self.place.append(len(self.flat))
+        place = np.array(self.place, dtype=np.int64)
+        at = np.fromiter(map(self.known.__getitem__, parts), dtype=np.int64, count=len(parts))
+        return place[at], place[at + 1] - place[at], np.array(self.flat, dtype=np.uint32)
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> WordIds:
     return WordIds(path)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binrec, bpe, jaccard, license_scan, mix, quality, secret_scan, tokencount
+from . import ann, binrec, bpe, jaccard, license_scan, mix, quality, secret_scan, tokencount, topk
 from . import common as C
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(C.table(spark, sf_dir, "documents"))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(C.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(C.table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN, FREE_ID)
 
@@ -32,6 +36,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken(C.table(spark, sf_dir, "documents"))
 
 
+def op6_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(C.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(C.table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -50,9 +58,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q = {
     "op1_license_scan": op1_license_scan,
+    "op2_exact_topk": op2_exact_topk,
     "op3_token_counts": op3_token_counts,
     "op4_binary_records": op4_binary_records,
     "op5_source_mix": op5_source_mix,
+    "op6_cross_polytope_ann": op6_cross_polytope_ann,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,

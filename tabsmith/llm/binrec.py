@@ -14,9 +14,9 @@ read, so other columns may have any names.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
+from .bpe import byte_letters
 from .files import publish, read_range
 
 POLY = 0x82F63B78  # CRC-32C, reflected
@@ -34,8 +35,8 @@ HEAD = 12  # length and its checksum
 PAYLOAD_HEAD = 12
 FRAME = HEAD + PAYLOAD_HEAD + 4
 RECORDS_PER_READ = 4096
+WRITE_BYTES = 16 << 20  # text that is encoded at a time: more of it shares more words
 BLOCK = 256
-MAX_KNOWN = 600_000  # distinct parts whose ids a Python worker remembers
 
 
 def _byte_table() -> np.ndarray:
@@ -104,12 +105,27 @@ def masked_crc32c(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return ((crc >> np.uint32(15)) | (crc << np.uint32(17))) + np.uint32(MASK_DELTA)
 
 
+MARKS = r"[!-&(-/:-@\[-`{-~]"
+WORD = rf"^(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<b>{MARKS}*)$"
+PLAIN = rf"^([a-zß-öø-ÿ]+|{MARKS}+)$"
+ALPHABET = {b: c for c, b in byte_letters().items()}
+
+
+def latin_lower(texts: pa.Array) -> pa.Array:
+    """Latin-1 letters in lower case (texts of such letters alone)."""
+    offsets, data = C.raw_bytes(texts)
+    after = np.zeros(len(data), dtype=bool)
+    after[1:] = data[:-1] == 0xC3
+    big = ((data >= 65) & (data <= 90)) | (after & (data >= 0x80) & (data <= 0x9E))
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data + np.uint8(32) * big))
+
+
 class WordIds:
     """A word BPE tokenizer file; ids of whole texts from their distinct words.
 
     The tokenizer drops white space and no piece spans it, so the ids of a text are those of its words.
-    A word of ASCII letters followed by punctuation other than an apostrophe is cut once more: letters and
-    punctuation are separate pieces there, and letters are lower-cased as the tokenizer does.
+    A word of Latin-1 letters followed by ASCII punctuation other than an apostrophe is cut once more: letters and
+    punctuation are separate pieces there, and letters are lower-cased as the tokenizer does (they are composed already).
     """
 
     def __init__(self, path: str):
@@ -119,7 +135,6 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known, self.flat, self.place = {}, array("I"), array("q", [0])
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,13 +142,13 @@ class WordIds:
         offsets, flat = C.words(texts)
         enc = flat.dictionary_encode()
         word = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        cut = pc.extract_regex(enc.dictionary, r"^(?P<a>[A-Za-z]+)(?P<b>[!-&(-/:-@\[-`{-~]*)$")
-        head = pc.if_else(pc.is_valid(cut), pc.ascii_lower(pc.struct_field(cut, "a")), enc.dictionary)
+        cut = pc.extract_regex(enc.dictionary, WORD)
+        head = pc.if_else(pc.is_valid(cut), latin_lower(C.text_array(pc.struct_field(cut, "a"))), enc.dictionary)
         tail = pc.fill_null(pc.struct_field(cut, "b"), "")
         parts = pa.chunked_array([head, tail]).combine_chunks().dictionary_encode()
-        first, size, ids = self.encode_distinct(parts.dictionary.to_pylist())
-        first, size = np.append(first, len(ids)), np.append(size, 1)  # the last one is the end id
-        ids = np.append(ids, np.uint32(end_id))
+        size, ids = self.encode_distinct(parts.dictionary)
+        size, ids = np.append(size, 1), np.append(ids, np.uint32(end_id))  # the last one is the end id
+        first = np.cumsum(size) - size
         code = parts.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         n, texts_n = len(enc.dictionary), len(texts)
         seq = np.empty(2 * len(word) + texts_n, dtype=np.int64)  # two parts a word, then an end for every text
@@ -150,20 +165,26 @@ class WordIds:
         return np.concatenate([[0], stops]), out
 
 
-    def encode_distinct(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, number of ids, all ids) of every part; parts seen before in this process are looked up."""
-        if len(self.known) + len(parts) > MAX_KNOWN:
-            self.known, self.flat, self.place = {}, array("I"), array("q", [0])
-        new = [p for p in parts if p not in self.known]
-        for i in range(0, len(new), 20_000):
-            some = new[i:i + 20_000]
-            for part, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[part] = len(self.place) - 1
-                self.flat.extend(e.ids)
-                self.place.append(len(self.flat))
-        place = np.array(self.place, dtype=np.int64)
-        at = np.fromiter(map(self.known.__getitem__, parts), dtype=np.int64, count=len(parts))
-        return place[at], place[at + 1] - place[at], np.array(self.flat, dtype=np.uint32)
+    def encode_distinct(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of every part, all ids). Small Latin-1 letters or ASCII punctuation alone are what the tokenizer's normaliser
+        and splitting would hand to its model (bytes spelt in the byte-level alphabet), so they go there directly; other parts
+        take the whole way."""
+        plain = pc.match_substring_regex(parts, PLAIN).to_pylist()
+        model = self.tokenizer.model
+        lists: list = [()] * len(parts)
+        rest = []
+        for i, (part, simple) in enumerate(zip(parts.to_pylist(), plain)):
+            if simple:
+                spelt = part if part.isascii() else part.encode().decode("latin-1").translate(ALPHABET)
+                lists[i] = [t.id for t in model.tokenize(spelt)]
+            elif part:
+                rest.append((i, part))
+        for a in range(0, len(rest), 20_000):
+            some = rest[a:a + 20_000]
+            for (i, _), e in zip(some, self.tokenizer.encode_batch([p for _, p in some], add_special_tokens=False)):
+                lists[i] = e.ids
+        size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        return size, np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(size.sum()))
 
 
 @lru_cache(maxsize=2)
@@ -210,7 +231,7 @@ def write(docs: DataFrame, path: str, uri: str, end_id: int = 2, id_col: str = "
         model = load(path)
         records = size = tokens = 0
         with publish(name + ".rec", name + ".idx") as (rec, idx):
-            for b in C.chunks(batches, "text"):
+            for b in C.chunks(batches, "text", WRITE_BYTES):
                 offsets, ids = model.encode(C.text_array(b.column("text")), end_id)
                 data, at = frame(b.column("id"), offsets, ids, model.width)
                 rec.write(data.tobytes())

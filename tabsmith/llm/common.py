@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -12,11 +17,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_path
 
+_SHIPPED: set[str] = set()
+
 #: Bytes of text that a task turns into numpy arrays at a time.
 CHUNK_BYTES = 8 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that don't inherit it from the environment (once a session)."""
+    sc, home = spark.sparkContext, Path(__file__).resolve().parents[2]
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if sc.applicationId in _SHIPPED or any(p and Path(p).resolve() == home for p in known):
+        return
+    place = tempfile.mkdtemp(prefix="tabsmith-package-")  # the driver serves the file from here as long as it runs
+    atexit.register(shutil.rmtree, place, ignore_errors=True)
+    name = __package__.split(".")[0]
+    sc.addPyFile(shutil.make_archive(f"{place}/{name}", "zip", home, name))
+    _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -49,6 +70,13 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], np.frombuffer(data, dtype=np.uint8)[offsets[0]:offsets[-1]]
 
 
+def ascii_lower(texts: pa.Array) -> pa.Array:
+    """A-Z in lower case (Arrow's own kernel damages large_string arrays here, so it is done on the bytes)."""
+    offsets, data = raw_bytes(texts)
+    low = data + np.uint8(32) * ((data >= 65) & (data <= 90))
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(low))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of ``column`` (one row at least; rows stay whole)."""
     for batch in batches:
@@ -63,7 +91,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
 
 def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
     """Runs of characters other than space, tab, LF, VT, FF, CR: (offsets per text, flat words)."""
-    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts) if lower else texts)
+    texts = pc.ascii_trim_whitespace(ascii_lower(texts) if lower else texts)
     lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts))
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()

@@ -399,6 +399,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "node", "root")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every component, all columns kept: the one with its smallest key (null keys last, then by digest); of rows that
+    repeat a key and a set one stays. Empty texts are components of their own, one row for each key."""
+    linked = join(docs, id_col, text_col)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.coalesce("node", F.struct(
+        F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))).alias("node"))).alias("k")
+    keep = C.stored(linked.withColumn("own", F.when(F.col("n_shingles") == 0, F.col(id_col)))
+                    .groupBy("root", "own").agg(first)
+                    .select(F.col("k.id").alias("__keep_id"), F.col("k.node.a").alias("__keep_1"), F.col("k.node.b").alias("__keep_2")), "jaccard-keep")
+    extra = T.StructType([*docs.schema.fields, T.StructField("__set_1", T.LongType()), T.StructField("__set_2", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.chunks(batches, text_col):
+            s1, s2 = digest(*shingle_sets(C.text_array(b.column(text_col))))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s1), pa.array(s2)], [*b.schema.names, "__set_1", "__set_2"])
+
+    rows = docs.mapInArrow(run, extra)
+    chosen = rows.join(keep, (F.col("__set_1") == F.col("__keep_1")) & (F.col("__set_2") == F.col("__keep_2"))
+                       & F.col(id_col).eqNullSafe(F.col("__keep_id")), "left_semi")
+    return chosen.dropDuplicates([id_col, "__set_1", "__set_2"]).drop("__set_1", "__set_2")
+
+
 def _once(picked: DataFrame) -> DataFrame:
     """Repeated rows of one node within a task come through once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

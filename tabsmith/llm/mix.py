@@ -89,10 +89,11 @@ def thresholds(sized: DataFrame) -> DataFrame:
     return C.stored(goal.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-thresholds")
 
 
-def copies_of(size: Column, h: Column) -> Column:
-    """How often a row is taken, given its source's columns of thresholds()."""
-    more = (h < F.col("below")) | ((h == F.col("below")) & F.col("edge"))
-    return F.when(size > 0, F.col("copies") + F.coalesce(more, F.lit(False)).cast("long")).otherwise(0).cast("long")
+def copies_of(size: Column, h: Column, prefix: str = "") -> Column:
+    """How often a row is taken, given its source's columns of thresholds() (renamed with ``prefix``)."""
+    below, edge, copies = (F.col(prefix + c) for c in ("below", "edge", "copies"))
+    more = (h < below) | ((h == below) & edge)
+    return F.when(size > 0, copies + F.coalesce(more, F.lit(False)).cast("long")).otherwise(0).cast("long")
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -106,13 +107,13 @@ def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, all columns kept."""
-    goal = thresholds(sizes(docs, id_col, text_col, source_col)).withColumnsRenamed({"source": "mix_source"})
-    names = [F.col("d." + f"`{c}`") for c in docs.columns]
-    times = copies_of(F.col("mix_size"), F.col("mix_hash"))
-    rows = docs.withColumns({"mix_size": size_of(text_col), "mix_hash": hash_of(id_col, text_col)}).alias("d") \
-        .join(goal, F.col(f"d.{source_col}").cast("string").eqNullSafe(F.col("mix_source")))
-    return rows.withColumn("mix_times", times).filter("mix_times > 0") \
-        .select(*names, F.explode(F.array_repeat(F.lit(0), F.col("mix_times").cast("int")))).drop("col")
+    own = "__mix_"  # keeps helper columns apart from those of ``docs``
+    goal = thresholds(sizes(docs, id_col, text_col, source_col))
+    goal = goal.toDF(*[own + c for c in goal.columns])
+    rows = docs.withColumns({own + "size": size_of(text_col), own + "h": hash_of(id_col, text_col)}) \
+        .join(goal, F.col(source_col).cast("string").eqNullSafe(F.col(own + "source")))
+    times = copies_of(F.col(own + "size"), F.col(own + "h"), own).cast("int")
+    return rows.withColumn(own + "copy", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same choice in DuckDB: sort where the operator uses thresholds.

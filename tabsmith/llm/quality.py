@@ -164,9 +164,14 @@ def fit_machine(rows: list, epochs: int = 8, batch: int = 64, rate: float = 0.02
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    n_chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
-                       F.coalesce(n_chars, F.length(text_col), F.lit(0)).cast("long").alias("n_chars"))
+                       _length(docs, text_col).alias("n_chars"))
+
+
+def _length(docs: DataFrame, text_col: str) -> Column:
+    """The metadata column n_chars where it is there and a number, else the text's length."""
+    given = [F.col("n_chars").cast("string").try_cast("long")] if "n_chars" in docs.columns else []
+    return F.coalesce(*given, F.length(text_col), F.lit(0)).cast("long")
 
 
 def fold(key: str) -> Column:
@@ -211,6 +216,19 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     return src.mapInArrow(run, T.StructType([src.schema["id"], T.StructField("score", T.DoubleType())])).withColumnRenamed("id", id_col)
 
 
+def accepted(docs: DataFrame, machine: Machine, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, all columns kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.chunks(batches, text_col):
+            length = b.column("__n_chars").to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(shared.value.score(C.text_array(b.column(text_col)), length) >= least))
+
+    rows = docs.withColumn("__n_chars", _length(docs, text_col))
+    return rows.mapInArrow(run, rows.schema).drop("__n_chars")
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per row: id_col, held_out (fold 1), score, predicted (score >= 0.5)."""
     return score(docs, fit(docs, labels, id_col), id_col).select(

@@ -199,17 +199,21 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         id_col, *[of(k) for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """All columns of ``docs`` with every span (overlapping ones merged) replaced by ``mark``. Null stays null."""
-    src = docs
-
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", length_col: str | None = None) -> DataFrame:
+    """All columns of ``docs`` with every span (overlapping ones merged) replaced by ``mark``; ``length_col`` follows a changed
+    text. Null stays null."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.chunks(batches, text_col):
             at = b.schema.get_field_index(text_col)
-            clean = [None if t is None else masked(t, mark) for t in b.column(at).to_pylist()]
-            yield b.set_column(at, b.schema.field(at), pa.array(clean, type=b.schema.field(at).type))
-
-    return src.mapInArrow(run, src.schema)
+            old = b.column(at).to_pylist()
+            new = [t and masked(t, mark) for t in old]
+            if length_col is not None:
+                i = b.schema.get_field_index(length_col)
+                sizes = [n if t is u or t == u else len(u) for n, t, u in zip(b.column(i).to_pylist(), old, new)]
+                b = b.set_column(i, b.schema.field(i), pa.array(sizes, type=b.schema.field(i).type))
+            yield b.set_column(at, b.schema.field(at), pa.array(new, type=b.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def masked(text: str, mark: str) -> str:

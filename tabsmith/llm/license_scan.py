@@ -49,18 +49,18 @@ TEMPLATES = {
 }
 
 
-def _joined(keys: Column) -> Column:
-    """Hash of each run of five entries of an array of word hashes."""
-    n = F.size(keys) - (WORDS - 1)
-    cut = [F.slice(keys, i + 1, F.greatest(n, F.lit(0))).alias(f"w{i}") for i in range(WORDS)]
-    return F.when(n > 0, F.transform(F.arrays_zip(*cut), lambda z: F.xxhash64(*[z[f"w{i}"] for i in range(WORDS)]))) \
-        .otherwise(F.array().cast("array<bigint>"))
+def _once(value: Column, body) -> Column:
+    """body(value) with ``value`` bound to a lambda variable, so that it is computed once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
-def with_shingles(df: DataFrame, text_col: str) -> DataFrame:
-    """df with the column ``sh``: shingle hashes. Arrays are arguments of the lambdas, so nothing is computed once per element."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return df.withColumn("keys", F.transform(words, lambda w: F.xxhash64(w))).withColumn("sh", _joined(F.col("keys"))).drop("keys")
+def shingles(text: Column) -> Column:
+    """array<long>: the hashes of the five-word shingles of a text, in order (none below five words)."""
+    words = F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+")
+    keys = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+    return _once(keys, lambda k: F.transform(
+        F.slice(k, 1, F.greatest(F.size(k) - (WORDS - 1), F.lit(0))),
+        lambda x, i: F.xxhash64(x, *[F.get(k, i + j) for j in range(1, WORDS)])))
 
 
 def _least(column: str, band: int) -> Column:
@@ -68,19 +68,33 @@ def _least(column: str, band: int) -> Column:
     return F.array_min(F.transform(column, lambda s: F.struct(F.xxhash64(s, F.lit(band)).alias("v"), s.alias("s"))))
 
 
-def _windows_at(template: int, m: int, marks: list[int]) -> Column:
-    """array<struct<t, k>>: the windows of one template that hold one of its marks."""
-    at = F.transform(F.filter("hits", lambda x: x["s"].isin(marks)), lambda x: F.floor(x["i"] / m).cast("int"))
-    both = F.array_distinct(F.concat(at, F.transform(at, lambda k: F.greatest(k - 1, F.lit(0)))))
-    return F.transform(both, lambda k: F.struct(F.lit(template).alias("t"), k.alias("k")))
+def _windows_at(sh: Column, hits: Column, template: int, m: int, marks: list[int]) -> Column:
+    """array<struct<t, start, window>>: the windows of one template that hold one of its marks: per hit the window that starts at or
+    before it and the one before that."""
+    at = F.transform(F.filter(hits, lambda i: F.get(sh, i).isin(marks)), lambda i: F.floor(i / m).cast("int"))
+    both = _once(at, lambda a: F.array_distinct(F.concat(a, F.transform(a, lambda k: F.greatest(k - 1, F.lit(0))))))
+    return F.transform(both, lambda k: F.struct(F.lit(template).alias("t"), (k * m).alias("start"),
+                                                F.slice(sh, k * m + 1, F.lit(2 * m)).alias("window")))
+
+
+def windows(text: Column, rows: list) -> Column:
+    """The windows of all templates around the marks in a text."""
+    marks = sorted({s for r in rows for s in r.marks})
+
+    def around(sh: Column) -> Column:
+        found = F.filter(F.transform(sh, lambda s, i: F.when(s.isin(marks), i)), lambda i: i.isNotNull())
+        return _once(found, lambda hits: F.when(F.size(hits) > 0, reduce(
+            F.concat, [_windows_at(sh, hits, t, r.m, r.marks) for t, r in enumerate(rows)])))
+
+    return _once(shingles(text), around)
 
 
 def templates(spark: SparkSession, texts: dict[str, str]) -> list:
     """One row per template: name, m, shingles, mins (its MinHash in every band), marks (the shingles where those lie)."""
     if not texts:
         raise ValueError("no templates")
-    df = with_shingles(spark.createDataFrame(sorted(texts.items()), "license string, text string"), "text") \
-        .withColumn("sh", F.array_distinct("sh"))
+    df = spark.createDataFrame(sorted(texts.items()), "license string, text string") \
+        .withColumn("sh", F.array_distinct(shingles(F.col("text"))))
     least = [_least("sh", b) for b in range(BANDS)]
     rows = df.withColumn("low", F.array(*least)).select(
         "license", F.size("sh").alias("m"), "sh", F.transform("low", lambda x: x["v"]).alias("mins"),
@@ -94,20 +108,11 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, id_col: str = "do
     """(id_col, license, containment, first_word, end_word): the best window of each license found in a text."""
     spark = docs.sparkSession
     rows = templates(spark, texts or TEMPLATES)
-    marks = sorted({s for r in rows for s in r.marks})
-    shingled = with_shingles(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").drop("text")
-    hit = shingled.withColumn("hits", F.filter(F.transform("sh", lambda s, i: F.struct(i.alias("i"), s.alias("s"))),
-                                               lambda x: x["s"].isin(marks))).filter(F.size("hits") > 0)
-    # windows that hold a hit, per template: the one that starts at or before it and the one before that
-    parts = []
-    for t, r in enumerate(rows):
-        parts.append(_windows_at(t, r.m, r.marks))
     known = spark.createDataFrame([(t, r.license, r.m, r.sh, r.mins) for t, r in enumerate(rows)],
                                   "t int, license string, m int, tsh array<bigint>, mins array<bigint>")
-    seen = hit.select("id", "sh", F.explode(reduce(F.concat, parts)).alias("w")).select("id", "sh", "w.t", "w.k") \
-        .join(F.broadcast(known), "t") \
-        .select("id", "license", "m", "tsh", "mins", (F.col("k") * F.col("m")).alias("start"),
-                F.slice("sh", F.col("k") * F.col("m") + 1, 2 * F.col("m")).alias("window"))  # known: one row per template
+    # outer: a plain explode would also filter on the size of the array, which computes it twice
+    seen = docs.select(F.col(id_col).alias("id"), F.explode_outer(windows(F.col(text_col), rows)).alias("w")) \
+        .filter("w is not null").select("id", "w.*").join(F.broadcast(known), "t")  # known: one row per template
     bands = F.array(*[_least("window", b)["v"] for b in range(BANDS)])
     collide = F.exists(F.zip_with(bands, F.col("mins"), lambda a, b: a == b), lambda x: x)
     match = F.transform("window", lambda s, i: F.struct(i.alias("i"), s.alias("s")))

@@ -69,8 +69,11 @@ def test_neighbours_ties_and_edges(spark):
     assert len({(q, v) for q, _, v, _ in found} & {(q, v) for q, _, v, _ in want}) >= 0.9 * len(want)
     x = padded(rows)
     assert all(abs(r.score - x[r.query_id] @ x[r.vec_id]) < 1e-12 for r in got)
-    same = [v for _, v in sorted((r["rank"], r.vec_id) for r in got if r.query_id == 0)][:5]
-    assert same == [100, 101, 102, 103, 104]  # equal vectors: smaller ids first
+    for q in {r.query_id for r in got}:
+        listed = sorted((r["rank"], -r.score, r.vec_id) for r in got if r.query_id == q)
+        assert [x[1:] for x in listed] == sorted(x[1:] for x in listed)  # ties by id
+        copies = [v for _, _, v in listed if 100 <= v < 200]
+        assert copies == [v for v in range(100, 200) if v != q][:len(copies)]  # of equal vectors the smaller ids
     assert ann.neighbours(frame(spark, ODD), F.col("vec_id") % 10 == 0, 20).count() == 0
 
 

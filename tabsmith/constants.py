@@ -33,7 +33,7 @@ IMBALANCE_NONE, IMBALANCE_WEIGHTS, IMBALANCE_SMOTE = 0.40, 0.15, 0.05
 ROWS_SMALL, ROWS_MEDIUM = 500, 50_000
 ONEHOT_MAX_LEVELS = 15
 ID_SHARE_STRICT, ID_SHARE_NAMED = 0.95, 0.80
-DATETIME_SAMPLE_SHARE, DATETIME_FULL_SHARE, DATETIME_SAMPLE_ROWS, DATETIME_MIN_SAMPLE = 0.8, 0.7, 50, 5
+DATETIME_SAMPLE_SHARE, DATETIME_FULL_SHARE, DATETIME_MIN_SAMPLE = 0.8, 0.7, 5
 TEXT_MIN_DISTINCT, TEXT_DISTINCT_SHARE, TEXT_MIN_MEAN_LEN = 50, 0.3, 25
 NULL_LOW, NULL_HIGH, NULL_DROP = 0.05, 0.20, 0.60
 NUMERIC_PARSE_SHARE = 0.85

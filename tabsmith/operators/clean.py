@@ -635,27 +635,22 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
     return df.na.drop()
 
 
-def cleaning_summary(df: DataFrame, t: str, max_values: int = 1000) -> DataFrame:
-    """(n_rows, n_cols, target_dtype, n_numeric, no_missing, n_target_values, target_values).
+def target_values(df: DataFrame, t: str) -> DataFrame:
+    """The distinct target values, one row each, as text."""
+    return df.where(c(t).isNotNull()).select(c(t).cast("string").alias("target_value")).distinct()
 
-    ``target_values`` (sorted, comma-joined) is listed only when a distinct count proves
-    there are at most ``max_values`` of them, so the list never grows with the data.
-    """
+
+def cleaning_summary(df: DataFrame, t: str) -> DataFrame:
+    """(n_rows, n_cols, target_dtype, n_numeric, no_missing, n_target_values); the values themselves are
+    rows of ``target_values``."""
     nums = [n for n in numeric_cols(df) if n != t]
     any_null = F.lit(False)
     for n in df.columns:
         any_null = any_null | c(n).isNull()
     stats = df.agg(F.count(F.lit(1)).alias("n_rows"), (~F.coalesce(F.max(any_null), F.lit(False))).alias("no_missing"),
                    F.count_distinct(c(t)).alias("n_target_values"))
-    n_vals = stats.first()["n_target_values"]
-    if n_vals <= max_values:
-        vals = df.where(c(t).isNotNull()).select(c(t).cast("string").alias("v")).distinct().agg(
-            F.array_join(F.sort_array(F.collect_list("v")), ",").alias("target_values"))
-        stats = stats.withColumn("target_values", F.lit(vals.first()["target_values"]))
-    else:
-        stats = stats.withColumn("target_values", F.lit(None).cast("string"))
     return stats.select(
         "n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_cols"),
         F.lit(dtype_of(df, t).simpleString()).alias("target_dtype"),
-        F.lit(len(nums)).cast("bigint").alias("n_numeric"), "no_missing", "n_target_values", "target_values",
+        F.lit(len(nums)).cast("bigint").alias("n_numeric"), "no_missing", "n_target_values",
     )

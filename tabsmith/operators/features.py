@@ -8,14 +8,11 @@ every feature is then a lazy projection.
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import lru_cache
 from itertools import combinations
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,17 +26,9 @@ from .clean import FrequencyEncoder, NumericImputer
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"  # runs of 2+ letters/digits/underscore (Unicode)
 
 
-@lru_cache(maxsize=4)
 def default_stop_words(language: str = "english") -> tuple[str, ...]:
-    """Spark ML's built-in stop-word list (the one ``StopWordsRemover`` loads), read without a JVM."""
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if not jars:
-        from pyspark.ml.feature import StopWordsRemover
-        return tuple(StopWordsRemover.loadDefaultStopWords(language))
-    with zipfile.ZipFile(jars[0]) as z:
-        text = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-    return tuple(w for w in text.split("\n") if w)
+    """Spark ML's built-in stop-word list."""
+    return tuple(StopWordsRemover.loadDefaultStopWords(language))
 
 
 # ----------------------------------------------------------------------------- D1
@@ -164,25 +153,15 @@ def prune_correlated(df: DataFrame, t: str, cols: Sequence[str] | None = None, l
         flagged = [x for x in cols if x in {r["b"] for r in hits}]
         drop = flagged[: len(flagged) // 2 + 1] if flagged else []
         return df.drop(*drop), drop
-    pairs = collinear_pairs(df, t, cols, limit).collect()  # bounded by (columns choose 2)
-    pos = {x: i for i, x in enumerate(cols)}
-    by_first: dict[str, list] = {}
-    for r in pairs:
-        by_first.setdefault(r["a"], []).append(r)
-    dropped: list[str] = []
-    for a in cols:
-        if a in dropped:
-            continue
-        for r in sorted(by_first.get(a, []), key=lambda r: pos[r["b"]]):
-            b = r["b"]
-            if b in dropped:
-                continue
-            ra, rb = r["a_target_r"] or 0.0, r["b_target_r"] or 0.0
-            loser = a if ra < rb else b
-            dropped.append(loser)
-            if loser == a:
-                break
-    return df.drop(*dropped), dropped
+    at = {x: i for i, x in enumerate(cols)}
+    place = F.create_map(*[F.lit(v) for kv in at.items() for v in kv])
+    weaker = F.when(F.coalesce("a_target_r", F.lit(0.0)) < F.coalesce("b_target_r", F.lit(0.0)), F.col("a")).otherwise(F.col("b"))
+    ordered = collinear_pairs(df, t, cols, limit).select("a", "b", weaker.alias("out")).orderBy(place[F.col("a")], place[F.col("b")])
+    gone: dict[str, None] = {}
+    for r in ordered.collect():  # at most (columns choose 2) pairs, in column order
+        if r["a"] not in gone and r["b"] not in gone:
+            gone[r["out"]] = None
+    return df.drop(*gone), list(gone)
 
 
 # ----------------------------------------------------------------------------- D8, D9

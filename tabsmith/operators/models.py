@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import random
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
@@ -66,6 +68,9 @@ GRIDS = {
 }
 
 
+Key = Sequence[str] | str | None  # column or columns that name a row
+
+
 def canonical(name: str) -> str:
     return ALIASES.get(name, name)
 
@@ -94,12 +99,22 @@ def build_preprocessor(num: Sequence[str], cat: Sequence[str], out: str = "featu
 
 # ----------------------------------------------------------------------------- F2-F8
 
+# Settings that the other libraries' learners bring along when served by GBT.
+FAMILY = {
+    "XGBClassifier": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3},
+    "XGBRegressor": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3},
+    "LGBMClassifier": {"maxIter": 200, "maxDepth": 6, "stepSize": 0.05},
+    "LGBMRegressor": {"maxIter": 200, "maxDepth": 6, "stepSize": 0.05},
+}
+
+
 def make_model(name: str, problem_type: str, label: str, n_rows: int, params: dict | None = None,
                weight: str | None = None, features: str = "features", seed: int = K.SEED):
     """F2-F8: an MLlib estimator with reference defaults; ``C`` and ``alpha`` are converted to
     MLlib's per-row regularisation (regParam = 1/(C n) for logistic, alpha/n ridge, alpha lasso)."""
+    own = FAMILY.get(name, {})
     name = canonical(name)
-    p = {**DEFAULTS.get(name, {}), **(params or {})}
+    p = {**DEFAULTS.get(name, {}), **own, **(params or {})}
     n = max(n_rows, 1)
     common = {"labelCol": label, "featuresCol": features}
     w = {"weightCol": weight} if weight else {}
@@ -125,9 +140,15 @@ def make_model(name: str, problem_type: str, label: str, n_rows: int, params: di
     raise ValueError(f"unknown learner {name!r}")
 
 
+def key_columns(key: Sequence[str] | str | None) -> list[str]:
+    """The split key's columns; they name rows and are never features."""
+    return [key] if isinstance(key, str) else list(key or ())
+
+
 def model_pipeline(df: DataFrame, t: str, name: str, problem_type: str, params: dict | None = None,
-                   weight: str | None = None, n_rows: int | None = None, exclude: Sequence[str] = ()) -> Pipeline:
-    ex = set(exclude) | {t} | ({weight} if weight else set())
+                   weight: str | None = None, n_rows: int | None = None, exclude: Sequence[str] | str | None = ()) -> Pipeline:
+    """F1 + F2-F8 as one pipeline over every column but the target, the weight and ``exclude`` (the split key)."""
+    ex = set(key_columns(exclude)) | {t} | ({weight} if weight else set())
     num = [x for x in numeric_cols(df) if x not in ex]
     cat = [x for x in string_cols(df) if x not in ex]
     n = n_rows if n_rows is not None else df.count()
@@ -191,35 +212,55 @@ def cross_validate(df: DataFrame, t: str, name: str, problem_type: str, k: int =
     rows = []
     for i in range(k):
         train, test = folded.where(F.col("fold") != i).drop("fold"), folded.where(F.col("fold") == i).drop("fold")
-        pipe = model_pipeline(train, t, name, problem_type, params, weight)
+        pipe = model_pipeline(train, t, name, problem_type, params, weight, exclude=key)
         model = pipe.fit(train)
         rows.append((i, score_of(model, test, t, problem_type, m)))
     folded.unpersist()
     return df.sparkSession.createDataFrame(rows, "fold int, score double")
 
 
+#: What a learner may raise on data it can't take (a JVM requirement that fails is an illegal argument).
+LEARNER_ERRORS = (ValueError, TypeError, IllegalArgumentException)
+
+
+def rank_scores(scores: dict[str, float | None], higher: bool) -> list[tuple[str, float | None]]:
+    """Best first; learners without a score come last, whichever way the metric points."""
+    def place(item):
+        name, s = item
+        missing = s is None or math.isnan(s)
+        return missing, 0.0 if missing else -s if higher else s, name
+    return sorted(scores.items(), key=place)
+
+
 def scout(df: DataFrame, t: str, problem_type: str, metric: str | None = None, folds: int = 2,
           candidates: Sequence[str] | None = None, seed: int = K.SEED, key: Sequence[str] | str | None = None
           ) -> DataFrame:
-    """every candidate with its scout settings, k-fold CV on the E2 sample; failures score -999.
-    Rows (rank, model, score), best first."""
+    """every candidate with its scout settings, k-fold CV on the E2 sample, scored by R2 for regression.
+    Rows (rank, model, score, chosen), best first; a learner that fails has no score and ranks last; ``chosen`` marks
+    the top two of those that have one."""
     sample = E.scout_sample(df, t, problem_type, seed, key)
     from .features import sanitize
     sample = sanitize(sample, t)
+    metric = metric or ("r2" if problem_type == "regression" else None)
     names = list(candidates or ([x for x in SCOUT if "Regressor" in x or x == "Ridge"] if problem_type == "regression"
                                 else [x for x in SCOUT if "Classifier" in x or x == "LogisticRegression"]))
-    rows = []
+    scores: dict[str, float | None] = {}
     for name in names:
         try:
             cv = cross_validate(sample, t, name, problem_type, folds, metric, SCOUT.get(canonical(name)), seed, key)
-            s = cv.agg(F.avg("score")).first()[0]
-            rows.append((canonical(name), round(float(s), 4)))
-        except Exception:  # noqa: BLE001 - a failing learner is ranked last, as in the reference
-            rows.append((canonical(name), -999.0))
+            mean = cv.agg(F.avg("score")).first()[0]
+            scores[canonical(name)] = None if mean is None else round(float(mean), 4)
+        except LEARNER_ERRORS:
+            scores[canonical(name)] = None
     _, higher = primary(problem_type, metric)
-    rows.sort(key=lambda r: (-r[1] if higher else r[1], r[0]))
-    return df.sparkSession.createDataFrame([(i + 1, n, s) for i, (n, s) in enumerate(rows)],
-                                           "rank int, model string, score double")
+    ranked = rank_scores(scores, higher)
+    return df.sparkSession.createDataFrame([(i + 1, n, s, i < 2 and s is not None) for i, (n, s) in enumerate(ranked)],
+                                           "rank int, model string, score double, chosen boolean")
+
+
+def top_two(ranking: DataFrame) -> list[str]:
+    """The chosen learners of a scout ranking, best first."""
+    return [r["model"] for r in ranking.where("chosen").orderBy("rank").collect()]
 
 
 @dataclass
@@ -239,8 +280,8 @@ def fit_timed(pipe: Pipeline, df: DataFrame) -> tuple[PipelineModel, float]:
 
 
 def train_and_select(train: DataFrame, test: DataFrame, t: str, names: Sequence[str], problem_type: str,
-                     metric: str | None = None, weight: str | None = None,
-                     params: dict | None = None) -> tuple[Trained, DataFrame]:
+                     metric: str | None = None, weight: str | None = None, params: dict | None = None,
+                     exclude: Sequence[str] | str | None = ()) -> tuple[Trained, DataFrame]:
     """fit each model on train, evaluate on test, select the best by the metric.
     ``params`` maps a learner name to settings. Returns (best, rows (model, metric, value, fit_seconds))."""
     m, higher = primary(problem_type, metric)
@@ -248,7 +289,7 @@ def train_and_select(train: DataFrame, test: DataFrame, t: str, names: Sequence[
     results = []
     for name in names:
         pipe = model_pipeline(train, t, name, problem_type, (params or {}).get(canonical(name)), weight=weight,
-                              n_rows=n)
+                              n_rows=n, exclude=exclude)
         model, secs = fit_timed(pipe, train)
         results.append(Trained(canonical(name), model, evaluate(model, test, t, problem_type), secs))
     rows = []
@@ -256,8 +297,8 @@ def train_and_select(train: DataFrame, test: DataFrame, t: str, names: Sequence[
         for row in r.metrics.collect():
             rows.append((r.name, row["metric"], row["value"], r.fit_seconds))
     table = train.sparkSession.createDataFrame(rows, "model string, metric string, value double, fit_seconds double")
-    best = sorted(results, key=lambda r: ((-1 if higher else 1) * (metric_value(r.metrics, m) or 0.0), r.name))[0]
-    return best, table
+    order = [n for n, _ in rank_scores({r.name: metric_value(r.metrics, m) for r in results}, higher)]
+    return next(r for r in results if r.name == order[0]), table
 
 
 # ----------------------------------------------------------------------------- F12-F14
@@ -272,25 +313,32 @@ def draw_params(name: str, n_iter: int, seed: int = K.SEED, grid: dict | None =
     return random.Random(seed).sample(combos, n_iter)
 
 
+def small_data_params(name: str) -> dict:
+    """the fixed settings for small data."""
+    fam = canonical(name)
+    if "RandomForest" in fam:
+        return {"numTrees": 150, "maxDepth": 8}
+    if "GBT" in fam:
+        return {"maxIter": 150, "maxDepth": 8}
+    return {"LogisticRegression": {"C": 1.0}, "Ridge": {"alpha": 1.0}, "Lasso": {"alpha": 1.0}}.get(fam, {})
+
+
 def tune(df: DataFrame, t: str, name: str, problem_type: str, n_iter: int = K.TUNE_DRAWS, folds: int = K.TUNE_FOLDS,
-         metric: str | None = None, seed: int = K.SEED, small_rows: int = K.TUNE_SMALL_ROWS,
+         metric: str | None = None, seed: int = K.SEED, mode: str = "search",
          grid: dict | None = None, key: Sequence[str] | str | None = None) -> tuple[dict, DataFrame]:
-    """randomised search by k-fold CV (mean score) when n > small_rows; otherwise the
-    small-data settings (150 trees, depth 8, C = 1). Returns (best params, (params, score) table)."""
-    n = df.count()
-    if n <= small_rows:
-        fam = canonical(name)
-        best = ({"numTrees": 150, "maxDepth": 8} if "RandomForest" in fam else
-                {"maxIter": 150, "maxDepth": 8} if "GBT" in fam else {"C": 1.0} if fam == "LogisticRegression"
-                else {"alpha": 1.0} if fam in ("Ridge", "Lasso") else {})
-        return best, df.sparkSession.createDataFrame([(json.dumps(best), None)], "params string, score double")
+    """F12 (``mode="search"``): randomised search by k-fold CV (mean score). F13 (``mode="small_data"``): the same
+    evaluation of the one fixed small-data setting. The caller picks the mode; K.TUNE_SMALL_ROWS is what the
+    reference goes by. Returns (best params, (params, score) table)."""
+    if mode not in ("search", "small_data"):
+        raise ValueError(f"unknown mode {mode!r}")
     _, higher = primary(problem_type, metric)
-    rows = []
-    for p in draw_params(name, n_iter, seed, grid):
+    draws = [small_data_params(name)] if mode == "small_data" else draw_params(name, n_iter, seed, grid)
+    scores = {}
+    for p in draws:
         cv = cross_validate(df, t, name, problem_type, folds, metric, p, seed, key)
-        rows.append((json.dumps(p, sort_keys=True), cv.agg(F.avg("score")).first()[0]))
-    rows.sort(key=lambda r: (-(r[1] or 0) if higher else (r[1] or 0), r[0]))
-    return json.loads(rows[0][0]), df.sparkSession.createDataFrame(rows, "params string, score double")
+        scores[json.dumps(p, sort_keys=True)] = cv.agg(F.avg("score")).first()[0]
+    ranked = rank_scores(scores, higher)
+    return json.loads(ranked[0][0]), df.sparkSession.createDataFrame(ranked, "params string, score double")
 
 
 # ----------------------------------------------------------------------------- F16-F19
@@ -351,14 +399,14 @@ def score(df: DataFrame, path: str, t: str | None = None) -> DataFrame:
 
 
 def balanced_retry(train: DataFrame, test: DataFrame, t: str, current_f1: float, limit: float = 0.75,
-                   params: dict | None = None) -> tuple[str, float]:
+                   params: dict | None = None, exclude: Sequence[str] | str | None = ()) -> tuple[str, float]:
     """when F1 < limit, train a class-weighted boosted model and keep the better one.
     Returns (winner, f1)."""
     if current_f1 >= limit:
         return "current", current_f1
     weighted = E.class_weights(train, t)
     pipe = model_pipeline(weighted, t, "GBTClassifier", "binary_classification", params or {"maxIter": 20},
-                          weight="weight")
+                          weight="weight", exclude=exclude)
     model = pipe.fit(weighted)
     f1 = score_of(model, test, t, "binary_classification", "f1_binary")
     return ("balanced_gbt", f1) if f1 is not None and f1 > current_f1 else ("current", current_f1)
@@ -367,13 +415,8 @@ def balanced_retry(train: DataFrame, test: DataFrame, t: str, current_f1: float,
 # ----------------------------------------------------------------------------- G18
 
 def learning_curve(df: DataFrame, t: str, name: str, problem_type: str, folds: int = 3, steps: int = 6,
-                   params: dict | None = None, seed: int = K.SEED, max_rows: int | None = None,
-                   key: Sequence[str] | str | None = None) -> DataFrame:
-    """(size, train_mean, train_std, val_mean, val_std) for nested training subsets x folds.
-    ``max_rows`` reproduces the reference's skip above a row count (None: never skip)."""
-    if max_rows is not None and df.count() > max_rows:
-        return df.sparkSession.createDataFrame([], "size int, train_mean double, train_std double, "
-                                                   "val_mean double, val_std double")
+                   params: dict | None = None, seed: int = K.SEED, key: Sequence[str] | str | None = None) -> DataFrame:
+    """(size, train_mean, train_std, val_mean, val_std) for nested training subsets x folds."""
     m, _ = primary(problem_type)
     folded = E.add_fold(df, folds, t if problem_type != "regression" else None, seed, key)
     # subsets use another seed: with the fold seed, low hashes would be both fold 0 and subset 0
@@ -384,7 +427,7 @@ def learning_curve(df: DataFrame, t: str, name: str, problem_type: str, folds: i
         for f in range(folds):
             train = folded.where((F.col("fold") != f) & (F.col("subset") <= s)).drop("fold", "subset")
             val = folded.where(F.col("fold") == f).drop("fold", "subset")
-            model = model_pipeline(train, t, name, problem_type, params).fit(train)
+            model = model_pipeline(train, t, name, problem_type, params, exclude=key).fit(train)
             tr_scores.append(score_of(model, train, t, problem_type, m))
             va_scores.append(score_of(model, val, t, problem_type, m))
             size = train.count()

@@ -296,44 +296,31 @@ def skewness_table(df: DataFrame, cols: Sequence[str] | None = None, limit: floa
 
 # ----------------------------------------------------------------------------- B27, B28
 
-def datetime_columns(df: DataFrame, exclude: Sequence[str] = (), sample_rows: int = K.DATETIME_SAMPLE_ROWS,
-                     sample_share: float = K.DATETIME_SAMPLE_SHARE, full_share: float = K.DATETIME_FULL_SHARE,
-                     min_sample: int = K.DATETIME_MIN_SAMPLE) -> DataFrame:
+def datetime_columns(df: DataFrame, exclude: Sequence[str] = (), sample_share: float = K.DATETIME_SAMPLE_SHARE,
+                     full_share: float = K.DATETIME_FULL_SHARE, min_sample: int = K.DATETIME_MIN_SAMPLE) -> DataFrame:
     """(column, kind, sample_share, full_share, is_datetime).
 
-    Native date/time types count directly. String columns: the first ``sample_rows``
-    non-null values must parse above ``sample_share`` (and be at least ``min_sample``),
-    and the whole column (all rows as denominator) above ``full_share``.
+    Native date/time types count directly. Of a string column, the non-null values (at least ``min_sample``) must
+    parse above ``sample_share``, and of all rows more than ``full_share``. Both shares are over the whole
+    column, in one aggregate for all columns.
     """
     ex = set(exclude)
     native = [f.name for f in df.schema.fields if is_datetime(f.dataType) and f.name not in ex]
     strs = [n for n in string_cols(df) if n not in ex]
-    rows = [(n, "native", None, None, True) for n in native]
     spark = df.sparkSession
     schema = "column string, kind string, sample_share double, full_share double, is_datetime boolean"
-    out = spark.createDataFrame(rows, schema)
+    out = spark.createDataFrame([(n, "native", None, None, True) for n in native], schema)
     if not strs:
         return out
-    parsed = {n: F.try_to_timestamp(c(n)) for n in strs}
-    full = df.agg(*[(F.count_if(parsed[n].isNotNull()) / F.count(F.lit(1))).alias(f"_f{i}")
-                    for i, n in enumerate(strs)])
-    samples = []
-    for i, n in enumerate(strs):
-        s = df.where(c(n).isNotNull()).select(c(n).alias("v")).limit(sample_rows)
-        samples.append(s.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.try_to_timestamp("v").isNotNull()).alias("ok"))
-                       .select(F.lit(n).alias("column"), "n", "ok"))
-    samp = samples[0]
-    for s in samples[1:]:
-        samp = samp.unionByName(s)
-    full_long = _wide_to_long(full, {f"_f{i}": n for i, n in enumerate(strs)}, "full_share")
-    res = samp.join(full_long, "column").select(
-        "column", F.lit("string").alias("kind"),
-        F.when(F.col("n") > 0, F.col("ok") / F.col("n")).alias("sample_share"),
-        "full_share",
-        ((F.col("n") >= min_sample) & (F.col("ok") / F.col("n") > sample_share) & (F.col("full_share") > full_share))
-        .alias("is_datetime"),
-    )
-    return out.unionByName(res)
+    per = [F.struct(F.lit(n).alias("column"), F.count(c(n)).alias("n"), F.count_if(F.try_to_timestamp(c(n)).isNotNull()).alias("ok"),
+                    F.count(F.lit(1)).alias("rows")) for n in strs]
+    found = df.agg(F.array(*per).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    shares = found.select("column", F.lit("string").alias("kind"), F.when(F.col("n") > 0, F.col("ok") / F.col("n")).alias("sample_share"),
+                          F.when(F.col("rows") > 0, F.col("ok") / F.col("rows")).alias("full_share"), "n")
+    return out.unionByName(shares.select(
+        "column", "kind", "sample_share", "full_share",
+        F.coalesce((F.col("n") >= min_sample) & (F.col("sample_share") > sample_share) & (F.col("full_share") > full_share),
+                   F.lit(False)).alias("is_datetime")))
 
 
 def text_columns(df: DataFrame, exclude: Sequence[str] = (), min_distinct: int = K.TEXT_MIN_DISTINCT,

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.cumulative import default_buckets
@@ -39,57 +40,40 @@ def _classes(df: DataFrame, t: str) -> dict:
     return {r["v"]: r["n"] for r in rows}
 
 
-HASH_SPACE = float(16 ** 15)  # row_hash values are uniform on [0, 16^15)
-BAND_ROWS_LIMIT = 2_000_000   # most hash values the band pass may bring to the driver
+HASH_BITS = 60               # row_hash values are uniform on [0, 2^60)
+CUT_LEVELS = (12, 12, 36)    # bits of the hash that each histogram resolves
 
 
-def _class_cuts(df: DataFrame, t: str, h: str, ranks: dict, counts: dict | None = None) -> dict:
-    """{(class, rank): hash value at that 0-based rank within the class}, exactly.
+def _class_cuts(df: DataFrame, t: str, h: str, ranks: dict) -> dict:
+    """{(class, rank): hash value at that 0-based rank within the class}, exactly, by refining histograms.
 
-    Fast path (no shuffle): hashes are uniform, so the rank-r value of a class with n rows lies near
-    r/n of the hash space. One aggregate pass counts, per cut, the rows below and inside a band of
-    +-8 binomial standard deviations around that point; only when the counted band rows are within
-    ``BAND_ROWS_LIMIT`` does a second pass fetch them, and the cut is picked locally. If a band misses
-    the rank or holds too many rows (e.g. a heavily duplicated key), the exact bucketed running-sum
-    path (``order_statistics``) answers instead.
+    Rows are counted by (class, leading hash bits); a running sum over a class's 4,096 buckets finds the
+    bucket that holds each wanted rank, and only the rows of those buckets are counted by further bits, until
+    the value is known. Every level is one grouped count with map-side combine; the wanted cuts (classes x cut
+    points, bounded by ``CLASS_LIMIT``) are the only thing that is joined or collected.
     """
-    wanted = [(cls, r) for cls, rs in ranks.items() for r in rs]
+    wanted = [(cls, int(r)) for cls, rs in ranks.items() for r in rs]
     if not wanted:
         return {}
-    base = df.where(c(t).isNotNull())
-    counts = counts or _classes(base, t)
-    bands = {}
-    for cls, r in wanted:
-        n = counts[cls]
-        p = (r + 0.5) / n
-        half = 8.0 * math.sqrt(n * p * (1 - p)) + 16.0  # in ranks
-        lo = max(0.0, (r - half) / n) * HASH_SPACE
-        hi = min(1.0, (r + half) / n) * HASH_SPACE
-        bands[(cls, r)] = (int(lo), int(math.ceil(hi)) + 1)
-    expected = sum(min(counts[cls], (hi - lo) / HASH_SPACE * counts[cls]) for (cls, _), (lo, hi) in bands.items())
-    if expected <= BAND_ROWS_LIMIT:
-        conds = {key: (c(t) == F.lit(key[0])) & (F.col(h) >= F.lit(lo)) & (F.col(h) < F.lit(hi))
-                 for key, (lo, hi) in bands.items()}
-        # pass 1: rows below each band and rows inside it (counts only)
-        row = base.agg(*[F.count_if((c(t) == F.lit(key[0])) & (F.col(h) < F.lit(bands[key][0]))).alias(f"_b{i}")
-                         for i, key in enumerate(bands)],
-                       *[F.count_if(cond).alias(f"_k{i}") for i, cond in enumerate(conds.values())]).first()
-        in_bands = sum(row[f"_k{i}"] for i in range(len(bands)))
-        if in_bands <= BAND_ROWS_LIMIT:  # proven bound (duplicated keys could crowd a band)
-            any_band = F.lit(False)
-            for cond in conds.values():
-                any_band = any_band | cond
-            # pass 2: the band values themselves, at most BAND_ROWS_LIMIT rows
-            got = base.where(any_band).select(c(t).alias("_c"), F.col(h).alias("_h")).collect()
-            out = {}
-            for i, (key, (lo, hi)) in enumerate(bands.items()):
-                vals = sorted(r["_h"] for r in got if r["_c"] == key[0] and lo <= r["_h"] < hi)
-                idx = key[1] - row[f"_b{i}"]
-                if 0 <= idx < len(vals):
-                    out[key] = vals[idx]
-            if len(out) == len(wanted):
-                return out
-    return order_statistics(base, h, t, wanted)
+    spark = df.sparkSession
+    kind = df.schema[t].dataType
+    schema = T.StructType([T.StructField("_c", kind), T.StructField("_rank", T.LongType()),
+                           T.StructField("_left", T.LongType()), T.StructField("_prefix", T.LongType())])
+    state = [(cls, r, r, 0) for cls, r in wanted]
+    shift = HASH_BITS
+    for bits in CUT_LEVELS:
+        cuts = spark.createDataFrame(state, schema)
+        inside = F.broadcast(cuts.select("_c", "_prefix").distinct())
+        rows = df.select(c(t).alias("_c"), F.col(h).alias("_h"), F.shiftright(h, shift).alias("_prefix")).join(
+            inside, ["_c", "_prefix"], "left_semi")
+        shift -= bits
+        counts = rows.groupBy("_c", "_prefix", F.shiftright("_h", shift).alias("_next")).agg(F.count(F.lit(1)).alias("_n"))
+        below = F.sum("_n").over(Window.partitionBy("_c", "_prefix").orderBy("_next").rowsBetween(Window.unboundedPreceding, -1))
+        found = counts.withColumn("_below", F.coalesce(below, F.lit(0))).join(F.broadcast(cuts), ["_c", "_prefix"]) \
+            .where((F.col("_below") <= F.col("_left")) & (F.col("_left") < F.col("_below") + F.col("_n")))
+        state = [(r["_c"], r["_rank"], r["_left"] - r["_below"], r["_next"]) for r in
+                 found.select("_c", "_rank", "_left", "_below", "_next").collect()]
+    return {(cls, r): value for cls, r, _, value in state}
 
 
 def _below_cut(t: str, h: str, cut_by_class: dict) -> Column:
@@ -113,7 +97,7 @@ def test_flag(df: DataFrame, t: str | None = None, test: float = 0.2, seed: int
     out = df.withColumn("_h", row_hash(df, key, seed))
     counts = _classes(out, t)
     ranks = {cls: [int(math.floor(test * n))] for cls, n in counts.items() if cls is not None and int(test * n) > 0}
-    got = _class_cuts(out, t, "_h", ranks, counts)
+    got = _class_cuts(out, t, "_h", ranks)
     cuts = {cls: got[(cls, r[0])] for cls, r in ranks.items()}
     return out.withColumn("is_test", _below_cut(t, "_h", cuts)).drop("_h")
 
@@ -151,7 +135,7 @@ def stratified_sample(df: DataFrame, t: str, size: int, seed: int = K.SEED,
     counts = _classes(out, t)
     alloc = allocate(size, counts)
     ranks = {cls: [a - 1] for cls, a in alloc.items() if a > 0}
-    got = _class_cuts(out, t, "_h", ranks, counts)
+    got = _class_cuts(out, t, "_h", ranks)
     cuts = {cls: got[(cls, r[0])] for cls, r in ranks.items()}
     expr = F.lit(False)
     for cls, cut in cuts.items():
@@ -189,7 +173,7 @@ def add_fold(df: DataFrame, k: int = 5, t: str | None = None, seed: int = K.SEED
     counts = _classes(out, t)
     ranks = {cls: sorted({int(math.floor(j * n / k)) for j in range(1, k)} - {n}) for cls, n in counts.items()
              if cls is not None}
-    got = _class_cuts(out, t, "_h", ranks, counts)
+    got = _class_cuts(out, t, "_h", ranks)
     fold = None
     for cls, rs in ranks.items():
         cuts = [got[(cls, r)] for r in rs]
@@ -205,122 +189,87 @@ def safe_folds(n: int) -> int:
 
 # ----------------------------------------------------------------------------- E6
 
+HEAP_ROWS = 20_000  # rows that one window of an ordering may hold
+
+
 def smote(train: DataFrame, t: str, features: Sequence[str] | None = None, k: int = 5, seed: int = K.SEED,
-          minority=None, exact_limit: int = 50_000, window: int = 3, projections: int = 4,
-          key: Sequence[str] | str | None = None) -> DataFrame:
-    """Synthetic minority rows until the minority matches the majority count.
-
-    Each synthetic row lies on the segment between a minority row and one of its ``k`` nearest
-    minority neighbours (Euclidean), at a hash-derived position. Neighbours are exact when the
-    minority class has at most ``exact_limit`` rows (a size-checked broadcast scored per task with
-    numpy); above it, candidates come from ``window`` rows on each side in ``projections`` random
-    1-D orderings, and the k nearest candidates are kept (approximate, bounded work per row).
+          classes: Sequence | None = None, window: int = 5, projections: int = 6) -> DataFrame:
+    """Synthetic rows until every class (or each of ``classes``) has as many rows as the largest one.
+
+    Each synthetic row lies on the segment between a row of its class and one of that row's ``k`` nearest
+    neighbours in the class, at a hash-derived position. Neighbours are sought the same way at every size:
+    candidates are the ``window`` rows on each side in ``projections`` random one-dimensional orderings, ranked by
+    exact Euclidean distance. Rows with a null, NaN or infinite feature neither give nor receive neighbours, so no
+    value is made up; a null class is left alone; a class with fewer than two complete rows stays as it is.
     Apply to training rows only.
     """
     features = list(features or numeric_cols(train, exclude=[t]))
-    counts = _classes(train, t)
-    if minority is None:
-        minority = min(counts, key=lambda v: (counts[v], str(v)))
-    n_min, n_maj = counts[minority], max(counts.values())
-    n_new = n_maj - n_min
-    if n_new <= 0 or n_min < 2:
+    counts = {v: n for v, n in _classes(train, t).items() if v is not None}
+    most = max(counts.values(), default=0)
+    short = {v: most - n for v, n in counts.items() if n < most and (classes is None or v in set(classes))}
+    if not short:
+        return train
+    point = F.array(*[c(x).cast("double") for x in features])
+    complete = F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    # identical rows share a row hash, so ids come from monotonically_increasing_id and are pinned by a
+    # reliable checkpoint in the shared folder (stable under task retries)
+    base = cut_lineage(train.where(c(t).isin(*short)).select(c(t).alias("_t"), point.alias("_x")).where(complete)
+                       .withColumn("_id", F.monotonically_increasing_id()))
+    have = {r["_t"]: r["n"] for r in base.groupBy("_t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plan = {v: divmod(need, have[v]) for v, need in short.items() if have.get(v, 0) >= 2}
+    if not plan:
         return train
-    kk = min(k, n_min - 1)
-    # identical minority rows share a row hash, so ids come from monotonically_increasing_id and
-    # are pinned by a reliable checkpoint in the shared folder (stable under task retries)
-    mino = train.where(c(t) == F.lit(minority)).select(
-        F.array(*[c(x).cast("double") for x in features]).alias("_x")).withColumn("_id", F.monotonically_increasing_id())
-    mino = cut_lineage(mino)
-    if n_min <= exact_limit:
-        nbrs = _knn_exact(mino, kk)
-    else:
-        nbrs = _knn_projected(mino, kk, window, projections, seed)
-    # rows ranked by id get floor(n_new / n_min) samples, the first n_new % n_min one more
-    per, extra = divmod(n_new, n_min)
-    ranked = nbrs.withColumn("_n", F.lit(per))
-    if extra:
-        cut = order_statistics(nbrs.withColumn("_one", F.lit(1)), "_id", "_one", [(1, extra - 1)])[(1, extra - 1)]
-        ranked = ranked.withColumn("_n", F.col("_n") + (F.col("_id") <= F.lit(cut)).cast("int"))
-    gen = ranked.where(F.col("_n") > 0).select("_x", "_nb", "_id", F.explode(F.sequence(F.lit(1), "_n")).alias("_s"))
+    nbrs = _neighbours(base.where(F.col("_t").isin(*plan)), k, window, projections, seed, len(features))
+    # every row of a class gets floor(need / rows) samples, those with the smallest ids one more
+    extras = [(v, extra - 1) for v, (_, extra) in plan.items() if extra]
+    cuts = order_statistics(base, "_id", "_t", extras) if extras else {}
+    times = F.lit(0)
+    for v, (per, extra) in plan.items():
+        more = (F.col("_id") <= F.lit(cuts[(v, extra - 1)])).cast("int") if extra else F.lit(0)
+        times = F.when(F.col("_t") == F.lit(v), F.lit(per) + more).otherwise(times)
+    gen = nbrs.withColumn("_n", times).where(F.col("_n") > 0).withColumn("_s", F.explode(F.sequence(F.lit(1), "_n")))
     pick = F.pmod(F.xxhash64("_id", "_s", F.lit(seed)), F.size("_nb")).cast("int")
     gap = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("_id").cast("string"), F.col("_s").cast("string"),
                                                F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / float(16 ** 8)
-    synth = gen.select(F.col("_x"), F.element_at("_nb", pick + 1).alias("_y"), gap.alias("_u")).select(
-        F.zip_with("_x", "_y", lambda a, b: a + (b - a) * F.col("_u")).alias("_v"))
-    rows = synth.select(*[F.col("_v")[i].alias(x) for i, x in enumerate(features)],
-                        F.lit(minority).cast(train.schema[t].dataType).alias(t))
-    for x in train.columns:
-        if x not in rows.columns:
-            rows = rows.withColumn(x, F.lit(None).cast(train.schema[x].dataType))
-    rows = rows.select(*[F.col(x).cast(train.schema[x].dataType).alias(x) for x in train.columns])
-    return train.unionByName(rows)
-
-
-def _knn_exact(mino: DataFrame, k: int) -> DataFrame:
-    """(_id, _x, _nb): the k nearest other minority rows, by numpy over a size-checked broadcast."""
-    import numpy as np
-    import pandas as pd
-    ref = mino.select("_id", "_x").collect()  # bounded by exact_limit (checked by the caller)
-    ids = np.array([r["_id"] for r in ref], dtype=np.int64)
-    mat = np.array([r["_x"] for r in ref], dtype=np.float64)
-    bc = mino.sparkSession.sparkContext.broadcast((ids, np.nan_to_num(mat)))
-
-    chunk = max(1, 4_000_000 // max(len(ids), 1))  # query rows per distance block (~32 MB of doubles)
-
-    def score(batches):
-        rid, rmat = bc.value
-        rn = (rmat * rmat).sum(axis=1)
-        for pdf in batches:
-            q_all = np.nan_to_num(np.array(pdf["_x"].tolist(), dtype=np.float64))
-            q_ids = pdf["_id"].to_numpy()
-            nbs = []
-            for s in range(0, len(pdf), chunk):
-                q = q_all[s:s + chunk]
-                d = (q * q).sum(axis=1)[:, None] + rn[None, :] - 2.0 * q @ rmat.T
-                d[q_ids[s:s + chunk, None] == rid[None, :]] = np.inf
-                kk = min(k, d.shape[1] - 1)
-                part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk > 0 else np.zeros((len(q), 0), int)
-                rows = np.arange(len(q))[:, None]
-                order = part[rows, np.argsort(d[rows, part], axis=1, kind="stable")]
-                nbs += [rmat[o].tolist() for o in order]
-            pdf = pdf.copy()
-            pdf["_nb"] = nbs
-            yield pdf[["_id", "_x", "_nb"]]
-
-    out = mino.mapInPandas(score, "_id long, _x array<double>, _nb array<array<double>>")
-    return out
-
-
-def _knn_projected(mino: DataFrame, k: int, window: int, projections: int, seed: int) -> DataFrame:
-    """Approximate k nearest neighbours from neighbours in random 1-D orderings (bounded candidates)."""
+    synth = gen.select("_t", "_x", F.element_at("_nb", pick + 1).alias("_y"), gap.alias("_u")).select(
+        "_t", F.zip_with("_x", "_y", lambda a, b: a + (b - a) * F.col("_u")).alias("_v"))
+    made = {x: F.col("_v")[i] for i, x in enumerate(features)} | {t: F.col("_t")}
+    return train.unionByName(synth.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+                                            for f in train.schema.fields]))
+
+
+def _neighbours(base: DataFrame, k: int, window: int, projections: int, seed: int, dim: int) -> DataFrame:
+    """(_t, _id, _x, _nb): the k nearest of the candidates that random one-dimensional orderings put next to a row."""
     import random
-    dim = len(mino.first()["_x"])
     rng = random.Random(seed)
     cands = None
-    for p in range(projections):
+    for _ in range(projections):
         vec = [rng.gauss(0, 1) for _ in range(dim)]
-        proj = F.aggregate(F.zip_with("_x", F.array(*[F.lit(v) for v in vec]), lambda a, b: a * b),
-                           F.lit(0.0), lambda s, x: s + x)
-        withp = mino.withColumn("_p", proj)
-        # range buckets on the projection (bounded edge list) so no window holds the whole class
-        n_b = default_buckets(mino)
-        edges = withp.agg(F.percentile_approx("_p", [i / n_b for i in range(1, n_b)], 10_000)).first()[0] or []
+        along = F.aggregate(F.zip_with("_x", F.array(*[F.lit(v) for v in vec]), lambda a, b: a * b),
+                            F.lit(0.0), lambda s, x: s + x)
+        placed = base.withColumn("_p", along)
+        # range buckets on the projection (bounded edge list) so no window holds a whole class
+        n_b = default_buckets(base)
+        edges = placed.agg(F.percentile_approx("_p", [i / n_b for i in range(1, n_b)], 10_000)).first()[0] or []
         edges = sorted(set(edges))
         bucket = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col("_p"))) \
             if edges else F.lit(0)
-        # a hash sub-split keeps a heap of identical points (one projection value, one range bucket)
-        # from landing in a single task; such points are equally near neighbours of each other
-        withp = withp.withColumn("_b", bucket).withColumn("_sub", F.pmod(F.xxhash64("_id"), F.lit(4)))
-        w = Window.partitionBy("_b", "_sub").orderBy("_p", "_id")
-        near = [F.lag(F.struct("_id", "_x"), j).over(w) for j in range(1, window + 1)] + \
-               [F.lead(F.struct("_id", "_x"), j).over(w) for j in range(1, window + 1)]
-        part = withp.select("_id", "_x", F.filter(F.array(*near), lambda s: s.isNotNull()).alias("_c"))
+        placed = placed.withColumn("_b", bucket)
+        # a heap (such as many identical points in one bucket) is split by as much as it is too large
+        heaps = placed.groupBy("_t", "_b").agg(F.ceil(F.count(F.lit(1)) / HEAP_ROWS).alias("_k"))
+        placed = placed.join(heaps, ["_t", "_b"]).withColumn("_sub", F.pmod(F.xxhash64("_id"), F.col("_k")))
+        w = Window.partitionBy("_t", "_b", "_sub").orderBy("_p", "_id")
+        near = [f(F.struct("_id", "_x"), j).over(w) for f in (F.lag, F.lead) for j in range(1, window + 1)]
+        part = placed.select("_t", "_id", "_x", F.filter(F.array(*near), lambda s: s.isNotNull()).alias("_c"))
         cands = part if cands is None else cands.unionByName(part)
-    grouped = cands.groupBy("_id").agg(F.first("_x").alias("_x"), F.flatten(F.collect_list("_c")).alias("_c"))
+    grouped = cands.groupBy("_t", "_id").agg(F.first("_x").alias("_x"), F.flatten(F.collect_list("_c")).alias("_c"))
     dist = F.transform(F.array_distinct("_c"), lambda s: F.struct(
         F.aggregate(F.zip_with(s["_x"], F.col("_x"), lambda a, b: (a - b) * (a - b)), F.lit(0.0),
                     lambda acc, v: acc + v).alias("d"), s["_id"].alias("i"), s["_x"].alias("x")))
-    return grouped.select("_id", "_x", F.transform(F.slice(F.array_sort(dist), 1, k), lambda s: s["x"]).alias("_nb"))
+    best = F.transform(F.slice(F.array_sort(dist), 1, k), lambda s: s["x"])
+    # alone in all its windows: its own point is all there is
+    return grouped.select("_t", "_id", "_x", best.alias("_nb")).withColumn(
+        "_nb", F.when(F.size("_nb") > 0, F.col("_nb")).otherwise(F.array("_x")))
 
 
 # ----------------------------------------------------------------------------- E7, E8, E9

@@ -14,14 +14,7 @@ _MODULES = [
 
 
 def _loaded():
-    mods = []
-    for name in _MODULES:
-        try:
-            mods.append(importlib.import_module(name))
-        except ModuleNotFoundError as e:
-            if e.name != name:
-                raise
-    return mods
+    return [importlib.import_module(name) for name in _MODULES]
 
 
 def all_queries() -> dict:

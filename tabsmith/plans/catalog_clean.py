@@ -541,4 +541,12 @@ SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(13 AS BIGINT) AS n_cols, 'string
 FROM ({D})
 """)
 def c33(spark, d):
-    return C.cleaning_summary(FR.dirty_lineitem(spark, d), "l_returnflag")
+    df = FR.dirty_lineitem(spark, d)
+    values = C.target_values(df, "l_returnflag").agg(  # a three-valued flag
+        F.array_join(F.sort_array(F.collect_list("target_value")), ",").alias("target_values"))
+    return C.cleaning_summary(df, "l_returnflag").join(values, F.lit(True))
+
+
+@reg("c33_target_values", f"SELECT DISTINCT l_returnflag AS target_value FROM ({D})")
+def c33v(spark, d):
+    return C.target_values(FR.dirty_lineitem(spark, d), "l_returnflag")

@@ -163,7 +163,7 @@ SELECT quality, CAST((SELECT max(n) FROM c) AS BIGINT) AS n FROM c
 """)
 def e06p(spark, d):
     df = FR.doc_features(spark, d).select("quality", *_SMOTE_FEATS)
-    out = E.smote(df, "quality", _SMOTE_FEATS, exact_limit=0)
+    out = E.smote(df, "quality", _SMOTE_FEATS, window=3, projections=4)
     return out.groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
 
 

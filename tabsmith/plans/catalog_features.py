@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zipfile
+from pathlib import Path
+
+import pyspark
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
@@ -25,7 +29,16 @@ def reg(name: str, sql: str | None = None):
 D = FR.DIRTY_LINEITEM_SQL
 DF = FR.DOC_FEATURES_SQL
 PL = FR.PRICED_LINEITEM_SQL
-STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in FE.default_stop_words())
+
+
+def _stop_words() -> list[str]:
+    """The list that the operator loads, for the SQL text; read from the package, as no session runs yet."""
+    jar = next(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
+    with zipfile.ZipFile(jar) as z:
+        return [w for w in z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split("\n") if w]
+
+
+STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in _stop_words())
 
 
 # ----------------------------------------------------------------------------- D1, D2

@@ -32,11 +32,11 @@ def reg(name: str, sql: str | None = None):
 
 
 DOCS = FR.LABELLED_DOCS_SQL
-SMALL = {"RandomForestClassifier": {"numTrees": 20, "maxDepth": 5},
+SMALL = {"RandomForestClassifier": {"numTrees": 100, "maxDepth": 10},
          "GBTClassifier": {"maxIter": 10, "maxDepth": 3, "stepSize": 0.1},
-         "RandomForestRegressor": {"numTrees": 20, "maxDepth": 5},
+         "RandomForestRegressor": {"numTrees": 100, "maxDepth": 10},
          "GBTRegressor": {"maxIter": 10, "maxDepth": 3, "stepSize": 0.1},
-         "LogisticRegression": {"maxIter": 100, "C": 1.0}}
+         "LogisticRegression": {"maxIter": 500, "C": 1.0}}
 _FEATS = ["n_chars", "text_len", "n_words", "n_lines", "n_periods"]
 
 
@@ -100,10 +100,9 @@ def a08(spark, d):
     return A.select_columns(cu, rename={"c_custkey": "id", "c_acctbal": "balance"}, numeric_only=True)
 
 
-@reg("a10_materialize", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'R'")
+@reg("a10_materialize", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
 def a10(spark, d):
-    li = FR.table(spark, d, "lineitem").where(F.col("l_returnflag") == "R")
-    return A.materialize(li.select("l_orderkey", "l_linenumber", "l_quantity"), "returned")
+    return A.materialize(FR.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "lines")
 
 
 @reg("a12_write_metrics")
@@ -159,7 +158,7 @@ def f12(spark, d):
 @reg("f15_cross_validate")
 def f15(spark, d):
     return M.cross_validate(_docs_model_frame(spark, d), "quality", "LogisticRegression", "binary_classification",
-                            k=3, params=SMALL["LogisticRegression"], key="doc_id")
+                            params=SMALL["LogisticRegression"], key="doc_id")
 
 
 @reg("f18_feature_importance")
@@ -191,7 +190,7 @@ def f17(spark, d):
 @reg("g18_learning_curve")
 def g18(spark, d):
     df = _docs_model_frame(spark, d).drop("lang")
-    return M.learning_curve(df, "quality", "LogisticRegression", "binary_classification", folds=2, steps=3,
+    return M.learning_curve(df, "quality", "LogisticRegression", "binary_classification", folds=3, steps=6,
                             params=SMALL["LogisticRegression"], key="doc_id")
 
 
@@ -232,11 +231,22 @@ def f20(spark, d):
 
 @reg("f22_ablation")
 def f22(spark, d):
-    df = _docs_model_frame(spark, d).drop("lang")
-    configs = {"raw": lambda x: x.select("doc_id", "quality", "fold", "n_chars"),
-               "all_counts": lambda x: x}
-    scores, summary = PR.ablation(df, "quality", configs, learner="LogisticRegression", k=2,
-                                  params=SMALL["LogisticRegression"], key="doc_id")
+    df = _docs_model_frame(spark, d)
+    base = ["doc_id", "quality", "fold", "n_chars"]
+
+    def counts(x):
+        return x.drop("lang")
+
+    def engineered(x):
+        return x.withColumns({"words_per_line": F.col("n_words") / (1 + F.col("n_lines")), "log_len": F.log1p("text_len"),
+                              "len_squared": F.col("text_len") ** 2})
+
+    logistic, boosted = ("LogisticRegression", SMALL["LogisticRegression"]), ("GBTClassifier", SMALL["GBTClassifier"])
+    configs = {"baseline": (lambda x: x.select(*base), *logistic), "cleaned": (counts, *logistic),
+               "engineered": (engineered, *logistic), "prescreened": (engineered, *boosted),
+               "critic": (lambda x: engineered(x).drop("n_periods"), *boosted),
+               "feedback": (lambda x: engineered(x).withColumn("words_x_lines", F.col("n_words") * F.col("n_lines")), *boosted)}
+    scores, summary = PR.ablation(df, "quality", configs, k=3, key="doc_id")
     return summary
 
 
@@ -253,21 +263,25 @@ def f24(spark, d):
     docs = _docs_model_frame(spark, d)
     tables = {"quality": (docs, "quality", ["doc_id"]),
               "toxic": (FR.doc_features(spark, d).select("toxic", *_FEATS), "toxic", [])}
-    return PR.evaluate_many(tables, params=SMALL["GBTClassifier"])
+    return PR.evaluate_many(tables, params=SMALL["GBTClassifier"])[0]
+
+
+@reg("f24_calibration")
+def f24c(spark, d):
+    return PR.evaluate_many({"quality": (_docs_model_frame(spark, d), "quality", ["doc_id"])}, params=SMALL["GBTClassifier"])[1]
 
 
 @reg("f21_full_run")
 def f21(spark, d):
     df = _docs_model_frame(spark, d).drop("lang")
-    out = PR.full_run(df, "quality", key="doc_id", folds=2, n_iter=2,
-                      scout_candidates=["LogisticRegression", "RandomForestClassifier"], sizes=SMALL)
+    out = PR.full_run(df, "quality", key="doc_id", folds=3, n_iter=4, scout_candidates=["LogisticRegression", "RandomForestClassifier"])
     return out["ranking"]
 
 
 @reg("f13_tune_small_data")
 def f13(spark, d):
     df = _docs_model_frame(spark, d).drop("lang")
-    best, table = M.tune(df, "quality", "RandomForestClassifier", "binary_classification", key="doc_id")
+    best, table = M.tune(df, "quality", "RandomForestClassifier", "binary_classification", mode="small_data", key="doc_id")
     return table
 
 
@@ -332,6 +346,6 @@ def s01(spark, d):
 
 @reg("z_run_all")
 def z_run_all(spark, d):
-    df = FR.doc_features(spark, d).drop("doc_id", "toxic")
-    out = S.run_all(df, "quality", models=["LogisticRegression"])
-    return out["comparison"]
+    df = FR.doc_features(spark, d).drop("toxic")
+    out = S.run_all(df, "quality", key="doc_id", models=["LogisticRegression", "RandomForestClassifier"], n_iter=4, folds=3)
+    return out["metrics"]

@@ -328,7 +328,7 @@ _DT_FRAME = "SELECT strftime(o_orderdate, '%Y-%m-%d') AS o_date_text, o_orderpri
 
 
 def _dt_sql(col: str) -> str:
-    sample = f"SELECT {col} AS v FROM ({_DT_FRAME}) WHERE {col} IS NOT NULL LIMIT 50"
+    sample = f"SELECT {col} AS v FROM ({_DT_FRAME}) WHERE {col} IS NOT NULL"
     return f"""
 SELECT '{col}' AS "column", 'string' AS kind, ROUND(s.ok / s.n, 6) AS sample_share, ROUND(f.share, 6) AS full_share,
        s.n >= 5 AND s.ok / s.n > 0.8 AND f.share > 0.7 AS is_datetime

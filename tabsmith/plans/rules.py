@@ -59,22 +59,25 @@ def imbalance_strategy(df: DataFrame, t: str, max_classes: int = 10) -> DataFram
     return P.imbalance_ratio(df, t, max_classes).withColumn("strategy", imbalance_strategy_expr(F.col("ratio")))
 
 
-# Model shortlists by problem type and row band (<500, <50,000, more).
+# Model shortlists by problem type and band.
 SHORTLIST = {
-    "regression": [["LinearRegression", "Ridge", "Lasso"],
-                   ["Ridge", "RandomForestRegressor", "GBTRegressor"],
-                   ["GBTRegressor", "Ridge"]],
-    "classification": [["LogisticRegression", "RandomForestClassifier"],
-                       ["LogisticRegression", "RandomForestClassifier", "GBTClassifier"],
-                       ["GBTClassifier", "LogisticRegression"]],
+    "regression": {"small": ["LinearRegression", "Ridge", "Lasso"],
+                   "medium": ["Ridge", "RandomForestRegressor", "GBTRegressor"],
+                   "large": ["GBTRegressor", "Ridge"]},
+    "classification": {"small": ["LogisticRegression", "RandomForestClassifier"],
+                       "medium": ["LogisticRegression", "RandomForestClassifier", "GBTClassifier"],
+                       "large": ["GBTClassifier", "LogisticRegression"]},
 }
 
 
-def shortlist_models(n_rows: int, problem_type: str) -> list[str]:
-    """B20. Boosted learners of the other libraries map to MLlib GBT (no alias names kept)."""
-    band = 0 if n_rows < K.ROWS_SMALL else (1 if n_rows < K.ROWS_MEDIUM else 2)
-    key = "regression" if problem_type == "regression" else "classification"
-    return list(SHORTLIST[key][band])
+def suggested_band(n_rows: int) -> str:
+    """The band that the row count suggests; a plan reports it, the caller chooses."""
+    return "small" if n_rows < K.ROWS_SMALL else "medium" if n_rows < K.ROWS_MEDIUM else "large"
+
+
+def shortlist_models(problem_type: str, band: str = "medium") -> list[str]:
+    """Candidate learners of a band. Boosted learners of the other libraries map to MLlib GBT (no alias names kept)."""
+    return list(SHORTLIST["regression" if problem_type == "regression" else "classification"][band])
 
 
 def default_metric(problem_type: str) -> str:
@@ -175,6 +178,7 @@ class Plan:
     interactions: bool = True
     polynomial: bool = False
     bins: bool = True
+    suggested_band: str = "medium"
 
 
 def feature_plan(n_cols: int, skewed: list[str], strategy: str) -> dict[str, bool]:
@@ -189,8 +193,8 @@ def feature_plan(n_cols: int, skewed: list[str], strategy: str) -> dict[str, boo
     }
 
 
-def build_plan(df: DataFrame, t: str, ordinals: dict[str, list[str]] | None = None) -> Plan:
-    """Collect the bounded profile (one row per column) and apply every rule once."""
+def build_plan(df: DataFrame, t: str, ordinals: dict[str, list[str]] | None = None, band: str = "medium") -> Plan:
+    """Collect the bounded profile (one row per column) and apply every rule once. ``band`` picks the shortlist."""
     ordinals = K.ORDERED_ORDINALS if ordinals is None else ordinals
     table = {r["column"]: r.asDict() for r in plan_table(df, t).collect()}
     pt_row = detect_problem_type(df, t).first()
@@ -215,7 +219,7 @@ def build_plan(df: DataFrame, t: str, ordinals: dict[str, list[str]] | None = No
     flags = feature_plan(len(df.columns), skewed, imb["strategy"])
     return Plan(
         target=t, problem_type=ptype, metric=default_metric(ptype), n_rows=n_rows, n_cols=len(df.columns),
-        imbalance_ratio=imb["ratio"], imbalance_strategy=imb["strategy"], models=shortlist_models(n_rows, ptype),
+        imbalance_ratio=imb["ratio"], imbalance_strategy=imb["strategy"], models=shortlist_models(ptype, band), suggested_band=suggested_band(n_rows),
         null_patterns={k: v["null_pattern"] for k, v in table.items() if v["null_pattern"]},
         encoding=enc, id_columns=id_cols,
         constant_columns=[k for k, v in table.items() if v["is_constant"]],

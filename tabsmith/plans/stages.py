@@ -21,15 +21,15 @@ from ..functions.exprs import datetime_typed_cols, numeric_cols, string_cols
 from ..operators import audit as H
 from ..operators import clean as C
 from ..operators import features as FE
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_path
 from .rules import Plan, build_plan
 
-# Reason text per cleaning action (joined to the step log).
+# Reason text per cleaning action (joined to the step log).
 REASONS = {
     "sentinel_to_null": "encoded missing value replaced by NULL",
     "id_like": "identifier carries no signal",
-    "mostly_missing": "imputing this much data manufactures signal",
-    "constant": "no information content",
+    "mostly_missing": "too few observed values to fill the rest from",
+    "constant": "one value in every row cannot tell rows apart",
     "median": "few missing values: median fill",
     "flag_median": "moderate missing share: indicator flag plus median",
     "drop": "too many missing values to impute",
@@ -211,6 +211,11 @@ class Featurizer:
         if plan.prune_correlated:
             cur, dropped = FE.prune_correlated(cur, t)
             steps.append(lambda d, dropped=dropped: d.drop(*dropped))
+        flagged = [x for x in numeric_cols(cur) if x != t and f"{x}_was_missing" not in cur.columns
+                   and cur.where(F.col(f"`{x}`").isNull()).limit(1).count()] if plan.missing_flags else []
+        if flagged:
+            steps.append(lambda d, cols=flagged: FE.missing_flags(d, cols))
+            cur = FE.missing_flags(cur, flagged)
         if plan.log_transform:
             cur, done = C.log_transform(cur, [x for x in plan.skewed_columns if x in cur.columns], t, min_skew=K.LOG_SKEW)
             steps.append(lambda d, done=done: d.withColumns({x: F.log1p(F.col(f"`{x}`")) for x in done}) if done else d)
@@ -251,22 +256,66 @@ class FittedFeaturizer:
         return df
 
 
+def rebalanced(train: DataFrame, t: str, strategy: str, key: Sequence[str] | str | None = None) -> tuple[DataFrame, str | None]:
+    """The plan's imbalance strategy on training rows: (rows, weight column or None). SMOTE rows get weights too, as do
+    rows where the threshold is tuned; synthetic rows have no key."""
+    from ..operators import models as M
+    from ..operators import split as E
+    if strategy == "none":
+        return train, None
+    if strategy == "smote_plus_class_weight":
+        aside = {t, *M.key_columns(key)}
+        train = E.smote(train, t, [x for x in numeric_cols(train) if x not in aside])
+    return E.class_weights(train, t, col="__weight"), "__weight"
+
+
+def model_stage(train: DataFrame, test: DataFrame, t: str, plan: Plan, key: Sequence[str] | str | None = None,
+                candidates: Sequence[str] | None = None, n_iter: int = K.TUNE_DRAWS, folds: int = K.TUNE_FOLDS, grids: dict | None = None,
+                path: str | None = None) -> dict:
+    """Scout -> best two -> train with the imbalance plan -> tune the better one -> threshold on a validation part ->
+    cross-validate -> importance -> save -> H3 gate. Test rows are used for the final metrics alone."""
+    from ..operators import metrics as G
+    from ..operators import models as M
+    from ..operators import split as E
+    ptype, spark = plan.problem_type, train.sparkSession
+    binary = ptype == "binary_classification"
+    strat = t if ptype != "regression" else None
+    ranking = M.scout(train, t, ptype, None if ptype == "regression" else plan.metric, candidates=candidates or plan.models, key=key)
+    fit_rows, valid = E.train_test_split(train, strat, stratify=strat is not None, key=key)
+    rows, weight = rebalanced(fit_rows, t, plan.imbalance_strategy, key) if strat else (fit_rows, None)
+    rows = cut_lineage(rows)
+    aside = [*M.key_columns(key), *([weight] if weight else [])]
+    best, compared = M.train_and_select(rows, valid, t, M.top_two(ranking), ptype, plan.metric, weight=weight, exclude=aside)
+    params, search = M.tune(train, t, best.name, ptype, n_iter, folds, plan.metric, grid=(grids or {}).get(best.name), key=key)
+    model = M.model_pipeline(rows, t, best.name, ptype, params, weight, exclude=aside).fit(rows)
+    threshold = 0.5
+    if binary:
+        threshold = G.best_threshold(G.threshold_sweep(M.predictions(model, valid, t), positive=1.0))
+    cv = M.cross_validate(train, t, best.name, ptype, folds, plan.metric, params, key=key)
+    metrics = M.evaluate(model, test, t, ptype, threshold if binary else None)
+    path = M.save_pipeline(model, path or shared_path(spark, "modelled"), threshold)
+    return {"ranking": ranking, "comparison": compared, "search": search, "best": best.name, "params": params, "threshold": threshold,
+            "cv": G.fold_summary(cv), "metrics": metrics, "importance": M.feature_importance(model), "path": path,
+            "gate_model": H.gate_model(spark, metrics, ptype, path, path)}
+
+
 def run_all(df: DataFrame, t: str, ordinals: dict | None = None, test: float = 0.2, models: Sequence[str] | None = None,
-            key: Sequence[str] | str | None = None) -> dict:
-    """Profile -> plan -> clean (fitted on train) -> features -> train/select -> evaluate -> gates."""
+            key: Sequence[str] | str | None = None, **modelling) -> dict:
+    """Split -> profile and plan on train -> clean -> features -> model stage -> gates. Everything is fitted on train and
+    replayed on test; the split key stays out of cleaning, features and models."""
     from ..operators import models as M
     from ..operators import split as E
-    plan = build_plan(df, t, ordinals)
-    strat = plan.problem_type != "regression"
+    from .rules import detect_problem_type
+    strat = detect_problem_type(df, t).first()["problem_type"] != "regression"
     train, test_df = E.train_test_split(df, t if strat else None, test, stratify=strat, key=key)
-    cleaner, clean_train = Cleaner(plan).fit(train)
-    clean_test = cleaner.transform(test_df)
+    aside = M.key_columns(key)
+    plan = build_plan(train.drop(*aside), t, ordinals)
+    cleaner, clean_train = Cleaner(plan).fit(train.drop(*aside))
+    clean_test = cleaner.transform(test_df.drop(*aside))
     gate_c = H.gate_cleaned(clean_train, t)
     feat = Featurizer(plan)
     featurizer, feat_train, report, gate_f = feat.fit(clean_train)
-    feat_test = featurizer.transform(clean_test)  # the same fitted steps, replayed on test rows
-    names = list(models or plan.models)
-    best, table = M.train_and_select(feat_train, feat_test.select(*feat_train.columns), t, names, plan.problem_type,
-                                     plan.metric)
+    feat_test = featurizer.transform(clean_test).select(*feat_train.columns)  # the same fitted steps, replayed on test rows
+    done = model_stage(feat_train, feat_test, t, plan, candidates=models, **modelling)
     return {"plan": plan, "cleaning_log": cleaner.log(df.sparkSession), "gate_cleaned": gate_c,
-            "feature_report": report, "gate_features": gate_f, "comparison": table, "best": best.name}
+            "feature_report": report, "gate_features": gate_f, **done}

@@ -46,12 +46,15 @@ def test_split_independent_of_layout_and_disjoint(spark):
     assert train.count() + test.count() == docs.count()
 
 
-def test_stratified_cuts_band_path_equals_running_sum_path(spark, monkeypatch):
-    docs = FR.labelled_docs(spark, SMALL).select("doc_id", "quality")
-    fast = sorted(r[0] for r in E.test_flag(docs, "quality", stratify=True, key="doc_id").where("is_test").collect())
-    monkeypatch.setattr(E, "BAND_ROWS_LIMIT", 0)  # forces the bucketed running-sum path
-    exact = sorted(r[0] for r in E.test_flag(docs, "quality", stratify=True, key="doc_id").where("is_test").collect())
-    assert fast == exact and len(fast) > 0
+def test_stratified_cuts_are_order_statistics(spark):
+    docs = FR.labelled_docs(spark, SMALL).select("doc_id", "quality").withColumn("_h", E.row_hash(FR.labelled_docs(spark, SMALL), "doc_id"))
+    rows = docs.unionByName(docs.where("quality = 0")).collect()  # one class has every hash twice
+    by = {}
+    for r in rows:
+        by.setdefault(r["quality"], []).append(r["_h"])
+    ranks = {q: [0, len(h) // 3, len(h) - 1] for q, h in by.items()}
+    got = E._class_cuts(docs.unionByName(docs.where("quality = 0")), "quality", "_h", ranks)
+    assert got == {(q, r): sorted(by[q])[r] for q, rs in ranks.items() for r in rs}
 
 
 def test_nested_learning_subsets(spark):
@@ -73,3 +76,22 @@ def test_smote_rows_lie_between_minority_points(spark):
     synth = out.where(F.col("quality") == minority)
     for x in feats:
         assert synth.where((F.col(x) < box[f"lo_{x}"] - 1e-9) | (F.col(x) > box[f"hi_{x}"] + 1e-9)).count() == 0
+
+
+def test_smote_raises_every_class_and_makes_up_nothing(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    rows = [("big", float(x), float(y)) for x, y in rng.normal(size=(60, 2))]
+    rows += [("mid", 10 + float(x), float(y)) for x, y in rng.normal(size=(17, 2))] + [("mid", None, 1.0), ("mid", float("nan"), 2.0)]
+    rows += [("low", float(x), 20 + float(y)) for x, y in rng.normal(size=(7, 2))] + [("lone", 5.0, 5.0), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "label string, x double, y double")
+    out = E.smote(df, "label", ["x", "y"])
+    counts = {r["label"]: r["count"] for r in out.groupBy("label").count().collect()}
+    assert counts == {"big": 60, "mid": 60, "low": 60, "lone": 1, None: 1}
+    for name in ("mid", "low"):
+        real = np.array([(x, y) for c, x, y in rows if c == name and x is not None and x == x])
+        made = [(r.x, r.y) for r in out.where(F.col("label") == name).exceptAll(df.where(F.col("label") == name)).collect()]
+        for p in made:  # on a segment between two real rows
+            a, d = real[:, None, :], real[None, :, :] - real[:, None, :]
+            u = np.clip(((np.array(p) - a) * d).sum(-1) / np.maximum((d * d).sum(-1), 1e-12), 0, 1)
+            assert np.abs(a + u[..., None] * d - np.array(p)).sum(-1).min() < 1e-6

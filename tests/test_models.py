@@ -81,3 +81,35 @@ def test_threshold_sweep_and_pr_curve_consistent(spark):
     assert sweep.count() == 9
     curve = G.pr_curve(sd, points=None).toPandas().sort_values("idx")
     assert curve["recall"].is_monotonic_decreasing and curve.iloc[-1]["precision"] == 1.0
+
+
+def test_failed_and_missing_scores_rank_last_either_way():
+    scores = {"a": 2.0, "b": None, "c": 1.0, "d": float("nan")}
+    assert [n for n, _ in M.rank_scores(scores, higher=False)] == ["c", "a", "b", "d"]
+    assert [n for n, _ in M.rank_scores(scores, higher=True)] == ["a", "c", "b", "d"]
+
+
+def test_scout_puts_a_throwing_learner_last_and_marks_two(spark):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 7) * 2 + (i % 3)) for i in range(120)], "id long, x double, y double")
+    ranking = M.scout(df, "y", "regression", "rmse", candidates=["NoSuchLearner", "LinearRegression", "Ridge"], key="id")
+    rows = ranking.orderBy("rank").collect()
+    assert rows[-1]["model"] == "NoSuchLearner" and rows[-1]["score"] is None and not rows[-1]["chosen"]
+    assert set(M.top_two(ranking)) == {"LinearRegression", "Ridge"}
+
+
+def test_split_key_is_no_feature(spark):
+    df = spark.createDataFrame([(i, float(i % 5), i % 2) for i in range(60)], "id long, x double, y int")
+    model = M.model_pipeline(df, "y", "LogisticRegression", "binary_classification", exclude="id").fit(df)
+    assert M.feature_names(model) == ["x"]
+
+
+def test_ols_equals_normal_equations(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, 2))
+    y = 3 + x @ [1.5, -2.0] + rng.normal(size=80) / 10
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y)], "a double, b double, y double")
+    pred = np.array([r.prediction for r in M.predictions(M.model_pipeline(df, "y", "LinearRegression", "regression").fit(df), df, "y").collect()])
+    full = np.column_stack([np.ones(80), x])
+    want = full @ np.linalg.lstsq(full, y, rcond=None)[0]
+    assert np.abs(np.sort(pred) - np.sort(want)).max() < 1e-6

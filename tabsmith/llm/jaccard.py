@@ -11,14 +11,16 @@ n - ceil(0.8 n) + 1 elements in any fixed order of all elements, so the points t
 seed region, and points in no common seed region are too far apart. The order is (frequent elements last, hash): elements found in more
 than HOT sets count as frequent, at most MAX_FREQUENT of the most frequent; the choice affects the work, never the result.
 
-Every region has a pivot p, and all distances to it are computed exactly. Then, by the triangle inequality:
+Every region has a pivot p. A point's counts of elements in BINS hash classes (its distances to that many fixed sets) give a lower
+bound on any distance, since the counts of two sets differ by no more than the sets do; where the bound allows d(x, p) <= 2 EPS the
+distance is computed exactly from the texts. Then, by the triangle inequality:
 
 * points with d(x, p) <= EPS link to p and so to each other's component;
 * the inner region d <= 2 EPS is joined exactly within itself, each point given by its difference from p, since
   |x ^ y| = |(x ^ p) ^ (y ^ p)|; large ones in blocks, every block on its own task;
 * the outer region d > EPS (the shell EPS < d <= 2 EPS is in both: the window of the boundary) has all linked pairs with a point
-  beyond 2 EPS. Small outer regions are joined directly where |d(x, p) - d(y, p)| <= EPS; large ones recurse with a
-  new pivot from beyond 2 EPS. After MAX_LEVELS levels what is left is joined directly whatever its size.
+  beyond 2 EPS. Small outer regions are joined directly where |d(x, p) - d(y, p)| <= EPS and the bound allows it; large ones
+  recurse with a new pivot from beyond 2 EPS. After MAX_LEVELS levels what is left is joined directly whatever its size.
 
 Links become components by alternating star contraction on stored tables. Null text counts as empty. A row in is a row out;
 ``component_id`` is the smallest key of the component (null keys are ignored, null if it has no other), for empty texts the
@@ -40,11 +42,14 @@ from . import common as C
 WORDS = 5
 NUM, DEN = 80, 100  # similarity threshold
 EPS = 0.2
+SLACK = 1e-9  # for comparisons of distances in floating point; links themselves are compared in integers
 HOT = 32
 MAX_FREQUENT = 500_000
 SMALL = 64
 BLOCK = 1024
 MAX_LEVELS = 6
+BINS = 128
+HOT_GROUP = 1000  # rows of a frequent element that meet in one window
 
 
 # ---- sets ---------------------------------------------------------------------------------------------------------
@@ -90,10 +95,10 @@ def digest(off: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def prefix_mask(off: np.ndarray, frequent: np.ndarray | None) -> np.ndarray:
-    """Marks the first n - ceil(0.8 n) + 1 elements of every set in the order (frequent last, hash)."""
+def prefix_mask(off: np.ndarray, frequent: np.ndarray | None, more: float = 0) -> np.ndarray:
+    """Marks the first n - ceil(0.8 n) + 1 elements (and a share ``more`` of n) of every set in the order (frequent last, hash)."""
     n = np.diff(off)
-    want = n - (NUM * n + DEN - 1) // DEN + 1
+    want = n - (NUM * n + DEN - 1) // DEN + 1 + (more * n).astype(np.int64)
     want[n == 0] = 0
     total = int(off[-1])
     start = np.repeat(off[:-1], n)
@@ -116,6 +121,31 @@ def node(s1: str, s2: str) -> Column:
     return F.struct(F.col(s1).alias("a"), F.col(s2).alias("b"))
 
 
+def sketch(off: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """Elements of every set in BINS hash classes, cut off at 255 (which keeps differences from growing): uint8 [sets, BINS]."""
+    n = len(off) - 1
+    owner = np.repeat(np.arange(n), np.diff(off))
+    cell = owner * BINS + (sets >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=n * BINS), 255).astype(np.uint8).reshape(n, BINS)
+
+
+def packed(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)),
+                                                  pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), BINS).astype(np.int16)
+
+
+def least_distance(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """A lower bound on the Jaccard distance from sketches and sizes."""
+    apart = np.maximum(np.abs(a - b).sum(axis=1), np.abs(na - nb))
+    return 2 * apart / np.maximum(na + nb + apart, 1)
+
+
 # ---- passes over the texts ----------------------------------------------------------------------------------------
 
 def _map(src: DataFrame, fn, schema) -> DataFrame:
@@ -128,31 +158,31 @@ def _map(src: DataFrame, fn, schema) -> DataFrame:
     return src.mapInArrow(run, schema)
 
 
-def points(src: DataFrame, with_text: bool = False) -> DataFrame:
-    """(id, s1, s2, n[, text]) of every row."""
-    fields = [src.schema["id"], T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("n", T.LongType())]
-
+def points(src: DataFrame, extra: str = "sketch") -> DataFrame:
+    """(id, s1, s2, n, and ``sketch`` or ``text``) of every row."""
     def fn(b, off, sets):
         s1, s2 = digest(off, sets)
-        cols = [b.column("id"), pa.array(s1), pa.array(s2), pa.array(np.diff(off))]
-        return pa.RecordBatch.from_arrays([*cols, b.column("text")] if with_text else cols,
-                                          ["id", "s1", "s2", "n", *["text"] * with_text])
+        last = packed(sketch(off, sets)) if extra == "sketch" else b.column("text")
+        return pa.RecordBatch.from_arrays([b.column("id"), pa.array(s1), pa.array(s2), pa.array(np.diff(off)), last],
+                                          ["id", "s1", "s2", "n", extra])
 
-    return _map(src, fn, T.StructType([*fields, *[src.schema["text"]] * with_text]))
+    last = T.StructField("sketch", T.BinaryType()) if extra == "sketch" else src.schema["text"]
+    return _map(src, fn, T.StructType([src.schema["id"], *[T.StructField(c, T.LongType()) for c in ("s1", "s2", "n")], last]))
 
 
-def frequent_elements(src: DataFrame) -> np.ndarray:
-    """Sorted elements counted in more than HOT sets: counts cover the first elements of every set, and any element that
-    occurs twice in a chunk. Bounded by MAX_FREQUENT (the most frequent)."""
+def frequent_elements(src: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted elements that more than HOT rows have among their first ones, windows that each is spread over); at most
+    MAX_FREQUENT, the most frequent. Counted a little beyond the first elements, as sets with frequent ones reach further."""
     def fn(b, off, sets):
-        token, inverse, count = np.unique(sets, return_inverse=True, return_counts=True)
-        first = np.bincount(inverse, prefix_mask(off, None), minlength=len(token)) > 0
-        keep = first | (count > 1)
-        return pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(count[keep].astype(np.int32))], ["token", "k"])
+        token, count = np.unique(sets[prefix_mask(off, None, 0.05)], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count.astype(np.int32))], ["token", "k"])
 
     hot = _map(src, fn, "token long, k int").groupBy("token").agg(F.sum("k").alias("k")).filter(F.col("k") > HOT) \
-        .orderBy(F.desc("k"), "token").limit(MAX_FREQUENT).select("token").toArrow()
-    return np.sort(hot.column("token").to_numpy().view(np.uint64))
+        .orderBy(F.desc("k"), "token").limit(MAX_FREQUENT).toArrow()
+    token = hot.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(token)
+    # counts fall short of all rows that may come: five times as many windows
+    return token[order], 5 * (hot.column("k").to_numpy()[order] // HOT_GROUP) + 1
 
 
 def _among(sets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,53 +193,32 @@ def _among(sets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return table[at] == sets, at
 
 
-def pivots_of(src: DataFrame, hot: np.ndarray) -> np.ndarray:
-    """For every frequent element, the smallest first digest word of a set that has it: its region's pivot."""
-    shared = src.sparkSession.sparkContext.broadcast(hot)  # MAX_FREQUENT numbers at most
-
-    def fn(b, off, sets):
-        table = shared.value
-        found, at = _among(sets, table)
-        s1 = np.repeat(digest(off, sets)[0], np.diff(off))[found]
-        best = np.full(len(table), np.iinfo(np.int64).max)
-        np.minimum.at(best, at[found], s1)
-        seen = np.unique(at[found])
-        return pa.RecordBatch.from_arrays([pa.array(table[seen].view(np.int64)), pa.array(best[seen])], ["token", "p"])
-
-    if len(hot) == 0:
-        return np.zeros(0, dtype=np.int64)
-    rows = _map(src, fn, "token long, p long").groupBy("token").agg(F.min("p").alias("p")).toArrow()
-    token = rows.column("token").to_numpy().view(np.uint64)
-    out = np.zeros(len(hot), dtype=np.int64)
-    out[np.searchsorted(hot, token)] = rows.column("p").to_numpy()
-    return out
-
-
 def seed_regions(src: DataFrame) -> DataFrame:
-    """(p, x): first digest words of pivot and point, for every seed region with other points than its pivot."""
-    hot = frequent_elements(src)
-    shared = src.sparkSession.sparkContext.broadcast((hot, pivots_of(src, hot)))  # MAX_FREQUENT pairs at most
+    """(p, x): first digest words of pivot and point, for every seed region with other points than its pivot, which is the smallest.
+
+    The rows of a frequent element are spread over windows by a hash of the point; its pivot is the smallest of theirs."""
+    shared = src.sparkSession.sparkContext.broadcast(frequent_elements(src))  # MAX_FREQUENT pairs at most
 
     def fn(b, off, sets):
-        table, pivot = shared.value
-        found, at = _among(sets, table)
-        mask = prefix_mask(off, found)
-        x = np.repeat(digest(off, sets)[0], np.diff(off))
-        rare = mask & ~found
-        # a frequent element's region is known by its pivot; its row needs no partner, so it goes to a place of its own
-        hot_x, hot_p = x[mask & found], pivot[at[mask & found]]
-        pairs = np.unique(np.column_stack([hot_p, hot_x])[hot_p != hot_x], axis=0) if len(hot_x) else np.zeros((0, 2), dtype=np.int64)
-        own = C.mix64(C.mix64(pairs[:, 0].astype(np.int64).view(np.uint64)) ^ pairs[:, 1].astype(np.int64).view(np.uint64)).view(np.int64)
-        token = np.concatenate([sets[rare].view(np.int64), own])
-        known = np.concatenate([np.zeros(int(rare.sum()), dtype=np.int64), pairs[:, 0]])
-        return pa.RecordBatch.from_arrays([
-            pa.array(token), pa.array(np.concatenate([x[rare], pairs[:, 1]])),
-            pa.array(known, mask=np.arange(len(known)) < int(rare.sum()))], ["token", "x", "p"])
-
-    rows = _map(src, fn, "token long, x long, p long")
-    region = Window.partitionBy("token")
-    own = rows.withColumn("q", F.coalesce("p", F.min(F.when(F.col("p").isNull(), F.col("x"))).over(region)))
-    return own.filter("q <> x").select(F.col("q").alias("p"), "x").distinct()
+        table, windows = shared.value
+        hot, at = _among(sets, table)
+        mask = prefix_mask(off, hot)
+        x = np.repeat(digest(off, sets)[0], np.diff(off))[mask]
+        token, hot, at = sets[mask], hot[mask], at[mask]
+        part = np.full(len(x), -1, dtype=np.int32)
+        if hot.any():
+            part[hot] = (C.mix64(x[hot].view(np.uint64)) % windows[at[hot]].astype(np.uint64)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(part), pa.array(x)], ["token", "part", "x"])
+
+    group = Window.partitionBy("token", "part")
+    rows = _map(src, fn, "token long, part int, x long") \
+        .withColumn("p", F.min("x").over(group)).withColumn("q", F.max("x").over(group)) \
+        .filter("p <> q or part >= 0").select("token", "part", "p", "x")
+    rows = C.stored(rows, "jaccard-shared")
+    frequent = rows.filter("part >= 0")
+    top = frequent.groupBy("token").agg(F.min("p").alias("p"))
+    members = rows.filter("part < 0").select("p", "x").unionByName(frequent.drop("p").join(top, "token").select("p", "x"))
+    return members.filter("p <> x").distinct()
 
 
 # ---- exact distances ----------------------------------------------------------------------------------------------
@@ -237,7 +246,7 @@ def compare(pairs: DataFrame, texts: DataFrame, differences: bool) -> DataFrame:
                     n = len(np.intersect1d(x, last_set, assume_unique=True))
                     both.append(n)
                     if differences:
-                        near = len(x) + len(last_set) - 2 * n <= limit * (len(x) + len(last_set) - n)
+                        near = 1 - n / (len(x) + len(last_set) - n) <= limit
                         diffs.append(np.setxor1d(x, last_set, assume_unique=True).view(np.int64) if near else None)
                 cols = [b.column(c) for c in names] + [pa.array(both, pa.int64())]
                 if differences:
@@ -293,7 +302,7 @@ def join_inner(near: DataFrame) -> DataFrame:
     """Links (u, v) inside all inner regions: rows p, x, n, d, diff. A pair needs a point outside the ball (d > EPS)."""
     sizes = near.groupBy("p").agg(F.count("*").alias("all"), F.sum((F.col("d") > EPS).cast("int")).alias("out"),
                                   F.min(F.when(F.col("d") > EPS, F.col("d"))).alias("from")).filter("out > 0")
-    rows = near.join(sizes, "p").filter(F.col("d") >= F.col("from") - EPS) \
+    rows = near.join(sizes, "p").filter(F.col("d") >= F.col("from") - EPS - SLACK) \
         .withColumn("rows", F.ceil(F.col("out") / BLOCK)).withColumn("cols", F.ceil(F.col("all") / BLOCK)) \
         .withColumn("h", F.xxhash64("x"))
     as_left = rows.filter(F.col("d") > EPS).withColumn("i", F.pmod("h", "rows")) \
@@ -308,50 +317,96 @@ def join_inner(near: DataFrame) -> DataFrame:
         .applyInArrow(inner_links, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
 
 
-def links(src: DataFrame, nodes: DataFrame, texts: DataFrame, seeds: DataFrame) -> DataFrame:
+def measured(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Region members (p, x, np, n, sketch of x, lo): nodes of the (p, x) pairs with the lower bound of their distance."""
+    named = nodes.select("node", "n", "sketch")
+    src = pairs.join(named.select(F.col("node").alias("x"), "n", "sketch"), "x") \
+        .join(named.select(F.col("node").alias("p"), F.col("n").alias("np"), F.col("sketch").alias("p_sketch")), "p") \
+        .select("p", "x", "np", "n", "sketch", "p_sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lo = least_distance(unpacked(b.column("sketch")), unpacked(b.column("p_sketch")),
+                                b.column("n").to_numpy(), b.column("np").to_numpy()) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(lo)], ["p", "x", "np", "n", "sketch", "lo"])
+
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[:5], T.StructField("lo", T.DoubleType())]))
+
+
+def outer_pairs(members: DataFrame, small_only: bool) -> DataFrame:
+    """(p, u, v, nu, nv) for points of one region whose sizes and sketches allow a link; of small regions only, if asked for."""
+    size = members.groupBy("p").agg(F.count("*").alias("k")).filter("k > 1")
+    rows = members.join(size.filter(F.col("k") <= SMALL) if small_only else size, "p")
+    a = rows.select("p", F.col("x").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
+    b = rows.select("p", F.col("x").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
+    src = a.join(b, "p").filter((F.col("u") < F.col("v")) & fits(F.col("nu"), F.col("nv"))).select("p", "u", "v", "nu", "nv", "su", "sv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                lo = least_distance(unpacked(b.column("su")), unpacked(b.column("sv")), b.column("nu").to_numpy(), b.column("nv").to_numpy())
+                yield b.select(["p", "u", "v", "nu", "nv"]).filter(pa.array(lo <= EPS + SLACK))
+
+    return src.mapInArrow(run, T.StructType(src.schema.fields[:5]))
+
+
+def texts_of(src: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes (rows ``node``): the text of the row that gave the node its key."""
+    keys = nodes.join(wanted.distinct(), "node").select(F.col("id").alias("w"), F.col("node.a").alias("w1"), F.col("node.b").alias("w2"))
+    full = points(src, "text")
+    picked = full.join(keys, full.id.eqNullSafe(F.col("w")) & (full.s1 == F.col("w1")) & (full.s2 == F.col("w2")))
+    return C.stored(_once(picked.select(node("s1", "s2").alias("node"), "text")), "jaccard-texts")
+
+
+def links(src: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     """(u, v): enough links between nodes to connect every component."""
-    named = nodes.select("node", "n", F.col("s1"))
-    members = seeds.join(named.select(F.col("s1").alias("x"), F.col("node").alias("xn"), F.col("n").alias("nx")), "x") \
-        .join(named.select(F.col("s1").alias("p"), F.col("node").alias("pn"), F.col("n").alias("np")), "p") \
-        .select(F.col("pn").alias("p"), F.col("xn").alias("x"), F.col("np"), F.col("nx").alias("n"))
+    by_word = nodes.select("s1", "node")
+    pairs = seeds.join(by_word.select(F.col("s1").alias("x"), F.col("node").alias("xn")), "x") \
+        .join(by_word.select(F.col("s1").alias("p"), F.col("node").alias("pn")), "p") \
+        .select(F.col("pn").alias("p"), F.col("xn").alias("x"))
+    linked = DEN * F.col("both") >= NUM * (F.col("np") + F.col("n") - F.col("both"))
     found = []
     for level in range(MAX_LEVELS):
-        members = C.stored(members, f"jaccard-region-{level}")
-        star = compare(members.filter(fits(F.col("np"), F.col("n"))), texts, True)
+        last = level + 1 == MAX_LEVELS
+        members = C.stored(measured(pairs, nodes), f"jaccard-region-{level}")
+        close = members.filter(F.col("lo") <= 2 * EPS + SLACK).select("p", "x", "np", "n")
+        direct = C.stored(outer_pairs(members, not last), f"jaccard-pairs-{level}")
+        texts = texts_of(src, nodes, close.select(F.explode(F.array("p", "x")).alias("node")).unionByName(
+            direct.select(F.explode(F.array("u", "v")).alias("node"))))
         d = 1 - F.col("both") / (F.col("np") + F.col("n") - F.col("both"))
-        linked = DEN * F.col("both") >= NUM * (F.col("np") + F.col("n") - F.col("both"))
-        star = C.stored(star.withColumn("d", d).withColumn("linked", linked), f"jaccard-star-{level}")
+        star = C.stored(compare(close, texts, True).withColumn("d", d).withColumn("linked", linked), f"jaccard-star-{level}")
         found.append(star.filter("linked").select(F.col("p").alias("u"), F.col("x").alias("v")))
         found.append(C.stored(join_inner(star.filter("diff is not null").select("p", "x", "n", "d", "diff")), f"jaccard-inner-{level}"))
-        # outer region: everything beyond EPS, if something lies beyond 2 EPS; unknown distances lie in [size bound, 1]
-        lone = 1 - F.least("np", "n") / F.greatest("np", "n")
-        outer = members.join(star.select("p", "x", "d", "linked", F.col("diff").isNotNull().alias("near")), ["p", "x"], "left") \
-            .filter(~F.coalesce("linked", F.lit(False))) \
-            .select("p", "x", "n", F.coalesce("d", lone).alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi"),
-                    (~F.coalesce("near", F.lit(False))).alias("beyond"))
-        count = outer.groupBy("p").agg(F.count("*").alias("k"), F.max("beyond").alias("any"),
-                                       F.min(F.when(F.col("beyond"), F.struct("x", "n"))).alias("next")).filter("any and k > 1")
-        outer = C.stored(outer.join(count, "p"), f"jaccard-outer-{level}")
-        last = level + 1 == MAX_LEVELS
-        found.append(join_outer(outer if last else outer.filter(F.col("k") <= SMALL), texts, level))
-        large = outer.filter(F.col("k") > SMALL)
-        if last or large.isEmpty():
+        found.append(join_outer(direct, members, star, texts, level))
+        if last:
+            break
+        # large regions go on with a new pivot from beyond 2 EPS; the shell EPS < d <= 2 EPS goes along
+        known = star.select("p", "x", "linked", F.col("diff").isNotNull().alias("near"))
+        outer = members.join(known, ["p", "x"], "left").filter(~F.coalesce("linked", F.lit(False))) \
+            .select("p", "x", (~F.coalesce("near", F.lit(False))).alias("beyond"))
+        size = members.groupBy("p").agg(F.count("*").alias("k")).filter(F.col("k") > SMALL)
+        start = outer.join(size, "p").groupBy("p").agg(F.min(F.when(F.col("beyond"), F.col("x"))).alias("next")).filter("next is not null")
+        pairs = C.stored(outer.join(start, "p").filter("x <> next").select(F.col("next").alias("p"), "x").distinct(), f"jaccard-next-{level}")
+        if pairs.isEmpty():
             break
-        members = large.filter(F.col("x") != F.col("next.x")).select(
-            F.col("next.x").alias("p"), "x", F.col("next.n").alias("np"), "n").distinct()
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return C.stored(out.distinct(), "jaccard-links")
 
 
-def join_outer(outer: DataFrame, texts: DataFrame, level: int) -> DataFrame:
-    """Links among the points of outer regions whose sizes and distances to the pivot allow one."""
-    a = outer.select("p", F.col("x").alias("u"), F.col("n").alias("nu"), F.col("lo").alias("lu"), F.col("hi").alias("hu"), F.col("beyond").alias("bu"))
-    b = outer.select("p", F.col("x").alias("v"), F.col("n").alias("nv"), F.col("lo").alias("lv"), F.col("hi").alias("hv"), F.col("beyond").alias("bv"))
-    window = (F.col("lu") - F.col("hv") <= EPS + 1e-9) & (F.col("lv") - F.col("hu") <= EPS + 1e-9)
-    pairs = a.join(b, "p").filter((F.col("u") < F.col("v")) & fits(F.col("nu"), F.col("nv")) & window & (F.col("bu") | F.col("bv"))) \
-        .select(F.col("u").alias("p"), F.col("v").alias("x"), F.col("nu").alias("np"), F.col("nv").alias("n")).distinct()
+def join_outer(direct: DataFrame, members: DataFrame, star: DataFrame, texts: DataFrame, level: int) -> DataFrame:
+    """Links among the direct pairs that no region rules out: by the window on the distances to its pivot, or because its inner region
+    joins them already. A distance that wasn't computed lies between its lower bound and 1."""
+    def side(name: str) -> DataFrame:
+        return members.select("p", "x", "lo").join(star.select("p", "x", "d"), ["p", "x"], "left").select(
+            "p", F.col("x").alias(name), F.coalesce("d", "lo").alias(f"lo_{name}"), F.coalesce("d", F.lit(1.0)).alias(f"hi_{name}"))
+
+    near = (F.col("hi_u") <= 2 * EPS) & (F.col("hi_v") <= 2 * EPS)
+    window = (F.col("lo_u") - F.col("hi_v") <= EPS + SLACK) & (F.col("lo_v") - F.col("hi_u") <= EPS + SLACK)
+    open_ = direct.join(side("u"), ["p", "u"]).join(side("v"), ["p", "v"]).groupBy("u", "v", "nu", "nv") \
+        .agg(F.min(window & ~near).alias("open")).filter("open")
+    pairs = open_.select(F.col("u").alias("p"), F.col("v").alias("x"), F.col("nu").alias("np"), F.col("nv").alias("n"))
     linked = DEN * F.col("both") >= NUM * (F.col("np") + F.col("n") - F.col("both"))
     return C.stored(compare(pairs, texts, False).filter(linked).select(F.col("p").alias("u"), F.col("x").alias("v")), f"jaccard-far-{level}")
 
@@ -381,16 +436,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Per row: id_col, n_shingles, component_id, and ``node`` / ``root`` (digests of its set and of its component's root; null: empty)."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     slim = C.stored(points(src), "jaccard-points").withColumn("node", F.when(F.col("n") > 0, node("s1", "s2")))
-    nodes = C.stored(slim.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    nodes = C.stored(slim.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("sketch").alias("sketch"))
                      .withColumn("node", node("s1", "s2")), "jaccard-nodes")
-    seeds = C.stored(seed_regions(src), "jaccard-seeds")
-    used = seeds.select(F.explode(F.array("p", "x")).alias("s1")).distinct()
-    wanted = nodes.join(used, "s1").select(F.col("id").alias("w"), F.col("s1").alias("w1"), F.col("s2").alias("w2"))
-    full = points(src, with_text=True)
-    picked = full.join(wanted, full.id.eqNullSafe(F.col("w")) & (full.s1 == F.col("w1")) & (full.s2 == F.col("w2"))) \
-        .select(node("s1", "s2").alias("node"), "text")
-    texts = C.stored(_once(picked), "jaccard-texts")
-    roots = components(links(src, nodes, texts, seeds)).withColumnRenamed("v", "node")
+    roots = components(links(src, nodes, C.stored(seed_regions(src), "jaccard-seeds"))).withColumnRenamed("v", "node")
     rooted = C.stored(nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "jaccard-roots")
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     named = rooted.join(least, "root").select("node", "root", "component_id")

@@ -109,9 +109,11 @@ FAMILY = {
 
 
 def make_model(name: str, problem_type: str, label: str, n_rows: int, params: dict | None = None,
-               weight: str | None = None, features: str = "features", seed: int = K.SEED):
+               weight: str | None = None, features: str = "features", seed: int = K.SEED, label_std: float = 1.0):
     """F2-F8: an MLlib estimator with reference defaults; ``C`` and ``alpha`` are converted to
-    MLlib's per-row regularisation (regParam = 1/(C n) for logistic, alpha/n ridge, alpha lasso)."""
+    MLlib's per-row regularisation (regParam = 1/(C n) for logistic, alpha/n ridge, alpha lasso). MLlib scales the label
+    to unit deviation and divides regParam by that deviation, which is right for the L1 penalty only; the L2 one is
+    multiplied by ``label_std`` to make up for it."""
     own = FAMILY.get(name, {})
     name = canonical(name)
     p = {**DEFAULTS.get(name, {}), **own, **(params or {})}
@@ -134,7 +136,7 @@ def make_model(name: str, problem_type: str, label: str, n_rows: int, params: di
     if name == "LinearRegression":
         return LinearRegression(regParam=0.0, **common, **w)
     if name == "Ridge":
-        return LinearRegression(regParam=p["alpha"] / n, elasticNetParam=0.0, standardization=False, **common, **w)
+        return LinearRegression(regParam=p["alpha"] / n * label_std, elasticNetParam=0.0, standardization=False, **common, **w)
     if name == "Lasso":
         return LinearRegression(regParam=p["alpha"], elasticNetParam=1.0, standardization=False, **common, **w)
     raise ValueError(f"unknown learner {name!r}")
@@ -151,8 +153,11 @@ def model_pipeline(df: DataFrame, t: str, name: str, problem_type: str, params:
     ex = set(key_columns(exclude)) | {t} | ({weight} if weight else set())
     num = [x for x in numeric_cols(df) if x not in ex]
     cat = [x for x in string_cols(df) if x not in ex]
+    std = 1.0
+    if canonical(name) == "Ridge":
+        n_rows, std = df.agg(F.count(c(t)), F.coalesce(F.stddev_pop(c(t)), F.lit(1.0))).first()
     n = n_rows if n_rows is not None else df.count()
-    return Pipeline(stages=build_preprocessor(num, cat) + [make_model(name, problem_type, t, n, params, weight)])
+    return Pipeline(stages=build_preprocessor(num, cat) + [make_model(name, problem_type, t, n, params, weight, label_std=std)])
 
 
 # ----------------------------------------------------------------------------- predictions and scores

@@ -43,7 +43,10 @@ STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in _stop_words())
 
 # ----------------------------------------------------------------------------- D1, D2
 
-@reg("d01_feature_columns")
+@reg("d01_feature_columns", f"""
+SELECT column_name AS feature, CASE WHEN column_type = 'VARCHAR' THEN 'categorical' ELSE 'numeric' END AS role
+FROM (DESCRIBE {FR.DOC_FEATURES_SQL}) WHERE column_name <> 'quality'
+""")
 def d01(spark, d):
     df = FR.doc_features(spark, d)
     roles = FE.feature_columns(df, "quality")

@@ -63,7 +63,15 @@ def a02(spark, d):
     return A.read_table(spark, path, fmt="csv", schema=schema, header=False)
 
 
-@reg("a03_table_columns")
+#: Spark's names of DuckDB's column types, for schema-only results.
+SPARK_TYPE = """CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+  WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE column_type END"""
+
+
+@reg("a03_table_columns", f"""
+SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS "column", {SPARK_TYPE} AS dtype
+FROM (DESCRIBE SELECT * FROM lineitem)
+""")
 def a03(spark, d):
     return A.table_columns(FR.table(spark, d, "lineitem"))
 
@@ -140,6 +148,32 @@ def f02(spark, d):
     return table.unionByName(rtable).select("model", "metric", "value")
 
 
+def _line_sql(model: str, slope: str) -> str:
+    return f"""SELECT '{model}' AS model, ROUND(my - ({slope}) * mx, 3) AS at_zero, ROUND({slope}, 5) AS slope FROM s"""
+
+
+@reg("f07_08_linear_closed_form", f"""
+WITH s AS (SELECT count(*) AS n, avg(l_extendedprice) AS mx, avg(net) AS my, stddev_samp(l_extendedprice) AS sd,
+                  regr_sxx(net, l_extendedprice) AS sxx, regr_sxy(net, l_extendedprice) AS sxy FROM ({FR.PRICED_LINEITEM_SQL}))
+{_line_sql("LinearRegression", "sxy / sxx")}
+UNION ALL {_line_sql("Ridge", "sxy / sd / (sxx / sd / sd + 1000.0) / sd")}
+UNION ALL {_line_sql("Lasso", "greatest(sxy / sd / n - 100.0, 0) / (sxx / sd / sd / n) / sd")}
+""")
+def f07(spark, d):
+    """OLS, ridge and lasso on one standardised feature have closed forms: slope and value at zero of the fitted pipeline."""
+    df = FR.priced_lineitem(spark, d).select("l_extendedprice", "net")
+    probe = spark.createDataFrame([(0.0, 0.0), (1000.0, 0.0)], "l_extendedprice double, net double")
+    out = None
+    for name, params in (("LinearRegression", None), ("Ridge", {"alpha": 1000.0}), ("Lasso", {"alpha": 100.0})):
+        model = M.model_pipeline(df, "net", name, "regression", params).fit(df)
+        line = model.transform(probe).agg(F.min_by("prediction", "l_extendedprice").alias("at_zero"),
+                                          F.max_by("prediction", "l_extendedprice").alias("far"))
+        row = line.select(F.lit(name).alias("model"), F.round("at_zero", 3).alias("at_zero"),
+                          F.round((F.col("far") - F.col("at_zero")) / 1000, 5).alias("slope"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @reg("f09_scout")
 def f09(spark, d):
     return M.scout(_docs_model_frame(spark, d), "quality", "binary_classification", "f1", folds=2, key="doc_id",

@@ -373,7 +373,17 @@ def b30(spark, d):
     return P.missing_table(FR.dirty_lineitem(spark, d))
 
 
-@reg("b14_correlation_heatmap")
+_HEAT = ["toxic", "n_chars", "text_len", "n_words", "n_lines", "n_periods"]
+_HEAT_RANKS = " UNION ALL ".join(f"SELECT '{x}' AS col, {i} AS pos, abs(corr({x}, quality)) AS r FROM ({FR.DOC_FEATURES_SQL})"
+                                 for i, x in enumerate(_HEAT))
+_HEAT_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, corr({a}, {b}) AS r FROM ({FR.DOC_FEATURES_SQL})"
+                                 for a in _HEAT for b in _HEAT if a != b)
+
+
+@reg("b14_correlation_heatmap", f"""
+WITH k AS (SELECT col, row_number() OVER (ORDER BY r DESC, pos) AS k FROM ({_HEAT_RANKS}))
+SELECT p.x AS a, p.y AS b, ROUND(p.r, 3) AS r FROM ({_HEAT_PAIRS}) p JOIN k i ON p.x = i.col JOIN k j ON p.y = j.col WHERE i.k < j.k
+""")
 def b14(spark, d):
     return P.correlation_heatmap(FR.doc_features(spark, d).drop("doc_id"), "quality", k=20)
 
@@ -416,6 +426,13 @@ def b32(spark, d):
     return P.data_issues(FR.dirty_lineitem(spark, d), "l_returnflag").withColumn("evidence", F.round("evidence", 6))
 
 
-@reg("b02_column_roles")
+@reg("b02_column_roles", f"""
+SELECT *, CASE WHEN "column" = 'l_returnflag' THEN 'target' WHEN dtype IN ('bigint', 'int', 'double') THEN 'numeric'
+               WHEN dtype = 'timestamp_ntz' THEN 'datetime' ELSE 'categorical' END AS role
+FROM (SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS "column",
+             CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+                  WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE column_type END AS dtype
+      FROM (DESCRIBE {FR.DIRTY_LINEITEM_SQL}))
+""")
 def b02(spark, d):
     return P.column_roles(FR.dirty_lineitem(spark, d), "l_returnflag")

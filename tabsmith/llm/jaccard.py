@@ -45,9 +45,10 @@ EPS = 0.2
 SLACK = 1e-9  # for comparisons of distances in floating point; links themselves are compared in integers
 HOT = 32
 MAX_FREQUENT = 500_000
-SMALL = 64
+SMALL = 1024
 BLOCK = 1024
 MAX_LEVELS = 6
+CHUNK = 4 << 20  # bytes of text whose sets a task holds at a time
 BINS = 128
 HOT_GROUP = 1000  # rows of a frequent element that meet in one window
 
@@ -151,7 +152,7 @@ def least_distance(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
 def _map(src: DataFrame, fn, schema) -> DataFrame:
     """fn(batch, offsets, sets) -> record batch, over chunks of the texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.chunks(batches, "text"):
+        for b in C.chunks(batches, "text", CHUNK):
             off, sets = shingle_sets(C.text_array(b.column("text")))
             yield fn(b, off, sets)
 
@@ -236,7 +237,7 @@ def compare(pairs: DataFrame, texts: DataFrame, differences: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_text, last_set = None, None
         for batch in batches:
-            for b in C.chunks([batch], "x_text"):
+            for b in C.chunks([batch], "x_text", CHUNK):
                 off, sets = shingle_sets(C.text_array(b.column("x_text")))
                 both, diffs = [], []
                 for i, text in enumerate(b.column("p_text").to_pylist()):
@@ -459,7 +460,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     extra = T.StructType([*docs.schema.fields, T.StructField("__set_1", T.LongType()), T.StructField("__set_2", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.chunks(batches, text_col):
+        for b in C.chunks(batches, text_col, CHUNK):
             s1, s2 = digest(*shingle_sets(C.text_array(b.column(text_col))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s1), pa.array(s2)], [*b.schema.names, "__set_1", "__set_2"])
 

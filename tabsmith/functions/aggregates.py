@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exprs import c
@@ -34,9 +34,16 @@ def value_counts_long(df: DataFrame, cols: Sequence[str], include_null: bool = F
 
 
 def exact_distinct(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, n_unique) exact, nulls excluded: distinct (column, value) then count per column."""
-    vc = value_counts_long(df, cols)
-    return vc.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+    """(column, n_unique), nulls excluded: distinct 128-bit hashes of the values, then a count per column, so no text
+    is shuffled."""
+    long = long_form(df, cols, cast="string").where(F.col("value").isNotNull())
+    return long.select("column", *hash128(F.col("value"))).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+
+
+def hash128(*values: Column) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of a tuple of values, nulls told apart from each other and from values."""
+    parts = [x for v in values for x in (v.isNull(), v)]
+    return F.xxhash64(*parts).alias("_h1"), F.xxhash64(F.lit(0x5EED), *parts).alias("_h2")
 
 
 def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -11,8 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import level_counts
-from ..functions.exprs import c, is_fractional, is_numeric, numeric_cols
+from ..functions.aggregates import hash128, level_counts
+from ..functions.exprs import c, dtype_of, is_fractional, is_numeric, numeric_cols
 from . import profile as P
 
 GATE_SCHEMA = "gate string, passed boolean, observed double, limit double"
@@ -131,17 +131,15 @@ def audit_proxy(df: DataFrame, t: str, limit: float = 0.9, cols: Sequence[str] |
 
 
 def audit_overlap(train: DataFrame, test: DataFrame, features: Sequence[str]) -> DataFrame:
-    """H9: test rows whose feature tuple also occurs in train (null-safe), via distinct + semi join.
+    """H9: test rows whose feature tuple also occurs in train (null-safe), by a semi join on 128-bit hashes of the tuple.
 
     The train side is de-duplicated first, so a hot tuple is one row there; AQE splits a skewed
     test side."""
-    feats = list(features)
-    seen = train.select(*[c(x) for x in feats]).distinct()
-    cond = None
-    for x in feats:
-        e = test[x].eqNullSafe(seen[x])
-        cond = e if cond is None else cond & e
-    hit = test.select(*[c(x) for x in feats]).join(seen, cond, "left_semi")
+    def keys(df: DataFrame) -> DataFrame:
+        # zero has one sign and NaN one form, as in a comparison of the values
+        plain = [c(x) + F.lit(0.0) if is_fractional(dtype_of(df, x)) else c(x) for x in features]
+        return df.select(*hash128(*plain))
+    hit = keys(test).join(keys(train).distinct(), ["_h1", "_h2"], "left_semi")
     n_test = test.count()
     n_hit = hit.count()
     return _rows(train.sparkSession, [("test_rows_seen_in_train", n_hit == 0, n_hit, 0),

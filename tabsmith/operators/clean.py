@@ -107,15 +107,14 @@ def null_sentinels(df: DataFrame, exclude: Sequence[str] = (), **kw) -> DataFram
 # ----------------------------------------------------------------------------- C4, C5, C6
 
 def drop_useless(df: DataFrame, t: str, max_null: float = K.NULL_DROP, id_rule: str = "pattern",
-                 extra_id: Sequence[str] = (), extra_constant: Sequence[str] = (),
-                 exact: bool | str = "auto") -> tuple[DataFrame, DataFrame]:
+                 extra_id: Sequence[str] = (), extra_constant: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Drop ID-like, mostly-null (> max_null) and constant columns; never the target.
 
     ``id_rule='pattern'`` uses the B25 rule; ``'substring'`` the literal "'id' in name and >95 %
     distinct" rule as written in the reference recipe. Returns (frame, (column, reason) table).
     """
     from ..plans.rules import plan_table
-    table = plan_table(df, t, exact).collect()  # one row per column
+    table = plan_table(df, t).collect()  # one row per column
     drops = []
     for r in table:
         n = r["column"]

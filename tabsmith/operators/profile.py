@@ -86,38 +86,18 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     )
 
 
-DECISION_LIMITS = (1, 2, 10, 15, 20, 50)
-DECISION_SHARES = (0.3, 0.8, 0.95)
-
-
-def _near_limit(approx: int, n_rows: int, band: float) -> bool:
-    limits = list(DECISION_LIMITS) + [s * n_rows for s in DECISION_SHARES]
-    return any(abs(approx - lim) <= max(2.0, band * lim) for lim in limits)
-
+def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """(column, n_unique), nulls excluded, exact."""
+    cols = list(cols or df.columns)
+    return (_columns_frame(df, cols).join(exact_distinct(df, cols), "column", "left")
+            .select("column", F.coalesce("n_unique", F.lit(0)).cast("bigint").alias("n_unique")))
 
-def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, exact: bool | str = True,
-                    band: float = 0.1) -> DataFrame:
-    """(column, n_unique), nulls excluded. Exact by distinct (column, value); approx by HLL.
 
-    ``exact="auto"``: HLL for every column, then exact counts only for columns whose estimate
-    lies within ``band`` of a planning limit (1, 2, 10, 15, 20, 50 values; 30/80/95 % of rows),
-    so a free-text column far above every limit never has its distinct values shuffled.
-    """
-    cols = list(cols or df.columns)
-    if exact == "auto":
-        row = df.agg(F.count(F.lit(1)).alias("_n"),
-                     *[F.approx_count_distinct(c(n), 0.02).alias(f"_d{i}") for i, n in enumerate(cols)]).first()
-        near = [n for i, n in enumerate(cols) if _near_limit(row[f"_d{i}"], row["_n"], band)]
-        far = [(n, int(row[f"_d{i}"])) for i, n in enumerate(cols) if n not in near]
-        out = df.sparkSession.createDataFrame(far, "column string, n_unique bigint")
-        return out.unionByName(distinct_counts(df, near, exact=True)) if near else out
-    if exact:
-        counts = exact_distinct(df, cols)
-        return (_columns_frame(df, cols).join(counts, "column", "left")
-                .select("column", F.coalesce("n_unique", F.lit(0)).cast("bigint").alias("n_unique")))
-    slots = {f"_d{i}": n for i, n in enumerate(cols)}
+def approx_distinct_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """(column, n_unique_estimate), nulls excluded, by HyperLogLog in one aggregate."""
+    slots = {f"_d{i}": n for i, n in enumerate(cols or df.columns)}
     agg = df.agg(*[F.approx_count_distinct(c(n)).alias(s) for s, n in slots.items()])
-    return _wide_to_long(agg, slots, "n_unique").select("column", F.col("n_unique").cast("bigint"))
+    return _wide_to_long(agg, slots, "n_unique_estimate").select("column", F.col("n_unique_estimate").cast("bigint"))
 
 
 # ----------------------------------------------------------------------------- B6
@@ -324,8 +304,7 @@ def datetime_columns(df: DataFrame, exclude: Sequence[str] = (), sample_share: f
 
 
 def text_columns(df: DataFrame, exclude: Sequence[str] = (), min_distinct: int = K.TEXT_MIN_DISTINCT,
-                 distinct_share: float = K.TEXT_DISTINCT_SHARE, min_mean_len: float = K.TEXT_MIN_MEAN_LEN,
-                 exact: bool | str = True) -> DataFrame:
+                 distinct_share: float = K.TEXT_DISTINCT_SHARE, min_mean_len: float = K.TEXT_MIN_MEAN_LEN) -> DataFrame:
     """(column, n_unique, mean_len, is_text): distinct > max(50, 0.3 n) and mean length > 25."""
     strs = [n for n in string_cols(df) if n not in set(exclude)]
     if not strs:
@@ -333,7 +312,7 @@ def text_columns(df: DataFrame, exclude: Sequence[str] = (), min_distinct: int =
     n_rows = F.lit(df.count())
     slots = {f"_l{i}": n for i, n in enumerate(strs)}
     lens = _wide_to_long(df.agg(*[F.avg(F.length(c(n))).alias(s) for s, n in slots.items()]), slots, "mean_len")
-    nu = distinct_counts(df, strs, exact=exact)
+    nu = distinct_counts(df, strs)
     return nu.join(lens, "column").select(
         "column", "n_unique", "mean_len",
         ((F.col("n_unique") > F.greatest(F.lit(float(min_distinct)), distinct_share * n_rows))
@@ -343,13 +322,11 @@ def text_columns(df: DataFrame, exclude: Sequence[str] = (), min_distinct: int =
 
 # ----------------------------------------------------------------------------- profile, B29, B30, B32
 
-def profile(df: DataFrame, t: str | None = None, exact: bool | str = True, band: float = 0.1) -> DataFrame:
+def profile(df: DataFrame, t: str | None = None) -> DataFrame:
     """Per-column profile: position, column, dtype, role, n_rows, n_missing, null_pct, n_unique, skew.
 
-    One fused aggregate pass gives the row count, per-column null counts, HLL distinct estimates
-    and (for narrow tables) skewness; exact distinct counts are a second pass, for every column
-    (``exact=True``) or only for columns near a planning limit (``"auto"``). The result has one
-    row per column.
+    One fused aggregate pass gives the row count, per-column null counts and (for narrow tables) skewness; exact distinct
+    counts over hashes of the values are a second one. The result has one row per column.
     """
     cols = df.columns
     num = set(numeric_cols(df))
@@ -357,8 +334,6 @@ def profile(df: DataFrame, t: str | None = None, exact: bool | str = True, band:
     exprs = [F.count(F.lit(1)).alias("_n")]
     for i, n in enumerate(cols):
         exprs.append(F.count_if(_is_missing(df, n)).alias(f"_m{i}"))
-        if exact is not True:
-            exprs.append(F.approx_count_distinct(c(n), 0.02).alias(f"_a{i}"))
         if fuse_skew and n in num:
             exprs.append(corrected_skew(c(n).cast("double")).alias(f"_s{i}"))
     row = df.agg(*exprs).first()
@@ -367,13 +342,7 @@ def profile(df: DataFrame, t: str | None = None, exact: bool | str = True, band:
         skew = {n: row[f"_s{i}"] for i, n in enumerate(cols) if n in num}
     else:
         skew = {r["column"]: r["skew"] for r in skewness_table(df, sorted(num)).collect()}
-    if exact is True:
-        uniq = {r["column"]: r["n_unique"] for r in distinct_counts(df, cols, exact=True).collect()}
-    else:
-        uniq = {n: int(row[f"_a{i}"]) for i, n in enumerate(cols)}
-        near = [n for n in cols if exact == "auto" and _near_limit(uniq[n], n_rows, band)]
-        if near:
-            uniq.update({r["column"]: r["n_unique"] for r in distinct_counts(df, near, exact=True).collect()})
+    uniq = {r["column"]: r["n_unique"] for r in distinct_counts(df, cols).collect()}
     rows = []
     for i, f in enumerate(df.schema.fields):
         n = f.name

@@ -113,9 +113,9 @@ def encoding_plan_expr(column: Column, n_unique: Column, max_levels: int = K.ONE
             .otherwise(F.lit("onehot")))
 
 
-def plan_table(df: DataFrame, t: str, exact: bool | str = "auto") -> DataFrame:
+def plan_table(df: DataFrame, t: str) -> DataFrame:
     """Profile plus rule columns: null_pattern, is_id_like, is_constant, encoding (strings only)."""
-    prof = P.profile(df, t, exact=exact)
+    prof = P.profile(df, t)
     n = F.col("n_rows").cast("double")
     id_name = is_id_name_expr(F.col("column"))
     is_str = F.col("dtype") == "string"
@@ -132,24 +132,24 @@ def plan_table(df: DataFrame, t: str, exact: bool | str = "auto") -> DataFrame:
     )
 
 
-def id_like_columns(df: DataFrame, t: str, exact: bool | str = True) -> DataFrame:
+def id_like_columns(df: DataFrame, t: str) -> DataFrame:
     """(column, n_unique, n_rows) of ID-like columns."""
-    return plan_table(df, t, exact).where("is_id_like").select("column", "n_unique", "n_rows")
+    return plan_table(df, t).where("is_id_like").select("column", "n_unique", "n_rows")
 
 
-def constant_columns(df: DataFrame, t: str, exact: bool | str = True) -> DataFrame:
+def constant_columns(df: DataFrame, t: str) -> DataFrame:
     """(column, n_unique) with at most one distinct value."""
-    return plan_table(df, t, exact).where("is_constant").select("column", "n_unique")
+    return plan_table(df, t).where("is_constant").select("column", "n_unique")
 
 
-def encoding_plan(df: DataFrame, t: str, exact: bool | str = True) -> DataFrame:
+def encoding_plan(df: DataFrame, t: str) -> DataFrame:
     """(column, n_unique, encoding) for string columns."""
-    return plan_table(df, t, exact).where(F.col("encoding").isNotNull()).select("column", "n_unique", "encoding")
+    return plan_table(df, t).where(F.col("encoding").isNotNull()).select("column", "n_unique", "encoding")
 
 
-def null_patterns(df: DataFrame, t: str, exact: bool | str = True) -> DataFrame:
+def null_patterns(df: DataFrame, t: str) -> DataFrame:
     """(column, null_pct, null_pattern)."""
-    return plan_table(df, t, exact).where(F.col("null_pattern").isNotNull()).select("column", "null_pct", "null_pattern")
+    return plan_table(df, t).where(F.col("null_pattern").isNotNull()).select("column", "null_pct", "null_pattern")
 
 
 # ----------------------------------------------------------------------------- driver-side plan
@@ -206,7 +206,7 @@ def build_plan(df: DataFrame, t: str, ordinals: dict[str, list[str]] | None = No
     id_cols = [k for k, v in table.items() if v["is_id_like"]]
     dt = P.datetime_columns(df, exclude=[t] + id_cols)
     dt_cols = [r["column"] for r in dt.where("is_datetime").collect()]
-    tx = P.text_columns(df, exclude=[t] + id_cols + dt_cols, exact="auto")
+    tx = P.text_columns(df, exclude=[t] + id_cols + dt_cols)
     tx_cols = [r["column"] for r in tx.where("is_text").collect()]
     skewed = [k for k, v in table.items() if v["skew"] is not None and abs(v["skew"]) > K.LOG_SKEW]
     top = {r["column"]: r["r"] for r in P.target_correlations(df, t, k=5).orderBy("rank").collect()}

@@ -45,11 +45,11 @@ EPS = 0.2
 SLACK = 1e-9  # for comparisons of distances in floating point; links themselves are compared in integers
 HOT = 32
 MAX_FREQUENT = 500_000
-SMALL = 1024
+SMALL = 256
 BLOCK = 1024
-MAX_LEVELS = 6
+MAX_LEVELS = 2
 CHUNK = 4 << 20  # bytes of text whose sets a task holds at a time
-BINS = 128
+BINS = 256
 HOT_GROUP = 1000  # rows of a frequent element that meet in one window
 
 
@@ -334,13 +334,15 @@ def measured(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return src.mapInArrow(run, T.StructType([*src.schema.fields[:5], T.StructField("lo", T.DoubleType())]))
 
 
-def outer_pairs(members: DataFrame, small_only: bool) -> DataFrame:
-    """(p, u, v, nu, nv) for points of one region whose sizes and sketches allow a link; of small regions only, if asked for."""
-    size = members.groupBy("p").agg(F.count("*").alias("k")).filter("k > 1")
-    rows = members.join(size.filter(F.col("k") <= SMALL) if small_only else size, "p")
-    a = rows.select("p", F.col("x").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
-    b = rows.select("p", F.col("x").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
+def outer_pairs(members: DataFrame, all_sizes: bool) -> DataFrame:
+    """(p, u, v, nu, nv) for points of one region whose sizes and sketches allow a link: of small regions, and if asked for of large
+    ones, which are compared block by block within tasks."""
+    rows = members.join(members.groupBy("p").agg(F.count("*").alias("k")).filter("k > 1"), "p")
+    few = rows.filter(F.col("k") <= SMALL)
+    a = few.select("p", F.col("x").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
+    b = few.select("p", F.col("x").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
     src = a.join(b, "p").filter((F.col("u") < F.col("v")) & fits(F.col("nu"), F.col("nv"))).select("p", "u", "v", "nu", "nv", "su", "sv")
+    schema = T.StructType(src.schema.fields[:5])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -348,7 +350,32 @@ def outer_pairs(members: DataFrame, small_only: bool) -> DataFrame:
                 lo = least_distance(unpacked(b.column("su")), unpacked(b.column("sv")), b.column("nu").to_numpy(), b.column("nv").to_numpy())
                 yield b.select(["p", "u", "v", "nu", "nv"]).filter(pa.array(lo <= EPS + SLACK))
 
-    return src.mapInArrow(run, T.StructType(src.schema.fields[:5]))
+    pairs = src.mapInArrow(run, schema)
+    if not all_sizes:
+        return pairs
+    blocks = F.ceil(F.col("k") / BLOCK)
+    dealt = rows.filter(F.col("k") > SMALL).withColumn("own", F.pmod(F.xxhash64("x"), blocks)) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))) \
+        .select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "x", "n", "sketch")
+    return pairs.unionByName(dealt.groupBy("p", "i", "j").applyInArrow(block_pairs, schema))
+
+
+def block_pairs(rows: pa.Table) -> pa.Table:
+    """Pairs of two blocks of a region (or within one) whose sizes and sketches allow a link."""
+    rows = rows.combine_chunks()
+    own, n, first = rows.column("own").to_numpy(), rows.column("n").to_numpy(), rows.column("i")[0].as_py()
+    table = unpacked(rows.column("sketch"))
+    left = np.flatnonzero(own == first)
+    right = np.flatnonzero(own != first) if rows.column("i")[0].as_py() != rows.column("j")[0].as_py() else left
+    us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for i in left:
+        near = right[(DEN * np.minimum(n[i], n[right]) >= NUM * np.maximum(n[i], n[right])) & ((right > i) | (right is not left))]
+        near = near[least_distance(table[i][None, :], table[near], n[i], n[near]) <= EPS + SLACK]
+        us.append(np.full(len(near), i))
+        vs.append(near)
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return pa.table({"p": rows.column("p").take(pa.array(u)), "u": rows.column("x").take(pa.array(u)), "v": rows.column("x").take(pa.array(v)),
+                     "nu": n[u], "nv": n[v]})
 
 
 def texts_of(src: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -361,9 +388,9 @@ def texts_of(src: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def links(src: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     """(u, v): enough links between nodes to connect every component."""
-    by_word = nodes.select("s1", "node")
-    pairs = seeds.join(by_word.select(F.col("s1").alias("x"), F.col("node").alias("xn")), "x") \
-        .join(by_word.select(F.col("s1").alias("p"), F.col("node").alias("pn")), "p") \
+    routed = nodes.select(F.col("s1").alias("r"), "node")
+    pairs = seeds.join(routed.select(F.col("r").alias("x"), F.col("node").alias("xn")), "x") \
+        .join(routed.select(F.col("r").alias("p"), F.col("node").alias("pn")), "p") \
         .select(F.col("pn").alias("p"), F.col("xn").alias("x"))
     linked = DEN * F.col("both") >= NUM * (F.col("np") + F.col("n") - F.col("both"))
     found = []
@@ -371,7 +398,7 @@ def links(src: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
         last = level + 1 == MAX_LEVELS
         members = C.stored(measured(pairs, nodes), f"jaccard-region-{level}")
         close = members.filter(F.col("lo") <= 2 * EPS + SLACK).select("p", "x", "np", "n")
-        direct = C.stored(outer_pairs(members, not last), f"jaccard-pairs-{level}")
+        direct = C.stored(outer_pairs(members, last), f"jaccard-pairs-{level}")
         texts = texts_of(src, nodes, close.select(F.explode(F.array("p", "x")).alias("node")).unionByName(
             direct.select(F.explode(F.array("u", "v")).alias("node"))))
         d = 1 - F.col("both") / (F.col("np") + F.col("n") - F.col("both"))
@@ -384,9 +411,10 @@ def links(src: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
         # large regions go on with a new pivot from beyond 2 EPS; the shell EPS < d <= 2 EPS goes along
         known = star.select("p", "x", "linked", F.col("diff").isNotNull().alias("near"))
         outer = members.join(known, ["p", "x"], "left").filter(~F.coalesce("linked", F.lit(False))) \
-            .select("p", "x", (~F.coalesce("near", F.lit(False))).alias("beyond"))
+            .select("p", "x", "n", (~F.coalesce("near", F.lit(False))).alias("beyond"))
         size = members.groupBy("p").agg(F.count("*").alias("k")).filter(F.col("k") > SMALL)
-        start = outer.join(size, "p").groupBy("p").agg(F.min(F.when(F.col("beyond"), F.col("x"))).alias("next")).filter("next is not null")
+        start = outer.join(size, "p").groupBy("p").agg(
+            F.min(F.when(F.col("beyond"), F.struct("n", "x")))["x"].alias("next")).filter("next is not null")
         pairs = C.stored(outer.join(start, "p").filter("x <> next").select(F.col("next").alias("p"), "x").distinct(), f"jaccard-next-{level}")
         if pairs.isEmpty():
             break

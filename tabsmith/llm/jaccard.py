@@ -484,18 +484,28 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))).alias("node"))).alias("k")
     keep = C.stored(linked.withColumn("own", F.when(F.col("n_shingles") == 0, F.col(id_col)))
                     .groupBy("root", "own").agg(first)
-                    .select(F.col("k.id").alias("__keep_id"), F.col("k.node.a").alias("__keep_1"), F.col("k.node.b").alias("__keep_2")), "jaccard-keep")
-    extra = T.StructType([*docs.schema.fields, T.StructField("__set_1", T.LongType()), T.StructField("__set_2", T.LongType())])
+                    .select(F.col("k.id").alias("keep_id"), F.col("k.node.a").alias("keep_1"), F.col("k.node.b").alias("keep_2")), "jaccard-keep")
+    own_keys = ["__set_1", "__set_2"]
+    extra = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in own_keys]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for b in C.chunks(batches, text_col, CHUNK):
             s1, s2 = digest(*shingle_sets(C.text_array(b.column(text_col))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s1), pa.array(s2)], [*b.schema.names, "__set_1", "__set_2"])
-
-    rows = docs.mapInArrow(run, extra)
-    chosen = rows.join(keep, (F.col("__set_1") == F.col("__keep_1")) & (F.col("__set_2") == F.col("__keep_2"))
-                       & F.col(id_col).eqNullSafe(F.col("__keep_id")), "left_semi")
-    return chosen.dropDuplicates([id_col, "__set_1", "__set_2"]).drop("__set_1", "__set_2")
+            new = []
+            for key in zip(b.column(id_col).to_pylist(), s1.tolist(), s2.tolist()):  # a row that repeats in a task goes no further
+                new.append(key not in seen)
+                seen.add(key)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s1), pa.array(s2)], [*b.schema.names, *own_keys]).filter(pa.array(new))
+
+    def chosen(rows: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+        kept = kept.select(F.col("keep_id").alias(id_col), F.col("keep_1").alias(own_keys[0]), F.col("keep_2").alias(own_keys[1]))
+        # dealt by the same columns as the join, so this moves no row again
+        return rows.mapInArrow(run, extra).join(kept.select(*keys), keys, "left_semi").dropDuplicates(keys)
+
+    named = chosen(docs.filter(F.col(id_col).isNotNull()), keep.filter("keep_id is not null"), [id_col, *own_keys])
+    unnamed = chosen(docs.filter(F.col(id_col).isNull()), keep.filter("keep_id is null"), own_keys)
+    return named.unionByName(unnamed).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _once(picked: DataFrame) -> DataFrame:

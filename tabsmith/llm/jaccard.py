@@ -19,8 +19,8 @@ distance is computed exactly from the texts. Then, by the triangle inequality:
 * the inner region d <= 2 EPS is joined exactly within itself, each point given by its difference from p, since
   |x ^ y| = |(x ^ p) ^ (y ^ p)|; large ones in blocks, every block on its own task;
 * the outer region d > EPS (the shell EPS < d <= 2 EPS is in both: the window of the boundary) has all linked pairs with a point
-  beyond 2 EPS. Small outer regions are joined directly where |d(x, p) - d(y, p)| <= EPS and the bound allows it; large ones
-  recurse with a new pivot from beyond 2 EPS. After MAX_LEVELS levels what is left is joined directly whatever its size.
+  beyond 2 EPS. They are joined directly where |d(x, p) - d(y, p)| <= EPS and the bound allows it (blocks of larger regions each on
+  a task); regions of more than LARGE points recurse with a new pivot from beyond 2 EPS. After MAX_LEVELS levels what is left is joined directly whatever its size.
 
 Links become components by alternating star contraction on stored tables. Null text counts as empty. A row in is a row out;
 ``component_id`` is the smallest key of the component (null keys are ignored, null if it has no other), for empty texts the
@@ -46,21 +46,59 @@ SLACK = 1e-9  # for comparisons of distances in floating point; links themselves
 HOT = 32
 MAX_FREQUENT = 500_000
 SMALL = 256
+LARGE = 4096
 BLOCK = 1024
 MAX_LEVELS = 2
-CHUNK = 4 << 20  # bytes of text whose sets a task holds at a time
+CHUNK = 2 << 20  # bytes of text whose sets a task holds at a time
 BINS = 256
 HOT_GROUP = 1000  # rows of a frequent element that meet in one window
 
 
 # ---- sets ---------------------------------------------------------------------------------------------------------
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash's base and of its inverse modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            every = np.full(n, base, dtype=np.uint64)
+            every[0] = 1
+            _POWERS[i] = np.multiply.accumulate(every)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+LETTERS = np.random.default_rng(20_117).integers(0, 1 << 64, 256, dtype=np.uint64)  # a random number for every byte
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets per text, 64-bit hash of every word), A-Z lower-cased.
+
+    The hash of a word is a polynomial in BASE over its bytes' numbers; all come from one running sum over the chunk, from
+    which a word's part is cut out and shifted back to power zero."""
+    offsets, data = C.raw_bytes(texts)
+    n = len(data)
+    if n == 0:
+        return np.zeros(len(offsets), dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    low = data + np.uint8(32) * ((data >= 65) & (data <= 90))
+    blank = BLANK[low]
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[offsets] = True
+    first, last = ~blank, ~blank
+    first[1:] &= blank[:-1] | edge[1:n]
+    last[:-1] &= blank[1:] | edge[1:n]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = powers(n)
+    run = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(LETTERS[low] * up, dtype=np.uint64)])
+    return np.searchsorted(start, offsets), C.mix64((run[end] - run[start]) * down[start])
+
+
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, elements): the sorted distinct 64-bit shingle hashes of every text."""
-    off, flat = C.words(texts, lower=True)
-    h = C.word_hashes(flat)
+    off, h = word_keys(texts)
     count = np.diff(off)
-    m = np.uint64(0x9E3779B97F4A7C15)
+    m = np.uint64(BASE)
     roll = h.copy()
     for k in range(1, WORDS):
         if len(h) > k:
@@ -334,15 +372,12 @@ def measured(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return src.mapInArrow(run, T.StructType([*src.schema.fields[:5], T.StructField("lo", T.DoubleType())]))
 
 
-def outer_pairs(members: DataFrame, all_sizes: bool) -> DataFrame:
-    """(p, u, v, nu, nv) for points of one region whose sizes and sketches allow a link: of small regions, and if asked for of large
-    ones, which are compared block by block within tasks."""
-    rows = members.join(members.groupBy("p").agg(F.count("*").alias("k")).filter("k > 1"), "p")
-    few = rows.filter(F.col("k") <= SMALL)
+def small_pairs(members: DataFrame) -> DataFrame:
+    """(p, u, v, nu, nv) for points of one small region whose sizes and sketches allow a link."""
+    few = members.filter((F.col("k") > 1) & (F.col("k") <= SMALL))
     a = few.select("p", F.col("x").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
     b = few.select("p", F.col("x").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
     src = a.join(b, "p").filter((F.col("u") < F.col("v")) & fits(F.col("nu"), F.col("nv"))).select("p", "u", "v", "nu", "nv", "su", "sv")
-    schema = T.StructType(src.schema.fields[:5])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -350,28 +385,36 @@ def outer_pairs(members: DataFrame, all_sizes: bool) -> DataFrame:
                 lo = least_distance(unpacked(b.column("su")), unpacked(b.column("sv")), b.column("nu").to_numpy(), b.column("nv").to_numpy())
                 yield b.select(["p", "u", "v", "nu", "nv"]).filter(pa.array(lo <= EPS + SLACK))
 
-    pairs = src.mapInArrow(run, schema)
-    if not all_sizes:
-        return pairs
+    return src.mapInArrow(run, T.StructType(src.schema.fields[:5]))
+
+
+def large_pairs(sides: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs of larger regions that sizes, sketches and the windows on the distances to the pivot (rows p, x, lo, hi) leave open,
+    compared block by block within tasks."""
     blocks = F.ceil(F.col("k") / BLOCK)
-    dealt = rows.filter(F.col("k") > SMALL).withColumn("own", F.pmod(F.xxhash64("x"), blocks)) \
+    dealt = members.select("p", "x", "n", "k", "sketch").join(sides, ["p", "x"]).withColumn("own", F.pmod(F.xxhash64("x"), blocks)) \
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))) \
-        .select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "x", "n", "sketch")
-    return pairs.unionByName(dealt.groupBy("p", "i", "j").applyInArrow(block_pairs, schema))
+        .select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "x", "n", "sketch", "lo", "hi")
+    p, x = dealt.schema["p"].dataType, dealt.schema["x"].dataType
+    schema = T.StructType([T.StructField("p", p), T.StructField("u", x), T.StructField("v", x),
+                           T.StructField("nu", T.LongType()), T.StructField("nv", T.LongType())])
+    return dealt.groupBy("p", "i", "j").applyInArrow(block_pairs, schema)
 
 
 def block_pairs(rows: pa.Table) -> pa.Table:
-    """Pairs of two blocks of a region (or within one) whose sizes and sketches allow a link."""
+    """Open pairs of two blocks of a region (or within one)."""
     rows = rows.combine_chunks()
-    own, n, first = rows.column("own").to_numpy(), rows.column("n").to_numpy(), rows.column("i")[0].as_py()
+    own, n, lo, hi = (rows.column(c).to_numpy() for c in ("own", "n", "lo", "hi"))
+    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
     table = unpacked(rows.column("sketch"))
-    left = np.flatnonzero(own == first)
-    right = np.flatnonzero(own != first) if rows.column("i")[0].as_py() != rows.column("j")[0].as_py() else left
+    left = np.flatnonzero(own == i)
+    right = np.flatnonzero(own == j)
     us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for i in left:
-        near = right[(DEN * np.minimum(n[i], n[right]) >= NUM * np.maximum(n[i], n[right])) & ((right > i) | (right is not left))]
-        near = near[least_distance(table[i][None, :], table[near], n[i], n[near]) <= EPS + SLACK]
-        us.append(np.full(len(near), i))
+    for a in left:
+        near = right[(DEN * np.minimum(n[a], n[right]) >= NUM * np.maximum(n[a], n[right])) & ((right > a) | (i != j))
+                     & (np.maximum(hi[a], hi[right]) > 2 * EPS) & (lo[a] - hi[right] <= EPS + SLACK) & (lo[right] - hi[a] <= EPS + SLACK)]
+        near = near[least_distance(table[a][None, :], table[near], n[a], n[near]) <= EPS + SLACK]
+        us.append(np.full(len(near), a))
         vs.append(near)
     u, v = np.concatenate(us), np.concatenate(vs)
     return pa.table({"p": rows.column("p").take(pa.array(u)), "u": rows.column("x").take(pa.array(u)), "v": rows.column("x").take(pa.array(v)),
@@ -397,23 +440,25 @@ def links(src: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     for level in range(MAX_LEVELS):
         last = level + 1 == MAX_LEVELS
         members = C.stored(measured(pairs, nodes), f"jaccard-region-{level}")
+        members = members.join(members.groupBy("p").agg(F.count("*").alias("k")), "p")
+        middle = members.filter((F.col("k") > SMALL) & (F.lit(last) | (F.col("k") <= LARGE)))
         close = members.filter(F.col("lo") <= 2 * EPS + SLACK).select("p", "x", "np", "n")
-        direct = C.stored(outer_pairs(members, last), f"jaccard-pairs-{level}")
+        direct = C.stored(small_pairs(members), f"jaccard-pairs-{level}")
         texts = texts_of(src, nodes, close.select(F.explode(F.array("p", "x")).alias("node")).unionByName(
-            direct.select(F.explode(F.array("u", "v")).alias("node"))))
+            direct.select(F.explode(F.array("u", "v")).alias("node"))).unionByName(middle.select(F.col("x").alias("node"))))
         d = 1 - F.col("both") / (F.col("np") + F.col("n") - F.col("both"))
         star = C.stored(compare(close, texts, True).withColumn("d", d).withColumn("linked", linked), f"jaccard-star-{level}")
         found.append(star.filter("linked").select(F.col("p").alias("u"), F.col("x").alias("v")))
         found.append(C.stored(join_inner(star.filter("diff is not null").select("p", "x", "n", "d", "diff")), f"jaccard-inner-{level}"))
-        found.append(join_outer(direct, members, star, texts, level))
+        found.append(join_outer(direct, members, middle, star, texts, level))
         if last:
             break
         # large regions go on with a new pivot from beyond 2 EPS; the shell EPS < d <= 2 EPS goes along
         known = star.select("p", "x", "linked", F.col("diff").isNotNull().alias("near"))
         outer = members.join(known, ["p", "x"], "left").filter(~F.coalesce("linked", F.lit(False))) \
             .select("p", "x", "n", (~F.coalesce("near", F.lit(False))).alias("beyond"))
-        size = members.groupBy("p").agg(F.count("*").alias("k")).filter(F.col("k") > SMALL)
-        start = outer.join(size, "p").groupBy("p").agg(
+        outer = outer.join(members.filter(F.col("k") > LARGE).select("p").distinct(), "p", "left_semi")
+        start = outer.groupBy("p").agg(
             F.min(F.when(F.col("beyond"), F.struct("n", "x")))["x"].alias("next")).filter("next is not null")
         pairs = C.stored(outer.join(start, "p").filter("x <> next").select(F.col("next").alias("p"), "x").distinct(), f"jaccard-next-{level}")
         if pairs.isEmpty():
@@ -424,18 +469,21 @@ def links(src: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     return C.stored(out.distinct(), "jaccard-links")
 
 
-def join_outer(direct: DataFrame, members: DataFrame, star: DataFrame, texts: DataFrame, level: int) -> DataFrame:
-    """Links among the direct pairs that no region rules out: by the window on the distances to its pivot, or because its inner region
-    joins them already. A distance that wasn't computed lies between its lower bound and 1."""
+def join_outer(direct: DataFrame, members: DataFrame, middle: DataFrame, star: DataFrame, texts: DataFrame, level: int) -> DataFrame:
+    """Links among the pairs that no region rules out: by the window on the distances to its pivot, or because its inner region joins
+    them already. A distance that wasn't computed lies between its lower bound and 1."""
+    sides = members.select("p", "x", "lo").join(star.select("p", "x", "d"), ["p", "x"], "left").select(
+        "p", "x", F.coalesce("d", "lo").alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi"))
+
     def side(name: str) -> DataFrame:
-        return members.select("p", "x", "lo").join(star.select("p", "x", "d"), ["p", "x"], "left").select(
-            "p", F.col("x").alias(name), F.coalesce("d", "lo").alias(f"lo_{name}"), F.coalesce("d", F.lit(1.0)).alias(f"hi_{name}"))
+        return sides.withColumnsRenamed({"x": name, "lo": f"lo_{name}", "hi": f"hi_{name}"})
 
     near = (F.col("hi_u") <= 2 * EPS) & (F.col("hi_v") <= 2 * EPS)
     window = (F.col("lo_u") - F.col("hi_v") <= EPS + SLACK) & (F.col("lo_v") - F.col("hi_u") <= EPS + SLACK)
-    open_ = direct.join(side("u"), ["p", "u"]).join(side("v"), ["p", "v"]).groupBy("u", "v", "nu", "nv") \
-        .agg(F.min(window & ~near).alias("open")).filter("open")
-    pairs = open_.select(F.col("u").alias("p"), F.col("v").alias("x"), F.col("nu").alias("np"), F.col("nv").alias("n"))
+    small = direct.join(side("u"), ["p", "u"]).join(side("v"), ["p", "v"]).groupBy("u", "v", "nu", "nv") \
+        .agg(F.min(window & ~near).alias("open")).filter("open").drop("open")
+    pairs = small.unionByName(large_pairs(sides, middle).drop("p")).select(
+        F.col("u").alias("p"), F.col("v").alias("x"), F.col("nu").alias("np"), F.col("nv").alias("n")).distinct()
     linked = DEN * F.col("both") >= NUM * (F.col("np") + F.col("n") - F.col("both"))
     return C.stored(compare(pairs, texts, False).filter(linked).select(F.col("p").alias("u"), F.col("x").alias("v")), f"jaccard-far-{level}")
 

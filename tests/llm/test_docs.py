@@ -79,7 +79,7 @@ def near_copies(seed=4, families=6, size=25):
 
 @pytest.mark.parametrize("hot,small,block,levels", [(32, 64, 1024, 6), (3, 2, 4, 2)])
 def test_join_equals_brute_force(spark, monkeypatch, hot, small, block, levels):
-    for name, value in (("HOT", hot), ("SMALL", small), ("BLOCK", block), ("MAX_LEVELS", levels)):
+    for name, value in (("HOT", hot), ("SMALL", small), ("LARGE", 2 * small), ("BLOCK", block), ("MAX_LEVELS", levels)):
         monkeypatch.setattr(jaccard, name, value)
     rows = near_copies()
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.join(frame(spark, rows)).collect())

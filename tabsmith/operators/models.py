@@ -15,6 +15,7 @@ import random
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
@@ -68,6 +69,7 @@ GRIDS = {
 }
 
 
+FOLDS_AT_ONCE = 4  # folds of a cross-validation whose jobs run side by side
 Key = Sequence[str] | str | None  # column or columns that name a row
 
 
@@ -212,14 +214,17 @@ def cross_validate(df: DataFrame, t: str, name: str, problem_type: str, k: int =
                    stratify: bool = True, weight: str | None = None) -> DataFrame:
     """(fold, score) — fit on the other folds, score the held-out fold."""
     m, _ = primary(problem_type, metric)
-    folded = E.add_fold(df, k, t if (stratify and problem_type != "regression") else None, seed, key)
-    folded = folded.persist()
-    rows = []
-    for i in range(k):
+    folded = E.add_fold(df, k, t if (stratify and problem_type != "regression") else None, seed, key).persist()
+    sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
+
+    def score_fold(i: int) -> tuple[int, float | None]:
         train, test = folded.where(F.col("fold") != i).drop("fold"), folded.where(F.col("fold") == i).drop("fold")
-        pipe = model_pipeline(train, t, name, problem_type, params, weight, exclude=key)
-        model = pipe.fit(train)
-        rows.append((i, score_of(model, test, t, problem_type, m)))
+        n = sum(v for f, v in sizes.items() if f != i)
+        model = model_pipeline(train, t, name, problem_type, params, weight, n_rows=n, exclude=key).fit(train)
+        return i, score_of(model, test, t, problem_type, m)
+
+    with ThreadPool(min(k, FOLDS_AT_ONCE)) as pool:  # folds are independent jobs
+        rows = pool.map(score_fold, range(k))
     folded.unpersist()
     return df.sparkSession.createDataFrame(rows, "fold int, score double")
 

@@ -49,7 +49,7 @@ SMALL = 256
 LARGE = 4096
 BLOCK = 1024
 MAX_LEVELS = 2
-CHUNK = 2 << 20  # bytes of text whose sets a task holds at a time
+CHUNK = 1 << 20  # bytes of text whose sets a task holds at a time
 BINS = 256
 HOT_GROUP = 1000  # rows of a frequent element that meet in one window
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -20,7 +21,7 @@ from ..session import shared_path
 _SHIPPED: set[str] = set()
 
 #: Bytes of text that a task turns into numpy arrays at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -78,15 +79,27 @@ def ascii_lower(texts: pa.Array) -> pa.Array:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about ``limit`` bytes of ``column`` (one row at least; rows stay whole)."""
-    for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        if len(size) == 0:
-            continue
-        part = np.cumsum(size, dtype=np.int64) // limit
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
-        for a, b in zip(cuts, cuts[1:]):
-            yield batch.slice(a, b - a)
+    """Cut batches so that each holds about ``limit`` bytes of ``column`` (one row at least; rows stay whole). When a task is done,
+    its freed memory goes back to the system, since Python workers stay on for later tasks."""
+    try:
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            if len(size) == 0:
+                continue
+            part = np.cumsum(size, dtype=np.int64) // limit
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+            for a, b in zip(cuts, cuts[1:]):
+                yield batch.slice(a, b - a)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of Arrow and of the C library (where it is glibc) to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:

@@ -3,13 +3,15 @@
 Base patterns (each leftmost and non-overlapping within its kind; matches that fail the length rule are
 dropped): ``assign`` (a named value), ``access`` (an access-key id) and ``hex``. They are reported as they are.
 
-Further candidates are long base64 or hex runs. They are reported only when decoding confirms a structure:
+Further candidates are base64 or hex runs. They are reported only when decoding confirms a structure:
 
 * ``jwt``  three base64url parts; the header is a JSON object with a text ``alg``, the payload a JSON object;
 * ``der``  base64 (also over several lines, as in PEM) or hex whose nested tag-length-value lengths fit exactly
   and whose outline is that of a private key (RSA, EC, PKCS#8 or encrypted PKCS#8);
 * ``ssh``  an OpenSSH private key: magic, then length-prefixed fields that fit exactly.
 
+A base64 structure ends where its own outer length says, whatever lines follow; there its line, or the run, must end.
+
 Offsets are code points, the end exclusive. Null text counts as empty; texts are scanned whole; a row in is a
 row out, repeated and null keys included; a document without secrets has an empty span list.
 """
@@ -36,9 +38,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]+")
+JOINT = re.compile(r"\r?\n")
+#: First characters of a DER sequence and of the OpenSSH magic; a letter or digit before them is part of another word.
+HEAD = re.compile(r"M[A-P](?<![A-Za-z0-9]..)|b3Bl(?<![A-Za-z0-9]....)")
+PADDING = re.compile(r"={0,2}")
+LEAST = 40  # base64 characters
 HEX_BYTES = re.compile(r"[0-9A-Fa-f]{64,}")
-INNER = re.compile(r"(?<=[/+_-])(?=MI|MH|b3BlbnNzaC1rZXk)")
 
 INTEGER, BITS, OCTETS, OID, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
 SSH_MAGIC = b"openssh-key-v1\x00"
@@ -65,6 +71,73 @@ def from_base64(run: str) -> bytes | None:
         return None
 
 
+class Run:
+    """The base64 characters from a place on, joined over line ends, read as far as they are asked for."""
+
+    def __init__(self, text: str, start: int):
+        self.text, self.body, self.end = text, "", start
+
+    def reach(self, n: int) -> bool:
+        """Read the first n characters; ``end`` is then the place after them."""
+        while (need := n - len(self.body)) > 0:
+            m = BASE64.match(self.text, self.end, self.end + need)
+            if m is None and (joint := JOINT.match(self.text, self.end)):
+                m = BASE64.match(self.text, joint.end(), joint.end() + need)
+            if m is None:
+                return False
+            self.body += m[0]
+            self.end = m.end()
+        return True
+
+    def read(self, at: int, n: int) -> bytes | None:
+        """Decoded bytes at .. at + n."""
+        a, b = at // 3 * 4, -(-(at + n) * 4 // 3)
+        return from_base64(self.body[a:b])[at % 3:] if self.reach(b) else None
+
+    def stops(self) -> bool:
+        """The line or the run ends here."""
+        return BASE64.match(self.text, self.end) is None or self.text.startswith("-----", self.end)
+
+
+def stated_size(run: Run) -> int | None:
+    """Bytes of the structure by its own lengths."""
+    if not (head := run.read(0, 2)):
+        return None
+    if head[0] == SEQUENCE:
+        if head[1] < 0x80:
+            return 2 + head[1]
+        n = head[1] & 0x7F
+        size = run.read(2, n) if 1 <= n <= 4 else None
+        return size and 2 + n + int.from_bytes(size, "big")
+    if run.read(0, len(SSH_MAGIC)) != SSH_MAGIC:
+        return None
+    at, fields = len(SSH_MAGIC), 3
+    for counted in (False, True):
+        for _ in range(fields):
+            if (size := run.read(at, 4)) is None:
+                return None
+            at += 4 + int.from_bytes(size, "big")
+            if at > len(run.text):
+                return None
+        if not counted:
+            if (size := run.read(at, 4)) is None:
+                return None
+            at, fields = at + 4, int.from_bytes(size, "big") + 1
+    return at
+
+
+def base64_structure(text: str, start: int) -> tuple[int, int] | None:
+    """(kind index, end) of the confirmed structure whose base64 form starts here."""
+    run = Run(text, start)
+    size = stated_size(run)
+    if size is None or not LEAST <= -(-size * 4 // 3) <= len(text) - start:
+        return None
+    data = run.read(0, size)
+    if data is None or not run.stops() or (kind := structure(data)) is None:
+        return None
+    return kind, PADDING.match(text, run.end).end()
+
+
 def elements(data: bytes) -> list[tuple[int, bytes]] | None:
     """(tag, content) of the elements that fill ``data`` exactly, or None if some length doesn't fit."""
     out, at = [], 0
@@ -151,12 +224,11 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     if "eyJ" in text:
         out += [(KINDS.index("jwt"), m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
-    for m in BASE64.finditer(text):
-        starts = [m.start(), *(m.start() + i.start() for i in INNER.finditer(m[0]))]
-        for start in starts:  # a key may follow a path or another word without a gap
-            if (kind := structure(from_base64(text[start:m.end()]))) is not None:
-                out.append((kind, start, m.end()))
-                break
+    done = 0
+    for m in HEAD.finditer(text):  # a key may follow a path or another word without a gap
+        if m.start() >= done and (hit := base64_structure(text, m.start())):
+            out.append((hit[0], m.start(), hit[1]))
+            done = hit[1]
     for m in HEX_BYTES.finditer(text):
         if len(m[0]) % 2 == 0 and (kind := structure(bytes.fromhex(m[0]))) is not None:
             out.append((kind, m.start(), m.end()))

@@ -261,6 +261,32 @@ def test_secret_spans(spark):
     assert all(s["kind"] in secret_scan.BASE_KINDS for t in no for s in secret_scan.find(t))
 
 
+def pkcs8_key(n):
+    return tlv(0x30, tlv(2, b"\x00") + tlv(0x30, tlv(6, b"\x2b\x65\x70")) + tlv(4, random.Random(n).randbytes(n)))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_secret_keys_of_every_length(end):
+    """A key is found whatever its length modulo 3, in PEM, before further lines and with several in a row."""
+    def field(b):
+        return len(b).to_bytes(4, "big") + b
+    ssh = [b"openssh-key-v1\x00" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(b"k" * 51) + field(b"\x01" * n)
+           for n in (136, 144, 152)]
+    ders = [pkcs8_key(n) for n in (34, 35, 36, 121, 122, 123, 200, 300, 301, 302, 1200)]
+    assert {len(k) % 3 for k in ssh} == {len(k) % 3 for k in ders} == {0, 1, 2}
+    for kind, keys in (("der", ders), ("ssh", ssh)):
+        for key in keys:
+            for width in (64, 70, 10_000):
+                body = b64(key)
+                lines = end.join(body[i:i + width] for i in range(0, len(body), width))
+                for a, z in (("-----BEGIN PRIVATE KEY-----" + end, end + "-----END PRIVATE KEY-----"), ("", end + "The next paragraph."),
+                             ("x" * 50 + end, end + "words" + end + "y" * 64), ("-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----")):
+                    found = [s for s in secret_scan.find(f"{a}{lines}{z}") if s["kind"] not in secret_scan.BASE_KINDS]
+                    assert found == [{"kind": kind, "start": len(a), "end": len(a) + len(lines)}], (len(key), width, a, z)
+    two = b64(ders[2]).rstrip("=") + end + b64(ssh[0]).rstrip("=")
+    assert [s["kind"] for s in secret_scan.find(two)] == ["der", "ssh"]
+
+
 def test_secret_base_digests(spark):
     rnd = random.Random(9)
     parts = ["password", "PassWD", "Api_key", "apikey", "token", "ſecret", "secret", "=", ":", " = ", "\"", "'", "AKIA", "ABCDEFGH12345678", "0123456789abcdef",

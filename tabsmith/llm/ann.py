@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by largest inner product with cross-polytope hashing.
 
-Vectors are scaled by the largest norm and completed to unit length with one more coordinate (queries with zero), so that the
-largest inner product is the smallest angle. A table rotates them with three rounds of (random signs, fast Hadamard transform)
-and assigns each to the nearest signed axis. A query looks into the PROBES axes nearest to it in every one of TABLES
-tables; whatever it finds there is scored exactly, in double precision, on the original vectors, and the best k stay.
-
-A bucket's rows are scored in place, so candidate pairs are never listed: (table, axis, piece) groups hold at most about PIECE rows,
+Rows are cut into bands by norm, each half as long as the one before, so that a few long vectors don't press the others into one
+point. A band's vectors are scaled by its upper end and completed to unit length with one more coordinate (queries with zero), so
+that the largest inner product is the smallest angle. A table rotates them with three rounds of (random signs, fast Hadamard
+transform) and assigns each to the nearest signed axis. A query looks into the PROBES axes nearest to it in every one of TABLES
+tables of every band, and in the first table into as many more as hold ENOUGH of the band's rows (at least k others), or all of them;
+whatever it finds there is scored exactly, in double precision, on the original vectors, and the best k stay. Lists are therefore as
+long as the candidates allow, and bands of up to ENOUGH rows are searched whole.
+
+A bucket's rows are scored in place, so candidate pairs are never listed: (band, table, axis, piece) groups hold at most about PIECE rows,
 large buckets being cut by a hash of the id, and send back the best k per query. Every row is indexed in every table.
 Measured recall is in the tests and the README.
 
@@ -28,6 +31,7 @@ from .topk import finite
 
 TABLES = 8
 PROBES = 28
+ENOUGH = 512
 PIECE = 2048
 QUERY_PIECE = 4096
 SEED = 20_011
@@ -79,10 +83,18 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.filter(keep).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"))
 
 
-def hashed(rows: DataFrame, width: int, longest: float, probes: int, tables: int) -> DataFrame:
-    """rows with the axes they belong to (one probe: the index; more: a query's probes): id, v, tab, axis."""
-    dim = 1 << (width + 1 - 1).bit_length()  # power of two with room for the added coordinate
-    is_query = probes > 1
+def axes_of(x: np.ndarray, signs: np.ndarray, probes: int) -> np.ndarray:
+    """The nearest axes in every table: row, table, probe."""
+    return np.stack([nearest_axes(rotated(x, s), probes) for s in signs], axis=1)
+
+
+def dimension(width: int) -> int:
+    return 1 << (width + 1 - 1).bit_length()  # power of two with room for the added coordinate
+
+
+def indexed(rows: DataFrame, width: int, longest: float, tables: int) -> DataFrame:
+    """rows with the bucket they belong to in every table: id, v, band, tab, axis."""
+    dim = dimension(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = rotations(dim, tables)
@@ -91,18 +103,53 @@ def hashed(rows: DataFrame, width: int, longest: float, probes: int, tables: int
                 b = batch.slice(a, 2000)
                 v = floats(b.column("v"), width)
                 x = np.zeros((len(v), dim))
-                norm = np.linalg.norm(v, axis=1)
-                x[:, :width] = v / (norm[:, None] if is_query else longest)
-                if not is_query:
-                    x[:, width] = np.sqrt(np.maximum(1 - (norm / longest) ** 2, 0))
-                axes = np.concatenate([nearest_axes(rotated(x, s), probes)[:, :, None] for s in signs], axis=2)  # row, probe, table
-                n, p, t = axes.shape
+                share = np.linalg.norm(v, axis=1) / longest
+                band = np.maximum(-np.frexp(share)[1], 0)  # 0 from half of the longest on
+                share = np.ldexp(share, band)
+                x[:, :width] = np.ldexp(v / longest, band[:, None])
+                x[:, width] = np.sqrt(np.maximum(1 - share ** 2, 0))
+                axes = axes_of(x, signs, 1)[:, :, 0]
                 yield pa.RecordBatch.from_arrays([
-                    b.column("id"), b.column("v"), pa.array(list(axes.reshape(n, p * t).astype(np.int32)), pa.list_(pa.int32()))],
-                    ["id", "v", "axes"])
+                    b.column("id"), b.column("v"), pa.array(band.astype(np.int32)), pa.array(list(axes.astype(np.int32)), pa.list_(pa.int32()))],
+                    ["id", "v", "band", "axes"])
+
+    out = rows.mapInArrow(run, "id long, v array<double>, band int, axes array<int>")
+    return out.select("id", "v", "band", F.posexplode("axes").alias("tab", "axis"))
+
 
-    out = rows.mapInArrow(run, "id long, v array<double>, axes array<int>")
-    return out.select("id", "v", F.posexplode("axes").alias("i", "axis")).withColumn("tab", F.col("i") % tables).drop("i")
+def asked(queries: DataFrame, width: int, probes: int, tables: int, enough: int, sizes: dict[tuple[int, int], dict[int, int]]) -> DataFrame:
+    """queries with the filled buckets they look into: id, v, band, tab, axis. ``sizes``: rows by axis of every (band, table)."""
+    dim = dimension(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs = rotations(dim, tables)
+        filled = []
+        for (band, tab), by_axis in sorted(sizes.items()):
+            counts = np.zeros(2 * dim, dtype=np.int64)
+            counts[list(by_axis)] = list(by_axis.values())
+            filled.append((band, tab, counts))
+        step, some = max(1, min(500, 2 ** 22 // (dim * tables))), max(1, 2 ** 20 // width)
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                b = batch.slice(a, step)
+                v = floats(b.column("v"), width)
+                x = np.zeros((len(v), dim))
+                x[:, :width] = v / np.linalg.norm(v, axis=1)[:, None]
+                near = axes_of(x, signs, 2 * dim)
+                for band, tab, counts in filled:
+                    rows = counts[near[:, tab]]
+                    look = np.broadcast_to(np.arange(2 * dim) < probes, rows.shape)
+                    if tab == 0:
+                        look = look | (np.cumsum(rows, axis=1) - rows < enough)
+                    q, i = np.nonzero(look & (rows > 0))
+                    axis = near[q, tab, i].astype(np.int32)
+                    for c in range(0, len(q), some):
+                        take, to = pa.array(q[c:c + some]), axis[c:c + some]
+                        yield pa.RecordBatch.from_arrays([
+                            b.column("id").take(take), b.column("v").take(take), pa.array(np.full(len(to), band, dtype=np.int32)),
+                            pa.array(np.full(len(to), tab, dtype=np.int32)), pa.array(to)], ["id", "v", "band", "tab", "axis"])
+
+    return queries.mapInArrow(run, "id long, v array<double>, band int, tab int, axis int")
 
 
 def rank_bucket(queries: pa.Table, rows: pa.Table, k: int, width: int) -> pa.Table:
@@ -113,6 +160,9 @@ def rank_bucket(queries: pa.Table, rows: pa.Table, k: int, width: int) -> pa.Tab
     qid, xid = queries.column("id").to_numpy(), rows.column("id").to_numpy()
     by_id = np.argsort(xid, kind="stable")
     x, xid = x[by_id], xid[by_id]
+    if (xid[1:] == xid[:-1]).any():  # copies of a row are one candidate
+        first = np.sort(np.unique(np.column_stack([np.cumsum(np.r_[0, xid[1:] != xid[:-1]]), x]), axis=0, return_index=True)[1])
+        x, xid = x[first], xid[first]
     outs = []
     for a in range(0, len(q), 256):
         score = exact(q[a:a + 256], x)
@@ -150,18 +200,23 @@ def neighbours(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = rows.withColumnRenamed("id", id_col).filter(is_query).withColumnRenamed(id_col, "id")
     probes = min(probes, 2 << width.bit_length())
-    index = C.stored(hashed(rows, width, longest, 1, tables), "ann-index")
-    asked = hashed(queries, width, longest, max(probes, 2), tables)
+    index = C.stored(indexed(rows, width, longest, tables), "ann-index")
     # a row per bucket and piece: large buckets are cut by id, and so are the queries that come to them
-    cut = index.groupBy("tab", "axis").agg(F.ceil(F.count("*") / PIECE).cast("long").alias("pieces"))
-    to = C.stored(asked.join(F.broadcast(cut), ["tab", "axis"]), "ann-probes")  # TABLES x 2 x dim rows
-    heavy = to.groupBy("tab", "axis").agg(F.ceil(F.count("*") / QUERY_PIECE).cast("long").alias("parts"))
-    left = to.join(F.broadcast(heavy), ["tab", "axis"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))) \
+    buckets = index.groupBy("band", "tab", "axis").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+    cut = C.stored(buckets.withColumn("pieces", F.ceil(F.col("n") / PIECE).cast("long")), "ann-buckets")  # bands x TABLES x 2 x dim rows
+    sizes: dict[tuple[int, int], dict[int, int]] = {}
+    for r in cut.collect():
+        sizes.setdefault((r.band, r.tab), {})[r.axis] = r.ids
+    bucket = ["band", "tab", "axis"]
+    cut = cut.select(*bucket, "pieces")
+    to = C.stored(asked(queries, width, probes, tables, max(ENOUGH, k + 1), sizes).join(F.broadcast(cut), bucket), "ann-probes")
+    heavy = to.groupBy(*bucket).agg(F.ceil(F.count("*") / QUERY_PIECE).cast("long").alias("parts"))
+    left = to.join(F.broadcast(heavy), bucket).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))) \
         .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    right = index.join(F.broadcast(cut), ["tab", "axis"]).join(F.broadcast(heavy), ["tab", "axis"]) \
+    right = index.join(F.broadcast(cut), bucket).join(F.broadcast(heavy), bucket) \
         .withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces"))) \
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    key = ["tab", "axis", "piece", "part"]
+    key = [*bucket, "piece", "part"]
 
     def rank(q: pa.Table, x: pa.Table) -> pa.Table:
         return rank_bucket(q, x, k, width)

@@ -77,6 +77,41 @@ def test_neighbours_ties_and_edges(spark):
     assert ann.neighbours(frame(spark, ODD), F.col("vec_id") % 10 == 0, 20).count() == 0
 
 
+def hits(spark, rows, every=50, k=20):
+    """(found, wanted, of those found) of the lists against brute force."""
+    got = ann.neighbours(frame(spark, rows), F.col("vec_id") % every == 0, k).collect()
+    want = brute(rows, every, k, False)
+    return len(got), len(want), len({(r.query_id, r.vec_id) for r in got} & {(q, v) for q, _, v, _ in want})
+
+
+@pytest.mark.parametrize("n", [2, 7, 20, 21])
+def test_lists_of_small_tables_are_whole(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got, want, hit = hits(spark, [(i, [float(c) for c in v]) for i, v in enumerate(x)], every=1)
+    assert got == want == hit == n * min(n - 1, 20)
+
+
+@pytest.mark.parametrize("lengths", ["one", "lognormal"])
+def test_recall_with_uneven_lengths(spark, lengths):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if lengths == "one":
+        x[7] *= 100
+    else:
+        x *= np.exp(rng.normal(size=2000))[:, None]
+    got, want, hit = hits(spark, [(i, [float(c) for c in v]) for i, v in enumerate(x)])
+    assert got == want and hit >= 0.9 * want
+
+
+def test_copies_of_rows_fill_no_list(spark):
+    x = np.random.default_rng(6).normal(size=(40, 8))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = ann.neighbours(frame(spark, rows + rows[1:2] * 30), F.col("vec_id") % 40 == 0, 20).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got} == brute(rows, 40, 20, False)
+
+
 def test_recall_on_the_given_table(spark):
     got = Q.op6_cross_polytope_ann(spark, MEDIUM).collect()
     e = spark.read.parquet(f"{MEDIUM}/embeddings.parquet").orderBy("vec_id").collect()

@@ -293,13 +293,13 @@ def train_and_select(train: DataFrame, test: DataFrame, t: str, names: Sequence[
                      metric: str | None = None, weight: str | None = None, params: dict | None = None,
                      exclude: Sequence[str] | str | None = ()) -> tuple[Trained, DataFrame]:
     """fit each model on train, evaluate on test, select the best by the metric.
-    ``params`` maps a learner name to settings. Returns (best, rows (model, metric, value, fit_seconds))."""
+    ``params`` maps a learner name, as given or else as served, to settings. Returns (best, rows (model, metric, value, fit_seconds))."""
     m, higher = primary(problem_type, metric)
     n = train.count()
     results = []
     for name in names:
-        pipe = model_pipeline(train, t, name, problem_type, (params or {}).get(canonical(name)), weight=weight,
-                              n_rows=n, exclude=exclude)
+        own = (params or {}).get(name, (params or {}).get(canonical(name)))
+        pipe = model_pipeline(train, t, name, problem_type, own, weight=weight, n_rows=n, exclude=exclude)
         model, secs = fit_timed(pipe, train)
         results.append(Trained(canonical(name), model, evaluate(model, test, t, problem_type), secs))
     rows = []
@@ -415,8 +415,7 @@ def balanced_retry(train: DataFrame, test: DataFrame, t: str, current_f1: float,
     if current_f1 >= limit:
         return "current", current_f1
     weighted = E.class_weights(train, t)
-    pipe = model_pipeline(weighted, t, "GBTClassifier", "binary_classification", params or {"maxIter": 20},
-                          weight="weight", exclude=exclude)
+    pipe = model_pipeline(weighted, t, "LGBMClassifier", "binary_classification", params, weight="weight", exclude=exclude)
     model = pipe.fit(weighted)
     f1 = score_of(model, test, t, "binary_classification", "f1_binary")
     return ("balanced_gbt", f1) if f1 is not None and f1 > current_f1 else ("current", current_f1)

@@ -1,8 +1,8 @@
 """Registered queries for sources/sinks (A), modelling (F), composed stages and presets.
 
-Model fits have no SQL oracle (rows-only check); their learner sizes are kept
-small here so the check stays quick, while every fit still reads the whole
-frame. Source round trips are checked against the original tables.
+Model fits have no SQL oracle (rows-only check); learners have the operators'
+full sizes and every fit reads the whole frame. Source round trips are checked
+against the original tables.
 """
 
 from __future__ import annotations
@@ -32,10 +32,7 @@ def reg(name: str, sql: str | None = None):
 
 
 DOCS = FR.LABELLED_DOCS_SQL
-SMALL = {"RandomForestClassifier": {"numTrees": 100, "maxDepth": 10},
-         "GBTClassifier": {"maxIter": 10, "maxDepth": 3, "stepSize": 0.1},
-         "RandomForestRegressor": {"numTrees": 100, "maxDepth": 10},
-         "GBTRegressor": {"maxIter": 10, "maxDepth": 3, "stepSize": 0.1},
+SIZES = {"RandomForestClassifier": {"numTrees": 100, "maxDepth": 10},
          "LogisticRegression": {"maxIter": 500, "C": 1.0}}
 _FEATS = ["n_chars", "text_len", "n_words", "n_lines", "n_periods"]
 
@@ -140,11 +137,11 @@ def f02(spark, d):
     df = _docs_model_frame(spark, d).drop("doc_id")
     train, test = E.train_test_split(df, "quality")
     _, table = M.train_and_select(train, test, "quality", ["LogisticRegression", "RandomForestClassifier",
-                                                          "XGBClassifier"], "binary_classification", params=SMALL)
+                                                          "XGBClassifier"], "binary_classification")
     reg_df = FR.priced_lineitem(spark, d).select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "net")
     rtrain, rtest = E.train_test_split(reg_df, None, stratify=False)
     _, rtable = M.train_and_select(rtrain, rtest, "net", ["LinearRegression", "Ridge", "Lasso", "RandomForestRegressor",
-                                                         "LGBMRegressor"], "regression", params=SMALL)
+                                                         "LGBMRegressor"], "regression")
     return table.unionByName(rtable).select("model", "metric", "value")
 
 
@@ -192,14 +189,14 @@ def f12(spark, d):
 @reg("f15_cross_validate")
 def f15(spark, d):
     return M.cross_validate(_docs_model_frame(spark, d), "quality", "LogisticRegression", "binary_classification",
-                            params=SMALL["LogisticRegression"], key="doc_id")
+                            params=SIZES["LogisticRegression"], key="doc_id")
 
 
 @reg("f18_feature_importance")
 def f18(spark, d):
     df = _docs_model_frame(spark, d)
     model = M.model_pipeline(df, "quality", "RandomForestClassifier", "binary_classification",
-                             SMALL["RandomForestClassifier"], exclude=["doc_id"]).fit(df)
+                             SIZES["RandomForestClassifier"], exclude=["doc_id"]).fit(df)
     return M.feature_importance(model, 10)
 
 
@@ -207,7 +204,7 @@ def f18(spark, d):
 def f19(spark, d):
     df = _docs_model_frame(spark, d)
     model = M.model_pipeline(df, "quality", "LogisticRegression", "binary_classification",
-                             SMALL["LogisticRegression"], exclude=["doc_id"]).fit(df)
+                             SIZES["LogisticRegression"], exclude=["doc_id"]).fit(df)
     path = shared_path(spark, "model")
     M.save_pipeline(model, path, threshold=0.4)
     return M.score(df, path).select("doc_id", "score", "prediction")
@@ -217,7 +214,7 @@ def f19(spark, d):
 def f17(spark, d):
     df = _docs_model_frame(spark, d).drop("doc_id", "lang")
     train, test = E.train_test_split(df, "quality")
-    winner, f1 = M.balanced_retry(train, test, "quality", current_f1=0.0, params=SMALL["GBTClassifier"])
+    winner, f1 = M.balanced_retry(train, test, "quality", current_f1=0.0)
     return spark.createDataFrame([(winner, f1)], "winner string, f1 double")
 
 
@@ -225,7 +222,7 @@ def f17(spark, d):
 def g18(spark, d):
     df = _docs_model_frame(spark, d).drop("lang")
     return M.learning_curve(df, "quality", "LogisticRegression", "binary_classification", folds=3, steps=6,
-                            params=SMALL["LogisticRegression"], key="doc_id")
+                            params=SIZES["LogisticRegression"], key="doc_id")
 
 
 # ----------------------------------------------------------------------------- composed stages and presets
@@ -258,8 +255,7 @@ def d20g(spark, d):
 
 @reg("f20_baseline_run")
 def f20(spark, d):
-    _, table = PR.baseline_run(_docs_model_frame(spark, d), "quality", key="doc_id",
-                               sizes={"rf": SMALL["RandomForestClassifier"], "gbt": SMALL["GBTClassifier"]})
+    _, table = PR.baseline_run(_docs_model_frame(spark, d), "quality", key="doc_id")
     return table.select("model", "f1_binary")
 
 
@@ -275,12 +271,12 @@ def f22(spark, d):
         return x.withColumns({"words_per_line": F.col("n_words") / (1 + F.col("n_lines")), "log_len": F.log1p("text_len"),
                               "len_squared": F.col("text_len") ** 2})
 
-    logistic, boosted = ("LogisticRegression", SMALL["LogisticRegression"]), ("GBTClassifier", SMALL["GBTClassifier"])
+    logistic, boosted = ("LogisticRegression", SIZES["LogisticRegression"]), ("LGBMClassifier", None)
     configs = {"baseline": (lambda x: x.select(*base), *logistic), "cleaned": (counts, *logistic),
                "engineered": (engineered, *logistic), "prescreened": (engineered, *boosted),
                "critic": (lambda x: engineered(x).drop("n_periods"), *boosted),
                "feedback": (lambda x: engineered(x).withColumn("words_x_lines", F.col("n_words") * F.col("n_lines")), *boosted)}
-    scores, summary = PR.ablation(df, "quality", configs, k=3, key="doc_id")
+    scores, summary = PR.ablation(df, "quality", configs, key="doc_id")
     return summary
 
 
@@ -288,7 +284,7 @@ def f22(spark, d):
 def f23(spark, d):
     df = FR.priced_lineitem(spark, d).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
                                              "l_discount", "l_tax", "net")
-    out = PR.regression_run(df, "net", key=["l_orderkey", "l_linenumber"], k=2, params=SMALL)
+    out = PR.regression_run(df, "net", key=["l_orderkey", "l_linenumber"])
     return out["comparison"].select("model", "metric", "value")
 
 
@@ -297,12 +293,12 @@ def f24(spark, d):
     docs = _docs_model_frame(spark, d)
     tables = {"quality": (docs, "quality", ["doc_id"]),
               "toxic": (FR.doc_features(spark, d).select("toxic", *_FEATS), "toxic", [])}
-    return PR.evaluate_many(tables, params=SMALL["GBTClassifier"])[0]
+    return PR.evaluate_many(tables)[0]
 
 
 @reg("f24_calibration")
 def f24c(spark, d):
-    return PR.evaluate_many({"quality": (_docs_model_frame(spark, d), "quality", ["doc_id"])}, params=SMALL["GBTClassifier"])[1]
+    return PR.evaluate_many({"quality": (_docs_model_frame(spark, d), "quality", ["doc_id"])})[1]
 
 
 @reg("f21_full_run")
@@ -329,7 +325,7 @@ def f14(spark, d):
 @reg("g28_fit_seconds")
 def g28(spark, d):
     df = _docs_model_frame(spark, d).drop("doc_id")
-    pipe = M.model_pipeline(df, "quality", "LogisticRegression", "binary_classification", SMALL["LogisticRegression"])
+    pipe = M.model_pipeline(df, "quality", "LogisticRegression", "binary_classification", SIZES["LogisticRegression"])
     _, secs = M.fit_timed(pipe, df)
     return spark.createDataFrame([("LogisticRegression", secs > 0)], "model string, timed boolean")
 
@@ -352,7 +348,7 @@ def h03(spark, d):
     df = _docs_model_frame(spark, d).drop("doc_id")
     train, test = E.train_test_split(df, "quality")
     model = M.model_pipeline(train, "quality", "LogisticRegression", "binary_classification",
-                             SMALL["LogisticRegression"]).fit(train)
+                             SIZES["LogisticRegression"]).fit(train)
     path = shared_path(spark, "gated-model")
     M.save_pipeline(model, path)
     metrics = M.evaluate(model, test, "quality", "binary_classification", curves=False)
@@ -367,7 +363,7 @@ def s01(spark, d):
                         F.col("n_chars").cast("double").alias("n_chars"))
     labelled = feats.join(FR.table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
     model = M.model_pipeline(labelled, "quality", "LogisticRegression", "binary_classification",
-                             SMALL["LogisticRegression"], exclude=["doc_id"]).fit(labelled)
+                             SIZES["LogisticRegression"], exclude=["doc_id"]).fit(labelled)
     path = shared_path(spark, "stream-model")
     M.save_pipeline(model, path, threshold=0.5)
 

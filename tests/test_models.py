@@ -113,3 +113,49 @@ def test_ols_equals_normal_equations(spark):
     full = np.column_stack([np.ones(80), x])
     want = full @ np.linalg.lstsq(full, y, rcond=None)[0]
     assert np.abs(np.sort(pred) - np.sort(want)).max() < 1e-6
+
+
+@pytest.fixture
+def fits(monkeypatch):
+    """(learner, rounds, depth, rate) of every boosted learner asked for; quick linear fits stand in for them."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.regression import LinearRegression
+    seen, real = [], M.make_model
+
+    def quick(name, problem_type, label, n_rows, params=None, weight=None, **more):
+        model = real(name, problem_type, label, n_rows, params, weight, **more)
+        if M.canonical(name).startswith("GBT"):
+            seen.append((name, model.getMaxIter(), model.getMaxDepth(), model.getStepSize()))
+        learner = LinearRegression if problem_type == "regression" else LogisticRegression
+        return learner(labelCol=label, featuresCol="features", maxIter=1, regParam=0.1)
+
+    monkeypatch.setattr(M, "make_model", quick)
+    return seen
+
+
+LGBM = (200, 6, 0.05)
+
+
+@pytest.mark.parametrize("name,want", [
+    ("f02_08_learners", [("XGBClassifier", 100, 6, 0.3), ("LGBMRegressor", *LGBM)]), ("f17_balanced_retry", [("LGBMClassifier", *LGBM)]),
+    ("f20_baseline_run", [("GBTClassifier", 100, 5, 0.1)]), ("f22_ablation", [("LGBMClassifier", *LGBM)] * 15),
+    ("f24_evaluate_many", [("GBTClassifier", *LGBM)] * 2), ("f24_calibration", [("GBTClassifier", *LGBM)])])
+def test_registered_runs_have_full_sizes(spark, fits, name, want):
+    from tabsmith.plans import catalog_models
+    catalog_models.Q[name](spark, SMALL)
+    assert [f for f in fits] == want
+
+
+def test_regression_run_has_full_sizes(spark, fits, monkeypatch):
+    from tabsmith.plans import catalog_models
+    folds, real = [], M.cross_validate
+    monkeypatch.setattr(M, "cross_validate", lambda *a, **b: folds.append(a[4]) or real(*a, **b))
+    catalog_models.Q["f23_regression_run"](spark, SMALL)
+    assert fits[0] == ("GBTRegressor", 100, 5, 0.1) and len(set(fits)) == 1 and folds == [5, 5]
+
+
+def test_settings_go_by_the_given_name_first(spark, fits):
+    df = FR.doc_features(spark, SMALL).select("quality", "n_chars", "n_words")
+    own = {"GBTClassifier": {"maxIter": 3}, "XGBClassifier": {"maxIter": 7}}
+    M.train_and_select(df, df, "quality", ["XGBClassifier", "LGBMClassifier"], "binary_classification", params=own)
+    assert [f[:2] for f in fits] == [("XGBClassifier", 7), ("LGBMClassifier", 3)]

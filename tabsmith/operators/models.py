@@ -53,8 +53,12 @@ SCOUT = {
     "LogisticRegression": {"maxIter": 200, "C": 1.0},
     "RandomForestClassifier": {"numTrees": 20, "maxDepth": 6},
     "GBTClassifier": {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1},
+    "XGBClassifier": {"maxIter": 20, "maxDepth": 4, "stepSize": 0.3},
+    "LGBMClassifier": {"maxIter": 20, "maxDepth": 4, "stepSize": 0.05},
     "RandomForestRegressor": {"numTrees": 20, "maxDepth": 6},
     "GBTRegressor": {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1},
+    "XGBRegressor": {"maxIter": 20, "maxDepth": 4, "stepSize": 0.3},
+    "LGBMRegressor": {"maxIter": 20, "maxDepth": 4, "stepSize": 0.05},
     "Ridge": {"alpha": 1.0},
 }
 # Search grids per family.
@@ -257,11 +261,11 @@ def scout(df: DataFrame, t: str, problem_type: str, metric: str | None = None, f
     scores: dict[str, float | None] = {}
     for name in names:
         try:
-            cv = cross_validate(sample, t, name, problem_type, folds, metric, SCOUT.get(canonical(name)), seed, key)
+            cv = cross_validate(sample, t, name, problem_type, folds, metric, SCOUT.get(name, SCOUT.get(canonical(name))), seed, key)
             mean = cv.agg(F.avg("score")).first()[0]
-            scores[canonical(name)] = None if mean is None else round(float(mean), 4)
+            scores[name] = None if mean is None else round(float(mean), 4)
         except LEARNER_ERRORS:
-            scores[canonical(name)] = None
+            scores[name] = None
     _, higher = primary(problem_type, metric)
     ranked = rank_scores(scores, higher)
     return df.sparkSession.createDataFrame([(i + 1, n, s, i < 2 and s is not None) for i, (n, s) in enumerate(ranked)],
@@ -301,7 +305,7 @@ def train_and_select(train: DataFrame, test: DataFrame, t: str, names: Sequence[
         own = (params or {}).get(name, (params or {}).get(canonical(name)))
         pipe = model_pipeline(train, t, name, problem_type, own, weight=weight, n_rows=n, exclude=exclude)
         model, secs = fit_timed(pipe, train)
-        results.append(Trained(canonical(name), model, evaluate(model, test, t, problem_type), secs))
+        results.append(Trained(name, model, evaluate(model, test, t, problem_type), secs))
     rows = []
     for r in results:
         for row in r.metrics.collect():

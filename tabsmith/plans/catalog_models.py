@@ -173,16 +173,14 @@ def f07(spark, d):
 
 @reg("f09_scout")
 def f09(spark, d):
-    return M.scout(_docs_model_frame(spark, d), "quality", "binary_classification", "f1", folds=2, key="doc_id",
-                   candidates=["LogisticRegression", "RandomForestClassifier"])
+    return M.scout(_docs_model_frame(spark, d), "quality", "binary_classification", "f1", key="doc_id")
 
 
 @reg("f12_tune")
 def f12(spark, d):
     df = FR.priced_lineitem(spark, d).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
                                              "l_discount", "l_tax", "net")
-    _, search = M.tune(df, "net", "Ridge", "regression", n_iter=2, folds=2, key=["l_orderkey", "l_linenumber"],
-                       grid={"alpha": [0.1, 1.0]})
+    _, search = M.tune(df, "net", "GBTRegressor", "regression", key=["l_orderkey", "l_linenumber"])
     return search
 
 
@@ -304,7 +302,7 @@ def f24c(spark, d):
 @reg("f21_full_run")
 def f21(spark, d):
     df = _docs_model_frame(spark, d).drop("lang")
-    out = PR.full_run(df, "quality", key="doc_id", folds=3, n_iter=4, scout_candidates=["LogisticRegression", "RandomForestClassifier"])
+    out = PR.full_run(df, "quality", key="doc_id")
     return out["ranking"]
 
 
@@ -317,8 +315,7 @@ def f13(spark, d):
 
 @reg("f14_fixed_search")
 def f14(spark, d):
-    out = PR.fixed_search(_docs_model_frame(spark, d).drop("lang"), "quality", key="doc_id", draws=2, folds=2,
-                          boosted_rounds=10, forest_grid={"numTrees": [10, 20], "maxDepth": [3, 5]})
+    out = PR.fixed_search(_docs_model_frame(spark, d).drop("lang"), "quality", key="doc_id")
     return out.select("model", "params", "f1_binary")
 
 
@@ -377,5 +374,5 @@ def s01(spark, d):
 @reg("z_run_all")
 def z_run_all(spark, d):
     df = FR.doc_features(spark, d).drop("toxic")
-    out = S.run_all(df, "quality", key="doc_id", models=["LogisticRegression", "RandomForestClassifier"], n_iter=4, folds=3)
+    out = S.run_all(df, "quality", key="doc_id")
     return out["metrics"]

@@ -91,9 +91,9 @@ def baseline_run(df: DataFrame, t: str, key: M.Key = None, sizes: dict | None =
 
 
 def full_run(df: DataFrame, t: str, key: M.Key = None, folds: int = 3, n_iter: int = 25,
-             scout_candidates: Sequence[str] | None = None, grids: dict | None = None) -> dict:
+             scout_candidates: Sequence[str] | None = None, grids: dict | None = None, search_folds: int = K.TUNE_FOLDS) -> dict:
     """split; impute (+ flag above 30 %), clip, top-3 interactions, logs, collinearity prune (0.92), all fitted on
-    train; 3-fold binary-F1 pre-screen; randomised search of the best two, the better one on test kept with the
+    train; 3-fold binary-F1 pre-screen; randomised 5-fold search of the best two, the better one on test kept with the
     settings its search found; balanced retry."""
     raw, held = E.train_test_split(df, t, key=key)
     recipe = Recipe(raw, t, key).label_encode().fill(flag_min=0.30, flag_min_inclusive=False, flag_max=1.0) \
@@ -102,7 +102,7 @@ def full_run(df: DataFrame, t: str, key: M.Key = None, folds: int = 3, n_iter: i
     ranking = M.scout(train, t, "binary_classification", "f1_binary", folds=folds, candidates=scout_candidates, key=key)
     rows, search = [], {}
     for name in M.top_two(ranking):
-        params, search[name] = M.tune(train, t, name, "binary_classification", n_iter=n_iter, folds=folds, metric="f1_binary",
+        params, search[name] = M.tune(train, t, name, "binary_classification", n_iter=n_iter, folds=search_folds, metric="f1_binary",
                                       grid=(grids or {}).get(name), key=key)
         model = M.model_pipeline(train, t, name, "binary_classification", params, exclude=key).fit(train)
         rows.append((name, M.score_of(model, test, t, "binary_classification", "f1_binary"), params))

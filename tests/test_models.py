@@ -159,3 +159,41 @@ def test_settings_go_by_the_given_name_first(spark, fits):
     own = {"GBTClassifier": {"maxIter": 3}, "XGBClassifier": {"maxIter": 7}}
     M.train_and_select(df, df, "quality", ["XGBClassifier", "LGBMClassifier"], "binary_classification", params=own)
     assert [f[:2] for f in fits] == [("XGBClassifier", 7), ("LGBMClassifier", 3)]
+
+
+@pytest.fixture
+def scored(spark, monkeypatch):
+    """(learner, folds) of every cross-validation asked for; boosted learners score best."""
+    seen = []
+
+    def constant(df, t, name, problem_type, k=5, metric=None, params=None, *more, **named):
+        seen.append((name, k))
+        return spark.createDataFrame([(0, {"XGBClassifier": 0.9, "LGBMClassifier": 0.8}.get(name, 0.5))], "fold int, score double")
+
+    monkeypatch.setattr(M, "cross_validate", constant)
+    return seen
+
+
+FIVE = {"LogisticRegression", "RandomForestClassifier", "GBTClassifier", "XGBClassifier", "LGBMClassifier"}
+
+
+@pytest.mark.parametrize("name,screened,searched", [
+    ("f09_scout", {(n, 2) for n in FIVE}, {}), ("f12_tune", set(), {("GBTRegressor", 5): 20}),
+    ("f14_fixed_search", set(), {("RandomForestClassifier", 3): 3}),
+    ("f21_full_run", {(n, 3) for n in FIVE}, {("XGBClassifier", 5): 25, ("LGBMClassifier", 5): 25})])
+def test_registered_searches_have_full_sizes(spark, fits, scored, name, screened, searched):
+    from collections import Counter
+
+    from tabsmith.plans import catalog_models
+    catalog_models.Q[name](spark, SMALL)
+    assert Counter(scored) == Counter({**dict.fromkeys(screened, 1), **searched})
+    if name == "f14_fixed_search":
+        assert fits == [("GBTClassifier", 50, 3, 0.1)]
+
+
+def test_run_all_has_full_sizes(spark, monkeypatch):
+    from tabsmith.plans import catalog_models
+    asked = {}
+    monkeypatch.setattr(S, "run_all", lambda df, t, **named: asked.update(named) or {"metrics": None})
+    catalog_models.Q["z_run_all"](spark, SMALL)
+    assert asked == {"key": "doc_id"}  # all else as the operator has it

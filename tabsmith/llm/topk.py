@@ -11,7 +11,7 @@ shard of the index; its k-th score is where the other shards start, so most of t
 Queries are the rows picked by ``is_query``; candidates are all rows but the query's own row (the same id). Rows whose
 vector is null or holds null, NaN or infinite components take no part. Vectors of different length are compared as if the
 shorter ended in zeros. Ties go to the smaller id; fewer candidates than k give shorter lists; rows with a null id
-take no part; an id that repeats counts as separate candidates.
+take no part; an id that repeats counts as separate candidates, and each of its rows as a query with a list (ranks 1 to k) of its own.
 """
 
 from __future__ import annotations
@@ -130,7 +130,8 @@ def search_shard(queries: pa.Table, index: pa.Table, k: int) -> pa.Table:
     """Best k of one shard for each query that beat its floor (floor_score, floor_id)."""
     n, m = queries.num_rows, index.num_rows
     if n == 0 or m == 0:
-        return _found(np.zeros(0, dtype=np.int64), np.zeros((0, k), dtype=np.int64), np.zeros((0, k), dtype=np.int64))
+        none = np.zeros(0, dtype=np.int64)
+        return _found(none, none, np.zeros((0, k), dtype=np.int64), np.zeros((0, k), dtype=np.int64))
     width = index.column("width").to_numpy()
     d = max(int(width.max()), max((len(x) for x in queries.column("v")), default=0))
     q = matrix(queries.column("v"), d)
@@ -177,15 +178,15 @@ def search_shard(queries: pa.Table, index: pa.Table, k: int) -> pa.Table:
             ks, ki, w = top_s[who, k - 1][full], top_i[who, k - 1][full], who[full]
             up = (ks > floor_s[w]) | ((ks == floor_s[w]) & (ki < floor_i[w]))
             floor_s[w[up]], floor_i[w[up]] = ks[up], ki[up]
-    return _found(qid, top_i, top_s)
+    return _found(queries.column("nth").to_numpy(), qid, top_i, top_s)
 
 
-def _found(qid: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.Table:
+def _found(nth: np.ndarray, qid: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.Table:
     at = np.nonzero(ids < NO_ID)
-    return pa.table({"query_id": qid[at[0]], "vec_id": ids[at], "score": scores[at]})
+    return pa.table({"nth": nth[at[0]], "query_id": qid[at[0]], "vec_id": ids[at], "score": scores[at]})
 
 
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "nth long, query_id long, vec_id long, score long"
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -195,24 +196,24 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
         "rows", i * F.col("width") + 1, F.col("width"))).alias("v")))
     own = index.select("shard", spread_rows.alias("r")).select("shard", F.col("r.ids").alias(id_col), F.col("r.v").alias("v")) \
         .filter(is_query).withColumnRenamed(id_col, "id").withColumn("floor_score", F.lit(int(LOWEST)).cast("long")) \
-        .withColumn("floor_id", F.lit(int(NO_ID)).cast("long"))
+        .withColumn("floor_id", F.lit(int(NO_ID)).cast("long")).withColumn("nth", F.monotonically_increasing_id())
 
     def search(queries: pa.Table, shard: pa.Table) -> pa.Table:
         return search_shard(queries, shard, k)
 
-    own = C.stored(own, "topk-queries")
+    own = C.stored(own, "topk-queries")  # with it the queries' numbers, as ids may repeat
     home = C.stored(own.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(search, FOUND), "topk-home")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("nth").orderBy(F.desc("score"), "vec_id")
     floors = home.withColumn("at", F.row_number().over(order)).filter(F.col("at") == k).select(
-        F.col("query_id").alias("id"), F.col("score").alias("fs"), F.col("vec_id").alias("fi"))
-    started = own.join(floors, "id", "left").select(
-        "id", "v", F.col("shard").alias("home"), F.coalesce("fs", "floor_score").alias("floor_score"), F.coalesce("fi", "floor_id").alias("floor_id"))
+        "nth", F.col("score").alias("fs"), F.col("vec_id").alias("fi"))
+    started = own.join(floors, "nth", "left").select(
+        "nth", "id", "v", F.col("shard").alias("home"), F.coalesce("fs", "floor_score").alias("floor_score"), F.coalesce("fi", "floor_id").alias("floor_id"))
     shards, queries = index.agg(F.max("shard")).first()[0], own.count()
     if not queries:
         return home.withColumn("rank", F.lit(0)).filter("false").select("query_id", "rank", "vec_id", "score")
     chunks = F.lit(-(-queries // QUERY_CHUNK)).cast("long")
     # every query meets every other shard, in blocks of QUERY_CHUNK queries by one shard
-    asked = started.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks)) \
+    asked = started.withColumn("chunk", F.pmod(F.xxhash64("nth"), chunks)) \
         .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards).cast("long")))) \
         .filter("shard <> home").drop("home")
     parts = index.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))

@@ -48,6 +48,16 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block, shard):
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == brute(rows, 10, 5, True)
 
 
+def test_repeated_query_rows_have_lists_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    monkeypatch.setattr(topk, "SHARD_BLOCKS", 3)
+    rows = [(i, v) for i, v in vectors(120) if i % 50 or not i]
+    for second in (rows[0][1], rows[5][1]):  # the same vector again, another one
+        got = topk.top_k(frame(spark, [*rows, (0, second)]), F.col("vec_id") == 0, 5).collect()
+        want = [x for v in (rows[0][1], second) for x in brute([(0, v), *rows[1:]], 50, 5, True)]
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 def test_top_k_small_tables(spark):
     assert topk.top_k(frame(spark, ODD[:5]), F.col("vec_id") % 10 == 0, 5).count() == 0
     assert topk.top_k(frame(spark, [(0, [1.0])]), F.col("vec_id") % 10 == 0, 5).count() == 0

@@ -10,7 +10,9 @@ Further candidates are base64 or hex runs. They are reported only when decoding
   and whose outline is that of a private key (RSA, EC, PKCS#8 or encrypted PKCS#8);
 * ``ssh``  an OpenSSH private key: magic, then length-prefixed fields that fit exactly.
 
-A base64 structure ends where its own outer length says, whatever lines follow; there its line, or the run, must end.
+A base64 structure ends where its own outer length says, whatever lines follow; there its line, or the run, must end. Lines are joined
+over a line end or its escape (a backslash and n, as in JSON) with blanks around it, in base64 and in hex; a first line may be short. In hex
+with stray digits beside it the structure is looked for from every place that may start one.
 
 Offsets are code points, the end exclusive. Null text counts as empty; texts are scanned whole; a row in is a
 row out, repeated and null keys included; a document without secrets has an empty span list.
@@ -39,12 +41,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]+")
-JOINT = re.compile(r"\r?\n")
-#: First characters of a DER sequence and of the OpenSSH magic; a letter or digit before them is part of another word.
-HEAD = re.compile(r"M[A-P](?<![A-Za-z0-9]..)|b3Bl(?<![A-Za-z0-9]....)")
+JOINT = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+#: First characters of a DER sequence and of the OpenSSH magic; a letter or digit before them is part of another word, but for an
+#: escaped line end.
+HEAD = re.compile(r"M[A-P](?:(?<![A-Za-z0-9]..)|(?<=\\n..))|b3Bl(?:(?<![A-Za-z0-9]....)|(?<=\\n....))")
 PADDING = re.compile(r"={0,2}")
 LEAST = 40  # base64 characters
-HEX_BYTES = re.compile(r"[0-9A-Fa-f]{64,}")
+HEX_BYTES = re.compile(r"[0-9A-Fa-f]+")
+HEX_HEAD = re.compile(r"30(?=[0-7]|8[1-4])|6[Ff]70656[Ee]7373682[Dd]")
+LEAST_HEX = 64  # digits
 
 INTEGER, BITS, OCTETS, OID, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
 SSH_MAGIC = b"openssh-key-v1\x00"
@@ -72,17 +77,21 @@ def from_base64(run: str) -> bytes | None:
 
 
 class Run:
-    """The base64 characters from a place on, joined over line ends, read as far as they are asked for."""
+    """The base64 characters or hex digits from a place on, joined over line ends, read as far as they are asked for."""
 
-    def __init__(self, text: str, start: int):
-        self.text, self.body, self.end = text, "", start
+    def __init__(self, text: str, start: int, alphabet: re.Pattern):
+        self.text, self.body, self.end, self.alphabet = text, "", start, alphabet
+
+    def length(self, n: int) -> int:
+        """Characters of n bytes."""
+        return 2 * n if self.alphabet is HEX_BYTES else -(-n * 4 // 3)
 
     def reach(self, n: int) -> bool:
         """Read the first n characters; ``end`` is then the place after them."""
         while (need := n - len(self.body)) > 0:
-            m = BASE64.match(self.text, self.end, self.end + need)
+            m = self.alphabet.match(self.text, self.end, self.end + need)
             if m is None and (joint := JOINT.match(self.text, self.end)):
-                m = BASE64.match(self.text, joint.end(), joint.end() + need)
+                m = self.alphabet.match(self.text, joint.end(), joint.end() + need)
             if m is None:
                 return False
             self.body += m[0]
@@ -91,12 +100,14 @@ class Run:
 
     def read(self, at: int, n: int) -> bytes | None:
         """Decoded bytes at .. at + n."""
-        a, b = at // 3 * 4, -(-(at + n) * 4 // 3)
-        return from_base64(self.body[a:b])[at % 3:] if self.reach(b) else None
+        b = self.length(at + n)
+        if not self.reach(b):
+            return None
+        return bytes.fromhex(self.body[2 * at:b]) if self.alphabet is HEX_BYTES else from_base64(self.body[at // 3 * 4:b])[at % 3:]
 
     def stops(self) -> bool:
-        """The line or the run ends here."""
-        return BASE64.match(self.text, self.end) is None or self.text.startswith("-----", self.end)
+        """The line or the run ends here (hex may have stray digits beside it)."""
+        return self.alphabet is HEX_BYTES or BASE64.match(self.text, self.end) is None or self.text.startswith("-----", self.end)
 
 
 def stated_size(run: Run) -> int | None:
@@ -126,16 +137,16 @@ def stated_size(run: Run) -> int | None:
     return at
 
 
-def base64_structure(text: str, start: int) -> tuple[int, int] | None:
-    """(kind index, end) of the confirmed structure whose base64 form starts here."""
-    run = Run(text, start)
+def structure_at(text: str, start: int, alphabet: re.Pattern) -> tuple[int, int] | None:
+    """(kind index, end) of the confirmed structure whose base64 or hex form starts here."""
+    run = Run(text, start, alphabet)
     size = stated_size(run)
-    if size is None or not LEAST <= -(-size * 4 // 3) <= len(text) - start:
+    if size is None or not (LEAST_HEX if alphabet is HEX_BYTES else LEAST) <= run.length(size) <= len(text) - start:
         return None
     data = run.read(0, size)
     if data is None or not run.stops() or (kind := structure(data)) is None:
         return None
-    return kind, PADDING.match(text, run.end).end()
+    return kind, PADDING.match(text, run.end).end() if alphabet is BASE64 else run.end
 
 
 def elements(data: bytes) -> list[tuple[int, bytes]] | None:
@@ -224,14 +235,12 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     if "eyJ" in text:
         out += [(KINDS.index("jwt"), m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
-    done = 0
-    for m in HEAD.finditer(text):  # a key may follow a path or another word without a gap
-        if m.start() >= done and (hit := base64_structure(text, m.start())):
-            out.append((hit[0], m.start(), hit[1]))
-            done = hit[1]
-    for m in HEX_BYTES.finditer(text):
-        if len(m[0]) % 2 == 0 and (kind := structure(bytes.fromhex(m[0]))) is not None:
-            out.append((kind, m.start(), m.end()))
+    for head, alphabet in ((HEAD, BASE64), (HEX_HEAD, HEX_BYTES)):
+        done = 0
+        for m in head.finditer(text):  # a key may follow a path or another word without a gap
+            if m.start() >= done and (hit := structure_at(text, m.start(), alphabet)):
+                out.append((hit[0], m.start(), hit[1]))
+                done = hit[1]
     return out
 
 

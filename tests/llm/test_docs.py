@@ -287,6 +287,20 @@ def test_secret_keys_of_every_length(end):
     assert [s["kind"] for s in secret_scan.find(two)] == ["der", "ssh"]
 
 
+@pytest.mark.parametrize("joint", ["\n    ", " \r\n\t", "\\n", "\\r\\n", "\n"])
+def test_secret_keys_in_other_layouts(joint):
+    """Indented lines, escaped line ends, short lines, no gap before the key; hex over lines and with stray digits."""
+    for kind, key in (("der", pkcs8_key(34)), ("der", rsa_key()), ("ssh", ssh_key())):
+        for body, width in ((b64(key), 64), (b64(key), 30), (key.hex(), 32), (key.hex().upper(), 60)):
+            lines = joint.join(body[i:i + width] for i in range(0, len(body), width))
+            for a, z in (("BEGIN KEY-----" + joint, joint + "-----END KEY-----"), ("key: |" + joint, joint + "next: 1"), ("/etc/", "\n")):
+                found = [s for s in secret_scan.find(a + lines + z) if s["kind"] not in secret_scan.BASE_KINDS]
+                assert found == [{"kind": kind, "start": len(a), "end": len(a) + len(lines)}], (a, lines, z)
+        stray = [s for s in secret_scan.find(f"f{key.hex()}7") if s["kind"] not in secret_scan.BASE_KINDS]
+        assert stray == [{"kind": kind, "start": 1, "end": 1 + 2 * len(key)}]
+        assert all(s["kind"] in secret_scan.BASE_KINDS for s in secret_scan.find(key[:-1].hex()))
+
+
 def test_secret_base_digests(spark):
     rnd = random.Random(9)
     parts = ["password", "PassWD", "Api_key", "apikey", "token", "ſecret", "secret", "=", ":", " = ", "\"", "'", "AKIA", "ABCDEFGH12345678", "0123456789abcdef",

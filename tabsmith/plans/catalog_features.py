@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
-
-import pyspark
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
@@ -31,14 +27,20 @@ DF = FR.DOC_FEATURES_SQL
 PL = FR.PRICED_LINEITEM_SQL
 
 
-def _stop_words() -> list[str]:
-    """The list that the operator loads, for the SQL text; read from the package, as no session runs yet."""
-    jar = next(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        return [w for w in z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split("\n") if w]
-
-
-STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in _stop_words())
+#: Spark ML's English stop words, which the operator loads from its session; here for the SQL text alone (no file is
+#: read on import). tests/test_plans.py compares the two lists.
+STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
+itself they them their theirs themselves what which who whom this that these those am is are was were be been being
+have has had having do does did doing a an the and but if or because as until while of at by for with about against
+between into through during before after above below to from up down in out on off over under again further then once
+here there when where why how all any both each few more most other some such no nor not only own same so than too
+very s t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm
+you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't
+doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's
+there's what's when's where's who's why's would
+""".split()
+STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
 
 
 # ----------------------------------------------------------------------------- D1, D2

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, binrec, bpe, jaccard, license_scan, mix, quality, secret_scan, tokencount, topk
+from . import ann, binrec, bpe, jaccard, license_scan, mix, periodic, quality, secret_scan, tokencount, topk
 from . import common as C
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,6 +56,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(C.table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(C.table(spark, sf_dir, "documents"))
+
+
 Q = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_topk": op2_exact_topk,
@@ -67,5 +71,6 @@ Q = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_secret_scan": op10_secret_scan,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 SQL: dict[str, str] = {"op5_source_mix": mix.ORACLE}

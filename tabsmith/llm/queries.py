@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, binrec, bpe, jaccard, license_scan, mix, periodic, quality, secret_scan, tokencount, topk
+from . import ann, binrec, bpe, jaccard, license_scan, mix, periodic, quality, secret_scan, shards, tokencount, topk
 from . import common as C
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,6 +60,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(C.table(spark, sf_dir, "documents"))
 
 
+def op13_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.placed(C.table(spark, sf_dir, "documents"))
+
+
 Q = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_topk": op2_exact_topk,
@@ -72,5 +76,6 @@ Q = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_secret_scan": op10_secret_scan,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_external_shuffle": op13_external_shuffle,
 }
 SQL: dict[str, str] = {"op5_source_mix": mix.ORACLE}

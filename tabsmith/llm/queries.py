@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, binrec, bpe, jaccard, license_scan, mix, periodic, quality, secret_scan, shards, tokencount, topk
+from . import align, ann, binrec, bpe, jaccard, license_scan, mix, periodic, quality, secret_scan, shards, tokencount, topk
 from . import common as C
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 FREE_ID = 50256  # the id that the rank file leaves free
 
@@ -56,6 +57,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(C.table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignments(C.table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE, groups=False)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(C.table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ Q = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_secret_scan": op10_secret_scan,
+    "op11_token_alignment": op11_token_alignment,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_external_shuffle": op13_external_shuffle,
 }

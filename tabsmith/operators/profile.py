@@ -102,7 +102,7 @@ def approx_distinct_counts(df: DataFrame, cols: Sequence[str] | None = None) ->
 
 # ----------------------------------------------------------------------------- B6
 
-def describe_table(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto") -> DataFrame:
+def describe_table(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column count, mean, std (n-1), min, 25/50/75 % (exact, linear), max."""
     cols = list(cols or numeric_cols(df))
     stats = ["count", "mean", "std", "min", "max"]
@@ -112,7 +112,7 @@ def describe_table(df: DataFrame, cols: Sequence[str] | None = None, method: str
         exprs += [F.count(x).alias(f"count_{i}"), F.avg(x).alias(f"mean_{i}"), F.stddev_samp(x).alias(f"std_{i}"),
                   F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}")]
     row = df.agg(*exprs).first()
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], method=method)
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
     data = []
     for i, n in enumerate(cols):
         vals = {s: row[f"{s}_{i}"] for s in stats}

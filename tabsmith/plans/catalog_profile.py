@@ -92,7 +92,7 @@ FROM lineitem
 """)
 def b06d(spark, d):
     li = FR.table(spark, d, "lineitem")
-    out = P.describe_table(li, ["l_extendedprice"], method="distributed")
+    out = P.describe_table(li, ["l_extendedprice"])
     return out.select("column", *[F.round(x, 6).alias(x) for x in ["p25", "p50", "p75"]])
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +61,22 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that don't inherit it from the environment (once a session)."""
+    sc, home = spark.sparkContext, Path(__file__).resolve().parents[1]
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if sc.applicationId in _SHIPPED or any(p and Path(p).resolve() == home for p in known):
+        return
+    place = tempfile.mkdtemp(prefix="tabsmith-package-")  # the driver serves the file from here as long as it runs
+    atexit.register(shutil.rmtree, place, ignore_errors=True)
+    name = __package__.split(".")[0]
+    sc.addPyFile(shutil.make_archive(f"{place}/{name}-core", "zip", home, name))
+    _SHIPPED.add(sc.applicationId)
+
+
 def env_int(name: str, default: int) -> int:
     try:
         return int(os.environ.get(name, default))

@@ -33,19 +33,51 @@ def test_running_sums_without_parts(spark):
     assert np.allclose(out["cum_n"].to_numpy(), agg.sort_values("v")["n"].cumsum().to_numpy())
 
 
-@pytest.mark.parametrize("method", ["builtin", "distributed"])
-def test_exact_quantiles_equal_pandas(spark, method):
+PROBS = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
+
+
+def test_exact_quantiles_equal_pandas(spark):
     df, pdf = _frame(spark)
-    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
-    got = exact_quantiles(df, ["v", "w"], probs, method=method)
+    got = exact_quantiles(df, ["v", "w"], PROBS)
     for col in ["v", "w"]:
-        assert np.allclose(got[col], pdf[col].quantile(probs).to_numpy())
+        assert np.allclose(got[col], pdf[col].quantile(PROBS).to_numpy())
 
 
 def test_exact_quantiles_all_null(spark):
-    df = spark.createDataFrame([(None,), (None,)], "x double")
-    assert exact_quantiles(df, ["x"], [0.5], method="distributed") == {"x": [None]}
-    assert exact_quantiles(df, ["x"], [0.5], method="builtin") == {"x": [None]}
+    df = spark.createDataFrame([(None, 1), (None, 2)], "x double, y int")
+    assert exact_quantiles(df, ["x", "y"], [0.5]) == {"x": [None], "y": [1.5]}
+    assert exact_quantiles(df.limit(0), ["x"], [0.5]) == {"x": [None]}
+
+
+def test_exact_quantiles_of_hard_values(spark):
+    """Values that differ in their last bits, both signs, subnormal, huge and infinite ones, many columns of unlike size."""
+    rng = np.random.default_rng(3)
+    close = np.nextafter(1.0, 2.0) + np.arange(997) * np.finfo(float).eps
+    wild = np.concatenate([rng.standard_normal(500) * 10.0 ** rng.integers(-300, 300, 500), [5e-324, -5e-324, 0.0, -0.0, 1e308, -1e308],
+                           np.repeat(7.25, 491)])
+    pdf = pd.DataFrame({"close": rng.permutation(close), "wild": rng.permutation(wild), "same": 3.0, "k": np.arange(997.0)})
+    df = spark.createDataFrame(pdf).repartition(5)
+    df = df.withColumn("gap", F.when(F.col("k") > 990, F.col("k"))).withColumn("edge", F.when(F.col("k") > 900, float("inf")).otherwise(F.col("k")))
+    pdf["gap"] = pdf["k"].where(pdf["k"] > 990)
+    got = exact_quantiles(df, ["close", "wild", "same", "k", "gap", "edge"], PROBS)
+    for col in ["close", "wild", "same", "k", "gap"]:
+        values = np.sort(pdf[col].dropna().to_numpy())
+        want = []
+        for p in PROBS:
+            h = (len(values) - 1) * p
+            lo, hi = values[int(np.floor(h))], values[int(np.ceil(h))]
+            want.append(lo if lo == hi else lo + (h - np.floor(h)) * (hi - lo))
+        assert got[col] == want, col
+    assert got["edge"][3] == 498.0 and got["edge"][-1] == float("inf")
+
+
+def test_exact_quantiles_whatever_the_levels(spark, monkeypatch):
+    from tabsmith.functions import quantiles
+    df, pdf = _frame(spark)
+    want = exact_quantiles(df, ["v", "w"], PROBS)
+    for digits in ((4, 12, 16, 16, 16), (64,), (30, 34)):
+        monkeypatch.setattr(quantiles, "DIGITS", digits)
+        assert exact_quantiles(df, ["v", "w"], PROBS) == want
 
 
 def test_order_statistics(spark):

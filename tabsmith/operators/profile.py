@@ -20,6 +20,7 @@ from ..functions.cumulative import top_k_per_group
 from ..functions.exprs import (
     c, corrected_skew, dtype_of, is_datetime, is_fractional, is_numeric, numeric_cols, string_cols, type_name,
 )
+from ..functions.gramian import correlations
 from ..functions.quantiles import exact_quantiles
 
 
@@ -208,48 +209,14 @@ def target_correlations(df: DataFrame, t: str, cols: Sequence[str] | None = None
     return res
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, digits: int | None = None,
-                       method: str = "auto") -> DataFrame:
-    """Long (a, b, r) for a < b in column order; pairwise-complete rows (pandas ``corr``).
-
-    ``gram``: one distributed Gramian pass through MLlib (requires no nulls);
-    ``pairwise``: one aggregate with a corr per pair. ``auto`` picks gram when the
-    columns hold no nulls and there are many pairs.
-    """
+def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, digits: int | None = None) -> DataFrame:
+    """Long (a, b, r) for a < b in column order; pairwise-complete rows (pandas ``corr``, NaN counts as missing), null where
+    a column doesn't vary. One pass for all pairs (``functions.gramian``), nulls or not."""
     cols = list(cols or numeric_cols(df))
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if not pairs:
+    if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    if method == "auto":
-        method = "pairwise"
-        if len(pairs) > 2000:
-            nulls = null_counts(df, cols).agg(F.sum("n_missing")).first()[0]
-            method = "gram" if nulls == 0 else "pairwise"
-    if method == "gram":
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-        vec = VectorAssembler(inputCols=cols, outputCol="_vec").transform(
-            df.select(*[c(n).cast("double").alias(n) for n in cols]))
-        m = Correlation.corr(vec, "_vec").first()[0].toArray()
-        rows = [(cols[i], cols[j], float(m[i, j]) if m[i, j] == m[i, j] else None) for i, j in pairs]
-        out = df.sparkSession.createDataFrame(rows, "a string, b string, r double")
-    else:
-        chunks = []
-        step = 2000
-        for s in range(0, len(pairs), step):
-            part = pairs[s:s + step]
-            agg = df.agg(*[F.corr(c(cols[i]).cast("double"), c(cols[j]).cast("double")).alias(f"_p{k}")
-                           for k, (i, j) in enumerate(part)])
-            rows = F.array(*[F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col(f"_p{k}").alias("r"))
-                             for k, (i, j) in enumerate(part)])
-            chunks.append(agg.select(F.inline(rows)))
-        out = chunks[0]
-        for ch in chunks[1:]:
-            out = out.unionByName(ch)
-        out = out.select("a", "b", F.when(~F.isnan("r"), F.col("r")).alias("r"))
-    if digits is not None:
-        out = out.withColumn("r", F.round("r", digits))
-    return out
+    out = correlations(df, cols)
+    return out.withColumn("r", F.round("r", digits)) if digits is not None else out
 
 
 def correlation_heatmap(df: DataFrame, t: str, k: int = 20, digits: int | None = 3) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import hash128, level_counts
+from ..functions.aggregates import hash128
 from ..functions.exprs import c, dtype_of, is_fractional, is_numeric, numeric_cols
 from . import profile as P
 
@@ -146,26 +146,27 @@ def audit_overlap(train: DataFrame, test: DataFrame, features: Sequence[str]) ->
                                       ("test_rows", None, n_test, None)])
 
 
-def audit_target_copy(df: DataFrame, t: str, cols: Sequence[str] | None = None, r_limit: float = 0.999,
-                      max_levels: int = 50) -> DataFrame:
-    """A feature that is (a scaled copy of) the target: |r| >= r_limit, or, for columns with at
-    most ``max_levels`` values, a 1:1 mapping with the target."""
+def audit_target_copy(df: DataFrame, t: str, cols: Sequence[str] | None = None, r_limit: float = 0.999) -> DataFrame:
+    """A feature that is (a scaled copy of) the target: |r| >= r_limit, or a 1:1 mapping with the target, at any number
+    of values: each value of the one goes with a single value of the other, in both directions, and some value repeats (between
+    columns without repeats every mapping is 1:1, which says nothing). A null goes with no value."""
     cols = [x for x in (cols or df.columns) if x != t]
     num = [x for x in cols if is_numeric(df.schema[x].dataType)]
     tr = {r["column"]: r["abs_r"] for r in P.target_correlations(df, t, num, digits=None).collect()} if num else {}
-    levels = level_counts(df, cols + [t], max_levels)  # HLL first; exact only near or below the limit
-    low = [x for x in cols if levels[x] <= max_levels]
-    pairs = {}
-    if low and levels[t] <= max_levels:
-        row = df.agg(*[F.count_distinct(c(x), c(t)).alias(f"_p{i}") for i, x in enumerate(low)]).first()
-        pairs = {x: row[f"_p{i}"] for i, x in enumerate(low)}
-    rows = []
-    for x in cols:
-        d, p = levels[x], pairs.get(x)
-        one_to_one = p is not None and d == p == levels[t]
-        r = tr.get(x)
-        rows.append((x, None if r is None else float(r), bool(one_to_one),
-                     bool(one_to_one or (r is not None and r >= r_limit))))
+    # target -> feature for all columns in one grouped aggregate; few columns pass
+    sides = df.where(c(t).isNotNull()).groupBy(c(t).alias("_t")).agg(
+        *[F.coalesce(F.min(c(x)) == F.max(c(x)), F.lit(False)).alias(f"_f{i}") for i, x in enumerate(cols)])
+    row = sides.agg(*[F.bool_and(f"_f{i}").alias(f"_f{i}") for i in range(len(cols))]).first() if cols else {}
+    pairs = set()
+    for i, x in enumerate(cols):
+        if row[f"_f{i}"]:
+            back = df.where(c(x).isNotNull()).groupBy(c(x).alias("_x")).agg(
+                F.coalesce(F.min(c(t)) == F.max(c(t)), F.lit(False)).alias("_f"), (F.count(c(t)) > 1).alias("_more"))
+            found = back.agg(F.bool_and("_f").alias("f"), F.bool_or("_more").alias("more")).first()
+            if found["f"] and found["more"]:
+                pairs.add(x)
+    rows = [(x, None if tr.get(x) is None else float(tr[x]), x in pairs, x in pairs or (tr.get(x) is not None and tr[x] >= r_limit))
+            for x in cols]
     return df.sparkSession.createDataFrame(rows, "column string, abs_r double, one_to_one boolean, flagged boolean")
 
 

@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..functions.cumulative import default_buckets
 from ..functions.exprs import c, hash8, hex_cut, numeric_cols
-from ..functions.quantiles import order_statistics
+from ..functions.neighbours import nearest
 from ..session import cut_lineage
 
 CLASS_LIMIT = 1000  # stratification and class weights are for class targets (bounded level count)
@@ -44,13 +43,14 @@ HASH_BITS = 60               # row_hash values are uniform on [0, 2^60)
 CUT_LEVELS = (12, 12, 36)    # bits of the hash that each histogram resolves
 
 
-def _class_cuts(df: DataFrame, t: str, h: str, ranks: dict) -> dict:
-    """{(class, rank): hash value at that 0-based rank within the class}, exactly, by refining histograms.
+def _class_cuts(df: DataFrame, t: str, h: str, ranks: dict, weight: Column | None = None) -> dict:
+    """{(class, rank): (hash value at that 0-based rank within the class, rank among the rows that share it)}, exactly, by refining
+    histograms.
 
     Rows are counted by (class, leading hash bits); a running sum over a class's 4,096 buckets finds the
     bucket that holds each wanted rank, and only the rows of those buckets are counted by further bits, until
     the value is known. Every level is one grouped count with map-side combine; the wanted cuts (classes x cut
-    points, bounded by ``CLASS_LIMIT``) are the only thing that is joined or collected.
+    points, bounded by ``CLASS_LIMIT``) are the only thing that is joined or collected. With ``weight`` a row counts so often.
     """
     wanted = [(cls, int(r)) for cls, rs in ranks.items() for r in rs]
     if not wanted:
@@ -64,25 +64,23 @@ def _class_cuts(df: DataFrame, t: str, h: str, ranks: dict) -> dict:
     for bits in CUT_LEVELS:
         cuts = spark.createDataFrame(state, schema)
         inside = F.broadcast(cuts.select("_c", "_prefix").distinct())
-        rows = df.select(c(t).alias("_c"), F.col(h).alias("_h"), F.shiftright(h, shift).alias("_prefix")).join(
-            inside, ["_c", "_prefix"], "left_semi")
+        rows = df.select(c(t).alias("_c"), F.col(h).alias("_h"), F.shiftright(h, shift).alias("_prefix"),
+                         (F.lit(1) if weight is None else weight).alias("_w")).join(inside, ["_c", "_prefix"], "left_semi")
         shift -= bits
-        counts = rows.groupBy("_c", "_prefix", F.shiftright("_h", shift).alias("_next")).agg(F.count(F.lit(1)).alias("_n"))
+        counts = rows.groupBy("_c", "_prefix", F.shiftright("_h", shift).alias("_next")).agg(F.sum("_w").alias("_n"))
         below = F.sum("_n").over(Window.partitionBy("_c", "_prefix").orderBy("_next").rowsBetween(Window.unboundedPreceding, -1))
         found = counts.withColumn("_below", F.coalesce(below, F.lit(0))).join(F.broadcast(cuts), ["_c", "_prefix"]) \
             .where((F.col("_below") <= F.col("_left")) & (F.col("_left") < F.col("_below") + F.col("_n")))
         state = [(r["_c"], r["_rank"], r["_left"] - r["_below"], r["_next"]) for r in
                  found.select("_c", "_rank", "_left", "_below", "_next").collect()]
-    return {(cls, r): value for cls, r, _, value in state}
+    return {(cls, r): (value, left) for cls, r, left, value in state}
 
 
-def _below_cut(t: str, h: str, cut_by_class: dict) -> Column:
-    """h < cut(class); classes without a cut (rank 0) select nothing."""
-    expr = F.lit(False)
-    for cls, cut in cut_by_class.items():
-        cond = (c(t) == F.lit(cls)) & (F.col(h) < F.lit(cut))
-        expr = F.when(c(t) == F.lit(cls), cond).otherwise(expr)
-    return expr
+def _with_cuts(df: DataFrame, t: str, cuts: dict, kind: str, col: str = "_cut") -> DataFrame:
+    """``df`` with each row's class's entry of ``cuts`` (null: none). The table has a row per class, so it is broadcast."""
+    schema = T.StructType([T.StructField("_cls", df.schema[t].dataType), T.StructField(col, T.DataType.fromDDL(kind))])
+    table = df.sparkSession.createDataFrame(list(cuts.items()), schema)
+    return df.join(F.broadcast(table), c(t) == F.col("_cls"), "left").drop("_cls")
 
 
 # ----------------------------------------------------------------------------- E1
@@ -98,8 +96,8 @@ def test_flag(df: DataFrame, t: str | None = None, test: float = 0.2, seed: int
     counts = _classes(out, t)
     ranks = {cls: [int(math.floor(test * n))] for cls, n in counts.items() if cls is not None and int(test * n) > 0}
     got = _class_cuts(out, t, "_h", ranks)
-    cuts = {cls: got[(cls, r[0])] for cls, r in ranks.items()}
-    return out.withColumn("is_test", _below_cut(t, "_h", cuts)).drop("_h")
+    cuts = {cls: got[(cls, r[0])][0] for cls, r in ranks.items()}
+    return _with_cuts(out, t, cuts, "long").withColumn("is_test", F.coalesce(F.col("_h") < F.col("_cut"), F.lit(False))).drop("_h", "_cut")
 
 
 def train_test_split(df: DataFrame, t: str | None = None, test: float = 0.2, seed: int = K.SEED,
@@ -136,11 +134,8 @@ def stratified_sample(df: DataFrame, t: str, size: int, seed: int = K.SEED,
     alloc = allocate(size, counts)
     ranks = {cls: [a - 1] for cls, a in alloc.items() if a > 0}
     got = _class_cuts(out, t, "_h", ranks)
-    cuts = {cls: got[(cls, r[0])] for cls, r in ranks.items()}
-    expr = F.lit(False)
-    for cls, cut in cuts.items():
-        expr = F.when(c(t) == F.lit(cls), F.col("_h") <= F.lit(cut)).otherwise(expr)
-    return out.where(expr).drop("_h")
+    cuts = {cls: got[(cls, r[0])][0] for cls, r in ranks.items()}
+    return _with_cuts(out, t, cuts, "long").where(F.col("_h") <= F.col("_cut")).drop("_h", "_cut")
 
 
 def scout_sample(df: DataFrame, t: str, problem_type: str = "classification", seed: int = K.SEED,
@@ -174,12 +169,9 @@ def add_fold(df: DataFrame, k: int = 5, t: str | None = None, seed: int = K.SEED
     ranks = {cls: sorted({int(math.floor(j * n / k)) for j in range(1, k)} - {n}) for cls, n in counts.items()
              if cls is not None}
     got = _class_cuts(out, t, "_h", ranks)
-    fold = None
-    for cls, rs in ranks.items():
-        cuts = [got[(cls, r)] for r in rs]
-        per_class = sum((F.col("_h") >= F.lit(x)).cast("int") for x in cuts) if cuts else F.lit(0)
-        fold = F.when(c(t) == F.lit(cls), per_class) if fold is None else fold.when(c(t) == F.lit(cls), per_class)
-    return out.withColumn(col, fold.cast("int") if fold is not None else F.lit(None).cast("int")).drop("_h")
+    cuts = {cls: [got[(cls, r)][0] for r in rs] for cls, rs in ranks.items()}
+    below = F.size(F.filter("_cut", lambda x: x <= F.col("_h")))
+    return _with_cuts(out, t, cuts, "array<long>").withColumn(col, F.when(F.col("_cut").isNotNull(), below)).drop("_h", "_cut")
 
 
 def safe_folds(n: int) -> int:
@@ -189,89 +181,76 @@ def safe_folds(n: int) -> int:
 
 # ----------------------------------------------------------------------------- E6
 
-HEAP_ROWS = 20_000  # rows that one window of an ordering may hold
+SPREAD = 10_000  # synthetic rows that one row makes in one place
+
+
+def class_points(df: DataFrame, t: str, features: Sequence[str], classes: Sequence) -> DataFrame:
+    """Distinct complete points of ``classes``: _k (number of the class), _id (md5 of the point), _x, _m (how many rows share it). Rows with
+    a null, NaN or infinite feature are left out."""
+    number = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(classes)], T.StructType(
+        [T.StructField("_v", df.schema[t].dataType), T.StructField("_k", T.IntegerType())]))
+    point = F.array(*[c(x).cast("double") + F.lit(0.0) for x in features])
+    complete = F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rows = df.join(F.broadcast(number), c(t) == F.col("_v")).select("_k", point.alias("_x")).where(complete)  # a row per class
+    return rows.groupBy("_k", "_x").agg(F.count(F.lit(1)).alias("_m")) \
+        .withColumn("_id", F.md5(F.concat_ws(",", F.transform("_x", lambda v: v.cast("string")))))
 
 
 def smote(train: DataFrame, t: str, features: Sequence[str] | None = None, k: int = 5, seed: int = K.SEED,
-          classes: Sequence | None = None, window: int = 5, projections: int = 6) -> DataFrame:
+          classes: Sequence | None = None) -> DataFrame:
     """Synthetic rows until every class (or each of ``classes``) has as many rows as the largest one.
 
     Each synthetic row lies on the segment between a row of its class and one of that row's ``k`` nearest
-    neighbours in the class, at a hash-derived position. Neighbours are sought the same way at every size:
-    candidates are the ``window`` rows on each side in ``projections`` random one-dimensional orderings, ranked by
-    exact Euclidean distance. Rows with a null, NaN or infinite feature neither give nor receive neighbours, so no
+    neighbours in the class, at a hash-derived position. Neighbours are exact (``functions.neighbours``): copies of the row come first, then
+    the nearest other points, each as often as rows share it. Every row of a class makes the same number of rows, those first in the
+    order of their points' hashes one more. Rows are told apart by their features alone, so the result doesn't depend on the table's
+    files, partitions or settings. Rows with a null, NaN or infinite feature neither give nor receive neighbours, so no
     value is made up; a null class is left alone; a class with fewer than two complete rows stays as it is.
     Apply to training rows only.
     """
     features = list(features or numeric_cols(train, exclude=[t]))
     counts = {v: n for v, n in _classes(train, t).items() if v is not None}
     most = max(counts.values(), default=0)
-    short = {v: most - n for v, n in counts.items() if n < most and (classes is None or v in set(classes))}
+    short = {v: most - n for v, n in sorted(counts.items()) if n < most and (classes is None or v in set(classes))}
     if not short:
         return train
-    point = F.array(*[c(x).cast("double") for x in features])
-    complete = F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    # identical rows share a row hash, so ids come from monotonically_increasing_id and are pinned by a
-    # reliable checkpoint in the shared folder (stable under task retries)
-    base = cut_lineage(train.where(c(t).isin(*short)).select(c(t).alias("_t"), point.alias("_x")).where(complete)
-                       .withColumn("_id", F.monotonically_increasing_id()))
-    have = {r["_t"]: r["n"] for r in base.groupBy("_t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = {v: divmod(need, have[v]) for v, need in short.items() if have.get(v, 0) >= 2}
+    names = list(short)
+    base = cut_lineage(class_points(train, t, features, names))
+    have = {r["_k"]: r["n"] for r in base.groupBy("_k").agg(F.sum("_m").alias("n")).collect()}
+    plan = {i: divmod(need, have[i]) for i, need in enumerate(short.values()) if have.get(i, 0) >= 2}
     if not plan:
         return train
-    nbrs = _neighbours(base.where(F.col("_t").isin(*plan)), k, window, projections, seed, len(features))
-    # every row of a class gets floor(need / rows) samples, those with the smallest ids one more
-    extras = [(v, extra - 1) for v, (_, extra) in plan.items() if extra]
-    cuts = order_statistics(base, "_id", "_t", extras) if extras else {}
-    times = F.lit(0)
-    for v, (per, extra) in plan.items():
-        more = (F.col("_id") <= F.lit(cuts[(v, extra - 1)])).cast("int") if extra else F.lit(0)
-        times = F.when(F.col("_t") == F.lit(v), F.lit(per) + more).otherwise(times)
-    gen = nbrs.withColumn("_n", times).where(F.col("_n") > 0).withColumn("_s", F.explode(F.sequence(F.lit(1), "_n")))
+    base = base.where(F.col("_k").isin(*plan)).withColumn("_h", F.conv(F.substring("_id", 1, HASH_BITS // 4), 16, 10).cast("long"))
+    # every row makes ``per`` rows, the first ``extra`` of a class one more: those of points below a hash and some of the point at it
+    cuts = _class_cuts(base, "_k", "_h", {i: [extra - 1] for i, (_, extra) in plan.items() if extra}, F.col("_m"))
+    share = {i: (per, *((cuts[(i, extra - 1)][0], cuts[(i, extra - 1)][1] + 1) if extra else (-1, 0))) for i, (per, extra) in plan.items()}
+    share = {i: {"per": per, "cut": cut, "at": at} for i, (per, cut, at) in share.items()}
+    shared = _with_cuts(base, "_k", share, "struct<per:long,cut:long,at:long>")
+    more = F.when(F.col("_h") < F.col("_cut.cut"), F.col("_m")).when(F.col("_h") == F.col("_cut.cut"), F.least("_m", "_cut.at")).otherwise(0)
+    makes = shared.withColumn("_n", F.col("_m") * F.col("_cut.per") + more).drop("_cut").where("_n > 0")
+    copies = F.array_repeat(F.col("_x"), F.least(F.col("_m") - 1, F.lit(k)).cast("int"))
+    near = nearest(base, k)
+    others = F.flatten(F.transform("_near", lambda s: F.array_repeat(s["x"], F.least(s["m"], F.lit(k)).cast("int"))))
+    gen = makes.join(near, ["_k", "_id"], "left").withColumn("_nb", F.slice(F.when(F.col("_near").isNull(), copies)
+                                                                            .otherwise(F.concat(copies, others)), 1, k))
+    # a point shared by many rows makes many: in parts, dealt to several tasks
+    parts = gen.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / SPREAD))))
+    width = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts.repartition(width, "_k", "_id", "_part")
+    gen = parts.withColumn("_s", F.explode(F.sequence(F.col("_part") * SPREAD + 1, F.least(F.col("_n"), (F.col("_part") + 1) * SPREAD))))
     pick = F.pmod(F.xxhash64("_id", "_s", F.lit(seed)), F.size("_nb")).cast("int")
-    gap = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("_id").cast("string"), F.col("_s").cast("string"),
+    gap = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("_id"), F.col("_s").cast("string"),
                                                F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / float(16 ** 8)
-    synth = gen.select("_t", "_x", F.element_at("_nb", pick + 1).alias("_y"), gap.alias("_u")).select(
-        "_t", F.zip_with("_x", "_y", lambda a, b: a + (b - a) * F.col("_u")).alias("_v"))
+    synth = gen.select("_k", "_x", F.element_at("_nb", pick + 1).alias("_y"), gap.alias("_u")).select(
+        "_k", F.zip_with("_x", "_y", lambda a, b: a + (b - a) * F.col("_u")).alias("_v"))
+    label = train.sparkSession.createDataFrame(list(enumerate(names)), T.StructType(
+        [T.StructField("_k", T.IntegerType()), T.StructField("_t", train.schema[t].dataType)]))
+    synth = synth.join(F.broadcast(label), "_k")  # a row per class
     made = {x: F.col("_v")[i] for i, x in enumerate(features)} | {t: F.col("_t")}
     return train.unionByName(synth.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
                                             for f in train.schema.fields]))
 
 
-def _neighbours(base: DataFrame, k: int, window: int, projections: int, seed: int, dim: int) -> DataFrame:
-    """(_t, _id, _x, _nb): the k nearest of the candidates that random one-dimensional orderings put next to a row."""
-    import random
-    rng = random.Random(seed)
-    cands = None
-    for _ in range(projections):
-        vec = [rng.gauss(0, 1) for _ in range(dim)]
-        along = F.aggregate(F.zip_with("_x", F.array(*[F.lit(v) for v in vec]), lambda a, b: a * b),
-                            F.lit(0.0), lambda s, x: s + x)
-        placed = base.withColumn("_p", along)
-        # range buckets on the projection (bounded edge list) so no window holds a whole class
-        n_b = default_buckets(base)
-        edges = placed.agg(F.percentile_approx("_p", [i / n_b for i in range(1, n_b)], 10_000)).first()[0] or []
-        edges = sorted(set(edges))
-        bucket = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col("_p"))) \
-            if edges else F.lit(0)
-        placed = placed.withColumn("_b", bucket)
-        # a heap (such as many identical points in one bucket) is split by as much as it is too large
-        heaps = placed.groupBy("_t", "_b").agg(F.ceil(F.count(F.lit(1)) / HEAP_ROWS).alias("_k"))
-        placed = placed.join(heaps, ["_t", "_b"]).withColumn("_sub", F.pmod(F.xxhash64("_id"), F.col("_k")))
-        w = Window.partitionBy("_t", "_b", "_sub").orderBy("_p", "_id")
-        near = [f(F.struct("_id", "_x"), j).over(w) for f in (F.lag, F.lead) for j in range(1, window + 1)]
-        part = placed.select("_t", "_id", "_x", F.filter(F.array(*near), lambda s: s.isNotNull()).alias("_c"))
-        cands = part if cands is None else cands.unionByName(part)
-    grouped = cands.groupBy("_t", "_id").agg(F.first("_x").alias("_x"), F.flatten(F.collect_list("_c")).alias("_c"))
-    dist = F.transform(F.array_distinct("_c"), lambda s: F.struct(
-        F.aggregate(F.zip_with(s["_x"], F.col("_x"), lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                    lambda acc, v: acc + v).alias("d"), s["_id"].alias("i"), s["_x"].alias("x")))
-    best = F.transform(F.slice(F.array_sort(dist), 1, k), lambda s: s["x"])
-    # alone in all its windows: its own point is all there is
-    return grouped.select("_t", "_id", "_x", best.alias("_nb")).withColumn(
-        "_nb", F.when(F.size("_nb") > 0, F.col("_nb")).otherwise(F.array("_x")))
-
-
 # ----------------------------------------------------------------------------- E7, E8, E9
 
 def class_weights(df: DataFrame, t: str, mode: str = "balanced", col: str = "weight") -> DataFrame:

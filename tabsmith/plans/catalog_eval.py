@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.exprs import hex_cut
+from ..functions.neighbours import nearest
 from ..operators import audit as H
 from ..operators import features as FE
 from ..operators import metrics as G
@@ -163,10 +164,33 @@ SELECT quality, CAST((SELECT max(n) FROM c) AS BIGINT) AS n FROM c
 """)
 def e06p(spark, d):
     df = FR.doc_features(spark, d).select("quality", *_SMOTE_FEATS)
-    out = E.smote(df, "quality", _SMOTE_FEATS, window=3, projections=4)
+    out = E.smote(df, "quality", _SMOTE_FEATS, k=3)
     return out.groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
 
 
+@reg("e06_smote_neighbours", f"""
+WITH p AS (SELECT quality, n_chars, text_len, n_words, n_lines, n_periods, count(*) AS copies FROM ({DF}) GROUP BY ALL),
+     q AS (SELECT a.quality, a.n_chars, a.n_words, a.n_lines, a.n_periods, a.text_len, a.copies,
+                  sqrt((a.n_chars - b.n_chars) ** 2 + (a.text_len - b.text_len) ** 2 + (a.n_words - b.n_words) ** 2
+                       + (a.n_lines - b.n_lines) ** 2 + (a.n_periods - b.n_periods) ** 2) AS d
+           FROM p a JOIN p b ON a.quality = b.quality AND (a.n_chars, a.text_len, a.n_words, a.n_lines, a.n_periods)
+                                                          IS DISTINCT FROM (b.n_chars, b.text_len, b.n_words, b.n_lines, b.n_periods)),
+     r AS (SELECT *, row_number() OVER (PARTITION BY quality, n_chars, text_len, n_words, n_lines, n_periods ORDER BY d) AS rank FROM q)
+SELECT quality, n_chars, n_words, n_lines, n_periods, CAST(copies AS BIGINT) AS copies, CAST(rank AS INTEGER) AS rank, ROUND(d, 6) AS distance
+FROM r WHERE rank <= 5
+""")
+def e06n(spark, d):
+    """Neighbours that SMOTE draws from: the five nearest other points of each point's class."""
+    df = FR.doc_features(spark, d).select("quality", *_SMOTE_FEATS)
+    classes = [r["quality"] for r in df.select("quality").distinct().where("quality is not null").orderBy("quality").collect()]
+    points = E.class_points(df, "quality", _SMOTE_FEATS, classes)
+    near = nearest(points, 5).select("_k", "_id", F.posexplode("_near").alias("_i", "_s"))
+    x = {n: F.col("_x")[i].alias(n) for i, n in enumerate(_SMOTE_FEATS)}
+    names = F.array(*[F.lit(v) for v in classes])
+    return points.join(near, ["_k", "_id"]).select(names[F.col("_k")].alias("quality"), x["n_chars"], x["n_words"], x["n_lines"], x["n_periods"],
+                                                   F.col("_m").alias("copies"), (F.col("_i") + 1).alias("rank"), F.round("_s.d", 6).alias("distance"))
+
+
 @reg("e07_class_weights", f"""
 SELECT doc_id, ROUND((SELECT count(*) FROM ({DOCS})) / (2.0 * count(*) OVER (PARTITION BY quality)), 6) AS weight
 FROM ({DOCS})
@@ -716,13 +740,14 @@ def h09(spark, d):
     return H.audit_overlap(train, test, ["text", "lang"])
 
 
+def _one_to_one(x: str) -> str:
+    return (f"(count(DISTINCT {x}) = count(DISTINCT ({x}, n_chars)) AND count(DISTINCT {x}) = count(DISTINCT n_chars) "
+            f"AND count(*) > count(DISTINCT n_chars))")
+
+
 @reg("h10_audit_target_copy", " UNION ALL ".join(
-    f"""SELECT '{x}' AS "column", ROUND(abs(corr({x}, n_chars)), 6) AS abs_r,
-       count(DISTINCT {x}) <= 50 AND count(DISTINCT {x}) = count(DISTINCT ({x}, n_chars))
-         AND count(DISTINCT {x}) = count(DISTINCT n_chars) AS one_to_one,
-       (count(DISTINCT {x}) <= 50 AND count(DISTINCT {x}) = count(DISTINCT ({x}, n_chars))
-         AND count(DISTINCT {x}) = count(DISTINCT n_chars)) OR abs(corr({x}, n_chars)) >= 0.999 AS flagged
-    FROM ({DF})""" for x in _H_NUM))
+    f"""SELECT '{x}' AS "column", ROUND(abs(corr({x}, n_chars)), 6) AS abs_r, {_one_to_one(x)} AS one_to_one,
+       {_one_to_one(x)} OR abs(corr({x}, n_chars)) >= 0.999 AS flagged FROM ({DF})""" for x in _H_NUM))
 def h10(spark, d):
     df = FR.doc_features(spark, d)
     return H.audit_target_copy(df, "n_chars", cols=_H_NUM).withColumn("abs_r", F.round("abs_r", 6))

@@ -142,3 +142,17 @@ def test_drop_duplicates_counts(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "x int, s string")
     r = C.duplicate_count(df).first()
     assert (r["n_rows"], r["n_distinct"], r["n_duplicates"]) == (3, 2, 1)
+
+
+def test_target_copies_of_many_values_are_flagged(spark):
+    from tabsmith.operators import audit as H
+    rows = [(i % 51, f"k{i % 51}", f"k{i % 50}", i % 102, i, f"k{i % 51}" if i % 51 else None, None) for i in range(510)]
+    df = spark.createDataFrame(rows, "t int, copy string, merged string, finer int, unique int, gaps string, empty string")
+    got = {r["column"]: (r["one_to_one"], r["flagged"]) for r in H.audit_target_copy(df, "t").collect()}
+    assert got == {"copy": (True, True), "merged": (False, False), "finer": (False, False), "unique": (False, False),
+                   "gaps": (False, False), "empty": (False, False)}
+    many = spark.range(6000).selectExpr("id % 3000 as t", "concat('v', id % 3000) as copy", "id % 2999 as other")
+    assert {r["column"]: r["flagged"] for r in H.audit_target_copy(many, "t").collect()} == {"copy": True, "other": False}
+    alone = spark.range(20).selectExpr("id as t", "uuid() as x")
+    assert not H.audit_target_copy(alone, "t").first()["one_to_one"]
+    assert H.audit_target_copy(df.limit(0), "t").where("flagged").count() == 0

@@ -54,7 +54,8 @@ def test_stratified_cuts_are_order_statistics(spark):
         by.setdefault(r["quality"], []).append(r["_h"])
     ranks = {q: [0, len(h) // 3, len(h) - 1] for q, h in by.items()}
     got = E._class_cuts(docs.unionByName(docs.where("quality = 0")), "quality", "_h", ranks)
-    assert got == {(q, r): sorted(by[q])[r] for q, rs in ranks.items() for r in rs}
+    assert {key: value for key, (value, _) in got.items()} == {(q, r): sorted(by[q])[r] for q, rs in ranks.items() for r in rs}
+    assert all(left == r - sorted(by[q]).index(value) for (q, r), (value, left) in got.items())
 
 
 def test_nested_learning_subsets(spark):

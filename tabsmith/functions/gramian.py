@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -119,3 +119,35 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                                                   "r": pa.array(values, mask=~np.isfinite(values))})
 
     return sums.mapInArrow(run, "a string, b string, r double")
+
+
+def group_moments(df: DataFrame, exprs: Sequence[Column], group: str, shifted: Sequence[int] = ()) -> dict:
+    """{group value: X'X} of the double columns ``exprs``, in one pass. ``shifted`` names columns that are moved by their overall mean
+    first. There is a matrix per group on the driver, so groups are few (folds) and columns at most some hundred. A missing value
+    makes its group's matrix NaN."""
+    ship_package(df.sparkSession)
+    width, fan = len(exprs), FAN
+    row = df.agg(*[F.avg(exprs[i]).alias(f"m{i}") for i in shifted]).first() if shifted else ()
+    shift = np.zeros(width)
+    shift[list(shifted)] = [v if v is not None else 0.0 for v in row]
+    src = df.where(c(group).isNotNull()).select(c(group).cast("int").alias("g"), *[e.alias(f"v{i}") for i, e in enumerate(exprs)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            x = np.empty((b.num_rows, width))
+            for i in range(width):
+                x[:, i] = b.column(i + 1).to_numpy(zero_copy_only=False)
+            x -= shift
+            of = b.column(0).to_numpy(zero_copy_only=False)
+            for g in np.unique(of):
+                part = x[of == g]
+                total[int(g)] = total.get(int(g), 0) + part.T @ part
+        at = TaskContext.get().partitionId() % fan
+        for g, m in total.items():
+            yield pa.RecordBatch.from_pydict({"bi": pa.array([g], pa.int32()), "bj": pa.array([0], pa.int32()),
+                                              "part": pa.array([at], pa.int32()), "sums": [m.ravel()]})
+
+    some = src.mapInArrow(run, BLOCK).repartition("bi", "part").mapInArrow(_added, BLOCK)
+    whole = some.withColumn("part", F.lit(0)).repartition("bi").mapInArrow(_added, BLOCK)
+    return {r["bi"]: np.array(r["sums"]).reshape(width, width) for r in whole.collect()}

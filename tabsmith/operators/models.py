@@ -3,7 +3,7 @@
 Every fit is a distributed MLlib fit; evaluation reuses the metric operators
 on the prediction frame (label, prediction, score). Folds and samples come
 from the hash operators, so a run is repeatable and partition-independent.
-Learners of other boosting libraries map to MLlib GBT and are reported as GBT.
+Learners of other boosting libraries map to MLlib GBT and are reported under the name asked for.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
+from pyspark import SparkContext
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
+    GBTClassificationModel, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.exprs import c, numeric_cols, safe_name, string_cols
+from . import linear
 from . import metrics as G
 from . import split as E
 
@@ -73,10 +75,16 @@ GRIDS = {
 }
 
 
-FOLDS_AT_ONCE = 4  # folds of a cross-validation whose jobs run side by side
+FITS_AT_ONCE = 16       # independent fits whose jobs run side by side
+ROWS_PER_PART = 20_000  # a small table's folds are held in as few partitions as that
 Key = Sequence[str] | str | None  # column or columns that name a row
 
 
+def compact(df: DataFrame, n: int | None = None) -> DataFrame:
+    """``df`` in no more partitions than its rows are worth: a boosted fit runs jobs by the thousand, each with a task per partition."""
+    return df.coalesce(max(1, -(-(df.count() if n is None else n) // ROWS_PER_PART)))
+
+
 def canonical(name: str) -> str:
     return ALIASES.get(name, name)
 
@@ -114,15 +122,18 @@ FAMILY = {
 }
 
 
+def settings(name: str, params: dict | None = None) -> dict:
+    """A learner's settings: its family's defaults, its own, then ``params``."""
+    return {**DEFAULTS.get(canonical(name), {}), **FAMILY.get(name, {}), **(params or {})}
+
+
 def make_model(name: str, problem_type: str, label: str, n_rows: int, params: dict | None = None,
                weight: str | None = None, features: str = "features", seed: int = K.SEED, label_std: float = 1.0):
     """F2-F8: an MLlib estimator with reference defaults; ``C`` and ``alpha`` are converted to
     MLlib's per-row regularisation (regParam = 1/(C n) for logistic, alpha/n ridge, alpha lasso). MLlib scales the label
     to unit deviation and divides regParam by that deviation, which is right for the L1 penalty only; the L2 one is
     multiplied by ``label_std`` to make up for it."""
-    own = FAMILY.get(name, {})
-    name = canonical(name)
-    p = {**DEFAULTS.get(name, {}), **own, **(params or {})}
+    p, name = settings(name, params), canonical(name)
     n = max(n_rows, 1)
     common = {"labelCol": label, "featuresCol": features}
     w = {"weightCol": weight} if weight else {}
@@ -213,24 +224,126 @@ def primary(problem_type: str, metric: str | None = None) -> tuple[str, bool]:
 
 # ----------------------------------------------------------------------------- F15, F9, F10, F11
 
+def staged(model, rounds: int):
+    """A boosted model's first ``rounds`` rounds, as a shorter fit would have given them (MLlib's rounds don't look ahead)."""
+    sc = SparkContext._active_spark_context
+    trees, weights = model._java_obj.trees(), model.treeWeights
+    kept = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    own = sc._gateway.new_array(sc._jvm.double, rounds)
+    for i in range(rounds):
+        kept[i], own[i] = trees[i], weights[i]
+    kind = "classification.GBTClassificationModel" if isinstance(model, GBTClassificationModel) else "regression.GBTRegressionModel"
+    java = sc._jvm
+    for part in f"org.apache.spark.ml.{kind}".split("."):
+        java = getattr(java, part)
+    return type(model)(java(f"{model.uid}-{rounds}", kept, own))
+
+
+@dataclass
+class Fold:
+    """One fold's training and held-out rows, encoded once for every learner and setting."""
+    number: int
+    train: DataFrame
+    test: DataFrame
+    n: int
+    label_std: float
+
+
+def encoded_folds(folded: DataFrame, t: str, k: int, exclude: Sequence[str] | str | None, weight: str | None) -> list[Fold]:
+    """Fit the preprocessor on each fold's training rows and keep both parts encoded (persisted)."""
+    ex = {*key_columns(exclude), t, "fold", *([weight] if weight else [])}
+    num, cat = ([x for x in f(folded) if x not in ex] for f in (numeric_cols, string_cols))
+    keep = [c(t), F.col("features"), *([c(weight)] if weight else [])]
+
+    def encode(i: int) -> Fold:
+        train, test = folded.where(F.col("fold") != i), folded.where(F.col("fold") == i)
+        pre = Pipeline(stages=build_preprocessor(num, cat)).fit(train)
+        held = [pre.transform(x).select(*keep).persist() for x in (train, test)]
+        n, std = held[0].agg(F.count(F.lit(1)), F.coalesce(F.stddev_pop(c(t).cast("double")), F.lit(1.0))).first()
+        return Fold(i, *held, n, std)
+
+    with ThreadPool(min(k, FITS_AT_ONCE)) as pool:
+        return pool.map(encode, range(k))
+
+
+def setting_groups(name: str, draws: Sequence[dict | None], problem_type: str) -> list[list[int]]:
+    """Draws that one fit serves: boosted ones that differ in their number of rounds alone (longest first); any other by itself."""
+    if not canonical(name).startswith("GBT") or problem_type == "multiclass_classification":
+        return [[i] for i in range(len(draws))]
+    groups: dict[str, list[int]] = {}
+    for i, p in enumerate(draws):
+        groups.setdefault(json.dumps({x: v for x, v in (p or {}).items() if x != "maxIter"}, sort_keys=True), []).append(i)
+    rounds = lambda i: settings(name, draws[i])["maxIter"]
+    return [sorted(g, key=rounds, reverse=True) for g in groups.values()]
+
+
+def fold_scores(df: DataFrame, t: str, jobs: Sequence[tuple[str, Sequence[dict | None]]], problem_type: str, k: int, metric: str | None = None,
+                seed: int = K.SEED, key: Key = None, stratify: bool = True, weight: str | None = None
+                ) -> list[list[dict[int, float | None] | Exception]]:
+    """For every (learner, settings) of ``jobs`` and each of its settings: {fold: score}, or what the learner raised.
+
+    Folds are cut and encoded once. Linear regressions come from one Gramian per fold (``operators.linear``); of boosted
+    settings that differ in their number of rounds only the longest is fitted and scored at each; all fits run side by side.
+    """
+    m, _ = primary(problem_type, metric)
+    folded = E.add_fold(df, k, t if (stratify and problem_type != "regression") else None, seed, key)
+    folded = compact(folded, df.count()).persist()
+    out: list[list] = [[{} for _ in draws] for _, draws in jobs]
+    todo = list(range(len(jobs)))
+    if problem_type == "regression" and m in linear.SCORES and weight is None:
+        closed = [j for j in todo if jobs[j][0] in linear.LINEAR]
+        flat = [(j, i, (jobs[j][0], settings(jobs[j][0], p).get("alpha", 0.0))) for j in closed for i, p in enumerate(jobs[j][1])]
+        ex = {*key_columns(key), t, "fold"}
+        num, cat = ([x for x in f(folded) if x not in ex] for f in (numeric_cols, string_cols))
+        got = linear.fold_scores(folded, t, num, cat, [x for _, _, x in flat], m) if flat else None
+        if got is not None:
+            for (j, i, _), scores in zip(flat, got):
+                out[j][i] = dict(sorted(scores.items()))
+            todo = [j for j in todo if j not in closed]
+    if todo:
+        folds = encoded_folds(folded, t, k, key, weight)
+        tasks = [(j, g, fold) for j in todo for g in setting_groups(*jobs[j], problem_type) for fold in folds]
+
+        def run(task):
+            j, group, fold = task
+            name, draws = jobs[j]
+            try:
+                model = make_model(name, problem_type, t, fold.n, draws[group[0]], weight, label_std=fold.label_std).fit(fold.train)
+                longest = settings(name, draws[group[0]]).get("maxIter")
+                return [score_of(model if settings(name, draws[i]).get("maxIter") == longest else staged(model, settings(name, draws[i])["maxIter"]),
+                                 fold.test, t, problem_type, m) for i in group]
+            except LEARNER_ERRORS as error:
+                return error
+
+        with ThreadPool(min(len(tasks), FITS_AT_ONCE)) as pool:
+            results = pool.map(run, tasks, chunksize=1)
+        for (j, group, fold), scores in zip(tasks, results):
+            for n, i in enumerate(group):
+                if isinstance(scores, Exception) or isinstance(out[j][i], Exception):
+                    out[j][i] = scores if isinstance(scores, Exception) else out[j][i]
+                else:
+                    out[j][i][fold.number] = scores[n]
+        for fold in folds:
+            fold.train.unpersist()
+            fold.test.unpersist()
+    folded.unpersist()
+    return out
+
+
+def mean_score(scores: dict[int, float | None]) -> float | None:
+    """Mean over the folds that have a score."""
+    known = [s for s in scores.values() if s is not None]
+    return sum(known) / len(known) if known else None
+
+
 def cross_validate(df: DataFrame, t: str, name: str, problem_type: str, k: int = 5, metric: str | None = None,
                    params: dict | None = None, seed: int = K.SEED, key: Sequence[str] | str | None = None,
                    stratify: bool = True, weight: str | None = None) -> DataFrame:
     """(fold, score) — fit on the other folds, score the held-out fold."""
-    m, _ = primary(problem_type, metric)
-    folded = E.add_fold(df, k, t if (stratify and problem_type != "regression") else None, seed, key).persist()
-    sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
-
-    def score_fold(i: int) -> tuple[int, float | None]:
-        train, test = folded.where(F.col("fold") != i).drop("fold"), folded.where(F.col("fold") == i).drop("fold")
-        n = sum(v for f, v in sizes.items() if f != i)
-        model = model_pipeline(train, t, name, problem_type, params, weight, n_rows=n, exclude=key).fit(train)
-        return i, score_of(model, test, t, problem_type, m)
-
-    with ThreadPool(min(k, FOLDS_AT_ONCE)) as pool:  # folds are independent jobs
-        rows = pool.map(score_fold, range(k))
-    folded.unpersist()
-    return df.sparkSession.createDataFrame(rows, "fold int, score double")
+    scores = fold_scores(df, t, [(name, [params])], problem_type, k, metric, seed, key, stratify, weight)[0][0]
+    if isinstance(scores, Exception):
+        raise scores
+    return df.sparkSession.createDataFrame(sorted(scores.items()), "fold int, score double")
 
 
 #: What a learner may raise on data it can't take (a JVM requirement that fails is an illegal argument).
@@ -258,14 +371,9 @@ def scout(df: DataFrame, t: str, problem_type: str, metric: str | None = None, f
     metric = metric or ("r2" if problem_type == "regression" else None)
     names = list(candidates or ([x for x in SCOUT if "Regressor" in x or x == "Ridge"] if problem_type == "regression"
                                 else [x for x in SCOUT if "Classifier" in x or x == "LogisticRegression"]))
-    scores: dict[str, float | None] = {}
-    for name in names:
-        try:
-            cv = cross_validate(sample, t, name, problem_type, folds, metric, SCOUT.get(name, SCOUT.get(canonical(name))), seed, key)
-            mean = cv.agg(F.avg("score")).first()[0]
-            scores[name] = None if mean is None else round(float(mean), 4)
-        except LEARNER_ERRORS:
-            scores[name] = None
+    got = fold_scores(sample, t, [(n, [SCOUT.get(n, SCOUT.get(canonical(n)))]) for n in names], problem_type, folds, metric, seed, key)
+    means = {n: None if isinstance(x[0], Exception) else mean_score(x[0]) for n, x in zip(names, got)}
+    scores = {n: None if s is None else round(s, 4) for n, s in means.items()}
     _, higher = primary(problem_type, metric)
     ranked = rank_scores(scores, higher)
     return df.sparkSession.createDataFrame([(i + 1, n, s, i < 2 and s is not None) for i, (n, s) in enumerate(ranked)],
@@ -300,12 +408,16 @@ def train_and_select(train: DataFrame, test: DataFrame, t: str, names: Sequence[
     ``params`` maps a learner name, as given or else as served, to settings. Returns (best, rows (model, metric, value, fit_seconds))."""
     m, higher = primary(problem_type, metric)
     n = train.count()
-    results = []
-    for name in names:
+    train, test = (compact(x, n).persist() for x in (train, test))
+
+    def fit(name: str) -> Trained:
         own = (params or {}).get(name, (params or {}).get(canonical(name)))
         pipe = model_pipeline(train, t, name, problem_type, own, weight=weight, n_rows=n, exclude=exclude)
         model, secs = fit_timed(pipe, train)
-        results.append(Trained(name, model, evaluate(model, test, t, problem_type), secs))
+        return Trained(name, model, evaluate(model, test, t, problem_type), secs)
+
+    with ThreadPool(max(1, min(len(names), FITS_AT_ONCE))) as pool:  # times are those of fits side by side
+        results = pool.map(fit, names, chunksize=1)
     rows = []
     for r in results:
         for row in r.metrics.collect():
@@ -347,10 +459,11 @@ def tune(df: DataFrame, t: str, name: str, problem_type: str, n_iter: int = K.TU
         raise ValueError(f"unknown mode {mode!r}")
     _, higher = primary(problem_type, metric)
     draws = [small_data_params(name)] if mode == "small_data" else draw_params(name, n_iter, seed, grid)
-    scores = {}
-    for p in draws:
-        cv = cross_validate(df, t, name, problem_type, folds, metric, p, seed, key)
-        scores[json.dumps(p, sort_keys=True)] = cv.agg(F.avg("score")).first()[0]
+    got = fold_scores(df, t, [(name, draws)], problem_type, folds, metric, seed, key)[0]
+    for x in got:
+        if isinstance(x, Exception):
+            raise x
+    scores = {json.dumps(p, sort_keys=True): mean_score(x) for p, x in zip(draws, got)}
     ranked = rank_scores(scores, higher)
     return json.loads(ranked[0][0]), df.sparkSession.createDataFrame(ranked, "params string, score double")
 
@@ -418,9 +531,10 @@ def balanced_retry(train: DataFrame, test: DataFrame, t: str, current_f1: float,
     Returns (winner, f1)."""
     if current_f1 >= limit:
         return "current", current_f1
-    weighted = E.class_weights(train, t)
+    weighted = compact(E.class_weights(train, t)).persist()
     pipe = model_pipeline(weighted, t, "LGBMClassifier", "binary_classification", params, weight="weight", exclude=exclude)
     model = pipe.fit(weighted)
+    weighted.unpersist()
     f1 = score_of(model, test, t, "binary_classification", "f1_binary")
     return ("balanced_gbt", f1) if f1 is not None and f1 > current_f1 else ("current", current_f1)
 

@@ -8,6 +8,7 @@ by every configuration, so paired comparisons are fair.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,15 +78,20 @@ def baseline_run(df: DataFrame, t: str, key: M.Key = None, sizes: dict | None =
     sizes = sizes or {}
     raw, held = E.train_test_split(df, t, key=key)
     recipe = encode_and_fill(raw, t, key)
-    train, test = recipe.train, recipe.apply(held)
+    train, test = (M.compact(x).persist() for x in (recipe.train, recipe.apply(held)))
     n = train.count()
-    rows = []
-    for name, params in [("LogisticRegression", {"maxIter": 1000, "C": 1.0}),
-                         ("RandomForestClassifier", sizes.get("rf", {"numTrees": 100, "maxDepth": 10})),
-                         ("GBTClassifier", sizes.get("gbt", {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1}))]:
+
+    def fit(learner: tuple) -> tuple:
+        name, params = learner
         pipe = M.model_pipeline(train, t, name, "binary_classification", params, n_rows=n, exclude=key)
         model, secs = M.fit_timed(pipe, train)
-        rows.append((name, M.score_of(model, test, t, "binary_classification", "f1_binary"), secs))
+        return name, M.score_of(model, test, t, "binary_classification", "f1_binary"), secs
+
+    learners = [("LogisticRegression", {"maxIter": 1000, "C": 1.0}),
+                ("RandomForestClassifier", sizes.get("rf", {"numTrees": 100, "maxDepth": 10})),
+                ("GBTClassifier", sizes.get("gbt", {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1}))]
+    with ThreadPool(len(learners)) as pool:  # times are those of fits side by side
+        rows = pool.map(fit, learners, chunksize=1)
     table = df.sparkSession.createDataFrame(rows, "model string, f1_binary double, fit_seconds double")
     return _best_f1(rows), table
 
@@ -98,7 +104,7 @@ def full_run(df: DataFrame, t: str, key: M.Key = None, folds: int = 3, n_iter: i
     raw, held = E.train_test_split(df, t, key=key)
     recipe = Recipe(raw, t, key).label_encode().fill(flag_min=0.30, flag_min_inclusive=False, flag_max=1.0) \
         .clip().products("all").logs().prune(0.92)
-    train, test = recipe.train, recipe.apply(held)
+    train, test = (M.compact(x).persist() for x in (recipe.train, recipe.apply(held)))
     ranking = M.scout(train, t, "binary_classification", "f1_binary", folds=folds, candidates=scout_candidates, key=key)
     rows, search = [], {}
     for name in M.top_two(ranking):
@@ -121,7 +127,7 @@ def fixed_search(df: DataFrame, t: str, key: M.Key = None, draws: int = 3, folds
     import time as _time
     raw, held = E.train_test_split(df, t, key=key)
     recipe = encode_and_fill(raw, t, key)
-    train, test = recipe.train, recipe.apply(held)
+    train, test = (M.compact(x).persist() for x in (recipe.train, recipe.apply(held)))
     grid = forest_grid or {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 30]}
     t0 = _time.time()
     best, _ = M.tune(train, t, "RandomForestClassifier", "binary_classification", n_iter=draws, folds=folds,
@@ -142,15 +148,20 @@ def ablation(df: DataFrame, t: str, configs: dict[str, tuple[Callable[[DataFrame
     """every named configuration, (frame transform, learner, settings), scored on the same stratified folds.
     Returns ((config, fold, f1) rows, a G19 summary per configuration with ``step`` and the paired t against the one
     before: delta, t, p)."""
-    folded = E.add_fold(df, k, t, key=key).persist()
-    rows = []
-    for name, (make, learner, params) in configs.items():
+    folded = M.compact(E.add_fold(df, k, t, key=key)).persist()
+
+    def score(task: tuple) -> tuple:
+        name, i = task
+        make, learner, params = configs[name]
         data = make(folded)
-        for i in range(k):
-            train = data.where(F.col("fold") != i).drop("fold")
-            test = data.where(F.col("fold") == i).drop("fold")
-            model = M.model_pipeline(train, t, learner, "binary_classification", params, exclude=key).fit(train)
-            rows.append((name, i, M.score_of(model, test, t, "binary_classification", "f1_binary")))
+        train = data.where(F.col("fold") != i).drop("fold")
+        test = data.where(F.col("fold") == i).drop("fold")
+        model = M.model_pipeline(train, t, learner, "binary_classification", params, exclude=key).fit(train)
+        return name, i, M.score_of(model, test, t, "binary_classification", "f1_binary")
+
+    tasks = [(name, i) for name in configs for i in range(k)]
+    with ThreadPool(min(len(tasks), M.FITS_AT_ONCE)) as pool:  # independent fits
+        rows = pool.map(score, tasks, chunksize=1)
     folded.unpersist()
     spark = df.sparkSession
     scores = spark.createDataFrame(rows, "config string, fold int, f1 double")
@@ -186,13 +197,19 @@ def evaluate_many(tables: dict[str, tuple[DataFrame, str, Sequence[str]]], param
     """per table: drop listed columns, stratified 80/20, label-encode + median fill fitted on train, one boosted
     learner. Returns rows (dataset, metric, value) for F1, PR-AUC, AP, Brier and positive rate, and the G13
     calibration rows (dataset, bin, n, frac_pos, mean_pred)."""
-    out = curves = None
-    for name, (df, t, drop) in tables.items():
-        raw, held = E.train_test_split(df.drop(*drop), t, key=key)
+    def fit(name: str) -> DataFrame:
+        df, t, drop = tables[name]
+        raw, held = E.train_test_split(M.compact(df.drop(*drop)), t, key=key)
         recipe = encode_and_fill(raw, t, key)
-        train, test = recipe.train, recipe.apply(held)
+        train, test = M.compact(recipe.train).persist(), recipe.apply(held)
         model = M.model_pipeline(train, t, "GBTClassifier", "binary_classification", params or PROBABILITY_BOOST, exclude=key).fit(train)
-        pred = M.predictions(model, test, t)
+        train.unpersist()
+        return M.predictions(model, test, t)
+
+    with ThreadPool(max(1, min(len(tables), M.FITS_AT_ONCE))) as pool:
+        preds = pool.map(fit, tables, chunksize=1)
+    out = curves = None
+    for name, pred in zip(tables, preds):
         parts = [G.classification_metrics(pred, positive=1.0).where("metric = 'f1_binary'"),
                  G.pr_auc(pred, positive=1.0), G.average_precision(pred, positive=1.0), G.brier(pred),
                  G.positive_rate(pred, positive=1.0)]

@@ -1,5 +1,6 @@
 """MLlib operators: rows plus tolerance on targets with known signal; save/load round trip."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,11 +167,11 @@ def scored(spark, monkeypatch):
     """(learner, folds) of every cross-validation asked for; boosted learners score best."""
     seen = []
 
-    def constant(df, t, name, problem_type, k=5, metric=None, params=None, *more, **named):
-        seen.append((name, k))
-        return spark.createDataFrame([(0, {"XGBClassifier": 0.9, "LGBMClassifier": 0.8}.get(name, 0.5))], "fold int, score double")
+    def constant(df, t, jobs, problem_type, k, *more, **named):
+        seen.extend((name, k) for name, draws in jobs for _ in draws)
+        return [[{0: {"XGBClassifier": 0.9, "LGBMClassifier": 0.8}.get(name, 0.5)} for _ in draws] for name, draws in jobs]
 
-    monkeypatch.setattr(M, "cross_validate", constant)
+    monkeypatch.setattr(M, "fold_scores", constant)
     return seen
 
 
@@ -197,3 +198,48 @@ def test_run_all_has_full_sizes(spark, monkeypatch):
     monkeypatch.setattr(S, "run_all", lambda df, t, **named: asked.update(named) or {"metrics": None})
     catalog_models.Q["z_run_all"](spark, SMALL)
     assert asked == {"key": "doc_id"}  # all else as the operator has it
+
+
+def test_staged_rounds_equal_shorter_fits(spark):
+    """A search over rounds gives what a fit per setting gives, for both kinds of boosted learners, in fewer fits."""
+    df = FR.doc_features(spark, SMALL).select("doc_id", "quality", "n_chars", "n_words", "lang")
+    draws = [{"maxIter": n, "maxDepth": d, "stepSize": 0.2} for n in (2, 6, 4) for d in (2, 3)]
+    assert M.setting_groups("GBTClassifier", draws, "binary_classification") == [[2, 4, 0], [3, 5, 1]]
+    for name, ptype, t in (("GBTClassifier", "binary_classification", "quality"), ("GBTRegressor", "regression", "n_words")):
+        whole = M.fold_scores(df, t, [(name, draws)], ptype, 2, key="doc_id")[0]
+        for p, got in zip(draws[:3], whole):
+            alone = M.fold_scores(df, t, [(name, [p])], ptype, 2, key="doc_id")[0][0]
+            assert got.keys() == alone.keys() and all(abs(got[f] - alone[f]) < 1e-12 for f in got)
+
+
+@pytest.mark.parametrize("name,params", [("LinearRegression", None), ("Ridge", {"alpha": 0.01}), ("Ridge", {"alpha": 50.0}), ("Lasso", {"alpha": 0.3})])
+@pytest.mark.parametrize("metric", ["rmse", "r2"])
+def test_linear_folds_from_gramians_equal_refits(spark, monkeypatch, name, params, metric):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3)) * [1, 20, 0.1] + [5, 1000, 0]
+    kinds = rng.choice(["a", "b", "c"], 300)
+    y = 4 + x @ [1.0, -0.5, 30.0] + np.where(kinds == "a", 6.0, 0.0) + rng.normal(size=300)
+    rows = [(i, *map(float, v), 7.0, k, float(z)) for i, (v, k, z) in enumerate(zip(x, kinds, y))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, same double, kind string, y double")
+    got = M.fold_scores(df, "y", [(name, [params])], "regression", 4, metric, key="id")[0][0]
+    monkeypatch.setattr(M.linear, "LINEAR", ())
+    refit = M.fold_scores(df, "y", [(name, [params])], "regression", 4, metric, key="id")[0][0]
+    limit = {"LinearRegression": 1e-6, "Ridge": 1e-5, "Lasso": 1e-4}[name]  # MLlib's iterations (it iterates, as a column is constant) stop earlier
+    assert got.keys() == refit.keys() and all(abs(got[f] - refit[f]) < limit for f in got), (got, refit)
+
+
+def test_ridge_from_moments_equals_normal_equations():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(50, 3)) * [1, 5, 9] + 3, rng.normal(size=50)
+    full = np.column_stack([np.ones(50), x, np.full(50, 4.0), y])
+    intercept, coef = M.linear.solve(full.T @ full, 4, "Ridge", 7.0)
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    want = np.linalg.solve(z.T @ z + 7.0 * np.eye(3), z.T @ (y - y.mean()))
+    assert np.abs(coef[:3] * x.std(0, ddof=1) - want).max() < 1e-9 and coef[3] == 0
+    assert abs(intercept + x.mean(0) @ coef[:3] - y.mean()) < 1e-9
+
+
+def test_incomplete_rows_have_no_closed_form(spark):
+    df = spark.createDataFrame([(i, float(i), None if i == 3 else 1.0 * i, i % 3) for i in range(20)], "id int, y double, x double, fold int")
+    assert M.linear.moments(df, "y", ["x"], []) is None
+    assert M.linear.moments(df.where("id <> 3"), "y", ["x"], []) is not None

@@ -14,7 +14,7 @@ Measured recall is in the tests and the README.
 
 Rows whose vector is null, zero, or holds null or non-finite components take no part, nor rows with a null id. Ties go to the
 smaller id. Vectors of different length are compared as if the shorter ended in zeros. Equal vectors are equal candidates;
-only a row's own id is left out of its list. Fewer candidates than k give shorter lists.
+only a row's own id is left out of its list. Rows that share an id are one query with one merged list, their nearest over all of them. Fewer candidates than k give shorter lists.
 """
 
 from __future__ import annotations

@@ -533,7 +533,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keep = C.stored(linked.withColumn("own", F.when(F.col("n_shingles") == 0, F.col(id_col)))
                     .groupBy("root", "own").agg(first)
                     .select(F.col("k.id").alias("keep_id"), F.col("k.node.a").alias("keep_1"), F.col("k.node.b").alias("keep_2")), "jaccard-keep")
-    own_keys = ["__set_1", "__set_2"]
+    own_keys = [C.free_name(n, docs.columns) for n in ("__set_1", "__set_2")]
     extra = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in own_keys]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

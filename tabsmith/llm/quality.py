@@ -219,14 +219,15 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 def accepted(docs: DataFrame, machine: Machine, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score ``least`` or more, all columns kept."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
+    own = C.free_name("__n_chars", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.chunks(batches, text_col):
-            length = b.column("__n_chars").to_numpy(zero_copy_only=False)
+            length = b.column(own).to_numpy(zero_copy_only=False)
             yield b.filter(pa.array(shared.value.score(C.text_array(b.column(text_col)), length) >= least))
 
-    rows = docs.withColumn("__n_chars", _length(docs, text_col))
-    return rows.mapInArrow(run, rows.schema).drop("__n_chars")
+    rows = docs.withColumn(own, _length(docs, text_col))
+    return rows.mapInArrow(run, rows.schema).drop(own)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

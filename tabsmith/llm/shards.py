@@ -36,13 +36,6 @@ ROW_BYTES = 64                # counted for a row besides its text
 SEED = 20
 
 
-def free_name(name: str, taken: list[str]) -> str:
-    low = {t.lower() for t in taken}
-    while name.lower() in low:
-        name += "_"
-    return name
-
-
 def cell_of(h: Column, bits: int) -> Column:
     return F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
 
@@ -97,8 +90,8 @@ def shard(docs: DataFrame, uri: str, shards: int = 16, seed: int = SEED, id_col:
           bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Write all rows of ``docs`` to ``uri`` in folders ``shard=0`` ... and read them back: the columns of ``docs``, shard (int) and
     slot (long, from 0 without gaps in every shard, in shuffled order)."""
-    own = free_name("__shuffle_", [c[:10] for c in docs.columns])
-    name_shard, name_slot = free_name("shard", docs.columns), free_name("slot", docs.columns)
+    own = C.free_name("__shuffle_", [c[:10] for c in docs.columns])
+    name_shard, name_slot = C.free_name("shard", docs.columns), C.free_name("slot", docs.columns)
     bits, large = bucket_plan(docs, seed, id_col, text_col, bucket_bytes)
     rows = dealt(docs, bits, large, seed, id_col, text_col, own)
     # the count reads the key alone unless a bucket is oversized
@@ -134,5 +127,5 @@ def placed(docs: DataFrame, shards: int = 16, seed: int = SEED, id_col: str = "d
     out = shard(docs, C.shared_path(docs.sparkSession, "shards"), shards, seed, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     return out.select(id_col, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-                      F.lit(LAW).alias("law"), F.col(free_name("shard", taken)).alias("shard"), F.col(free_name("slot", taken)).alias("slot"),
+                      F.lit(LAW).alias("law"), F.col(C.free_name("shard", taken)).alias("shard"), F.col(C.free_name("slot", taken)).alias("slot"),
                       F.lit(None).cast("int").alias("grown_shard"))

@@ -47,6 +47,8 @@ FAN = 64
 FLUSH_KEYS = 1 << 20        # distinct pairs that a task holds before it hands them on
 PAIR_SLICE = 1 << 22        # pairs that are made at a time
 CACHE_BYTES = 256 << 20     # part files that a worker keeps
+SHORT = 200                 # bytes of a fragment that is encoded together with others
+JOINED = 256                # fragments encoded together
 MARK = "▁"             # stands for a space in B's pieces
 
 
@@ -56,18 +58,20 @@ def distinct_of(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
+def solid(data: np.ndarray) -> np.ndarray:
+    """Does a character end at this byte that is surely no white space? ASCII marks, letters and digits; characters of two bytes but
+    U+0080 to U+00BF; of three bytes from U+4000 on and U+2010 to U+2027; of four bytes."""
+    b = np.concatenate([np.zeros(3, dtype=np.uint8), data])  # b[i + 3] is data[i]
+    one, two, three, four = b[3:], b[2:-1], b[1:-2], b[:-3]
+    tail = one >= 0x80
+    return ((one > 0x20) & (one < 0x7F)) | (tail & (two >= 0xC3) & (two < 0xE0)) | (tail & (three >= 0xE4) & (three < 0xF0)) \
+        | ((three == 0xE2) & (two == 0x80) & (one >= 0x90) & (one < 0xA8)) | (tail & (four >= 0xF0))
+
+
 def cuts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Byte offsets of the fragments of all texts, the end included: texts' starts and spaces after a character that is surely no
-    white space (ASCII marks, letters and digits; characters of two bytes but U+0080 to U+00BF; of three bytes from U+4000 on and
-    U+2010 to U+2027; of four bytes)."""
+    """Byte offsets of the fragments of all texts, the end included: texts' starts, and spaces after a solid character."""
     cut = np.zeros(len(data) + 1, dtype=bool)
-    if len(data) > 1:
-        b = np.concatenate([np.zeros(3, dtype=np.uint8), data])  # b[i + 3] is data[i]
-        one, two, three, four = b[3:-1], b[2:-2], b[1:-3], b[:-4]
-        tail = one >= 0x80
-        solid = ((one > 0x20) & (one < 0x7F)) | (tail & (two >= 0xC3) & (two < 0xE0)) | (tail & (three >= 0xE4) & (three < 0xF0)) \
-            | ((three == 0xE2) & (two == 0x80) & (one >= 0x90) & (one < 0xA8)) | (tail & (four >= 0xF0))
-        cut[1:-1] = (data[1:] == 0x20) & solid
+    cut[1:-1] = (data[1:] == 0x20) & solid(data)[:-1]
     cut[offsets] = True
     return np.flatnonzero(cut)
 
@@ -90,15 +94,52 @@ class Aligner:
         self.space = self.b.piece_to_id(MARK)
         self.n_b = len(pieces)
 
-    def encode_b(self, fragments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of every fragment, all ids). The model puts a space in front itself; alone it needs a case of its own."""
-        sizes, flats = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for i in range(0, len(fragments), 20_000):
-            part = fragments.slice(i, 20_000).to_pylist()
-            lists = [[self.space] if f == " " else ids for f, ids in zip(part, self.b.encode([f[1:] for f in part], num_threads=1))]
-            sizes.append(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)))
-            flats.append(np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(sizes[-1].sum())))
-        return np.concatenate(sizes), np.concatenate(flats)
+    def encode(self, fragments: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """((ids of every fragment, all ids) of A, the same of B). Short fragments with a solid end are encoded JOINED at a time,
+        since both tokenizers have a boundary between them; the others one by one."""
+        own, data = C.raw_bytes(fragments)
+        sizes, texts = np.diff(own), fragments.to_pylist()
+        sure = np.flatnonzero(solid(data)[own[1:] - 1] & (sizes <= SHORT)) if len(data) else np.zeros(0, dtype=np.int64)
+        a, b, single = [], [], [np.setdiff1d(np.arange(len(texts)), sure)]
+        for k in range(0, len(sure), JOINED):
+            part = sure[k:k + JOINED]
+            joined, ends = "".join([texts[i] for i in part]), np.cumsum(sizes[part])
+            one = self.split(self.a.ranked.encode_ordinary(joined), self.a.piece_len, ends)
+            two = self.split(self.b.encode(joined[1:]), self.b_len, ends)
+            if one is None or two is None:  # a fragment that B can't give back, as with U+2581
+                single.append(part)
+            else:
+                a.append((part, *one))
+                b.append((part, *two))
+        rest = np.concatenate(single)
+        ids = self.a.encode(fragments.take(pa.array(rest)))
+        off = np.asarray(ids.offsets).astype(np.int64)
+        a.append((rest, np.diff(off), ids.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]]))
+        lists = [[self.space] if texts[i] == " " else self.b.encode(texts[i][1:]) for i in rest]  # B puts a space in front; alone it needs help
+        b.append((rest, np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)), np.fromiter(chain.from_iterable(lists), dtype=np.int64)))
+        return self.in_order(a, len(texts)), self.in_order(b, len(texts))
+
+    @staticmethod
+    def split(ids: list, length: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids of every fragment, all ids) of joined fragments, None unless a token ends where each fragment does."""
+        ids = np.array(ids, dtype=np.int64)
+        to = np.cumsum(length[ids])
+        last = np.searchsorted(to, ends)
+        if last[-1] != len(to) - 1 or (to[last] != ends).any():
+            return None
+        return np.diff(last, prepend=-1), ids
+
+    @staticmethod
+    def in_order(parts: list, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Put the ids of parts (fragments, their sizes, ids) into the order of the fragments."""
+        size = np.zeros(n, dtype=np.int64)
+        for of, sizes, _ in parts:
+            size[of] = sizes
+        first = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), dtype=np.int64)
+        for of, sizes, ids in parts:
+            out[C.spread(first[of], sizes)] = ids
+        return size, out
 
 
 @lru_cache(maxsize=2)
@@ -122,10 +163,7 @@ class Aligned:
         own, own_data = C.raw_bytes(coded.dictionary)
         sizes = np.diff(own)
 
-        a = model.a.encode(coded.dictionary)
-        a_off = np.asarray(a.offsets).astype(np.int64)
-        a_n, a_ids = np.diff(a_off), a.values.to_numpy(zero_copy_only=False)[a_off[0]:a_off[-1]].astype(np.int64)
-        b_n, b_ids = model.encode_b(coded.dictionary)
+        (a_n, a_ids), (b_n, b_ids) = model.encode(coded.dictionary)
         self.ok = self.matches(model, sizes, own, own_data, b_n, b_ids)
         a_ids, b_ids = a_ids[np.repeat(self.ok, a_n)], b_ids[np.repeat(self.ok, b_n)]
         self.a_n, self.b_n = np.where(self.ok, a_n, 0), np.where(self.ok, b_n, 0)

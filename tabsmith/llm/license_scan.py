@@ -1,16 +1,17 @@
 """License scan: MinHash bands over overlapping text windows, then exact shingle containment (built-in functions only).
 
-A text becomes lower-cased words (runs of letters and digits) and the hashes of its five-word shingles. For a template of
-m shingles the text is seen through windows of 2m shingles that start every m, so an occurrence of the template always
-lies whole in some window, whose Jaccard similarity to the template is then at least 0.8 m / 2.2 m = 0.36. With BANDS
-bands of one MinHash each a window with such an occurrence collides in some band with probability above 1 - 1e-6
-(0.64 ** 32). Colliding windows are verified: at least THRESHOLD of the template's shingles must be in the window.
+A license of m distinct shingles is in a text where some stretch of 2m consecutive shingles holds at least THRESHOLD of them, wherever the
+stretch starts; words may be changed or inserted. A text becomes lower-cased words (runs of letters and digits) and the
+hashes of its five-word shingles. It is seen through windows of 3m shingles that start every m, so each stretch lies whole in a
+window, whose Jaccard similarity to the template is then at least 0.8 m / 3.2 m = 0.25. With BANDS
+bands of one MinHash each such a window collides in some band with probability above 1 - 1e-6
+(0.75 ** 50). In colliding windows every stretch is counted exactly.
 
 A band can only collide if the window holds the shingle where the template's own minimum lies. Those few
 shingles (BANDS per template at most) are looked up first, as a literal set; MinHashes are computed for the windows around hits alone.
 
 Null and empty texts, and texts of fewer than five words, match nothing; texts of any length are scanned whole; rows that
-share a key are reported together (the best window of any of them); a null key is reported as null; an empty table gives no rows.
+share a key are reported together (the best stretch of any of them); a null key is reported as null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORDS = 5
-BANDS = 32
+BANDS = 50
 THRESHOLD = 0.8
 
 #: Notices to look for; a parameter of scan(). Public license notices, in plain text.
@@ -70,11 +71,12 @@ def _least(column: str, band: int) -> Column:
 
 def _windows_at(sh: Column, hits: Column, template: int, m: int, marks: list[int]) -> Column:
     """array<struct<t, start, window>>: the windows of one template that hold one of its marks: per hit the window that starts at or
-    before it and the one before that."""
+    before it and the two before that."""
     at = F.transform(F.filter(hits, lambda i: F.get(sh, i).isin(marks)), lambda i: F.floor(i / m).cast("int"))
-    both = _once(at, lambda a: F.array_distinct(F.concat(a, F.transform(a, lambda k: F.greatest(k - 1, F.lit(0))))))
-    return F.transform(both, lambda k: F.struct(F.lit(template).alias("t"), (k * m).alias("start"),
-                                                F.slice(sh, k * m + 1, F.lit(2 * m)).alias("window")))
+    every = _once(at, lambda a: F.array_distinct(F.flatten(F.transform(
+        a, lambda k: F.array(k, F.greatest(k - 1, F.lit(0)), F.greatest(k - 2, F.lit(0)))))))
+    return F.transform(every, lambda k: F.struct(F.lit(template).alias("t"), (k * m).alias("start"),
+                                                 F.slice(sh, k * m + 1, F.lit(3 * m)).alias("window")))
 
 
 def windows(text: Column, rows: list) -> Column:
@@ -105,7 +107,8 @@ def templates(spark: SparkSession, texts: dict[str, str]) -> list:
 
 
 def scan(docs: DataFrame, texts: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, license, containment, first_word, end_word): the best window of each license found in a text."""
+    """(id_col, license, containment, first_word, end_word): the best stretch of each license found in a text (most of the template's
+    shingles, then the shortest, then the first)."""
     spark = docs.sparkSession
     rows = templates(spark, texts or TEMPLATES)
     known = spark.createDataFrame([(t, r.license, r.m, r.sh, r.mins) for t, r in enumerate(rows)],
@@ -116,11 +119,17 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, id_col: str = "do
     bands = F.array(*[_least("window", b)["v"] for b in range(BANDS)])
     collide = F.exists(F.zip_with(bands, F.col("mins"), lambda a, b: a == b), lambda x: x)
     match = F.transform("window", lambda s, i: F.struct(i.alias("i"), s.alias("s")))
-    checked = seen.filter(collide).withColumn("share", F.size(F.array_intersect("window", "tsh")) / F.col("m")) \
-        .filter(F.col("share") >= THRESHOLD) \
-        .withColumn("at", F.transform(F.filter(match, lambda x: F.array_contains("tsh", x["s"])), lambda x: x["i"]))
-    best = F.max(F.struct("share", (-(F.col("start") + F.array_min("at"))).alias("neg"),
-                          (F.col("start") + F.array_max("at") + WORDS).alias("end"))).alias("best")
+    checked = seen.filter(collide).filter(F.size(F.array_intersect("window", "tsh")) >= THRESHOLD * F.col("m")) \
+        .withColumn("at", F.filter(match, lambda x: F.array_contains("tsh", x["s"])))
+
+    def stretch(a):  # the one that starts at a shingle of the template
+        inside = F.filter("at", lambda b: (b["i"] >= a["i"]) & (b["i"] < a["i"] + 2 * F.col("m")))
+        last = F.array_max(F.transform(inside, lambda b: b["i"]))
+        return F.struct((F.size(F.array_distinct(F.transform(inside, lambda b: b["s"]))) / F.col("m")).alias("share"),
+                        (a["i"] - last).alias("short"), (-(F.col("start") + a["i"])).alias("neg"), (F.col("start") + last + WORDS).alias("end"))
+
+    checked = checked.withColumn("found", F.array_max(F.transform("at", stretch))).filter(F.col("found.share") >= THRESHOLD)
+    best = F.max("found").alias("best")
     return checked.groupBy("id", "license").agg(best).select(
         F.col("id").alias(id_col), "license", F.col("best.share").alias("containment"),
         (-F.col("best.neg")).cast("long").alias("first_word"), F.col("best.end").cast("long").alias("end_word"))

@@ -12,7 +12,9 @@ Further candidates are base64 or hex runs. They are reported only when decoding
 
 A base64 structure ends where its own outer length says, whatever lines follow; there its line, or the run, must end. Lines are joined
 over a line end or its escape (a backslash and n, as in JSON) with blanks around it, in base64 and in hex; a first line may be short. In hex
-with stray digits beside it the structure is looked for from every place that may start one.
+with stray digits beside it the structure is looked for from every place that may start one. A run is joined once and
+read at any place, and only the headers of nested lengths are decoded, so the time is linear in the text however many places may
+start a structure and whatever lengths they state.
 
 Offsets are code points, the end exclusive. Null text counts as empty; texts are scanned whole; a row in is a
 row out, repeated and null keys included; a document without secrets has an empty span list.
@@ -24,6 +26,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,6 +43,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+BASE64URL = re.compile(r"[A-Za-z0-9_-]+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]+")
 JOINT = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*")
 #: First characters of a DER sequence and of the OpenSSH magic; a letter or digit before them is part of another word, but for an
@@ -76,141 +80,147 @@ def from_base64(run: str) -> bytes | None:
         return None
 
 
-class Run:
-    """The base64 characters or hex digits from a place on, joined over line ends, read as far as they are asked for."""
+class Chain:
+    """The base64 characters or hex digits from a place on, joined over line ends as far as they go."""
 
     def __init__(self, text: str, start: int, alphabet: re.Pattern):
-        self.text, self.body, self.end, self.alphabet = text, "", start, alphabet
+        self.text, self.hex, self.parts, self.before = text, alphabet is HEX_BYTES, [], [0]
+        m = alphabet.match(text, start)
+        while m:
+            self.parts.append((m.start(), m.end()))
+            self.before.append(self.before[-1] + m.end() - m.start())
+            joint = JOINT.match(text, m.end())
+            m = joint and alphabet.match(text, joint.end())
+        self.start, self.end = start, self.parts[-1][1] if self.parts else start
+        self.body = "".join([text[a:b] for a, b in self.parts])
+
+    def offset(self, place: int) -> int:
+        """Characters of the chain before a place of the text that lies in it."""
+        i = bisect_right(self.parts, (place, len(self.text))) - 1
+        return self.before[i] + place - self.parts[i][0]
+
+    def place_after(self, n: int) -> int:
+        """Where in the text the chain's first n characters end."""
+        i = bisect_left(self.before, n) - 1
+        return self.parts[i][0] + n - self.before[i]
+
+
+class Run:
+    """Bytes encoded from a character of a chain on."""
+
+    def __init__(self, chain: Chain, first: int):
+        self.chain, self.first = chain, first
 
     def length(self, n: int) -> int:
         """Characters of n bytes."""
-        return 2 * n if self.alphabet is HEX_BYTES else -(-n * 4 // 3)
-
-    def reach(self, n: int) -> bool:
-        """Read the first n characters; ``end`` is then the place after them."""
-        while (need := n - len(self.body)) > 0:
-            m = self.alphabet.match(self.text, self.end, self.end + need)
-            if m is None and (joint := JOINT.match(self.text, self.end)):
-                m = self.alphabet.match(self.text, joint.end(), joint.end() + need)
-            if m is None:
-                return False
-            self.body += m[0]
-            self.end = m.end()
-        return True
+        return 2 * n if self.chain.hex else -(-n * 4 // 3)
 
     def read(self, at: int, n: int) -> bytes | None:
-        """Decoded bytes at .. at + n."""
-        b = self.length(at + n)
-        if not self.reach(b):
+        """Decoded bytes at .. at + n; None beyond the chain's end."""
+        last = self.first + self.length(at + n)
+        if last > len(self.chain.body):
             return None
-        return bytes.fromhex(self.body[2 * at:b]) if self.alphabet is HEX_BYTES else from_base64(self.body[at // 3 * 4:b])[at % 3:]
+        if self.chain.hex:
+            return bytes.fromhex(self.chain.body[self.first + 2 * at:last])
+        return from_base64(self.chain.body[self.first + at // 3 * 4:last])[at % 3:]
 
-    def stops(self) -> bool:
+    def fits(self, n: int) -> bool:
+        return self.first + self.length(n) <= len(self.chain.body)
+
+    def stops(self, place: int) -> bool:
         """The line or the run ends here (hex may have stray digits beside it)."""
-        return self.alphabet is HEX_BYTES or BASE64.match(self.text, self.end) is None or self.text.startswith("-----", self.end)
+        return self.chain.hex or BASE64.match(self.chain.text, place) is None or self.chain.text.startswith("-----", place)
+
+
+#: Members of a key's outer sequence and keys of an OpenSSH file; the formats have at most ten and, so far, one.
+MOST_MEMBERS, MOST_KEYS = 16, 64
+
+
+def element(run: Run, at: int, end: int) -> tuple[int, int, int] | None:
+    """(tag, start and end of the content) of the element at a byte, None if it doesn't lie before ``end``."""
+    head = run.read(at, 2) if at + 2 <= end else None
+    if head is None:
+        return None
+    size, at = head[1], at + 2
+    if size >= 0x80:
+        n = size & 0x7F
+        raw = run.read(at, n) if 1 <= n <= 4 and at + n <= end else None
+        if raw is None:
+            return None
+        size, at = int.from_bytes(raw, "big"), at + n
+    return (head[0], at, at + size) if at + size <= end else None
+
+
+def elements(run: Run, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The elements that fill the bytes at .. end exactly, None if some length doesn't fit or there are more than a key has."""
+    out = []
+    while at < end:
+        found = element(run, at, end)
+        if found is None or len(out) == MOST_MEMBERS:
+            return None
+        out.append(found)
+        at = found[2]
+    return out
+
 
+def starts_with_oid(run: Run, sequence: tuple[int, int, int]) -> bool:
+    parts = elements(run, *sequence[1:])
+    return bool(parts) and parts[0][0] == OID
 
-def stated_size(run: Run) -> int | None:
-    """Bytes of the structure by its own lengths."""
-    if not (head := run.read(0, 2)):
+
+def private_der(run: Run) -> int | None:
+    """Bytes of the private key in DER that starts here: nested lengths fit and the outer members are those of a key."""
+    room = 3 * len(run.chain.body)
+    top = element(run, 0, room)
+    if top is None or top[0] != SEQUENCE or not run.fits(top[2]) or not (parts := elements(run, *top[1:])):
         return None
-    if head[0] == SEQUENCE:
-        if head[1] < 0x80:
-            return 2 + head[1]
-        n = head[1] & 0x7F
-        size = run.read(2, n) if 1 <= n <= 4 else None
-        return size and 2 + n + int.from_bytes(size, "big")
+    tags, size = [p[0] for p in parts], [p[2] - p[1] for p in parts]
+    if tags[0] == INTEGER and size[0] == 1:
+        if len(tags) >= 6 and all(t == INTEGER for t in tags[:6]):  # RSA: version, modulus, exponents, primes
+            key = all(size[1:6])
+        elif tags[1:2] == [OCTETS] and run.read(parts[0][1], 1) == b"\x01":  # EC: version 1, key, optional tagged fields
+            key = size[1] >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
+        else:  # PKCS#8: version, algorithm, key
+            key = tags[1:3] == [SEQUENCE, OCTETS] and starts_with_oid(run, parts[1])
+    else:  # encrypted PKCS#8: scheme, ciphertext
+        key = tags == [SEQUENCE, OCTETS] and starts_with_oid(run, parts[0]) and size[1] >= 32
+    return top[2] if key else None
+
+
+def private_ssh(run: Run) -> int | None:
+    """Bytes of the OpenSSH key that starts here: magic, three strings, a count, that many public keys and one private block."""
     if run.read(0, len(SSH_MAGIC)) != SSH_MAGIC:
         return None
-    at, fields = len(SSH_MAGIC), 3
+    at = len(SSH_MAGIC)
+
+    def number() -> int | None:
+        raw = run.read(at, 4)
+        return None if raw is None else int.from_bytes(raw, "big")
+
+    fields = 3
     for counted in (False, True):
         for _ in range(fields):
-            if (size := run.read(at, 4)) is None:
-                return None
-            at += 4 + int.from_bytes(size, "big")
-            if at > len(run.text):
+            if (size := number()) is None or not run.fits(at + 4 + size):
                 return None
+            at += 4 + size
         if not counted:
-            if (size := run.read(at, 4)) is None:
+            if (size := number()) is None or not 1 <= size <= MOST_KEYS:
                 return None
-            at, fields = at + 4, int.from_bytes(size, "big") + 1
+            at, fields = at + 4, size + 1
     return at
 
 
-def structure_at(text: str, start: int, alphabet: re.Pattern) -> tuple[int, int] | None:
+def structure_at(chain: Chain, start: int) -> tuple[int, int] | None:
     """(kind index, end) of the confirmed structure whose base64 or hex form starts here."""
-    run = Run(text, start, alphabet)
-    size = stated_size(run)
-    if size is None or not (LEAST_HEX if alphabet is HEX_BYTES else LEAST) <= run.length(size) <= len(text) - start:
+    run = Run(chain, chain.offset(start))
+    ssh = private_ssh(run)
+    size = private_der(run) if ssh is None else ssh
+    if size is None or run.length(size) < (LEAST_HEX if chain.hex else LEAST):
         return None
-    data = run.read(0, size)
-    if data is None or not run.stops() or (kind := structure(data)) is None:
+    end = chain.place_after(run.first + run.length(size))
+    if not run.stops(end):
         return None
-    return kind, PADDING.match(text, run.end).end() if alphabet is BASE64 else run.end
-
-
-def elements(data: bytes) -> list[tuple[int, bytes]] | None:
-    """(tag, content) of the elements that fill ``data`` exactly, or None if some length doesn't fit."""
-    out, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
-            return None
-        tag, size = data[at], data[at + 1]
-        at += 2
-        if size >= 0x80:
-            n = size & 0x7F
-            if not 1 <= n <= 4 or at + n > len(data):
-                return None
-            size = int.from_bytes(data[at:at + n], "big")
-            at += n
-        if at + size > len(data):
-            return None
-        out.append((tag, data[at:at + size]))
-        at += size
-    return out
-
-
-def is_private_der(data: bytes) -> bool:
-    """The nested lengths of one outer sequence fit and its members are those of a private key."""
-    top = elements(data)
-    if not top or len(top) != 1 or top[0][0] != SEQUENCE or not (parts := elements(top[0][1])):
-        return False
-    tags = [t for t, _ in parts]
-    if tags[0] == INTEGER and len(parts[0][1]) == 1:
-        if len(tags) >= 6 and all(t == INTEGER for t in tags[:6]):  # RSA: version, modulus, exponents, primes
-            return all(c for _, c in parts[1:6])
-        if tags[1:2] == [OCTETS] and parts[0][1] == b"\x01":  # EC: version 1, key, optional tagged fields
-            return len(parts[1][1]) >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
-        if tags[1:3] == [SEQUENCE, OCTETS]:  # PKCS#8: version, algorithm, key
-            algorithm = elements(parts[1][1])
-            return bool(algorithm) and algorithm[0][0] == OID
-        return False
-    if tags == [SEQUENCE, OCTETS]:  # encrypted PKCS#8: scheme, ciphertext
-        scheme = elements(parts[0][1])
-        return bool(scheme) and scheme[0][0] == OID and len(parts[1][1]) >= 32
-    return False
-
-
-def is_private_ssh(data: bytes) -> bool:
-    """Magic, three strings, a count, that many public keys and one private block, and nothing more."""
-    if not data.startswith(SSH_MAGIC):
-        return False
-    at = len(SSH_MAGIC)
-
-    def field() -> bytes | None:
-        nonlocal at
-        size = int.from_bytes(data[at:at + 4], "big") if at + 4 <= len(data) else len(data)
-        at += 4 + size
-        return data[at - size:at] if at <= len(data) else None
-
-    for _ in range(3):
-        if field() is None:
-            return False
-    keys = int.from_bytes(data[at:at + 4], "big")
-    at += 4
-    if not 1 <= keys <= len(data):
-        return False
-    return all(field() is not None for _ in range(keys + 1)) and at == len(data)
+    return KINDS.index("der" if ssh is None else "ssh"), end if chain.hex else PADDING.match(chain.text, end).end()
 
 
 def is_signed_token(run: str) -> bool:
@@ -224,21 +234,26 @@ def is_signed_token(run: str) -> bool:
     return all(isinstance(p, dict) for p in parts) and isinstance(parts[0].get("alg"), str)
 
 
-def structure(data: bytes | None) -> int | None:
-    """Index of the kind that the decoded bytes confirm."""
-    if data is None:
-        return None
-    return KINDS.index("ssh") if is_private_ssh(data) else KINDS.index("der") if is_private_der(data) else None
+def signed_tokens(text: str) -> Iterator[re.Match]:
+    """Matches of JWT. Where one fails, it fails from every place of the same run of characters, so each run is looked at once."""
+    at = text.find("eyJ")
+    while at >= 0:
+        m = JWT.match(text, at) if text.startswith(".", run := BASE64URL.match(text, at).end()) else None
+        if m:
+            yield m
+        at = text.find("eyJ", m.end() if m else run)
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
-    out = []
-    if "eyJ" in text:
-        out += [(KINDS.index("jwt"), m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+    out = [(KINDS.index("jwt"), m.start(), m.end()) for m in signed_tokens(text) if is_signed_token(m[0])]
     for head, alphabet in ((HEAD, BASE64), (HEX_HEAD, HEX_BYTES)):
-        done = 0
+        done, chain = 0, None
         for m in head.finditer(text):  # a key may follow a path or another word without a gap
-            if m.start() >= done and (hit := structure_at(text, m.start(), alphabet)):
+            if m.start() < done:
+                continue
+            if chain is None or m.start() >= chain.end:
+                chain = Chain(text, m.start(), alphabet)
+            if hit := structure_at(chain, m.start()):
                 out.append((hit[0], m.start(), hit[1]))
                 done = hit[1]
     return out

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -327,6 +328,19 @@ def test_redaction(spark):
     assert got == [(1, "a [SECRET] z", 12), (3, "clean words", None), (3, "clean words", None)]
 
 
+@pytest.mark.parametrize("piece", ["MIIEvgIBADAN", "MIIE/wIBADAN\n", "eyJhbGci", "b3BlbnNzaC1rZXktdjEAAAAA", "3082ffff0201", "6f70656e7373682d", "eyJh.",
+                                   "MIP/////", "3084000fffff02", "token: abcdef "])
+def test_secret_scan_takes_linear_time(piece):
+    """Many places that may start a structure, each stating a great length, in one run."""
+    times = []
+    for n in (150_000, 600_000):
+        text = piece * (n // len(piece))
+        t0 = time.process_time()
+        secret_scan.find(text)
+        times.append(time.process_time() - t0)
+    assert times[1] < 10 and times[1] < 12 * max(times[0], 0.05)
+
+
 # ---- licenses ----
 
 def normal(text):
@@ -334,20 +348,45 @@ def normal(text):
 
 
 def naive_licenses(text):
-    """Best containment over all windows of 2m shingles that start every m."""
+    """Best containment over all stretches of 2m shingles, wherever they start."""
     words = normal(text)
     sh = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
     out = {}
     for name, t in license_scan.TEMPLATES.items():
         w = normal(t)
         own = {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
-        m = len(own)
-        best = max((len(own & set(sh[k:k + 2 * m])) / m for k in range(0, max(len(sh), 1), m)), default=0)
+        m, at = len(own), [i for i, x in enumerate(sh) if x in own]
+        best = max((len({sh[j] for j in at if i <= j < i + 2 * m}) / m for i in at), default=0)
         if best >= 0.8:
             out[name] = best
     return out
 
 
+def test_notices_with_inserted_words_are_found_at_every_offset(spark):
+    """30 words inserted at one place, 20 at another, or a prefix on each line: found wherever the notice stands in the text."""
+    words = license_scan.TEMPLATES["apache-2.0-notice"].split()
+    m = len({tuple(normal(" ".join(words))[i:i + 5]) for i in range(len(normal(" ".join(words))) - 4)})
+    rows = []
+    for off in range(0, 2 * m + 3):
+        pad = " ".join(f"p{off}x{i}" for i in range(off))
+        for at, n in ((30, 30), (12, 20), (55, 45)):
+            inserted = words[:at] + [f"new{i}" for i in range(n)] + words[at:]
+            rows.append((len(rows), f"{pad} {' '.join(inserted)} tail of other words"))
+        lines = [" ".join(words[i:i + 30]) for i in range(0, len(words), 30)]
+        rows.append((len(rows), f"{pad} dnl " + " dnl ".join(lines)))
+    got = {(r.doc_id, r.license): r.containment for r in license_scan.scan(frame(spark, rows)).collect()}
+    want = {(i, name): c for i, t in rows for name, c in naive_licenses(t).items()}
+    assert len({i for i, name in want if name == "apache-2.0-notice"}) == len(rows)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_license_scan_of_the_given_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    got = {(r.doc_id, r.license): r.containment for r in Q.op1_license_scan(spark, SMALL).collect()}
+    want = {(i, name): c for i, t in rows for name, c in naive_licenses(t).items()}
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_licenses(spark):
     rnd = random.Random(3)
     filler = [f"f{i}" for i in range(50)]
@@ -372,11 +411,21 @@ def test_licenses(spark):
 
 
 def test_band_settings_keep_collisions_likely():
-    assert (1 - 0.8 / 2.2) ** license_scan.BANDS < 1e-6
+    assert (1 - 0.8 / 3.2) ** license_scan.BANDS < 1e-6
 
 
 # ---- pipeline ----
 
+def test_stages_keep_columns_that_clash(spark):
+    own = ["__n_chars", "__set_1", "__set_2", "size", "label"]
+    docs = C.table(spark, SMALL, "documents").select("*", *[F.lit(f"own {n}").alias(n) for n in own])
+    machine = quality.fit(docs, C.table(spark, SMALL, "labels"))
+    for out in (quality.accepted(docs, machine), jaccard.keep_one(docs), secret_scan.redact(docs), mix.mixed(docs)):
+        assert out.columns == docs.columns
+        row = out.first()
+        assert all(row[n] == f"own {n}" for n in own)
+
+
 def test_pipeline_stages(spark):
     docs = C.table(spark, SMALL, "documents")
     names = docs.columns

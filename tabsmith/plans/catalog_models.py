@@ -110,6 +110,22 @@ def a10(spark, d):
     return A.materialize(FR.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "lines")
 
 
+@reg("a10_stage_store", """
+SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, ROUND(sum(l_quantity), 4) AS quantity, true AS restored
+FROM lineitem WHERE l_discount > 0.05 GROUP BY l_returnflag
+""")
+def a10s(spark, d):
+    """Two stages run twice over one store: the rows of the second run, whose stages are restored."""
+    from ..sources import store as ST
+    path = f"{d.rstrip('/')}/lineitem.parquet"
+    store = ST.StageStore(spark, shared_path(spark, "stage-store"))
+    steps = [("discounted", lambda x: x.where(F.col("l_discount") > 0.05).select("l_returnflag", "l_quantity"), {"above": 0.05}),
+             ("by_flag", lambda x: x.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 4).alias("quantity")), {})]
+    for _ in range(2):
+        last = ST.run_stages(store, FR.table(spark, d, "lineitem"), ST.source_key(spark, path), steps)[-1]
+    return last.rows.withColumn("restored", F.lit(last.restored))
+
+
 @reg("a12_write_metrics")
 def a12(spark, d):
     from ..operators import metrics as G

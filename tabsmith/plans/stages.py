@@ -211,8 +211,11 @@ class Featurizer:
         if plan.prune_correlated:
             cur, dropped = FE.prune_correlated(cur, t)
             steps.append(lambda d, dropped=dropped: d.drop(*dropped))
-        flagged = [x for x in numeric_cols(cur) if x != t and f"{x}_was_missing" not in cur.columns
-                   and cur.where(F.col(f"`{x}`").isNull()).limit(1).count()] if plan.missing_flags else []
+        flagged = []
+        if plan.missing_flags:  # one aggregate over all columns
+            open_ = [x for x in numeric_cols(cur) if x != t and f"{x}_was_missing" not in cur.columns]
+            row = cur.agg(*[F.max(F.col(f"`{x}`").isNull()).alias(f"m{i}") for i, x in enumerate(open_)]).first() if open_ else ()
+            flagged = [x for i, x in enumerate(open_) if row[f"m{i}"]]
         if flagged:
             steps.append(lambda d, cols=flagged: FE.missing_flags(d, cols))
             cur = FE.missing_flags(cur, flagged)

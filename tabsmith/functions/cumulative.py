@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .exprs import c
 
 SMALL_TABLE_ROWS = 200_000  # broadcast limit for bounded helper tables (checked by count)
@@ -108,3 +109,25 @@ def top_k_per_group(
     first = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_spread")
     w2 = Window.partitionBy(*groups).orderBy(*order) if groups else Window.orderBy(*order)
     return first.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k)
+
+
+BROADCAST_ROWS = 100_000  # a table of names and numbers of up to so many rows is sent to every executor
+
+
+def dense_ranks(keys: DataFrame, order: Sequence[str], rank: str = "_code") -> tuple[DataFrame, int]:
+    """(``keys`` with ``rank`` 0, 1, ... in ascending order of ``order``, number of rows). Rows have to be distinct in ``order``.
+
+    A range-partitioned sort, kept by a reliable checkpoint; the rows of each partition are counted and every partition starts at
+    the sum of those before it. No task sees more than a partition, and there is no limit on the number of rows.
+    """
+    placed = cut_lineage(keys.repartitionByRange(*[c(x) for x in order]).sortWithinPartitions(*[c(x) for x in order])
+                         .withColumn("_at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))  # as that function numbers rows
+    counts = sorted((r["_part"], r["count"]) for r in placed.groupBy(part.alias("_part")).count().collect())  # a row per partition
+    starts, total = [], 0
+    for p, n in counts:
+        starts.append((p, total))
+        total += n
+    first = keys.sparkSession.createDataFrame(starts, "_part long, _first long")
+    return placed.withColumn("_part", part).join(F.broadcast(first), "_part") \
+        .withColumn(rank, F.col("_first") + inside).drop("_part", "_first", "_at"), total

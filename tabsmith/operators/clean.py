@@ -22,6 +22,7 @@ from ..functions.exprs import (
     boolean_cols, c, dtype_of, is_datetime, is_fractional, is_integral, is_numeric, numeric_cols, safe_name,
     string_cols,
 )
+from ..functions.cumulative import BROADCAST_ROWS, dense_ranks
 from ..functions.quantiles import exact_quantiles
 
 INLINE_LEVELS = 1_000  # lookup maps up to this many keys become literal maps; larger ones are joined
@@ -446,7 +447,7 @@ class LabelEncoder:
     """Integer codes in sorted value order; NULL gets its own code after the last level.
 
     Few levels (distinct count checked) -> literal array lookup. Many levels -> codes
-    from a distributed sort of the distinct values (``zipWithIndex``), joined back.
+    from a distributed sort of the distinct values (``dense_ranks``), joined back.
     """
     cols: Sequence[str] = ()
     inline_limit: int = INLINE_LEVELS
@@ -463,10 +464,7 @@ class LabelEncoder:
             if row[f"_d{i}"] <= self.inline_limit:
                 self.inline[n] = sorted(r["_k"] for r in distinct.collect())
             else:
-                spark = df.sparkSession
-                ranked = distinct.rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex()
-                table = spark.createDataFrame(ranked, "_k string, _code long")
-                self.tables[n] = (table, table.count())
+                self.tables[n] = dense_ranks(distinct, ["_k"])
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -481,6 +479,7 @@ class LabelEncoder:
                 continue
             key = f"__lk_{safe_name(n)}"
             t = table.withColumnRenamed("_k", key)
+            t = F.broadcast(t) if n_levels <= BROADCAST_ROWS else t
             out = (out.join(t, c(n).cast("string") == F.col(key), "left").drop(key)
                    .withColumn(n, F.coalesce(F.col("_code"), F.lit(n_levels)).cast("int")).drop("_code"))
         return out

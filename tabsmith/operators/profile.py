@@ -20,6 +20,7 @@ from ..functions.cumulative import top_k_per_group
 from ..functions.exprs import (
     c, corrected_skew, dtype_of, is_datetime, is_fractional, is_numeric, numeric_cols, string_cols, type_name,
 )
+from ..functions.cumulative import BROADCAST_ROWS, dense_ranks
 from ..functions.gramian import correlations
 from ..functions.quantiles import exact_quantiles
 
@@ -161,24 +162,22 @@ def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 10) ->
 
 # ----------------------------------------------------------------------------- B10
 
-def target_codes(df: DataFrame, t: str, order: str = "sorted", order_col: str | None = None,
-                 out: str | None = None, max_levels: int = 10_000) -> DataFrame:
-    """Numeric codes 0..k-1 for a string target (sorted values, or first appearance by ``order_col``)."""
+def target_codes(df: DataFrame, t: str, order: str = "sorted", order_col: str | None = None, out: str | None = None) -> DataFrame:
+    """Numeric codes 0..k-1 for a string target (sorted values, or first appearance by ``order_col``), any number of levels."""
     out = out or t
     if is_numeric(dtype_of(df, t)):
         return df.withColumn(out, c(t).cast("double"))
+    known = df.where(c(t).isNotNull())
     if order == "first":
         if order_col is None:
             raise ValueError("order='first' needs order_col: Spark rows have no positional order")
-        firsts = df.where(c(t).isNotNull()).groupBy(c(t).alias("v")).agg(F.min(c(order_col)).alias("o"))
-        levels = [r["v"] for r in firsts.orderBy("o", "v").limit(max_levels + 1).collect()]
+        keys, by = known.groupBy(c(t).alias("_level")).agg(F.min(c(order_col)).alias("_first_at")), ["_first_at", "_level"]
     else:
-        levels = [r["v"] for r in df.where(c(t).isNotNull()).select(c(t).alias("v")).distinct()
-                  .orderBy("v").limit(max_levels + 1).collect()]
-    if len(levels) > max_levels:
-        raise ValueError(f"target {t!r} has more than {max_levels} levels; not a class target")
-    codes = F.array_position(F.array(*[F.lit(v) for v in levels]), c(t)) - 1
-    return df.withColumn(out, F.when(c(t).isNotNull(), codes.cast("double")))
+        keys, by = known.select(c(t).alias("_level")).distinct(), ["_level"]
+    table, n = dense_ranks(keys, by)
+    table = table.select("_level", "_code")
+    codes = df.join(F.broadcast(table) if n <= BROADCAST_ROWS else table, c(t) == F.col("_level"), "left").drop("_level")
+    return codes.withColumn(out, F.col("_code").cast("double")).drop("_code")
 
 
 # ----------------------------------------------------------------------------- B11, B12, B13, B14, B31

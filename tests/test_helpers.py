@@ -131,3 +131,25 @@ def test_overlap_keys_keep_nulls_and_zeros_apart(spark):
     test = spark.createDataFrame([(None, "a", 0.0), ("a", None, -0.0), ("b", "b", float("nan")), ("b", "b", None)], "x string, y string, z double")
     out = {r["gate"]: r["observed"] for r in H.audit_overlap(train, test, ["x", "y", "z"]).collect()}
     assert out["test_rows_seen_in_train"] == 2
+
+
+def test_dense_ranks_follow_the_order_whatever_the_partitions(spark):
+    from tabsmith.functions.cumulative import dense_ranks
+    words = [f"é{i * 7919 % 5000}" for i in range(5000)] + ["", "Z", "a", "zz"]
+    ranked, n = dense_ranks(spark.createDataFrame([(w,) for w in words], "_k string").repartition(7), ["_k"])
+    assert n == len(words) and {r["_k"]: r["_code"] for r in ranked.collect()} == {w: i for i, w in enumerate(sorted(words))}
+    empty, n = dense_ranks(spark.createDataFrame([], "_k string"), ["_k"])
+    assert n == 0 and empty.count() == 0
+
+
+def test_codes_of_many_levels(spark):
+    from tabsmith.operators import clean as C
+    from tabsmith.operators import profile as P
+    df = spark.range(24_000).selectExpr("id", "concat('v', lpad(id % 12000, 6, '0')) as t").unionByName(
+        spark.createDataFrame([(24_000, None)], "id long, t string"))
+    got = P.target_codes(df, "t").where("id in (0, 11999, 12005, 24000)").orderBy("id").collect()
+    assert [r["t"] for r in got] == [0.0, 11999.0, 5.0, None]
+    first = P.target_codes(df.where("id < 12000"), "t", order="first", order_col="id").where("id <> t")
+    assert first.count() == 0
+    enc = C.LabelEncoder(cols=["t"]).fit(df).transform(df).where("id in (3, 24000)").orderBy("id").collect()
+    assert [r["t"] for r in enc] == [3, 12000]

@@ -32,6 +32,7 @@ MULTICLASS_MAX = 20
 IMBALANCE_NONE, IMBALANCE_WEIGHTS, IMBALANCE_SMOTE = 0.40, 0.15, 0.05
 ROWS_SMALL, ROWS_MEDIUM = 500, 50_000
 ONEHOT_MAX_LEVELS = 15
+INDEX_MAX_LEVELS = 1_000  # a string feature with more levels is frequency coded before a model
 ID_SHARE_STRICT, ID_SHARE_NAMED = 0.95, 0.80
 DATETIME_SAMPLE_SHARE, DATETIME_FULL_SHARE, DATETIME_MIN_SAMPLE = 0.8, 0.7, 5
 TEXT_MIN_DISTINCT, TEXT_DISTINCT_SHARE, TEXT_MIN_MEAN_LEN = 50, 0.3, 25

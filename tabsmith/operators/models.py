@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.aggregates import level_counts
 from ..functions.exprs import c, numeric_cols, safe_name, string_cols
 from . import linear
 from . import metrics as G
 from . import split as E
+from .frequency import FrequencyCoder, frequency_column
 
 # Boosted learners of other libraries are served by MLlib GBT.
 ALIASES = {"XGBClassifier": "GBTClassifier", "LGBMClassifier": "GBTClassifier",
@@ -91,9 +93,20 @@ def canonical(name: str) -> str:
 
 # ----------------------------------------------------------------------------- F1
 
-def build_preprocessor(num: Sequence[str], cat: Sequence[str], out: str = "features", scale: bool = True) -> list:
-    """standardised numerics + one-hot categoricals (unseen levels -> all zeros); others dropped."""
-    stages, parts = [], []
+def wide_strings(df: DataFrame, cat: Sequence[str], limit: int = K.INDEX_MAX_LEVELS) -> list[str]:
+    """String columns with more than ``limit`` levels. One pass of sketches tells those far above; only columns near the limit are
+    counted exactly, so no index of a column's levels is built to find out."""
+    levels = level_counts(df, cat, limit)
+    return [x for x in cat if levels[x] > limit]
+
+
+def build_preprocessor(num: Sequence[str], cat: Sequence[str], out: str = "features", scale: bool = True,
+                       wide: Sequence[str] = ()) -> list:
+    """standardised numerics + one-hot categoricals (unseen levels -> all zeros); others dropped. Columns of ``wide`` become
+    the share of the fitted rows that hold their value, treated as one more numeric each: an index of their levels would gather
+    them all on the driver."""
+    stages = [FrequencyCoder(inputCol=x, outputCol=frequency_column(x)) for x in wide]
+    num, cat, parts = [*num, *map(frequency_column, wide)], [x for x in cat if x not in wide], []
     if num:
         stages.append(VectorAssembler(inputCols=list(num), outputCol="__num", handleInvalid="keep"))
         if scale:
@@ -174,7 +187,7 @@ def model_pipeline(df: DataFrame, t: str, name: str, problem_type: str, params:
     if canonical(name) == "Ridge":
         n_rows, std = df.agg(F.count(c(t)), F.coalesce(F.stddev_pop(c(t)), F.lit(1.0))).first()
     n = n_rows if n_rows is not None else df.count()
-    return Pipeline(stages=build_preprocessor(num, cat) + [make_model(name, problem_type, t, n, params, weight, label_std=std)])
+    return Pipeline(stages=build_preprocessor(num, cat, wide=wide_strings(df, cat)) + [make_model(name, problem_type, t, n, params, weight, label_std=std)])
 
 
 # ----------------------------------------------------------------------------- predictions and scores
@@ -254,10 +267,11 @@ def encoded_folds(folded: DataFrame, t: str, k: int, exclude: Sequence[str] | st
     ex = {*key_columns(exclude), t, "fold", *([weight] if weight else [])}
     num, cat = ([x for x in f(folded) if x not in ex] for f in (numeric_cols, string_cols))
     keep = [c(t), F.col("features"), *([c(weight)] if weight else [])]
+    wide = wide_strings(folded, cat)
 
     def encode(i: int) -> Fold:
         train, test = folded.where(F.col("fold") != i), folded.where(F.col("fold") == i)
-        pre = Pipeline(stages=build_preprocessor(num, cat)).fit(train)
+        pre = Pipeline(stages=build_preprocessor(num, cat, wide=wide)).fit(train)
         held = [pre.transform(x).select(*keep).persist() for x in (train, test)]
         n, std = held[0].agg(F.count(F.lit(1)), F.coalesce(F.stddev_pop(c(t).cast("double")), F.lit(1.0))).first()
         return Fold(i, *held, n, std)

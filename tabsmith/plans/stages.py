@@ -32,6 +32,7 @@ REASONS = {
     "constant": "one value in every row cannot tell rows apart",
     "median": "few missing values: median fill",
     "flag_median": "moderate missing share: indicator flag plus median",
+    "missing_flag": "indicator of a filled value, asked for by the feature plan",
     "drop": "too many missing values to impute",
     "mode": "categorical missing values: most frequent value",
     "to_numeric": "numbers stored as text",
@@ -108,6 +109,11 @@ class Cleaner:
 
         imp = C.NumericImputer(exclude=[t]).fit(cur)
         log.extend(imp.log_rows())
+        # Flags of filled columns that the imputer flags none for, made here, where the rows still show what is missing
+        flagged = [x for x in imp.shares if imp.action(x) == "median"] if plan.missing_flags else []
+        if flagged:
+            log.extend(("impute", x, "missing_flag", None, "") for x in flagged)
+            add("missing_flags", lambda d, cols=flagged: FE.missing_flags(d, cols))
         add("impute_numeric", imp.transform)
         mode = C.ModeImputer(exclude=[t] + [x for x in plan.text_columns]).fit(cur)
         for x in mode.fill:
@@ -157,7 +163,7 @@ class Cleaner:
         add("log1p", lambda d, done=done: d.withColumns({x: F.log1p(F.col(f"`{x}`").cast("double")) for x in done})
             if done else d)
 
-        win = C.Winsorizer(exclude=[t] + onehot_cols).fit(cur)
+        win = C.Winsorizer(exclude=[t, *onehot_cols, *[f"{x}_was_missing" for x in flagged]]).fit(cur)
         for r in win.clipped_counts(cur).where("n_clipped > 0").collect():
             log.append(("outliers", r["column"], "clip", r["n_clipped"], ""))
         add("clip", win.transform)

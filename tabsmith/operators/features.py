@@ -20,6 +20,8 @@ from .. import constants as K
 from ..functions.aggregates import level_counts
 from ..functions.exprs import c, corrected_skew, dtype_of, inf_to_null, is_numeric, numeric_cols, safe_name, string_cols
 from ..functions.quantiles import exact_quantiles
+from ..functions.terms import batch_term_counts
+from ..session import ship_package
 from . import profile as P
 from .clean import FrequencyEncoder, NumericImputer
 
@@ -64,17 +66,12 @@ class TfidfFeatures:
     def fit(self, df: DataFrame) -> "TfidfFeatures":
         stops = list(self.stop_words if self.stop_words is not None else default_stop_words())
         n_docs = df.count()
-
-        def per_term(tokens, name):
-            # grouped by term only: the map-side partial aggregate leaves one row per term and task
-            t = df.select(F.explode_outer(tokens).alias("term")).where(F.col("term").isNotNull())
-            if stops:
-                t = t.where(~F.col("term").isin(stops))  # planned as a hash-set lookup
-            return t.groupBy("term").agg(F.count(F.lit(1)).alias(name))
-
-        total = per_term(self.tokens(), "total")                # corpus count
-        dfreq = per_term(F.array_distinct(self.tokens()), "df")  # documents containing the term
-        stats = total.join(dfreq.where(F.col("df") >= self.min_df), "term")
+        ship_package(df.sparkSession)
+        # every text is tokenised once: a batch gives one row per term of its own, which the partial aggregate adds up
+        stats = (df.select(self.tokens().alias("tokens")).mapInArrow(batch_term_counts, "term string, total long, df long")
+                 .where(~F.col("term").isin(stops) if stops else F.lit(True))  # planned as a hash-set lookup
+                 .groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+                 .where(F.col("df") >= self.min_df))
         top = stats.orderBy(F.col("total").desc(), F.col("term")).limit(self.max_features).collect()
         self.vocab = sorted(r["term"] for r in top)
         import math
@@ -90,7 +87,7 @@ class TfidfFeatures:
         # Heavy expressions appear only as higher-order-function arguments, never inside a lambda
         # body: Catalyst may inline a projected column into a lambda, where it would be re-evaluated
         # per element. One pass keeps vocabulary tokens, one aggregate counts them per term.
-        hits = F.filter(self.tokens(), lambda x: F.array_contains(vocab, x))
+        hits = F.filter(self.tokens(), lambda x: x.isin(self.vocab))  # a hash-set lookup, too
         zero = F.array(*[F.lit(0.0) for _ in self.vocab])
         counts = F.aggregate(hits, zero, lambda acc, x: F.transform(
             acc, lambda n, i: n + F.when(F.get(vocab, i) == x, F.lit(1.0)).otherwise(F.lit(0.0))))

@@ -153,3 +153,23 @@ def test_codes_of_many_levels(spark):
     assert first.count() == 0
     enc = C.LabelEncoder(cols=["t"]).fit(df).transform(df).where("id in (3, 24000)").orderBy("id").collect()
     assert [r["t"] for r in enc] == [3, 12000]
+
+
+def test_term_counts_of_batches_equal_a_count():
+    import pyarrow as pa
+    from collections import Counter
+    from tabsmith.functions.terms import batch_term_counts
+    texts = [["a", "b", "a"], [], ["b"], ["c", "a", "c", "c"], []]
+    column = pa.array([["x", "y"], *texts], pa.list_(pa.string()))
+    whole = pa.record_batch([column.slice(1)], names=["tokens"])  # a slice: offsets don't start at 0
+    none = pa.record_batch([pa.array([[], []], pa.list_(pa.string()))], names=["tokens"])
+    total, df = Counter(w for t in texts for w in t), Counter(w for t in texts for w in set(t))
+    (got,) = batch_term_counts(iter([whole, none]))
+    assert {r["term"]: (r["total"], r["df"]) for r in got.to_pylist()} == {w: (total[w], df[w]) for w in total}
+
+
+def test_tfidf_fit_without_terms(spark):
+    from tabsmith.operators.features import TfidfFeatures
+    for rows in ([], [(None,), ("",), ("a . b",)]):
+        tf = TfidfFeatures(col="text", min_df=1).fit(spark.createDataFrame(rows, "text string"))
+        assert tf.vocab == []

@@ -763,21 +763,43 @@ def h11(spark, d):
     return H.audit_redundant(FR.doc_features(spark, d), cols=_H_NUM).withColumn("r", F.round("r", 6))
 
 
-@reg("h14_audit_metrics")
+@reg("h14_audit_metrics", f"""
+WITH m AS ({_class_sql(SD)})
+SELECT 'metrics_match_problem' AS gate, count(DISTINCT metric) = 0 AS passed, CAST(count(DISTINCT metric) AS DOUBLE) AS observed,
+       0.0 AS "limit" FROM m WHERE metric NOT IN ('rmse', 'mae', 'mape', 'r2')
+UNION ALL SELECT 'not_accuracy_alone', true, CAST(count(DISTINCT metric) AS DOUBLE), NULL FROM m
+""")
 def h14(spark, d):
     m = G.classification_metrics(FR.scored_docs(spark, d))
     return H.audit_metrics(m, "regression")
 
 
-@reg("h15_severity")
+@reg("h15_severity", f"""
+WITH g AS (SELECT 'stability' AS category, passed FROM ({SQL["h05_gate_stability"]})
+           UNION ALL SELECT 'data_integrity', passed FROM ({SQL["h01_gate_cleaned"]})),
+     s AS (SELECT category, 10 * avg(CAST(passed AS DOUBLE)) AS score FROM g WHERE passed IS NOT NULL GROUP BY category)
+SELECT category, ROUND(score, 6) AS score, NULL AS level FROM s
+UNION ALL SELECT 'overall', ROUND(avg(score), 6), CASE WHEN avg(score) < 6 OR min(score) < 5 THEN 'critical'
+                                                      WHEN avg(score) < 7.5 THEN 'moderate' ELSE 'minor' END FROM s
+""")
 def h15(spark, d):
     gates = H.gate_stability(_fold_f1(spark, d, 0.5)).withColumn("category", F.lit("stability")) \
         .unionByName(H.gate_cleaned(FR.table(spark, d, "lineitem"), "l_returnflag")
                      .withColumn("category", F.lit("data_integrity")))
-    return H.severity(gates)
+    return H.severity(gates).withColumn("score", F.round("score", 6))
 
 
-@reg("h12_13_audit_fit_imbalance")
+@reg("h12_13_audit_fit_imbalance", f"""
+WITH f AS (SELECT {_weighted_f1_sql(_SD_TRAIN)} AS train, {_weighted_f1_sql(_SD_TEST)} AS test),
+     b AS (SELECT threshold AS th FROM ({_sweep_sql(SD)}) ORDER BY f1 DESC, threshold LIMIT 1),
+     i AS (SELECT CASE WHEN count(*) <= 10 THEN ROUND(min(n) / max(n), 2) END AS ratio
+           FROM (SELECT quality, count(*) AS n FROM ({DOCS}) GROUP BY quality))
+SELECT gate, passed, ROUND(observed, 6) AS observed, "limit" FROM (
+  SELECT 'overfit_gap' AS gate, train - test <= 0.1 AS passed, train - test AS observed, 0.1 AS "limit" FROM f
+  UNION ALL SELECT 'not_too_good', test < 0.999, test, 0.999 FROM f
+  UNION ALL SELECT 'threshold_tuned', ratio IS NULL OR ratio >= 0.3 OR th < 0.5, th, 0.5 FROM b, i
+  UNION ALL SELECT 'pr_auc_reported', true, ratio, 0.3 FROM i)
+""")
 def h12(spark, d):
     sd = FR.scored_docs(spark, d)
     train, test = E.train_test_split(sd, stratify=False, key="doc_id")
@@ -785,7 +807,7 @@ def h12(spark, d):
     fit = H.audit_fit(spark, train_metric=f1[0], test_metric=f1[1])
     th = G.best_threshold(G.threshold_sweep(sd))
     ratio = P.imbalance_ratio(FR.labelled_docs(spark, d), "quality").first()["ratio"]
-    return fit.unionByName(H.audit_imbalance(spark, ratio, th, has_pr_auc=True))
+    return fit.unionByName(H.audit_imbalance(spark, ratio, th, has_pr_auc=True)).withColumn("observed", F.round("observed", 6))
 
 
 @reg("h07_gate_repeatable")

@@ -226,7 +226,7 @@ _PL_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _interaction_sql(min_r: float, k: int, pairs: str, poly: bool = False, frame: str = PL,
-                     feats: list[str] = _PL_NUM, t: str = "net") -> str:
+                     feats: list[str] = _PL_NUM, t: str = "net", rank: str = "r") -> str:
     cols = ", ".join(f"('{x}', {i})" for i, x in enumerate(feats))
     if poly:
         pair_rule = "a.rk <= b.rk"
@@ -240,7 +240,7 @@ WITH base AS (SELECT row_number() OVER () AS rid, {t} AS net, {", ".join(feats)}
      pos AS (SELECT * FROM (VALUES {cols}) AS t(col, pos)),
      tr AS (SELECT long.col, abs(corr(v, net)) AS r, min(pos.pos) AS pos FROM long JOIN pos ON long.col = pos.col
             GROUP BY long.col),
-     top AS (SELECT col, row_number() OVER (ORDER BY r DESC, pos) AS rk FROM tr WHERE r > {min_r}
+     top AS (SELECT col, row_number() OVER (ORDER BY {rank} DESC, pos) AS rk FROM tr WHERE r > {min_r}
              QUALIFY rk <= {k}),
      pairs AS (SELECT a.col AS ca, b.col AS cb, {name} AS feature FROM top a JOIN top b ON {pair_rule})
 SELECT feature, ROUND(corr(la.v * lb.v, la.net), 3) AS r
@@ -375,7 +375,18 @@ def d19(spark, d):
 
 # ----------------------------------------------------------------------------- D20
 
-@reg("d20_feature_report")
+_REPORT_OLD = ["toxic", "n_chars", "text_len", "n_words", "n_lines", "n_periods"]
+_REPORT_LOGS = ["log_n_chars", "log_text_len", "log_n_words"]
+_REPORT_FRAME = f"SELECT *, {', '.join(f'ln(1 + {x[4:]}) AS {x}' for x in _REPORT_LOGS)} FROM ({DF})"
+_REPORT_ROWS = " UNION ALL ".join(f"SELECT '{x}' AS feature, {str(x in _REPORT_LOGS).lower()} AS is_new, ROUND(corr({x}, quality), 3) AS target_r "
+                                  f"FROM ({_REPORT_FRAME})" for x in _REPORT_OLD + _REPORT_LOGS)
+
+
+@reg("d20_feature_report", f"""
+SELECT feature, is_new, CASE WHEN NOT isnan(target_r) THEN target_r + 0.0 END AS target_r FROM ({_REPORT_ROWS}
+  UNION ALL SELECT feature, true, r FROM (
+    {_interaction_sql(0.0, 3, "all", frame=_REPORT_FRAME, feats=_REPORT_OLD + _REPORT_LOGS, t="quality", rank="ROUND(r, 9)")}))
+""")
 def d20(spark, d):
     before = FR.doc_features(spark, d).drop("lang", "source", "doc_id")
     after, _ = FE.log_features(before, ["n_chars", "text_len", "n_words"], t="quality")

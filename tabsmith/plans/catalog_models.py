@@ -13,6 +13,7 @@ from ..operators import models as M
 from ..operators import split as E
 from ..session import shared_path
 from ..sources import tables as A
+from . import catalog_eval as EV
 from . import frames as FR
 from . import presets as PR
 from . import stages as S
@@ -83,10 +84,26 @@ def a05(spark, d):
     return spark.createDataFrame([(A.row_count(FR.table(spark, d, "lineitem")),)], "n_rows bigint")
 
 
-@reg("a06_preview_report")
+_CUSTOMER = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
+_NUMBERS = [x for x, kind in _CUSTOMER.items() if kind != "string"]
+_STATS = {"count": "count({0})", "mean": "avg({0})", "std": "stddev_samp({0})", "min": "min({0})", "p25": "quantile_cont({0}, 0.25)",
+          "p50": "quantile_cont({0}, 0.5)", "p75": "quantile_cont({0}, 0.75)", "max": "max({0})"}
+_CELLS = [f"SELECT 'shape' AS section, NULL AS \"column\", '{item}' AS item, NULL AS text, {value} AS value {source}"
+          for item, value, source in (("n_rows", "count(*)", "FROM customer"), ("n_cols", len(_CUSTOMER), ""))]
+_CELLS += [f"SELECT 'columns', '{x}', 'dtype', '{kind}', NULL" for x, kind in _CUSTOMER.items()]
+_CELLS += [f"SELECT 'head', '{x}', 'row ' || rk, {'NULL' if x in _NUMBERS else x}, {x if x in _NUMBERS else 'NULL'} FROM h" for x in _CUSTOMER]
+_CELLS += [f"SELECT 'nulls', '{x}', 'n_missing', NULL, count(*) - count({x}) FROM customer" for x in _CUSTOMER]
+_CELLS += [f"SELECT 'describe', '{x}', '{k}', NULL, {f.format(x)} FROM customer" for x in _NUMBERS for k, f in _STATS.items()]
+
+
+@reg("a06_preview_report", f"""
+WITH h AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS rk FROM customer QUALIFY rk <= 5)
+SELECT section, "column", item, text, ROUND(CAST(value AS DOUBLE), 6) AS value FROM ({" UNION ALL ".join(_CELLS)})
+""")
 def a06(spark, d):
-    rep = A.preview_report(FR.table(spark, d, "customer"))
-    return rep["describe"]
+    """All five parts of the report, one row per cell."""
+    report = A.preview_report(FR.table(spark, d, "customer"), 5, order=["c_custkey"])
+    return A.report_rows(report).withColumn("value", F.round("value", 6))
 
 
 @reg("a07_admission_check", """
@@ -126,26 +143,45 @@ def a10s(spark, d):
     return last.rows.withColumn("restored", F.lit(last.restored))
 
 
-@reg("a12_write_metrics")
+_DOC_METRICS = ["accuracy", "precision_weighted", "recall_weighted", "f1_weighted", "precision_binary", "recall_binary", "f1_binary"]
+
+
+@reg("a12_write_metrics", f"""
+SELECT 'run' AS run, {", ".join(f"max(value) FILTER (metric = '{m}') AS {m}" for m in _DOC_METRICS)} FROM ({EV.SQL["g01_03_classification_metrics"]})
+""")
 def a12(spark, d):
+    """The written document, read back: its run and the entries of its nested object."""
     from ..operators import metrics as G
     m = G.classification_metrics(FR.scored_docs(spark, d))
     path = shared_path(spark, "metrics-json")
     A.write_metrics(m, path)
-    return spark.read.json(path)
+    return spark.read.json(path).select("run", *[F.round(f"metrics.{x}", 6).alias(x) for x in _DOC_METRICS])
 
 
 # ----------------------------------------------------------------------------- F1-F8, F11, F15, F18, F19, G28
 
-@reg("f01_preprocessor")
+_SLOTS = " UNION ALL ".join(f"SELECT f.doc_id, CAST({i} AS INTEGER) AS slot, (f.{x} - m.{x}) / s.{x} AS value FROM f, m, s WHERE f.is_test"
+                            for i, x in enumerate(_FEATS))
+
+
+@reg("f01_preprocessor", f"""
+WITH f AS (SELECT df.*, t.is_test FROM ({FR.DOC_FEATURES_SQL}) df JOIN ({EV.SQL["e01_split_stratified"]}) t USING (doc_id)),
+     m AS (SELECT {", ".join(f"avg({x}) AS {x}" for x in _FEATS)} FROM f WHERE NOT is_test),
+     s AS (SELECT {", ".join(f"stddev_samp({x}) AS {x}" for x in _FEATS)} FROM f WHERE NOT is_test),
+     lv AS (SELECT lang, {len(_FEATS)} - 1 + row_number() OVER (ORDER BY lang) AS slot FROM (SELECT DISTINCT lang FROM f WHERE NOT is_test))
+SELECT doc_id, slot, ROUND(value, 6) + 0.0 AS value FROM ({_SLOTS}
+  UNION ALL SELECT f.doc_id, CAST(lv.slot AS INTEGER), CAST(f.lang = lv.lang AS DOUBLE) FROM f CROSS JOIN lv WHERE f.is_test)
+""")
 def f01(spark, d):
+    """The encoded test rows, one row per slot of the vector."""
     from pyspark.ml import Pipeline
     df = _docs_model_frame(spark, d)
     train, test = E.train_test_split(df, "quality", key="doc_id")
     pipe = Pipeline(stages=M.build_preprocessor(_FEATS, ["lang"]))
     out = pipe.fit(train).transform(test)
     from pyspark.ml.functions import vector_to_array
-    return out.select("doc_id", vector_to_array("features").alias("features"))
+    return out.select("doc_id", F.posexplode(vector_to_array("features")).alias("slot", "value")) \
+        .withColumn("value", F.round("value", 6) + 0.0)
 
 
 @reg("f02_08_learners")

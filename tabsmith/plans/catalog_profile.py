@@ -421,7 +421,20 @@ def b29(spark, d):
         .withColumn("skew", F.round("skew", 6))
 
 
-@reg("b32_data_issues")
+_ISSUE_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_comment_len"]
+_ISSUES = [f"""SELECT '{x}' AS "column", 'possible_outliers' AS issue, CAST(count_if({x} < lo OR {x} > hi) AS DOUBLE) AS evidence FROM ({D}),
+  (SELECT quantile_cont({x}, {K.CLIP_LOW}) AS lo, quantile_cont({x}, {K.CLIP_HIGH}) AS hi FROM ({D})) HAVING evidence > 0""" for x in _ISSUE_NUM]
+_ISSUES += [f"SELECT '{x}', 'low_variance', coalesce(var_samp({x}), 0) AS v FROM ({D}) HAVING v < 1e-8" for x in _ISSUE_NUM]
+for _x in ("l_linestatus", "l_qty_text"):
+    _ISSUES.append(f"""SELECT '{_x}', 'inconsistent_values', CAST(count(*) AS DOUBLE) AS n FROM (SELECT lower(trim({_x})) FROM ({D})
+  WHERE {_x} IS NOT NULL GROUP BY 1 HAVING count(DISTINCT {_x}) > 1) HAVING n > 0""")
+    _ISSUES.append(f"""SELECT '{_x}', 'type_mismatch', count(TRY_CAST({_x} AS DOUBLE)) / greatest(count({_x}), 1) AS p FROM ({D})
+  HAVING p > {K.NUMERIC_PARSE_SHARE}""")
+
+
+@reg("b32_data_issues", f"""
+SELECT "column", issue, ROUND(evidence, 6) AS evidence FROM ({" UNION ALL ".join(f"({x})" for x in _ISSUES)})
+""")
 def b32(spark, d):
     return P.data_issues(FR.dirty_lineitem(spark, d), "l_returnflag").withColumn("evidence", F.round("evidence", 6))
 

@@ -9,13 +9,14 @@ which cuts lineage and survives executor loss.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..functions.exprs import c, nan_to_null, numeric_cols, type_name
+from ..functions.exprs import c, is_numeric, nan_to_null, numeric_cols, type_name
 from ..session import shared_path
 
 
@@ -53,13 +54,37 @@ def row_count(df: DataFrame) -> int:
     return df.count()
 
 
-def preview_report(df: DataFrame, n: int = 5) -> dict:
+def preview_report(df: DataFrame, n: int = 5, order: Sequence[str] | None = None) -> dict:
     """Shape, columns, dtypes, head, null counts and describe, as small frames."""
     from ..operators import profile as P
-    return {"shape": P.shape(df), "columns": table_columns(df), "head": preview(df, n),
+    return {"shape": P.shape(df), "columns": table_columns(df), "head": preview(df, n, order),
             "nulls": P.null_counts(df), "describe": P.describe_table(df)}
 
 
+def report_rows(report: dict) -> DataFrame:
+    """A6's frames as one: (section, column, item, text, value), numbers as ``value``, anything else as ``text``."""
+    parts = []
+
+    def cells(section: str, df: DataFrame, name: str, column: Column, item: Column) -> None:
+        number = is_numeric(df.schema[name].dataType)
+        parts.append(df.select(F.lit(section).alias("section"), column.alias("column"), item.alias("item"),
+                               (F.lit(None) if number else c(name)).cast("string").alias("text"),
+                               (c(name) if number else F.lit(None)).cast("double").alias("value")))
+
+    for x in report["shape"].columns:
+        cells("shape", report["shape"], x, F.lit(None).cast("string"), F.lit(x))
+    cells("columns", report["columns"], "dtype", F.col("column"), F.lit("dtype"))
+    head = report["head"]
+    numbered = head.sparkSession.createDataFrame([(i + 1, *r) for i, r in enumerate(head.collect())],  # the few rows of a preview
+                                                 T.StructType([T.StructField("__row", T.IntegerType()), *head.schema.fields]))
+    for x in head.columns:
+        cells("head", numbered, x, F.lit(x), F.concat(F.lit("row "), F.col("__row")))
+    cells("nulls", report["nulls"], "n_missing", F.col("column"), F.lit("n_missing"))
+    for x in report["describe"].columns[1:]:
+        cells("describe", report["describe"], x, F.col("column"), F.lit(x))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def admission_check(df: DataFrame, min_rows: int = K.MIN_ROWS, min_cols: int = K.MIN_COLS, max_cols: int = K.MAX_COLS,
                     max_rows: int | None = None) -> DataFrame:
     """(check, passed, observed, limit): rows >= min_rows (and <= max_rows when set),

@@ -24,6 +24,7 @@ from ..functions.exprs import (
 )
 from ..functions.cumulative import BROADCAST_ROWS, dense_ranks
 from ..functions.quantiles import exact_quantiles
+from ..sources.tables import materialize
 
 INLINE_LEVELS = 1_000  # lookup maps up to this many keys become literal maps; larger ones are joined
 
@@ -325,9 +326,9 @@ def expand_datetime(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 class FrequencyEncoder:
     """Value -> share of all fitted rows; unseen and NULL -> 0.
 
-    Maps with at most ``INLINE_LEVELS`` keys (proven by a distinct count) become literal
-    maps in the projection (no join, no shuffle). Larger maps stay DataFrames and are
-    joined on the value; the join strategy is left to AQE, with no broadcast hint.
+    Maps with at most ``INLINE_LEVELS`` keys (one pass of sketches for all columns, exact near the limit)
+    become literal maps in the projection (no join, no shuffle). Larger maps are counted once into a
+    table in the shared folder and joined on the value; the join strategy is left to AQE, with no hint.
     """
     cols: Sequence[str] = ()
     inline_limit: int = INLINE_LEVELS
@@ -339,15 +340,14 @@ class FrequencyEncoder:
         if not cols:
             return self
         total = max(df.count(), 1)
+        levels = level_counts(df, cols, self.inline_limit) if self.inline_limit > 0 else {}
         for n in cols:
             freq = (df.where(c(n).isNotNull()).groupBy(c(n).alias("_k"))
                     .agg((F.count(F.lit(1)) / F.lit(float(total))).alias("_f")))
-            # bounded probe: at most inline_limit + 1 rows ever reach the driver
-            head = freq.limit(self.inline_limit + 1).collect() if self.inline_limit > 0 else [None]
-            if len(head) <= self.inline_limit:
-                self.inline[n] = {r["_k"]: r["_f"] for r in head}
+            if levels.get(n, self.inline_limit + 1) <= self.inline_limit:
+                self.inline[n] = {r["_k"]: r["_f"] for r in freq.collect()}
             else:
-                self.tables[n] = freq
+                self.tables[n] = materialize(freq, "levels")
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

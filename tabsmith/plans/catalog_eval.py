@@ -534,9 +534,18 @@ def g20(spark, d):
     return out.select("n", F.round("mean_diff", 6).alias("mean_diff"), F.round("t", 6).alias("t"), "dof")
 
 
-@reg("g20_paired_t_pvalue")
+@reg("g20_paired_t_pvalue", f"""
+WITH a AS ({_fold_f1_sql(0.5)}), b AS ({_fold_f1_sql(0.4)}),
+     d AS (SELECT a.score - b.score AS diff FROM a JOIN b USING (fold)),
+     t AS (SELECT count(*) AS n, avg(diff) AS mean_diff, avg(diff) / (stddev_samp(diff) / sqrt(count(*))) AS t FROM d)
+SELECT CAST(n AS BIGINT) AS n, ROUND(mean_diff, 6) AS mean_diff, ROUND(t, 6) AS t, CAST(n - 1 AS INTEGER) AS dof,
+       ROUND(1 - 0.75 * abs(t) / sqrt(1 + t * t / 4) * (1 - t * t / (12 * (1 + t * t / 4))), 6) AS p_two_sided FROM t
+""")
 def g20p(spark, d):
-    return G.paired_t(_fold_f1(spark, d, 0.5), _fold_f1(spark, d, 0.4), "fold")
+    """Five folds, so four degrees of freedom, where Student's distribution has a closed form."""
+    out = G.paired_t(_fold_f1(spark, d, 0.5), _fold_f1(spark, d, 0.4), "fold")
+    return out.select("n", F.round("mean_diff", 6).alias("mean_diff"), F.round("t", 6).alias("t"), "dof",
+                      F.round("p_two_sided", 6).alias("p_two_sided"))
 
 
 @reg("g21_model_comparison", f"""
@@ -810,7 +819,12 @@ def h12(spark, d):
     return fit.unionByName(H.audit_imbalance(spark, ratio, th, has_pr_auc=True)).withColumn("observed", F.round("observed", 6))
 
 
-@reg("h07_gate_repeatable")
+@reg("h07_gate_repeatable", f"""
+WITH a AS ({SQL["e01_split_stratified"]}), b AS ({SQL["e01_split_stratified"]}),
+     x AS (SELECT count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)),
+     y AS (SELECT count(*) AS n FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
+SELECT 'identical_reruns' AS gate, x.n + y.n = 0 AS passed, CAST(x.n + y.n AS DOUBLE) AS observed, 0.0 AS "limit" FROM x, y
+""")
 def h07(spark, d):
     return H.gate_repeatable(lambda: E.test_flag(FR.labelled_docs(spark, d).select("doc_id", "quality"), "quality",
                                                  stratify=True, key="doc_id"))

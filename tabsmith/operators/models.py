@@ -78,13 +78,17 @@ GRIDS = {
 
 
 FITS_AT_ONCE = 16       # independent fits whose jobs run side by side
-ROWS_PER_PART = 20_000  # a small table's folds are held in as few partitions as that
+ROWS_PER_PART = 50_000  # rows that are worth a partition in a small table, ...
+FEW_PARTS = 12          # ... up to so many partitions, ...
+ROWS_AT_SCALE = 250_000  # ... and rows of a partition in a large one
 Key = Sequence[str] | str | None  # column or columns that name a row
 
 
 def compact(df: DataFrame, n: int | None = None) -> DataFrame:
-    """``df`` in no more partitions than its rows are worth: a boosted fit runs jobs by the thousand, each with a task per partition."""
-    return df.coalesce(max(1, -(-(df.count() if n is None else n) // ROWS_PER_PART)))
+    """``df`` dealt evenly to as many partitions as its rows are worth: a boosted fit runs jobs by the thousand, each with a task per
+    partition. A shuffle, as the rows may be few of a large input (a sample), whose reading a coalesce would put into as few tasks."""
+    n = df.count() if n is None else n
+    return df.repartition(max(1, min(-(-n // ROWS_PER_PART), FEW_PARTS), -(-n // ROWS_AT_SCALE)))
 
 
 def canonical(name: str) -> str:

@@ -89,7 +89,7 @@ class Cleaner:
         # every step's statistics job re-reads the input through the lazy chain: keep one copy
         # (memory, spilling to executor disk; lost blocks are recomputed from lineage)
         base = df.persist(StorageLevel.MEMORY_AND_DISK)
-        cur = base
+        cur, distinct = base, None
 
         def add(name, fn):
             nonlocal cur
@@ -172,6 +172,8 @@ class Cleaner:
         if self.drop_duplicates:
             before = cur.count()
             add("duplicates", C.drop_duplicates)
+            # the count, the last fill's statistics and the result all read the rows that are left: one shuffle of whole rows
+            distinct = cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
             log.append(("duplicates", None, "duplicates", before - cur.count(), ""))
         if self.redundant_pairs:
             twins = [r["twin"] for r in C.redundant_pairs(cur, self.redundant_pairs).where("one_to_one").collect()]
@@ -183,6 +185,8 @@ class Cleaner:
         add("final_fill", lambda d: C.bool_to_int(fill_cat.transform(fill_num.transform(d))).fillna(
             {x: 0 for x in numeric_cols(d)}))
         cleaned = cut_lineage(cur)  # reliable checkpoint in the shared folder
+        if distinct is not None:
+            distinct.unpersist()
         base.unpersist()
         return fc, cleaned
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
+
 from pyspark.sql import functions as F
 
+from tabsmith.functions.aggregates import exact_distinct
 from tabsmith.operators import models as M
+from tabsmith.plans import stages as S
+from tabsmith.plans.rules import build_plan
 
 
 def test_few_rows_of_a_large_input_are_made_by_many_tasks(spark):
@@ -17,3 +23,26 @@ def test_few_rows_of_a_large_input_are_made_by_many_tasks(spark):
 def test_partitions_grow_with_the_rows(spark):
     parts = [M.compact(spark.range(10), n).rdd.getNumPartitions() for n in (0, 1, 50_001, 3_000_000, 30_000_000)]
     assert parts == [1, 1, 2, 12, 120]
+
+
+def test_cleaner_moves_whole_rows_once(spark, monkeypatch):
+    rows = [(i % 40, float(i % 7) if i % 5 else None, "ab"[i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "x int, y double, t string")
+    plans = []
+    cut = S.cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", lambda d: plans.append(d._jdf.queryExecution().withCachedData().toString()) or cut(d))
+    fitted, cleaned = S.Cleaner(build_plan(df, "t")).fit(df)
+    assert cleaned.count() == cleaned.distinct().count() < 200
+    above = plans[-1].split("InMemoryRelation")[0]
+    assert "InMemoryRelation" in plans[-1] and "Aggregate" not in above and "Deduplicate" not in above
+
+
+def test_distinct_counts_hash_numbers_as_they_are(spark):
+    day, d = datetime.date(2024, 1, 1), decimal.Decimal
+    rows = [(1, 0.0, "a", day, d("1.10"), True), (1, -0.0, "", day, d("1.1"), False), (None, float("nan"), None, None, d("2"), None),
+            (2, float("nan"), "a", day, None, True), (2, None, "b", day, None, True)]
+    df = spark.createDataFrame(rows, "i int, x double, s string, d date, m decimal(5,2), b boolean")
+    got = exact_distinct(df, df.columns)
+    assert {r["column"]: r["n_unique"] for r in got.collect()} == {"i": 2, "x": 3, "s": 3, "d": 1, "m": 2, "b": 2}
+    plan = exact_distinct(df.select("i", "b"), ["i", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "as string" not in plan

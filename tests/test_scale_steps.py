@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime
 import decimal
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tabsmith.functions import terms
 from tabsmith.functions.aggregates import exact_distinct
 from tabsmith.operators import models as M
 from tabsmith.plans import stages as S
@@ -46,3 +48,16 @@ def test_distinct_counts_hash_numbers_as_they_are(spark):
     assert {r["column"]: r["n_unique"] for r in got.collect()} == {"i": 2, "x": 3, "s": 3, "d": 1, "m": 2, "b": 2}
     plan = exact_distinct(df.select("i", "b"), ["i", "b"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan and "as string" not in plan
+
+
+def test_term_counts_hold_few_tokens_at_once(monkeypatch):
+    monkeypatch.setattr(terms, "TOKENS_AT_ONCE", 4)
+    texts = [["a", "b", "a"], [], ["b"], [], ["a"] * 9, ["c", "b"], ["c", "c"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.list_(pa.string()))], names=["tokens"])
+    got = [b.to_pydict() for b in terms.batch_term_counts(iter([batch]))]
+    assert [sum(b["total"]) for b in got] == [4, 9, 4]
+    total, df = {}, {}
+    for b in got:
+        for t, n, k in zip(b["term"], b["total"], b["df"]):
+            total[t], df[t] = total.get(t, 0) + n, df.get(t, 0) + k
+    assert total == {"a": 11, "b": 3, "c": 3} and df == {"a": 2, "b": 3, "c": 2}

@@ -20,6 +20,7 @@ from ..operators import features as FE
 from ..operators import metrics as G
 from ..operators import models as M
 from ..operators import split as E
+from ..session import cut_lineage
 
 
 class Recipe:
@@ -199,12 +200,17 @@ def evaluate_many(tables: dict[str, tuple[DataFrame, str, Sequence[str]]], param
     calibration rows (dataset, bin, n, frac_pos, mean_pred)."""
     def fit(name: str) -> DataFrame:
         df, t, drop = tables[name]
-        raw, held = E.train_test_split(M.compact(df.drop(*drop)), t, key=key)
+        # the split, the encoders, the fit and the scores read these rows, not what they are made of; every metric reads written scores
+        rows = df.drop(*drop).persist()
+        dealt = M.compact(rows).persist()
+        raw, held = E.train_test_split(dealt, t, key=key)
         recipe = encode_and_fill(raw, t, key)
         train, test = M.compact(recipe.train).persist(), recipe.apply(held)
         model = M.model_pipeline(train, t, "GBTClassifier", "binary_classification", params or PROBABILITY_BOOST, exclude=key).fit(train)
-        train.unpersist()
-        return M.predictions(model, test, t)
+        pred = cut_lineage(M.predictions(model, test, t))
+        for x in (train, dealt, rows):
+            x.unpersist()
+        return pred
 
     with ThreadPool(max(1, min(len(tables), M.FITS_AT_ONCE))) as pool:
         preds = pool.map(fit, tables, chunksize=1)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabsmith.functions import terms
 from tabsmith.functions.aggregates import exact_distinct
 from tabsmith.operators import models as M
+from tabsmith.plans import presets as PR
 from tabsmith.plans import stages as S
 from tabsmith.plans.rules import build_plan
 
@@ -61,3 +62,12 @@ def test_term_counts_hold_few_tokens_at_once(monkeypatch):
         for t, n, k in zip(b["term"], b["total"], b["df"]):
             total[t], df[t] = total.get(t, 0) + n, df.get(t, 0) + k
     assert total == {"a": 11, "b": 3, "c": 3} and df == {"a": 2, "b": 3, "c": 2}
+
+
+def test_probability_metrics_read_written_scores(spark):
+    df = spark.range(120).select((F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 3 + F.col("id") % 7).cast("double").alias("x"))
+    out, curves = PR.evaluate_many({"t": (df, "y", [])}, params={"maxIter": 2, "maxDepth": 2, "stepSize": 0.1})
+    for frame in (out, curves):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "UDF" not in plan and "Range" not in plan
+    assert {r["metric"] for r in out.collect()} >= {"f1_binary", "pr_auc"}

@@ -108,9 +108,9 @@ def full_run(df: DataFrame, t: str, key: M.Key = None, folds: int = 3, n_iter: i
     train, test = (M.compact(x).persist() for x in (recipe.train, recipe.apply(held)))
     ranking = M.scout(train, t, "binary_classification", "f1_binary", folds=folds, candidates=scout_candidates, key=key)
     rows, search = [], {}
-    for name in M.top_two(ranking):
-        params, search[name] = M.tune(train, t, name, "binary_classification", n_iter=n_iter, folds=search_folds, metric="f1_binary",
-                                      grid=(grids or {}).get(name), key=key)
+    names = M.top_two(ranking)
+    found = M.tune_many(train, t, names, "binary_classification", n_iter=n_iter, folds=search_folds, metric="f1_binary", grids=grids, key=key)
+    for name, (params, search[name]) in zip(names, found):
         model = M.model_pipeline(train, t, name, "binary_classification", params, exclude=key).fit(train)
         rows.append((name, M.score_of(model, test, t, "binary_classification", "f1_binary"), params))
     best = _best_f1(rows)

@@ -25,7 +25,6 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import level_counts
 from ..functions.exprs import c
 
 BINS = 32              # MLlib's maxBins
@@ -61,15 +60,16 @@ def _ranged(df: DataFrame, cols: Sequence[str], borders: dict[str, list[float]])
 
 
 def candidate_cuts(df: DataFrame, cols: Sequence[str]) -> dict[str, list[float]]:
-    """Cuts of each double column, weighted by ``WEIGHT``. Columns with a null or a value that is not finite have none. The
-    driver gets at most ``VALUES`` rows a column."""
+    """Cuts of each double column, weighted by ``WEIGHT``. Constant columns have none, nor have those with a null or a value that is not finite. The
+    driver gets some ``VALUES`` rows a column at most."""
     odd = [F.max(F.coalesce(c(x).isNull() | F.isnan(c(x)) | (F.abs(c(x)) == F.lit(math.inf)), F.lit(True))) for x in cols]
-    found = df.agg(*odd).first() if cols else ()
-    whole = [x for x, bad in zip(cols, found) if bad is False]
+    levels = [F.approx_count_distinct(c(x)) for x in cols]  # only says how a column is counted
+    n, *found = df.agg(F.count(F.lit(1)), *odd, *levels).first()
+    odd, levels = found[:len(cols)], dict(zip(cols, found[len(cols):]))
+    whole = [x for x, bad in zip(cols, odd) if bad is False]
     if not whole:
         return {x: [] for x in cols}
-    levels = level_counts(df, whole, VALUES)
-    wide, borders = [x for x in whole if levels[x] > VALUES], {}
+    wide, borders = [x for x in whole if n > VALUES and levels[x] > VALUES], {}
     if wide:
         at = [i / RANGES for i in range(1, RANGES)]
         row = df.agg(*[F.array_sort(F.array_distinct(F.percentile_approx(c(x), at, 10 * RANGES))) for x in wide]).first()
@@ -109,7 +109,8 @@ class IntervalCoder(Estimator, HasInputCol, HasOutputCol, HasWeightCol, DefaultP
 
 
 class IntervalCoderModel(Model, HasInputCol, HasOutputCol, HasWeightCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Each slot's cuts; a number at a cut lies below it, as in a tree."""
+    """Each slot's cuts; a number at a cut lies below it, as in a tree. Slots without cuts stay as they are, so that MLlib refuses what it
+    refuses on rows."""
 
     cuts = Param(Params._dummy(), "cuts", "cuts of each slot, ascending, joined by commas", typeConverter=TypeConverters.toListString)
 
@@ -124,8 +125,9 @@ class IntervalCoderModel(Model, HasInputCol, HasOutputCol, HasWeightCol, Default
                              handleInvalid="keep").transform(out)
         # a sum, as a plain column would bring Bucketizer's levels along, and trees would take them for categories; a number that is
         # missing lies in the last interval, as in MLlib
-        plain = {x: F.least(F.col(x) + 0.0, F.lit(float(len(cuts[i])))) if i in open_ else F.lit(0.0) for i, x in enumerate(coded)}
-        out = VectorAssembler(inputCols=coded, outputCol=self.getOutputCol()).transform(out.withColumns(plain))
+        plain = {x: F.least(F.col(x) + 0.0, F.lit(float(len(cuts[i])))) if i in open_ else F.col(names[i]) + 0.0
+                 for i, x in enumerate(coded)}
+        out = VectorAssembler(inputCols=coded, outputCol=self.getOutputCol(), handleInvalid="keep").transform(out.withColumns(plain))
         return out.drop(*names, *coded)
 
 

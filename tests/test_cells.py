@@ -77,6 +77,12 @@ def test_null_labels_are_refused_as_before(rows):
         M.model_pipeline(df, "y", "GBTRegressor", "regression", {"maxIter": 2}).fit(df)
 
 
+def test_numbers_that_are_missing_are_refused_as_before(rows):
+    df = rows.select("a", F.when(F.col("id") > 5, F.col("b")).alias("b"), "y")
+    with pytest.raises(Exception, match="NaN or Infinity"):
+        M.model_pipeline(df, "y", "GBTRegressor", "regression", {"maxIter": 2}).fit(df)
+
+
 def test_saved_boosted_pipelines_score_alike(rows):
     df = rows.select("id", "a", "b", "x", "s", "yes")
     model = M.model_pipeline(df, "yes", "XGBClassifier", "binary_classification", {"maxIter": 3, "maxDepth": 3}, exclude="id").fit(df)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.aggregates import level_counts
 from ..functions.exprs import c, numeric_cols, safe_name, string_cols
+from . import boost as B
 from . import cells as CE
 from . import linear
 from . import metrics as G
@@ -225,7 +226,14 @@ def predictions(model: PipelineModel, df: DataFrame, t: str, threshold: float |
 def evaluate(model: PipelineModel, df: DataFrame, t: str, problem_type: str,
              threshold: float | None = None, curves: bool = True) -> DataFrame:
     """Metric table (metric, value) for the problem type; ``curves`` adds ROC-AUC and AP (binary)."""
-    pred = predictions(model, df, t, threshold)
+    return metrics_of(predictions(model, df, t, threshold), problem_type, curves)
+
+
+CURVES = ("roc_auc", "average_precision")
+
+
+def metrics_of(pred: DataFrame, problem_type: str, curves: bool) -> DataFrame:
+    """Metric table of (label, prediction, score)."""
     if problem_type == "regression":
         return G.regression_metrics(pred)
     m = G.classification_metrics(pred, positive=1.0)
@@ -236,8 +244,7 @@ def evaluate(model: PipelineModel, df: DataFrame, t: str, problem_type: str,
 
 def score_of(model: PipelineModel, df: DataFrame, t: str, problem_type: str, metric: str) -> float | None:
     """One metric value, computing curve metrics only when that metric needs them."""
-    curves = metric in ("roc_auc", "average_precision")
-    return metric_value(evaluate(model, df, t, problem_type, curves=curves), metric)
+    return metric_value(evaluate(model, df, t, problem_type, curves=metric in CURVES), metric)
 
 
 def metric_value(metrics: DataFrame, metric: str) -> float | None:
@@ -346,46 +353,104 @@ def fold_scores(df: DataFrame, t: str, jobs: Sequence[tuple[str, Sequence[dict |
                 out[j][i] = dict(sorted(scores.items()))
             todo = [j for j in todo if j not in closed]
     if todo:
-        boosted = any(canonical(jobs[j][0]).startswith("GBT") for j in todo)
-        folds = encoded_folds(folded, t, k, key, weight, problem_type if boosted else None)
+        for j, scores in zip(todo, scores_on_folds([(folded, [jobs[j] for j in todo])], t, problem_type, k, m, key, weight)[0]):
+            out[j] = scores
+    folded.unpersist()
+    return out
+
+
+def scores_on_folds(frames: Sequence[tuple[DataFrame, Sequence[tuple[str, Sequence[dict | None]]]]], t: str, problem_type: str, k: int, metric: str,
+                    key: Key = None, weight: str | None = None) -> list[list[list[dict[int, float | None] | Exception]]]:
+    """For every (frame with ``fold``, jobs): what ``fold_scores`` gives for its jobs. Boosted fits of all frames share their passes
+    (``operators.boost``), other fits run side by side."""
+    def encode(frame):
+        folded, jobs = frame
+        return encoded_folds(folded, t, k, key, weight, problem_type if any(canonical(x).startswith("GBT") for x, _ in jobs) else None)
+
+    with ThreadPool(min(len(frames), FITS_AT_ONCE)) as pool:
+        folds = pool.map(encode, frames, chunksize=1)
+    tasks, shared = [], {}
+    for at, (_, jobs) in enumerate(frames):
         groups: dict[str, list[tuple[int, list[int]]]] = {}
-        for j in todo:
+        for j in range(len(jobs)):
             for g in setting_groups(*jobs[j], problem_type):
                 same = [canonical(jobs[j][0]), [settings(jobs[j][0], jobs[j][1][i]) for i in g]]
                 groups.setdefault(json.dumps(same, sort_keys=True), []).append((j, g))
-        tasks = [(*served[0], fold, served) for served in groups.values() for fold in folds]
-
-        def run(task):
-            j, group, fold, _ = task
-            name, draws = jobs[j]
-            try:
-                learner = make_model(name, problem_type, t, fold.n, draws[group[0]], weight, label_std=fold.label_std)
-                on_cells = CE.is_boosted(learner)
-                model = CE.weighted(learner).fit(fold.cells) if on_cells else learner.fit(fold.train)
-                test = interval_rows(fold.test) if on_cells else fold.test
-                longest = settings(name, draws[group[0]]).get("maxIter")
-                return [score_of(model if settings(name, draws[i]).get("maxIter") == longest else staged(model, settings(name, draws[i])["maxIter"]),
-                                 test, t, problem_type, m) for i in group]
-            except LEARNER_ERRORS as error:
-                return error
-
-        with ThreadPool(min(len(tasks), FITS_AT_ONCE)) as pool:
-            results = pool.map(run, tasks, chunksize=1)
-        for (_, _, fold, served), scores in zip(tasks, results):
-            for j, n, i in ((j, n, i) for j, group in served for n, i in enumerate(group)):
-                if isinstance(scores, Exception) or isinstance(out[j][i], Exception):
-                    out[j][i] = scores if isinstance(scores, Exception) else out[j][i]
-                else:
-                    out[j][i][fold.number] = scores[n]
-        for fold in folds:
-            fold.train.unpersist()
-            fold.test.unpersist()
-            if fold.cells is not None:
-                fold.cells.unpersist()
-    folded.unpersist()
+        tasks += [(at, *served[0], fold, served) for served in groups.values() for fold in folds[at]]
+
+    def made(task):
+        at, j, group, fold, _ = task
+        name, draws = frames[at][1][j]
+        try:
+            return make_model(name, problem_type, t, fold.n, draws[group[0]], weight, label_std=fold.label_std)
+        except LEARNER_ERRORS as error:
+            return error
+
+    learners = [made(task) for task in tasks]
+    usable = _plain_folds([x for own in folds for x in own], t, problem_type)
+    for i, (task, learner) in enumerate(zip(tasks, learners)):
+        if id(task[3]) in usable and B.can_share(learner):
+            shared[i] = B.fit_of(learner, usable[id(task[3])])
+
+    def run(i):
+        at, j, group, fold, _ = tasks[i]
+        name, draws = frames[at][1][j]
+        rounds = [settings(name, draws[x]).get("maxIter") for x in group]
+        learner = learners[i]
+        if isinstance(learner, Exception):
+            return learner
+        try:
+            if i in shared:
+                staged_rows = B.staged_predictions(interval_rows(fold.test), t, shared[i], rounds).persist()
+                scores = [metric_value(metrics_of(B.as_scored(staged_rows, f"p{x}", shared[i].logistic), problem_type, metric in CURVES), metric)
+                          for x in range(len(group))]
+                staged_rows.unpersist()
+                return scores
+            on_cells = CE.is_boosted(learner)
+            model = CE.weighted(learner).fit(fold.cells) if on_cells else learner.fit(fold.train)
+            test = interval_rows(fold.test) if on_cells else fold.test
+            return [score_of(model if n == rounds[0] else staged(model, n), test, t, problem_type, metric) for n in rounds]
+        except LEARNER_ERRORS as error:
+            return error
+
+    results: dict = {}
+    with ThreadPool(max(1, min(len(tasks), FITS_AT_ONCE))) as pool:
+        alone = [i for i in range(len(tasks)) if i not in shared]
+        others = pool.map_async(run, alone, chunksize=1)
+        if shared:
+            units = [x for own in folds for x in own if id(x) in usable]
+            B.fit_all([(x.cells, problem_type != "regression") for x in units], t, list(shared.values()), [x.cells.count() for x in units], ROWS_AT_SCALE)
+            results.update(zip(shared, pool.map(run, shared, chunksize=1)))
+        results.update(zip(alone, others.get()))
+    out: list[list[list]] = [[[{} for _ in draws] for _, draws in jobs] for _, jobs in frames]
+    for i, (at, _, _, fold, served) in enumerate(tasks):
+        scores = results[i]
+        for j, n, x in ((j, n, x) for j, group in served for n, x in enumerate(group)):
+            own = out[at][j]
+            if isinstance(scores, Exception) or isinstance(own[x], Exception):
+                own[x] = scores if isinstance(scores, Exception) else own[x]
+            else:
+                own[x][fold.number] = scores[n]
+    for fold in (x for own in folds for x in own):
+        fold.train.unpersist()
+        fold.test.unpersist()
+        if fold.cells is not None:
+            fold.cells.unpersist()
     return out
 
 
+def _plain_folds(folds: Sequence[Fold], t: str, problem_type: str) -> dict[int, int]:
+    """{identity of a fold: its number among them} of the folds whose boosted fits can share passes."""
+    if problem_type == "multiclass_classification":
+        return {}
+    boosted = [x for x in folds if x.cells is not None]
+    if not boosted:
+        return {}
+    with ThreadPool(min(len(boosted), FITS_AT_ONCE)) as pool:
+        plain = pool.map(lambda x: B.plain_cells(x.cells, t, problem_type != "regression"), boosted)
+    return {id(x): n for n, x in enumerate(x for x, good in zip(boosted, plain) if good)}
+
+
 def mean_score(scores: dict[int, float | None]) -> float | None:
     """Mean over the folds that have a score."""
     known = [s for s in scores.values() if s is not None]

@@ -110,9 +110,17 @@ def full_run(df: DataFrame, t: str, key: M.Key = None, folds: int = 3, n_iter: i
     rows, search = [], {}
     names = M.top_two(ranking)
     found = M.tune_many(train, t, names, "binary_classification", n_iter=n_iter, folds=search_folds, metric="f1_binary", grids=grids, key=key)
+    own = {name: (M.canonical(name), M.settings(name, params)) for name, (params, _) in zip(names, found)}
+    distinct = [name for n, name in enumerate(names) if own[name] not in [own[x] for x in names[:n]]]  # one estimator is fitted once
+
+    def fitted(name: str) -> float | None:
+        model = M.model_pipeline(train, t, name, "binary_classification", dict(own[name][1]), exclude=key).fit(train)
+        return M.score_of(model, test, t, "binary_classification", "f1_binary")
+
+    with ThreadPool(max(1, len(distinct))) as pool:
+        f1s = dict(zip(distinct, pool.map(fitted, distinct, chunksize=1)))
     for name, (params, search[name]) in zip(names, found):
-        model = M.model_pipeline(train, t, name, "binary_classification", params, exclude=key).fit(train)
-        rows.append((name, M.score_of(model, test, t, "binary_classification", "f1_binary"), params))
+        rows.append((name, next(f1s[x] for x in distinct if own[x] == own[name]), params))
     best = _best_f1(rows)
     f1, params = next((f, p) for n, f, p in rows if n == best)
     winner, f1_final = M.balanced_retry(train, test, t, f1 or 0.0, exclude=key)
@@ -151,18 +159,12 @@ def ablation(df: DataFrame, t: str, configs: dict[str, tuple[Callable[[DataFrame
     before: delta, t, p)."""
     folded = M.compact(E.add_fold(df, k, t, key=key)).persist()
 
-    def score(task: tuple) -> tuple:
-        name, i = task
-        make, learner, params = configs[name]
-        data = make(folded)
-        train = data.where(F.col("fold") != i).drop("fold")
-        test = data.where(F.col("fold") == i).drop("fold")
-        model = M.model_pipeline(train, t, learner, "binary_classification", params, exclude=key).fit(train)
-        return name, i, M.score_of(model, test, t, "binary_classification", "f1_binary")
-
-    tasks = [(name, i) for name in configs for i in range(k)]
-    with ThreadPool(min(len(tasks), M.FITS_AT_ONCE)) as pool:  # independent fits
-        rows = pool.map(score, tasks, chunksize=1)
+    frames = [(make(folded), [(learner, [params])]) for make, learner, params in configs.values()]
+    rows = []
+    for name, ((got,),) in zip(configs, M.scores_on_folds(frames, t, "binary_classification", k, "f1_binary", key)):
+        if isinstance(got, Exception):
+            raise got
+        rows += [(name, i, got[i]) for i in sorted(got)]
     folded.unpersist()
     spark = df.sparkSession
     scores = spark.createDataFrame(rows, "config string, fold int, f1 double")

@@ -31,7 +31,7 @@ MAX_DEPTH = 10         # nodes of a tree are laid out in full
 BLOCK_ROWS = 1 << 13   # cells that a task works on at a time
 KEEP_EVERY = 20        # rounds between checkpoints
 FEW_TASKS = 48         # sums of more tasks are added on the executors first
-LEAST_GAIN = 1e-14     # a gain below this share of the sums it is taken from is rounding
+EPSILON = 2.0 ** -52   # MLlib closes nodes of less variance
 
 
 @dataclass
@@ -40,11 +40,12 @@ class Tree:
     slot: np.ndarray
     cut: np.ndarray
     value: np.ndarray
+    variance: np.ndarray
 
     @classmethod
     def of_depth(cls, depth: int) -> Tree:
         n = (2 << depth) - 1
-        return cls(np.full(n, -1, np.int32), np.zeros(n, np.uint8), np.zeros(n))
+        return cls(np.full(n, -1, np.int32), np.zeros(n, np.uint8), np.zeros(n), np.zeros(n))
 
     def reach(self, codes: np.ndarray, levels: int) -> np.ndarray:
         """The node that each row comes to within so many levels."""
@@ -137,12 +138,13 @@ def _blocks(cells: DataFrame, t: str, unit: int, logistic: bool, parts: int) ->
         if held:
             yield block()
 
-    # dealt in the cells' own order, so that a rerun adds up the same numbers in the same order
-    return rows.repartition(parts, "x", "y").sortWithinPartitions("x", "y").mapInArrow(pack, "x binary, y binary, w binary").rdd.mapPartitions(unpack)
+    # in the cells' own order, or one that depends on them alone, so that a rerun adds up the same numbers in the same order
+    dealt = rows.coalesce(1) if parts == 1 else rows.repartition(parts, "x", "y").sortWithinPartitions("x", "y")
+    return dealt.mapInArrow(pack, "x binary, y binary, w binary").rdd.mapPartitions(unpack)
 
 
-def _block_sums(codes: np.ndarray, w: np.ndarray, g: np.ndarray, tree: Tree, nodes: np.ndarray, level: int) -> np.ndarray:
-    """[weight and weighted gradient, slot, open node and interval] of a block's cells."""
+def _block_sums(codes: np.ndarray, w: np.ndarray, y: np.ndarray, tree: Tree, nodes: np.ndarray, level: int) -> np.ndarray:
+    """[weight, weighted gradient and its square, slot, open node and interval] of a block's cells with gradients ``y``."""
     first, size = (1 << level) - 1, len(nodes) * BINS
     place = np.full(1 << level, -1, np.int64)
     place[nodes - first] = np.arange(len(nodes))
@@ -150,22 +152,23 @@ def _block_sums(codes: np.ndarray, w: np.ndarray, g: np.ndarray, tree: Tree, nod
     at = np.where(at >= 0, place[np.maximum(at, 0)], -1)
     if (at < 0).any():
         kept = at >= 0
-        codes, at, g, w = codes[kept], at[kept], g[kept], w[kept]
-    out, base = np.empty((2, codes.shape[1], size)), at * BINS
+        codes, at, y, w = codes[kept], at[kept], y[kept], w[kept]
+    out, base, g = np.empty((3, codes.shape[1], size)), at * BINS, w * y
+    square = g * y
     for s in range(codes.shape[1]):
         key = base + codes[:, s]
-        out[0, s], out[1, s] = np.bincount(key, w, size), np.bincount(key, g, size)
+        out[0, s], out[1, s], out[2, s] = np.bincount(key, w, size), np.bincount(key, g, size), np.bincount(key, square, size)
     return out
 
 
 def _level_sums(state: RDD, open_: dict[int, tuple[bool, Tree, np.ndarray]], by_unit: dict[int, list[int]], level: int) -> dict[int, np.ndarray]:
-    """{fit: [weight and weighted gradient, open node, slot, interval]} of one level of all fits."""
+    """{fit: [weight, weighted gradient and its square, open node, slot, interval]} of one level of all fits."""
     def add_up(blocks: Iterator[tuple]) -> Iterator[tuple[int, np.ndarray]]:
         sums: dict[int, np.ndarray] = {}
         for unit, codes, y, w, f in blocks:
             for i in by_unit.get(unit, ()):
                 logistic, tree, nodes = open_[i]
-                own = _block_sums(codes, w, w * gradient(y, f.get(i), logistic), tree, nodes, level)
+                own = _block_sums(codes, w, gradient(y, f.get(i), logistic), tree, nodes, level)
                 sums[i] = sums[i] + own if i in sums else own
         yield from sums.items()
 
@@ -179,31 +182,40 @@ def _level_sums(state: RDD, open_: dict[int, tuple[bool, Tree, np.ndarray]], by_
 
 
 def _by_node(sums: np.ndarray) -> np.ndarray:
-    return sums.reshape(2, sums.shape[1], -1, BINS).transpose(0, 2, 1, 3)
+    return sums.reshape(3, sums.shape[1], -1, BINS).transpose(0, 2, 1, 3)
+
+
+def _variance(sums: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        return np.where(sums[0] == 0, 0.0, (sums[2] - sums[1] * sums[1] / sums[0]) / sums[0])
 
 
 def _split(tree: Tree, nodes: np.ndarray, sums: np.ndarray, present: np.ndarray) -> np.ndarray:
-    """Split each node where most is gained; returns the children."""
+    """Split each node where most is gained, by MLlib's formula step by step, so that near ties fall alike; returns the open children."""
     left = np.cumsum(sums, axis=3)
-    total = left[:, :, :1, -1:]
-    right = total - left
-    wl, sl, wr, sr = left[0], left[1], right[0], right[1]
+    right = left[:, :, :, -1:] - left
     filled = np.cumsum(sums[0] > 0, axis=2)
     fair = (filled > 0) & (filled < filled[:, :, -1:])
+    vl, vr = _variance(left), _variance(right)
+    if nodes[0] == 0:
+        tree.variance[0] = _variance(left[:, 0, 0, -1])
+    both = left[0] + right[0]
     with np.errstate(all="ignore"):
-        both = sl * sl / wl + sr * sr / wr
-        gain = np.where(fair, both - total[1] ** 2 / total[0], -np.inf)
-    flat = gain.reshape(len(nodes), -1)
+        gain = tree.variance[nodes][:, None, None] - left[0] / both * vl - right[0] / both * vr
+    flat = np.where(fair, gain, -np.inf).reshape(len(nodes), -1)
     best = flat.argmax(axis=1)
-    rows = np.arange(len(nodes))
+    good = flat[np.arange(len(nodes)), best] > 0
+    rows, nodes, best = np.flatnonzero(good), nodes[good], best[good]
     slot, at = best // BINS, best % BINS
-    good = flat[rows, best] > LEAST_GAIN * np.where(fair, both, 0).reshape(len(nodes), -1)[rows, best]
-    nodes, rows, slot, at = nodes[good], rows[good], slot[good], at[good]
     tree.slot[nodes] = slot
     tree.cut[nodes] = present[slot, at]
-    for child, w, s in ((1, wl, sl), (2, wr, sr)):
-        tree.value[2 * nodes + child] = s[rows, slot, at] / w[rows, slot, at]
-    return np.sort(np.concatenate([2 * nodes + 1, 2 * nodes + 2]))
+    children = []
+    for side, part, var in ((1, left, vl), (2, right, vr)):
+        child = 2 * nodes + side
+        tree.value[child] = part[1, rows, slot, at] / part[0, rows, slot, at]
+        tree.variance[child] = var[rows, slot, at]
+        children.append(child[np.abs(tree.variance[child]) >= EPSILON])
+    return np.sort(np.concatenate(children))
 
 
 def _cut_of(sums: np.ndarray) -> np.ndarray:
@@ -270,7 +282,7 @@ def _grow_apart(sc, base: list[RDD], fits: dict[int, Fit]) -> None:
             f, trees, cuts = [None] * len(held), [], None
             for number in range(rounds if held else 0):
                 tree, nodes = Tree.of_depth(depth), np.zeros(1, np.int64)
-                g = [w * gradient(y, f[k], logistic) for k, (_, _, y, w, _) in enumerate(held)]
+                g = [gradient(y, f[k], logistic) for k, (_, _, y, _, _) in enumerate(held)]
                 for level in range(depth):
                     sums = _by_node(sum(_block_sums(x, w, g[k], tree, nodes, level) for k, (_, x, _, w, _) in enumerate(held)))
                     if level == 0:

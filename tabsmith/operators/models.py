@@ -34,6 +34,7 @@ from ..functions.aggregates import level_counts
 from ..functions.exprs import c, numeric_cols, safe_name, string_cols
 from . import boost as B
 from . import cells as CE
+from . import forest as FO
 from . import linear
 from . import metrics as G
 from . import split as E
@@ -208,7 +209,7 @@ def model_pipeline(df: DataFrame, t: str, name: str, problem_type: str, params:
     learner = make_model(name, problem_type, t, n, params, weight, label_std=std)
     boosted = CE.is_boosted(learner)
     return Pipeline(stages=build_preprocessor(num, cat, wide=wide_strings(df, cat), intervals="features" if boosted else None, weight=weight)
-                    + [CE.OnCells(learner, weight) if boosted else learner])
+                    + [CE.OnCells(learner, weight) if boosted else FO.OnDraws(learner) if FO.can_grow(learner) else learner])
 
 
 # ----------------------------------------------------------------------------- predictions and scores
@@ -407,7 +408,7 @@ def scores_on_folds(frames: Sequence[tuple[DataFrame, Sequence[tuple[str, Sequen
                 staged_rows.unpersist()
                 return scores
             on_cells = CE.is_boosted(learner)
-            model = CE.weighted(learner).fit(fold.cells) if on_cells else learner.fit(fold.train)
+            model = CE.weighted(learner).fit(fold.cells) if on_cells else FO.fit(learner, fold.train)
             test = interval_rows(fold.test) if on_cells else fold.test
             return [score_of(model if n == rounds[0] else staged(model, n), test, t, problem_type, metric) for n in rounds]
         except LEARNER_ERRORS as error:

@@ -376,6 +376,35 @@ def staged_predictions(rows: DataFrame, t: str, fit: Fit, stages: Sequence[int])
     return rows.select(vector_to_array("features").alias("x"), c(t).cast("double").alias("y")).mapInArrow(run, schema)
 
 
+def staged_errors(held: DataFrame, fit: Fit, stages: Sequence[int]) -> list[dict[str, float | None]]:
+    """rmse and r2 (1 - SSE/SST) of the first ``stages[k]`` rounds of a regression on held-out cells (``fold_cells``)."""
+    ship_package(held.sparkSession)
+    trees, depth, steps = held.sparkSession.sparkContext.broadcast(fit.trees), fit.depth, [fit.step(i) for i in range(len(fit.trees))]
+    wanted = list(stages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, errors = np.zeros(3), np.zeros(len(wanted))
+        for b in batches:
+            if b.num_rows:
+                codes, (n, s, q, center) = _codes(b.column(0), b.num_rows), (b.column(i).to_numpy() for i in range(1, 5))
+                total += n.sum(), s.sum(), q.sum()
+                g = -center
+                for i, tree in enumerate(trees.value):
+                    g = g + steps[i] * tree.value[tree.reach(codes, depth)]
+                    for k, w in enumerate(wanted):
+                        if w == i + 1:  # within a cell, then the cell's mean from the prediction
+                            errors[k] += (np.maximum(q - s * s / n, 0) + n * (s / n - g) ** 2).sum()
+        yield pa.RecordBatch.from_pydict({x: [float(v)] for x, v in zip(names, [*total, *errors])})
+
+    names = ["n", "s", "q", *(f"e{k}" for k in range(len(wanted)))]
+    rows = held.select(vector_to_array("features").alias("x"), "n", "s", "q", "center").mapInArrow(run, ", ".join(f"{x} double" for x in names))
+    n, s, q, *errors = rows.agg(*[F.sum(x) for x in names]).first()
+    if not n:
+        return [{"rmse": None, "r2": None} for _ in wanted]
+    sst = q - s * s / n
+    return [{"rmse": float(np.sqrt(e / n)), "r2": 1 - e / sst if sst > 0 else None} for e in errors]
+
+
 def as_scored(staged: DataFrame, column: str, logistic: bool) -> DataFrame:
     """(label, prediction, score) of one stage, as ``models.predictions`` gives them."""
     p = F.col(column)

@@ -133,7 +133,6 @@ class IntervalCoderModel(Model, HasInputCol, HasOutputCol, HasWeightCol, Default
 
 def cells_of(df: DataFrame, t: str, regression: bool, weight: str | None = None, rows_a_part: int = 50_000) -> DataFrame:
     """(features, label, ``WEIGHT``), persisted: one row for every cell, in an order that depends on the rows alone."""
-    from .models import parts_of
     w = c(weight).cast("double") if weight else F.lit(1.0)
     y = c(t).cast("double")
     rows = df.select("features", y.alias(t), w.alias(WEIGHT))
@@ -145,10 +144,17 @@ def cells_of(df: DataFrame, t: str, regression: bool, weight: str | None = None,
     else:
         cells = rows.groupBy("features", c(t)).agg(total.alias(WEIGHT))
     cells = cells.persist()
-    dealt = cells.repartition(parts_of(cells.count(), rows_a_part), "features", c(t)).sortWithinPartitions("features", c(t)).persist()
-    dealt.count()
+    out = dealt(cells, t, cells.count(), rows_a_part)
     cells.unpersist()
-    return dealt
+    return out
+
+
+def dealt(cells: DataFrame, t: str, n: int, rows_a_part: int) -> DataFrame:
+    """``n`` cells dealt to the partitions that they are worth, in an order that depends on them alone, persisted."""
+    from .models import parts_of
+    out = cells.repartition(parts_of(n, rows_a_part), "features", c(t)).sortWithinPartitions("features", c(t)).persist()
+    out.count()
+    return out
 
 
 def is_boosted(learner) -> bool:

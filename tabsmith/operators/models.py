@@ -34,6 +34,7 @@ from ..functions.aggregates import level_counts
 from ..functions.exprs import c, numeric_cols, safe_name, string_cols
 from . import boost as B
 from . import cells as CE
+from . import fold_cells as FC
 from . import forest as FO
 from . import linear
 from . import metrics as G
@@ -284,11 +285,12 @@ def staged(model, rounds: int):
 class Fold:
     """One fold's training and held-out rows, encoded once for every learner and setting."""
     number: int
-    train: DataFrame
-    test: DataFrame
+    train: DataFrame | None
+    test: DataFrame | None
     n: int
     label_std: float
     cells: DataFrame | None = None  # the training rows as boosted fits take them
+    held: DataFrame | None = None   # the held-out rows as cells, where no rows are kept
 
 
 def encoded_folds(folded: DataFrame, t: str, k: int, exclude: Sequence[str] | str | None, weight: str | None,
@@ -313,6 +315,18 @@ def encoded_folds(folded: DataFrame, t: str, k: int, exclude: Sequence[str] | st
         return pool.map(encode, range(k))
 
 
+def kept_as_cells(folded: DataFrame, t: str, jobs: Sequence[tuple[str, Sequence[dict | None]]], problem_type: str, k: int, metric: str,
+                  exclude: Sequence[str]) -> list[Fold] | None:
+    """The folds without their rows, where all jobs are boosted regressions that are grown from cells and scored on them; None otherwise."""
+    if problem_type != "regression" or metric not in FC.METRICS or string_cols(folded.drop(*exclude)):
+        return None
+    if not all(canonical(name).startswith("GBT") and settings(name, p)["maxDepth"] <= B.MAX_DEPTH for name, draws in jobs for p in draws):
+        return None
+    num = [x for x in numeric_cols(folded) if x not in exclude]
+    found = FC.of_folds(folded, t, num, k, ROWS_AT_SCALE)
+    return None if found is None else [Fold(i, None, None, n, std, cells, held) for i, n, std, cells, held in found]
+
+
 def interval_rows(df: DataFrame) -> DataFrame:
     """A fold's rows as boosted models see them."""
     return df.drop("features").withColumnRenamed("intervals", "features")
@@ -340,36 +354,48 @@ def fold_scores(df: DataFrame, t: str, jobs: Sequence[tuple[str, Sequence[dict |
     """
     m, _ = primary(problem_type, metric)
     folded = E.add_fold(df, k, t if (stratify and problem_type != "regression") else None, seed, key)
-    folded = compact(folded, df.count()).persist()
+    ex = {*key_columns(key), t, "fold"}
+    num, cat = ([x for x in f(folded) if x not in ex] for f in (numeric_cols, string_cols))
+    kept: list[DataFrame] = []
+
+    def rows() -> DataFrame:
+        """The rows of several passes, stored once."""
+        if not kept:
+            kept.append(compact(folded, df.count()).persist())
+        return kept[0]
+
     out: list[list] = [[{} for _ in draws] for _, draws in jobs]
     todo = list(range(len(jobs)))
     if problem_type == "regression" and m in linear.SCORES and weight is None:
         closed = [j for j in todo if jobs[j][0] in linear.LINEAR]
         flat = [(j, i, (jobs[j][0], settings(jobs[j][0], p).get("alpha", 0.0))) for j in closed for i, p in enumerate(jobs[j][1])]
-        ex = {*key_columns(key), t, "fold"}
-        num, cat = ([x for x in f(folded) if x not in ex] for f in (numeric_cols, string_cols))
-        got = linear.fold_scores(folded, t, num, cat, [x for _, _, x in flat], m) if flat else None
+        got = linear.fold_scores(rows() if cat or len(closed) < len(jobs) else folded, t, num, cat, [x for _, _, x in flat], m) if flat else None
         if got is not None:
             for (j, i, _), scores in zip(flat, got):
                 out[j][i] = dict(sorted(scores.items()))
             todo = [j for j in todo if j not in closed]
     if todo:
-        for j, scores in zip(todo, scores_on_folds([(folded, [jobs[j] for j in todo])], t, problem_type, k, m, key, weight)[0]):
+        left = [jobs[j] for j in todo]
+        ready = kept_as_cells(folded, t, left, problem_type, k, m, list(ex)) if weight is None else None
+        frames = [(folded if ready else rows(), left)]
+        for j, scores in zip(todo, scores_on_folds(frames, t, problem_type, k, m, key, weight, [ready] if ready else None)[0]):
             out[j] = scores
-    folded.unpersist()
+    for x in kept:
+        x.unpersist()
     return out
 
 
 def scores_on_folds(frames: Sequence[tuple[DataFrame, Sequence[tuple[str, Sequence[dict | None]]]]], t: str, problem_type: str, k: int, metric: str,
-                    key: Key = None, weight: str | None = None) -> list[list[list[dict[int, float | None] | Exception]]]:
+                    key: Key = None, weight: str | None = None, ready: list[list[Fold]] | None = None
+                    ) -> list[list[list[dict[int, float | None] | Exception]]]:
     """For every (frame with ``fold``, jobs): what ``fold_scores`` gives for its jobs. Boosted fits of all frames share their passes
-    (``operators.boost``), other fits run side by side."""
+    (``operators.boost``), other fits run side by side. ``ready``: the frames' folds, if they are made already."""
     def encode(frame):
         folded, jobs = frame
         return encoded_folds(folded, t, k, key, weight, problem_type if any(canonical(x).startswith("GBT") for x, _ in jobs) else None)
 
     with ThreadPool(min(len(frames), FITS_AT_ONCE)) as pool:
-        folds = pool.map(encode, frames, chunksize=1)
+        folds = ready or pool.map(encode, frames, chunksize=1)
     tasks, shared = [], {}
     for at, (_, jobs) in enumerate(frames):
         groups: dict[str, list[tuple[int, list[int]]]] = {}
@@ -401,6 +427,8 @@ def scores_on_folds(frames: Sequence[tuple[DataFrame, Sequence[tuple[str, Sequen
         if isinstance(learner, Exception):
             return learner
         try:
+            if i in shared and fold.held is not None:
+                return [x[metric] for x in B.staged_errors(fold.held, shared[i], rounds)]
             if i in shared:
                 staged_rows = B.staged_predictions(interval_rows(fold.test), t, shared[i], rounds).persist()
                 scores = [metric_value(metrics_of(B.as_scored(staged_rows, f"p{x}", shared[i].logistic), problem_type, metric in CURVES), metric)
@@ -433,10 +461,9 @@ def scores_on_folds(frames: Sequence[tuple[DataFrame, Sequence[tuple[str, Sequen
             else:
                 own[x][fold.number] = scores[n]
     for fold in (x for own in folds for x in own):
-        fold.train.unpersist()
-        fold.test.unpersist()
-        if fold.cells is not None:
-            fold.cells.unpersist()
+        for x in (fold.train, fold.test, fold.cells, fold.held):
+            if x is not None:
+                x.unpersist()
     return out
 
 

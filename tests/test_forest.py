@@ -104,3 +104,12 @@ def test_more_cells_than_a_task_takes_stay_with_mllib(rows, fitted_rows, monkeyp
     df = rows.select("a", "b", "x", "y")
     M.model_pipeline(df, "y", "RandomForestRegressor", "regression", {"numTrees": 3, "maxDepth": 3}).fit(df)
     assert fitted_rows == [3000]
+
+
+def test_forests_of_train_and_select_are_not_fitted_on_rows(rows, fitted_rows):
+    df = rows.select("id", "a", "b", "x", "y")
+    train, test = M.E.train_test_split(df, None, key="id", stratify=False)
+    params = {"RandomForestRegressor": {"numTrees": 8, "maxDepth": 4}}
+    best, table = M.train_and_select(train, test, "y", ["LinearRegression", "RandomForestRegressor"], "regression", params=params, exclude="id")
+    assert fitted_rows == [2]
+    assert {(r["model"], r["metric"]) for r in table.collect()} == {(m, x) for m in ("LinearRegression", "RandomForestRegressor") for x in ("rmse", "mae", "r2", "mape")}
